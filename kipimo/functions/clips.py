@@ -30,11 +30,14 @@ def _needs_frames(frames: Column, value: Column) -> Column:
 
 def _take(frames: Column, n: int, index) -> Column:
     """n output frames, output k being input frame ``index(k, T)``."""
-    taken = F.transform(
-        F.sequence(F.lit(0), F.lit(n - 1)),
-        lambda k: F.get(frames, index(k, F.size(frames)).cast("int")),
-    )
-    return _needs_frames(frames, taken)
+
+    def taken(clip):
+        return F.transform(
+            F.sequence(F.lit(0), F.lit(n - 1)),
+            lambda k: F.get(clip, index(k, F.size(clip)).cast("int")),
+        )
+
+    return let(frames, lambda clip: _needs_frames(clip, taken(clip)))
 
 
 def interpolate_linear(frames: Column, n: int = TARGET_LENGTH) -> Column:
@@ -44,20 +47,26 @@ def interpolate_linear(frames: Column, n: int = TARGET_LENGTH) -> Column:
     give the left neighbour and the weight without rounding error.
     """
 
-    def frame(k):
-        step = k * (F.size(frames) - 1)
-        lo = F.floor(step / (n - 1)).cast("int")
-        hi = F.least(lo + 1, F.size(frames) - 1)
-        weight = (step % (n - 1)) / F.lit(float(n - 1))
-        return F.zip_with(
-            F.get(frames, lo),
-            F.get(frames, hi),
-            lambda a, b: _float(
-                a.cast("double") + (b.cast("double") - a.cast("double")) * weight
-            ),
-        )
+    def resampled(clip):
+        def frame(k):
+            step = k * (F.size(clip) - 1)
+            lo = F.floor(step / (n - 1)).cast("int")
+            hi = F.least(lo + 1, F.size(clip) - 1)
+            weight = (step % (n - 1)) / F.lit(float(n - 1))
+            return let(
+                weight,
+                lambda w: F.zip_with(
+                    F.get(clip, lo),
+                    F.get(clip, hi),
+                    lambda a, b: _float(
+                        a.cast("double") + (b.cast("double") - a.cast("double")) * w
+                    ),
+                ),
+            )
+
+        return F.transform(F.sequence(F.lit(0), F.lit(n - 1)), frame)
 
-    return _needs_frames(frames, F.transform(F.sequence(F.lit(0), F.lit(n - 1)), frame))
+    return let(frames, lambda clip: _needs_frames(clip, resampled(clip)))
 
 
 def resample_nearest(frames: Column, n: int = TARGET_LENGTH) -> Column:
@@ -73,10 +82,11 @@ def pad_repeat_last(frames: Column, n: int = TARGET_LENGTH) -> Column:
 
 
 def pad_zero(frames: Column, n: int = TARGET_LENGTH) -> Column:
-    blank = F.transform(F.get(frames, F.lit(0)), lambda _: _float(F.lit(0.0)))
-    return _needs_frames(
-        frames, F.slice(F.concat(frames, F.array_repeat(blank, n)), 1, n)
-    )
+    def padded(clip):
+        blank = F.transform(F.get(clip, F.lit(0)), lambda _: _float(F.lit(0.0)))
+        return F.slice(F.concat(clip, F.array_repeat(blank, n)), 1, n)
+
+    return let(frames, lambda clip: _needs_frames(clip, padded(clip)))
 
 
 # Method names, in report order.
@@ -190,10 +200,10 @@ def normalize_geometry(frames: Column, layout: Layout = FULL_BODY) -> Column:
     are centred but not scaled; missing points stay zero.
     """
 
+    corners = F.sequence(F.lit(0), F.lit(layout.points - 1))
+
     def move(frame):
-        points = F.transform(
-            F.sequence(F.lit(0), F.lit(layout.points - 1)), lambda i: _point(frame, i)
-        )
+        points = F.transform(corners, lambda i: _point(frame, i))
         return let(
             frame_anchor(frame, layout),
             lambda a: F.flatten(
@@ -234,16 +244,22 @@ def geometry_diagnostics(frames: Column, layout: Layout = FULL_BODY) -> Column:
 def missingness(frames: Column, layout: Layout = FULL_BODY) -> Column:
     """Share of missing points per block; null for a clip without frames."""
 
-    def rate(first, count):
+    def rate(clip, first, count):
         def missing_in(frame):
             indices = F.sequence(F.lit(first), F.lit(first + count - 1))
             return F.size(F.filter(indices, lambda i: ~point_present(_point(frame, i))))
 
-        missing = F.aggregate(frames, F.lit(0), lambda acc, f: acc + missing_in(f))
-        return F.when(F.size(frames) > 0, missing / (F.size(frames) * count))
+        missing = F.aggregate(clip, F.lit(0), lambda acc, f: acc + missing_in(f))
+        return F.when(F.size(clip) > 0, missing / (F.size(clip) * count))
 
-    return F.struct(
-        *[rate(*span).alias(f"{name}_missing_rate") for name, span in layout.blocks().items()]
+    return let(
+        frames,
+        lambda clip: F.struct(
+            *[
+                rate(clip, *span).alias(f"{name}_missing_rate")
+                for name, span in layout.blocks().items()
+            ]
+        ),
     )
 
 

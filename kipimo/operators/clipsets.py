@@ -213,13 +213,18 @@ def valid_clips(clips: DataFrame, width: int, length: int | None = None) -> Data
     )
 
 
-def first_per_class(clips: DataFrame, labels: list[str] | None = None) -> DataFrame:
-    """First file by name of every label; a listed label without files fails."""
-    first = clips.groupBy("label").agg(F.min("file").alias("file"))
-    if labels is None:
-        return first
-    wanted = clips.sparkSession.createDataFrame([(x,) for x in labels], "label string")
+def first_per_class(clips: DataFrame, labels: list[str]) -> DataFrame:
+    """First file by name of every listed label, in one aggregate row unfolded.
+
+    A label without files fails.
+    """
+    firsts = clips.agg(
+        *[F.min(F.when(F.col("label") == x, F.col("file"))).alias(x) for x in labels]
+    )
+    cells = F.array(
+        *[F.struct(F.lit(x).alias("label"), F.col(f"`{x}`").alias("file")) for x in labels]
+    )
     missing = F.raise_error(F.concat(F.lit("no files for class "), F.col("label")))
-    return wanted.join(first, "label", "left").withColumn(
+    return firsts.select(F.inline(cells)).withColumn(
         "file", F.coalesce("file", missing.cast("string"))
     )

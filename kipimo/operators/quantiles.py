@@ -67,16 +67,17 @@ def exact_quantiles(
         here = ((lo >= first) & (lo < end)) | ((hi >= first) & (hi < end))
         return (ask["of"] == F.col("_name")) & here
 
-    targets = buckets.withColumn("_before", F.col("_upto") - F.col("_in")).filter(
-        F.exists(asks, lambda a: holds(a, F.col("_before"), F.col("_upto")))
+    targets = (
+        buckets.withColumn("_before", F.col("_upto") - F.col("_in"))
+        .filter(F.exists(asks, lambda a: holds(a, F.col("_before"), F.col("_upto"))))
+        .select("_before", "_n", *[F.col(c).alias(f"_t{k}") for k, c in enumerate([*group, "_bucket"])])
     )
-    same = [values[c].eqNullSafe(targets[c]) for c in by] + [
-        values[c] == targets[c] for c in ("_name", "_bucket")
+    same = [
+        F.col(c).eqNullSafe(F.col(f"_t{k}")) for k, c in enumerate([*group, "_bucket"])
     ]
     inside = Window.partitionBy(*group, "_bucket").orderBy("_v")
     hit = (
         values.join(targets, reduce(lambda a, b: a & b, same))
-        .select(*[values[c] for c in [*group, "_bucket", "_v"]], "_before", "_n")
         .groupBy(*group, "_bucket", "_v", "_before", "_n")
         .agg(F.count("*").alias("_c"))
         .withColumn("_to", F.col("_before") + F.sum("_c").over(inside))

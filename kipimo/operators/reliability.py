@@ -54,16 +54,15 @@ def ablate_clips(
 ) -> DataFrame:
     """Resampled source clips under every ablation, prepared for the model.
 
-    Resampling runs once per clip, before the clip is multiplied.
+    Resampling runs once per clip, before the clip is multiplied; preparing a clip
+    that already has the target length only pads and standardises it.
     """
     resampled = clips.withColumn("frames", C.interpolate_linear(F.col("frames"), TARGET_LENGTH))
     ready = resampled.crossJoin(F.broadcast(stats))
     mean = F.col("mean").cast("array<float>")
     ablated = cross_conditions(ready, registry, lambda c, f: c.apply(f, mean, layout))
-    padded = C.pad_features(F.col("frames"), layout)
-    return ablated.withColumn("prepared", C.zscore(padded, F.col("mean"), F.col("std"))).drop(
-        "frames", "mean", "std"
-    )
+    prepared = prepare_source(F.col("frames"), F.col("mean"), F.col("std"), layout)
+    return ablated.withColumn("prepared", prepared).drop("frames", "mean", "std")
 
 
 def union_conditions(parts: dict[str, DataFrame]) -> DataFrame:

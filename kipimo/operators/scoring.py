@@ -21,6 +21,9 @@ def score_clips(
 
     ``make_predict_fn`` is called once per Python worker and returns a function
     from a (batch, length, width) array to a (batch, classes) array.
+
+    The flattened clip is referenced twice so that the optimizer leaves it in its
+    own projection: a UDF whose argument holds a lambda is not planned correctly.
     """
     predict = predict_batch_udf(
         make_predict_fn,
@@ -28,7 +31,9 @@ def score_clips(
         batch_size=batch_size,
         input_tensor_shapes=[[length, width]],
     )
-    scored = clips.withColumn("p", predict(F.flatten(frames)).cast("array<double>"))
+    flat = clips.withColumn("_flat", F.flatten(frames))
+    tensor = F.when(F.col("_flat").isNotNull(), F.col("_flat"))
+    scored = flat.withColumn("p", predict(tensor).cast("array<double>")).drop("_flat")
     return scored.withColumn("labels", labels_column(labels))
 
 
@@ -53,11 +58,13 @@ def with_metrics(scored: DataFrame, label: str | None = "label") -> DataFrame:
     )
 
 
-def late_weighted_scorer(length: int, width: int, classes: int, sharpness: float = 8.0):
+def late_weighted_scorer(
+    length: int, width: int, class_features: list[list[int]], sharpness: float = 8.0
+):
     """A deterministic stand-in model for tests and benchmarks, not a trained one.
 
-    Class k scores feature k averaged over the frames with weight (frame + 1), so
-    the order of frames matters; the scores go through a softmax.
+    A class scores the sum of its features, averaged over the frames with weight
+    (frame + 1) so that the order of frames matters, through a softmax.
     """
 
     def make():
@@ -68,7 +75,8 @@ def late_weighted_scorer(length: int, width: int, classes: int, sharpness: float
 
         def predict(batch):
             clips = np.asarray(batch, dtype=np.float64).reshape(-1, length, width)
-            logits = sharpness * np.einsum("t,btk->bk", weights, clips[:, :, :classes])
+            late = np.einsum("t,btf->bf", weights, clips)
+            logits = sharpness * np.stack([late[:, f].sum(axis=1) for f in class_features], axis=1)
             exps = np.exp(logits - logits.max(axis=1, keepdims=True))
             return (exps / exps.sum(axis=1, keepdims=True)).astype(np.float32)
 

@@ -252,7 +252,9 @@ def scored(prepared: DataFrame) -> DataFrame:
     """Prepared clips through the stand-in scorer, with all metrics."""
     from ..operators.scoring import late_weighted_scorer, score_clips, with_metrics
 
-    make = late_weighted_scorer(TARGET_LENGTH, LAYOUT.width, len(CLIP_LABELS))
+    # One feature of each hand block per class, so that no ablation ties classes.
+    features = [[5 * k, LAYOUT.hand_width + 5 * k] for k in range(len(CLIP_LABELS))]
+    make = late_weighted_scorer(TARGET_LENGTH, LAYOUT.width, features)
     raw = score_clips(prepared, make, CLIP_LABELS, TARGET_LENGTH, LAYOUT.width)
     return with_metrics(raw.drop("prepared"))
 
