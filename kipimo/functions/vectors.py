@@ -62,14 +62,16 @@ def label_of(index: Column, labels: Column) -> Column:
 
 def argmax_label(p: Column, labels: Column, digits: int = 4) -> Column:
     """struct(label, index, confidence) of the most probable class."""
-    return let(
-        (F.array_position(p, F.array_max(p)) - 1).cast("int"),
-        lambda i: F.struct(
-            label_of(i, labels).alias("label"),
-            i.alias("index"),
-            F.round(F.array_max(p), digits).alias("confidence"),
-        ),
-    )
+
+    def best(q):
+        index = (F.array_position(q, F.array_max(q)) - 1).cast("int")
+        return F.struct(
+            label_of(index, labels).alias("label"),
+            index.alias("index"),
+            F.round(F.array_max(q), digits).alias("confidence"),
+        )
+
+    return let(p, best)
 
 
 def rank_classes(p: Column, labels: Column) -> Column:

@@ -158,9 +158,8 @@ def shape_histogram(clips: DataFrame, frames: str = "frames", by=("split",)) ->
     )
 
 
-def length_summary(clips: DataFrame, frames: str = "frames", by=("split",)) -> DataFrame:
-    """Frame-length statistics per split."""
-    lengths = clips.select(*by, F.size(frames).alias("length"))
+def length_summary(lengths: DataFrame, by=("split",)) -> DataFrame:
+    """Frame-length statistics per split from rows with a ``length``."""
     summary = lengths.groupBy(*by).agg(
         F.count("*").alias("clips"),
         F.min("length").alias("min_length"),

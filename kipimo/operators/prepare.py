@@ -7,6 +7,8 @@ same clips (see the tests); the Arrow path is the default because nested
 higher-order functions are interpreted per element.
 """
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -16,6 +18,8 @@ from ..functions import clips as C
 from ..functions.layout import FULL_BODY, MISSING_ATOL, TARGET_LENGTH, Layout
 from ..schemas import CLIP
 
+_SLICE = 256
+
 
 def _matrix(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """(all frames of the batch stacked, frame count per clip)."""
@@ -63,10 +67,13 @@ def _column(clips: np.ndarray, lengths: np.ndarray) -> pa.Array:
 
 
 def _prepare(select, layout: Layout, n: int):
-    """Arrow UDF (frames, mean, std) -> resampled, padded, standardised clip."""
+    """Arrow UDF (frames, mean, std) -> resampled, padded, standardised clip.
 
-    @F.arrow_udf(CLIP)
-    def prepare(frames: pa.Array, mean: pa.Array, std: pa.Array) -> pa.Array:
+    Batches are worked off in slices, which bounds what a worker holds whatever
+    the session's Arrow batch size.
+    """
+
+    def ready(frames: pa.Array, mean: pa.Array, std: pa.Array) -> pa.Array:
         stacked, lengths = _matrix(frames)
         usable = lengths > 0
         if not usable.any():
@@ -74,8 +81,16 @@ def _prepare(select, layout: Layout, n: int):
         short = _resample(select(stacked), lengths[usable], n)
         padded = np.zeros((*short.shape[:2], layout.width), np.float32)
         padded[:, :, : layout.source_width] = short
-        ready = _standardise(padded, _vectors(mean)[usable], _vectors(std)[usable])
-        return _column(ready, lengths)
+        standard = _standardise(padded, _vectors(mean)[usable], _vectors(std)[usable])
+        return _column(standard, lengths)
+
+    @F.arrow_udf(CLIP)
+    def prepare(
+        batches: Iterator[tuple[pa.Array, pa.Array, pa.Array]],
+    ) -> Iterator[pa.Array]:
+        for columns in batches:
+            for start in range(0, len(columns[0]), _SLICE):
+                yield ready(*[c.slice(start, _SLICE) for c in columns])
 
     return prepare
 

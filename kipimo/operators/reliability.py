@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from ..functions import clips as C
 from ..functions.conditions import ABLATIONS, PROBES
 from ..functions.layout import FULL_BODY, TARGET_LENGTH, Layout
+from .clipsets import join_feature_stats
 from .prepare import prepare_source
 from .quantiles import exact_quantiles, with_quantiles
 from .tables import grid
@@ -43,7 +44,7 @@ def probe_clips(
 ) -> DataFrame:
     """Source clips under every probe, prepared for the model (``prepared``)."""
     probed = cross_conditions(clips, registry, lambda c, f: c.apply(f, F.col(key)))
-    ready = probed.crossJoin(F.broadcast(stats))
+    ready = join_feature_stats(probed, stats)
     return ready.withColumn(
         "prepared", prepare_source(F.col("frames"), F.col("mean"), F.col("std"), layout)
     ).drop("frames", "mean", "std")
@@ -58,7 +59,7 @@ def ablate_clips(
     that already has the target length only pads and standardises it.
     """
     resampled = clips.withColumn("frames", C.interpolate_linear(F.col("frames"), TARGET_LENGTH))
-    ready = resampled.crossJoin(F.broadcast(stats))
+    ready = join_feature_stats(resampled, stats)
     mean = F.col("mean").cast("array<float>")
     ablated = cross_conditions(ready, registry, lambda c, f: c.apply(f, mean, layout))
     prepared = prepare_source(F.col("frames"), F.col("mean"), F.col("std"), layout)

@@ -1,26 +1,40 @@
 """Token predictions: one tag per word from sub-word predictions."""
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..functions import vectors as V
+from ..functions.columns import let
 
 
-def first_subword(pieces: DataFrame, sentence: list[str], word="word_id", token="token_index"):
-    """First sub-word row of every word; pieces without a word are skipped.
+def first_subwords(tokens: Column, word: str = "word_id") -> Column:
+    """First sub-word of every word in an array of token structs.
 
-    Min-by is combined map-side, so a word or sentence with very many pieces
-    shuffles one row per task.
+    A token counts where its word id differs from the previous token's; tokens
+    without a word are skipped.  Row-local, so a sentence table needs no shuffle.
     """
-    rest = [c for c in pieces.columns if c not in [*sentence, word]]
-    best = F.min_by(F.struct(*rest), F.col(token)).alias("_first")
-    return (
-        pieces.filter(F.col(word).isNotNull())
-        .groupBy(*sentence, word)
-        .agg(best)
-        .select(*sentence, word, "_first.*")
-    )
+
+    def starts(all_tokens):
+        return F.filter(
+            all_tokens,
+            lambda t, i: t[word].isNotNull()
+            & ((i == 0) | ~t[word].eqNullSafe(F.get(all_tokens, i - 1)[word])),
+        )
+
+    return let(tokens, starts)
+
+
+def first_subword_rows(pieces: DataFrame, sentence: list[str], word="word_id", token="token_index"):
+    """The same for a table with one row per token.
+
+    Only the smallest index per word is aggregated, which hash-aggregates and
+    combines map-side; the token rows then meet it on the full key, so no word or
+    sentence can become a hot task.
+    """
+    words = pieces.filter(F.col(word).isNotNull())
+    first = words.groupBy(*sentence, word).agg(F.min(token).alias(token))
+    return words.join(first, [*sentence, word, token], "left_semi")
 
 
 def tag_words(first: DataFrame, labels: list[str], probabilities: str = "p") -> DataFrame:

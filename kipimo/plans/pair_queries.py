@@ -9,6 +9,7 @@ from ..operators import tables as R
 from . import views
 from .oracle import with_ctes
 from .registry import query
+from .stage import staged
 
 A, B = views.ENCODER_A, views.ENCODER_B
 
@@ -123,7 +124,8 @@ def similarity_by_category(spark, sf_dir):
     ),
 )
 def similarity_global(spark, sf_dir):
-    return P.similarity_global(gaps(spark, sf_dir))
+    columns = ["similarity_a", "similarity_b", "latency_a", "latency_b", "gap", "abs_gap"]
+    return P.similarity_global(staged(gaps(spark, sf_dir).select(*columns)))
 
 
 @query(
@@ -136,7 +138,7 @@ def similarity_global(spark, sf_dir):
     ),
 )
 def category_stats(spark, sf_dir):
-    return P.category_stats(views.scored_pairs(spark, sf_dir))
+    return P.category_stats(staged(views.scored_pairs(spark, sf_dir).select("category", "models")))
 
 
 _GROUPS = ("similar", "related", "contrast", "unrelated")

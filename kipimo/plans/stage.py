@@ -7,15 +7,19 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The cluster's shared checkpoint folder, as the session names it.
+    """The cluster's shared folder, as the session names it.
 
-    Only a session without one (a local test) gets a temporary folder of its own.
+    Only a local session without one gets a temporary folder of its own.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="spark-"))
-    return named or context.getCheckpointDir()
+    folder = named or context.getCheckpointDir()
+    if folder is None:
+        if not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        folder = tempfile.mkdtemp(prefix="spark-")
+        context.setCheckpointDir(folder)
+    return folder
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
@@ -24,13 +28,14 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 
 
 def staged(df: DataFrame) -> DataFrame:
-    """Write ``df`` once to the shared folder and read it from there.
+    """Write ``df`` once as Parquet to the shared folder and read it from there.
 
-    For results that several aggregates read.  Unlike a cache it survives lost
-    executors, and it is not recomputed.
+    For results that several aggregates read: unlike a cache it survives lost
+    executors, and each reader prunes to its own columns.
     """
-    shared_folder(df.sparkSession)
-    return df.checkpoint()
+    path = scratch_path(df.sparkSession, "staged")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def widened(df: DataFrame) -> DataFrame:

@@ -10,6 +10,7 @@ from ..operators import tokens as K
 from . import views
 from .oracle import NORM, with_ctes
 from .registry import query
+from .stage import widened
 
 
 @query(
@@ -17,7 +18,7 @@ from .registry import query
     f"SELECT doc_id, {NORM} AS normalised FROM documents",
 )
 def normalise_text(spark, sf_dir):
-    docs = views.table(spark, sf_dir, "documents")
+    docs = widened(views.table(spark, sf_dir, "documents").select("doc_id", "text"))
     return docs.select("doc_id", X.normalise_text(F.col("text")).alias("normalised"))
 
 
@@ -28,7 +29,7 @@ def normalise_text(spark, sf_dir):
       list_filter(string_split_regex(text, '[\\s]+'), lambda w: w <> '')[-1] AS last_word FROM documents""",
 )
 def split_words(spark, sf_dir):
-    docs = views.table(spark, sf_dir, "documents")
+    docs = widened(views.table(spark, sf_dir, "documents").select("doc_id", "text"))
     split = docs.select("doc_id", X.split_words(F.col("text")).alias("w"))
     return split.select(
         "doc_id",
@@ -62,13 +63,22 @@ _TOKENS = f"""WITH w AS (SELECT doc_id, unnest(string_split({NORM}, ' ')) AS wor
     probs AS (SELECT *, list_transform(e, lambda x: x / list_sum(e)) AS p FROM exps) """
 
 
-@query(
-    "first_subword",
-    _TOKENS + "SELECT doc_id, word_id, piece FROM first",
-)
+def first_pieces(spark, sf_dir):
+    """doc_id, word_id, piece of every word's first piece."""
+    tokens = views.token_arrays(spark, sf_dir)
+    rows = tokens.select("doc_id", F.inline(K.first_subwords(F.col("tokens"))))
+    return rows.filter("piece != ''")
+
+
+@query("first_subword", _TOKENS + "SELECT doc_id, word_id, piece FROM first")
 def first_subword(spark, sf_dir):
-    pieces = views.token_table(spark, sf_dir).drop("logits")
-    return K.first_subword(pieces, ["doc_id"]).select("doc_id", "word_id", "piece")
+    return first_pieces(spark, sf_dir)
+
+
+@query("first_subword_rows", _TOKENS + "SELECT doc_id, word_id, piece FROM first")
+def first_subword_rows(spark, sf_dir):
+    pieces = views.token_table(spark, sf_dir)
+    return K.first_subword_rows(pieces, ["doc_id"]).select("doc_id", "word_id", "piece")
 
 
 @query(
@@ -78,25 +88,14 @@ def first_subword(spark, sf_dir):
     FROM (SELECT DISTINCT piece, p FROM probs)""",
 )
 def softmax(spark, sf_dir):
-    words = K.first_subword(views.token_table(spark, sf_dir).drop("logits"), ["doc_id"])
     # One softmax per distinct piece: the scores depend on nothing else.
-    distinct = words.select("piece").distinct()
-    p = distinct.select("piece", V.softmax(_logits()).alias("p"))
+    distinct = first_pieces(spark, sf_dir).select("piece").distinct()
+    p = distinct.select("piece", V.softmax(views.tag_logits("piece")).alias("p"))
     return p.select(
         "piece", *[F.round(F.get("p", F.lit(k - 1)), 9).alias(f"p{k}") for k in (1, 2, 5)]
     )
 
 
-def _logits():
-    digest = F.md5("piece")
-    return F.array(
-        *[
-            F.conv(F.substring(digest, 2 * k + 1, 2), 16, 10).cast("double") / 64.0
-            for k in range(len(views.TAGS))
-        ]
-    )
-
-
 @query(
     "argmax_label",
     _TOKENS
@@ -104,10 +103,9 @@ def _logits():
       count(*) AS words, round(avg(round(list_max(p), 4)), 6) AS mean_confidence FROM probs GROUP BY 1""",
 )
 def argmax_label(spark, sf_dir):
-    pieces = views.token_table(spark, sf_dir)
-    first = K.first_subword(pieces, ["doc_id"])
     names = F.array(*[F.lit(t) for t in views.TAGS])
-    best = first.select(V.argmax_label(V.softmax(F.col("logits")), names).alias("b"))
+    p = V.softmax(views.tag_logits("piece"))
+    best = first_pieces(spark, sf_dir).select(V.argmax_label(p, names).alias("b"))
     return best.groupBy(F.col("b.label").alias("label")).agg(
         F.count("*").alias("words"), F.round(F.avg("b.confidence"), 6).alias("mean_confidence")
     )
@@ -121,9 +119,9 @@ def argmax_label(spark, sf_dir):
       round(list_max(p), 4) AS confidence FROM probs""",
 )
 def strip_tag_prefix(spark, sf_dir):
-    pieces = views.token_table(spark, sf_dir)
-    first = K.first_subword(pieces, ["doc_id"]).withColumn("p", V.softmax(F.col("logits")))
-    return K.tag_words(first, views.TAGS).select("doc_id", "word_id", "tag", "confidence")
+    p = V.softmax(views.tag_logits("piece"))
+    scored = first_pieces(spark, sf_dir).withColumn("p", p)
+    return K.tag_words(scored, views.TAGS).select("doc_id", "word_id", "tag", "confidence")
 
 
 # ---- vectors -------------------------------------------------------------------

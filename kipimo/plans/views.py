@@ -12,7 +12,6 @@ from ..functions.layout import TARGET_LENGTH, Layout
 from ..functions.text import normalise_text
 from ..functions.vectors import cosine
 from ..operators.pairs import rep_shift
-from ..operators.tables import cross_models
 from .stage import widened
 
 # Small layout for 64-wide vectors: 21 points, three coordinates each.
@@ -125,17 +124,14 @@ def utterances(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def pair_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Neighbouring vectors side by side: pair_id, a, b (one shuffle, no join)."""
-    even = F.col("vec_id") % 2 == 0
-    return (
-        table(spark, sf_dir, "embeddings")
-        .groupBy(F.floor(F.col("vec_id") / 2).alias("pair_id"))
-        .agg(
-            F.max(F.when(even, F.col("embedding"))).alias("a"),
-            F.max(F.when(~even, F.col("embedding"))).alias("b"),
-        )
-        .filter("a is not null and b is not null")
+    """Neighbouring vectors side by side: pair_id, a, b."""
+    vectors = table(spark, sf_dir, "embeddings").withColumn(
+        "pair_id", F.floor(F.col("vec_id") / 2)
     )
+    even = F.col("vec_id") % 2 == 0
+    left = vectors.filter(even).select("pair_id", F.col("embedding").alias("a"))
+    right = vectors.filter(~even).select("pair_id", F.col("embedding").alias("b"))
+    return left.join(right, "pair_id")
 
 
 def _scores(with_shift: bool):
@@ -259,8 +255,8 @@ def scored(prepared: DataFrame) -> DataFrame:
     return with_metrics(raw.drop("prepared"))
 
 
-def token_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All words of all documents in pieces of four characters, with tag scores.
+def token_arrays(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per document: all its words in pieces of four characters.
 
     Each document also starts with one piece that belongs to no word.
     """
@@ -274,22 +270,32 @@ def token_table(spark: SparkSession, sf_dir: str) -> DataFrame:
             ),
         )
 
-    pieces = F.flatten(F.transform(words, cut))
     special = F.array(
         F.struct(F.lit(None).cast("long").alias("word_id"), F.lit("<s>").alias("piece"))
     )
-    digest = F.md5("piece")
-    logits = F.array(
-        *[F.conv(F.substring(digest, 2 * k + 1, 2), 16, 10).cast("double") / 64.0 for k in range(len(TAGS))]
-    )
     return (
         widened(table(spark, sf_dir, "documents").select("doc_id", "text"))
-        .filter(normalise_text(F.col("text")) != "")
-        .select("doc_id", F.posexplode(F.concat(special, pieces)).alias("token_index", "t"))
+        .select("doc_id", words.alias("words"))
+        .select("doc_id", F.concat(special, F.flatten(F.transform("words", cut))).alias("tokens"))
+    )
+
+
+def token_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same in long form: doc_id, token_index, word_id, piece."""
+    return (
+        token_arrays(spark, sf_dir)
+        .select("doc_id", F.posexplode("tokens").alias("token_index", "t"))
         .select("doc_id", F.col("token_index").cast("long").alias("token_index"), "t.*")
-        .withColumn("logits", logits)
+        .filter("piece != ''")
     )
 
 
-def cross_encoders(manifest: DataFrame) -> DataFrame:
-    return cross_models(manifest, ENCODERS)
+def tag_logits(piece):
+    """Scores of the five tags, from a digest of the piece."""
+    digest = F.md5(piece)
+    return F.array(
+        *[
+            F.conv(F.substring(digest, 2 * k + 1, 2), 16, 10).cast("double") / 64.0
+            for k in range(len(TAGS))
+        ]
+    )
