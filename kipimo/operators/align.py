@@ -7,15 +7,13 @@ keeps one table row per block of reference words and recomputes block by block,
 so memory grows with sqrt(reference) x hypothesis.
 """
 
-from itertools import groupby
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.pandas.types import to_arrow_type
 
 from ..schemas import ALIGNMENT
+from .sequences import Batch, encode_words, groups, trim
 
 _CELL_BUDGET = 4_000_000
 _EQUAL, _SUBSTITUTE, _DELETE, _INSERT = range(4)
@@ -81,95 +79,89 @@ def _trace(ref: np.ndarray, hyp: np.ndarray, n: np.ndarray, m: np.ndarray) -> np
     return codes
 
 
-def _shared_ends(ref: list, hyp: list) -> tuple[int, int]:
-    """Lengths of the common prefix and of the common suffix after it."""
-    limit = min(len(ref), len(hyp))
-    head = 0
-    while head < limit and ref[head] == hyp[head]:
-        head += 1
-    tail = 0
-    while tail < limit - head and ref[-1 - tail] == hyp[-1 - tail]:
-        tail += 1
-    return head, tail
-
-
-def edit_codes(pairs: list[tuple[list, list]]) -> list[np.ndarray]:
-    """Edit codes of every (reference words, hypothesis words) pair."""
-    ids: dict[str, int] = {}
-    jobs = []
-    for ref, hyp in pairs:
-        head, tail = _shared_ends(ref, hyp)
-        jobs.append(
-            (
-                head,
-                tail,
-                [ids.setdefault(w, len(ids)) for w in ref[head : len(ref) - tail]],
-                [ids.setdefault(w, len(ids)) for w in hyp[head : len(hyp) - tail]],
-            )
-        )
-    out: list = [None] * len(jobs)
-    order = sorted(range(len(jobs)), key=lambda k: (len(jobs[k][2]), len(jobs[k][3])))
-    while order:
-        group, width, height = [], 0, 0
-        while order:
-            _, _, r, h = jobs[order[-1]]
-            height, width = max(height, len(r)), max(width, len(h))
-            if group and (len(group) + 1) * (height + 1) * (width + 1) > _CELL_BUDGET:
-                break
-            group.append(order.pop())
-        n = np.array([len(jobs[k][2]) for k in group])
-        m = np.array([len(jobs[k][3]) for k in group])
-        ref = np.full((len(group), n.max()), -1, dtype=np.int64)
-        hyp = np.full((len(group), m.max()), -2, dtype=np.int64)
-        for row, k in enumerate(group):
-            ref[row, : n[row]] = jobs[k][2]
-            hyp[row, : m[row]] = jobs[k][3]
-        codes = _trace(ref, hyp, n, m)
-        for row, k in enumerate(group):
-            head, tail = jobs[k][:2]
-            middle = codes[row][codes[row] >= 0]
-            ends = np.zeros(head, np.int8), np.zeros(tail, np.int8)
-            out[k] = np.concatenate([ends[0], middle, ends[1]])
-    return out
-
-
-def describe(ref: list[str], hyp: list[str], codes: np.ndarray) -> dict:
-    """Counts and merged runs of one alignment."""
-    counts = np.bincount(codes, minlength=4)
-    runs: dict[int, list] = {_SUBSTITUTE: [], _DELETE: [], _INSERT: []}
-    i = j = 0
-    for code, run in groupby(codes.tolist()):
-        length = len(list(run))
-        r, h = " ".join(ref[i : i + length]), " ".join(hyp[j : j + length])
-        if code == _SUBSTITUTE:
-            runs[code].append({"reference": r, "hypothesis": h})
-        elif code == _DELETE:
-            runs[code].append({"reference": r})
-        elif code == _INSERT:
-            runs[code].append({"hypothesis": h})
-        i += length * (code != _INSERT)
-        j += length * (code != _DELETE)
-    return {
-        "hits": int(counts[_EQUAL]),
-        "substitutions_count": int(counts[_SUBSTITUTE]),
-        "deletions_count": int(counts[_DELETE]),
-        "insertions_count": int(counts[_INSERT]),
-        "reference_word_count": len(ref),
-        "substitutions": runs[_SUBSTITUTE],
-        "deletions": runs[_DELETE],
-        "insertions": runs[_INSERT],
-    }
+def edit_codes(ref: Batch, hyp: Batch) -> tuple[np.ndarray, np.ndarray]:
+    """Edit codes of all pairs, flat, and how many each pair has."""
+    short_ref, short_hyp, head, tail = trim(ref, hyp)
+    n, m = short_ref.lengths, short_hyp.lengths
+    middles: list = [None] * len(n)
+    for rows in groups(np.lexsort((m, n)), (n + 1) * (m.max(initial=0) + 1), _CELL_BUDGET):
+        left, right = short_ref.matrix(rows, -1), short_hyp.matrix(rows, -2)
+        codes = _trace(left, right, n[rows], m[rows])
+        used = codes >= 0
+        cuts = np.cumsum(used.sum(axis=1))[:-1]
+        for row, middle in zip(rows, np.split(codes[used], cuts), strict=True):
+            middles[row] = middle
+    sizes = np.array([x.size for x in middles], dtype=np.int64)
+    total = head + sizes + tail
+    flat = np.zeros(int(total.sum()), dtype=np.int8)
+    first = np.cumsum(total) - total + head
+    inner = np.repeat(first - (np.cumsum(sizes) - sizes), sizes) + np.arange(int(sizes.sum()))
+    if middles:
+        flat[inner] = np.concatenate(middles)
+    return flat, total
+
+
+def _runs(codes: np.ndarray, total: np.ndarray):
+    """(pair, code, first reference word, first hypothesis word, length) of every
+    run of equal edits other than hits."""
+    pair = np.repeat(np.arange(len(total)), total)
+    start = np.ones(len(codes), dtype=bool)
+    start[1:] = (codes[1:] != codes[:-1]) | (pair[1:] != pair[:-1])
+    at = np.flatnonzero(start)
+    length = np.diff(np.append(at, len(codes)))
+    opening = (np.cumsum(total) - total)[pair[at]]
+
+    def used(without):
+        before = np.concatenate([[0], np.cumsum(codes != without)])
+        return before[at] - before[opening]
+
+    keep = codes[at] != _EQUAL
+    columns = (pair[at], codes[at], used(_INSERT), used(_DELETE), length)
+    return zip(*[c[keep].tolist() for c in columns], strict=True)
+
+
+def alignments(references: list[list[str]], hypotheses: list[list[str]]) -> pa.StructArray:
+    """Counts and merged runs of every pair, as the columns of ``ALIGNMENT``."""
+    codes, total = edit_codes(*encode_words([references, hypotheses]))
+    pair = np.repeat(np.arange(len(total)), total)
+    counts = np.bincount(pair * 4 + codes, minlength=len(total) * 4).reshape(-1, 4)
+    texts = {code: ([], []) for code in (_SUBSTITUTE, _DELETE, _INSERT)}
+    sizes = {code: np.zeros(len(total), dtype=np.int32) for code in texts}
+    for k, code, i, j, length in _runs(codes, total):
+        refs, hyps = texts[code]
+        if code != _INSERT:
+            refs.append(" ".join(references[k][i : i + length]))
+        if code != _DELETE:
+            hyps.append(" ".join(hypotheses[k][j : j + length]))
+        sizes[code][k] += 1
+
+    def listed(code, fields):
+        values = [pa.array(v, pa.string()) for v in texts[code] if v or len(fields) == 2]
+        values = values or [pa.array([], pa.string())]
+        runs = pa.StructArray.from_arrays(values, names=fields)
+        offsets = np.concatenate([[0], np.cumsum(sizes[code])]).astype(np.int32)
+        return pa.ListArray.from_arrays(pa.array(offsets), runs)
+
+    words = np.array([len(r) for r in references], dtype=np.int32)
+    numbers = [counts[:, c] for c in (_EQUAL, _SUBSTITUTE, _DELETE, _INSERT)] + [words]
+    return pa.StructArray.from_arrays(
+        [pa.array(x.astype(np.int32)) for x in numbers]
+        + [
+            listed(_SUBSTITUTE, ["reference", "hypothesis"]),
+            listed(_DELETE, ["reference"]),
+            listed(_INSERT, ["hypothesis"]),
+        ],
+        names=ALIGNMENT.names,
+    )
 
 
 @F.arrow_udf(ALIGNMENT)
 def _align(reference: pa.Array, hypothesis: pa.Array) -> pa.Array:
-    texts = list(zip(reference.to_pylist(), hypothesis.to_pylist(), strict=True))
-    known = [k for k, (r, h) in enumerate(texts) if r is not None and h is not None]
-    pairs = [(texts[k][0].split(), texts[k][1].split()) for k in known]
-    rows: list = [None] * len(texts)
-    for k, pair, codes in zip(known, pairs, edit_codes(pairs), strict=True):
-        rows[k] = describe(*pair, codes)
-    return pa.array(rows, type=to_arrow_type(ALIGNMENT))
+    refs, hyps = reference.to_pylist(), hypothesis.to_pylist()
+    unknown = [r is None or h is None for r, h in zip(refs, hyps, strict=True)]
+    aligned = alignments([(t or "").split() for t in refs], [(t or "").split() for t in hyps])
+    columns = [aligned.field(k) for k in range(aligned.type.num_fields)]
+    return pa.StructArray.from_arrays(columns, names=ALIGNMENT.names, mask=pa.array(unknown))
 
 
 def align_words(reference: Column, hypothesis: Column) -> Column:

@@ -12,6 +12,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .sequences import Batch, encode_words, groups, trim
+
 # Elements of one diagonal over a group of pairs: small enough to stay in cache.
 _ROW_BUDGET = 200_000
 
@@ -20,43 +22,24 @@ _RATES = T.StructType(
 )
 
 
-def _trim(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Both sequences without their common prefix and suffix."""
-    limit = min(a.size, b.size)
-    differ = np.flatnonzero(a[:limit] != b[:limit])
-    head = int(differ[0]) if differ.size else limit
-    a, b, limit = a[head:], b[head:], limit - head
-    if limit:
-        differ = np.flatnonzero(a[::-1][:limit] != b[::-1][:limit])
-        tail = int(differ[0]) if differ.size else limit
-        a, b = a[: a.size - tail], b[: b.size - tail]
-    return a, b
-
-
-def _group_distances(pairs: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
-    """Edit distances of pairs padded to common sizes.
+def _group_distances(left: np.ndarray, right: np.ndarray, n: np.ndarray, m: np.ndarray):
+    """Edit distances of padded pairs (one per row).
 
     Cells of one anti-diagonal do not depend on each other, so the table is filled
     diagonal by diagonal, for all pairs at once; index i of a diagonal is the
     number of left elements used.
     """
-    n = np.array([a.size for a, _ in pairs])
-    m = np.array([b.size for _, b in pairs])
-    height, width = int(n.max()), int(m.max())
-    small = all(max(a.max(initial=0), b.max(initial=0)) < 32_000 for a, b in pairs)
-    codes = np.int16 if small else np.int32
-    left = np.full((height, len(pairs)), -1, codes)
-    backwards = np.full((width, len(pairs)), -2, codes)
-    for k, (a, b) in enumerate(pairs):
-        left[: a.size, k] = a
-        backwards[width - b.size :, k] = b[::-1]
+    pairs, height, width = len(n), left.shape[1], right.shape[1]
+    codes = np.int16 if max(left.max(initial=0), right.max(initial=0)) < 32_000 else np.int32
+    left = np.ascontiguousarray(left.T, dtype=codes)
+    backwards = np.ascontiguousarray(right.T[::-1], dtype=codes)
     costs = np.int16 if height + width < 32_000 else np.int32
-    before, above, here = (np.zeros((height + 1, len(pairs)), costs) for _ in range(3))
-    step = np.empty((height, len(pairs)), costs)
-    out = np.zeros(len(pairs), dtype=np.int64)
+    before, above, here = (np.zeros((height + 1, pairs), costs) for _ in range(3))
+    step = np.empty((height, pairs), costs)
+    out = np.zeros(pairs, dtype=np.int64)
     ends = n + m
     finish = set(ends.tolist())
-    for s in range(1, height + width + 1):
+    for s in range(1, int(ends.max(initial=0)) + 1):
         lo, hi = max(1, s - width), min(height, s - 1)
         if lo <= hi:
             cells, diagonal = here[lo : hi + 1], step[lo - 1 : hi]
@@ -77,39 +60,28 @@ def _group_distances(pairs: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
     return out
 
 
-def edit_distances(pairs: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
-    """Levenshtein distance of every pair of integer sequences."""
-    trimmed = [_trim(a, b) for a, b in pairs]
-    order = sorted(range(len(pairs)), key=lambda k: (trimmed[k][0].size, trimmed[k][1].size))
-    out = np.zeros(len(pairs), dtype=np.int64)
-    while order:
-        group, height = [], trimmed[order[-1]][0].size
-        while order and (not group or (len(group) + 1) * (height + 1) <= _ROW_BUDGET):
-            group.append(order.pop())
-        out[group] = _group_distances([trimmed[k] for k in group])
+def edit_distances(a: Batch, b: Batch) -> np.ndarray:
+    """Levenshtein distance of every pair of sequences."""
+    a, b, _, _ = trim(a, b)
+    out = np.zeros(len(a.lengths), dtype=np.int64)
+    order = np.lexsort((b.lengths, a.lengths))
+    for rows in groups(order, a.lengths, _ROW_BUDGET):
+        left, right = a.matrix(rows, -1), b.matrix(rows, -2)
+        out[rows] = _group_distances(left, right, a.lengths[rows], b.lengths[rows])
     return out
 
 
-def _characters(text: str) -> np.ndarray:
-    return np.frombuffer(text.encode("utf-32-le"), dtype=np.int32)
-
-
 @F.arrow_udf(_RATES)
 def _error_rates(reference: pa.Array, hypothesis: pa.Array) -> pa.Array:
-    texts = list(zip(reference.to_pylist(), hypothesis.to_pylist(), strict=True))
-    known = [k for k, (r, h) in enumerate(texts) if r is not None and h is not None]
-    ids: dict[str, int] = {}
-
-    def words(text):
-        return np.array([ids.setdefault(w, len(ids)) for w in text.split()], dtype=np.int32)
-
+    refs, hyps = reference.to_pylist(), hypothesis.to_pylist()
+    known = np.array([r is not None and h is not None for r, h in zip(refs, hyps, strict=True)])
+    refs, hyps = [r or "" for r in refs], [h or "" for h in hyps]
+    word_batches = encode_words([[t.split() for t in refs], [t.split() for t in hyps]])
+    char_batches = [Batch.of_texts(refs), Batch.of_texts(hyps)]
     out = {}
-    for name, encode in (("wer", words), ("cer", _characters)):
-        pairs = [(encode(texts[k][0]), encode(texts[k][1])) for k in known]
-        rates: list = [None] * len(texts)
-        for k, (ref, _), edits in zip(known, pairs, edit_distances(pairs).tolist(), strict=True):
-            rates[k] = edits / ref.size if ref.size else None
-        out[name] = pa.array(rates, pa.float64())
+    for name, (left, right) in (("wer", word_batches), ("cer", char_batches)):
+        rate = edit_distances(left, right) / np.maximum(left.lengths, 1)
+        out[name] = pa.array(rate, pa.float64(), mask=~known | (left.lengths == 0))
     return pa.StructArray.from_arrays(list(out.values()), names=list(out))
 
 
