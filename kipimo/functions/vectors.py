@@ -27,10 +27,11 @@ def cosine(a: Column, b: Column, digits: int | None = 6) -> Column:
 
 
 def softmax(logits: Column) -> Column:
-    exps = let(
-        F.array_max(logits), lambda top: F.transform(logits, lambda x: F.exp(x - top))
-    )
-    return let(exps, lambda e: let(array_sum(e), lambda s: F.transform(e, lambda x: x / s)))
+    def shares(z):
+        exps = let(F.array_max(z), lambda top: F.transform(z, lambda x: F.exp(x - top)))
+        return let(exps, lambda e: let(array_sum(e), lambda s: F.transform(e, lambda x: x / s)))
+
+    return let(logits, shares)
 
 
 def max_probability(p: Column) -> Column:

@@ -119,8 +119,9 @@ def fit_feature_stats(clips: DataFrame, frames: str = "frames") -> DataFrame:
     shuffled; the result has the feature width, whatever the data size.
     """
     return (
-        clips.select(F.explode(frames).alias("f"))
-        .select(F.posexplode("f").alias("i", "x"))
+        clips.select(F.explode_outer(frames).alias("f"))
+        .select(F.posexplode_outer("f").alias("i", "x"))
+        .filter("i is not null")
         .groupBy("i")
         .agg(F.avg(F.col("x").cast("double")).alias("m"), F.stddev_pop(F.col("x").cast("double")).alias("s"))
         .agg(F.array_sort(F.collect_list(F.struct("i", "m", "s"))).alias("a"))
@@ -187,7 +188,8 @@ def array_profile(
     x = F.col("x")
     finite = x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))
     return (
-        vectors.select(F.posexplode(column).alias("i", "v"))
+        vectors.select(F.posexplode_outer(column).alias("i", "v"))
+        .filter("i is not null")
         .select("i", F.col("v").cast("double").alias("x"))
         .withColumn("r", F.explode(F.filter(spans, lambda s: (F.col("i") >= s["a"]) & (F.col("i") < s["b"]))))
         .groupBy("r.range")

@@ -159,16 +159,16 @@ def top_substitutions(aligned: DataFrame, position: list[str], k: int = 10) -> D
     ``position`` are the columns that order utterances.
     """
     runs = aligned.select(
-        "model", *position, F.posexplode("alignment.substitutions").alias("at", "s")
-    )
+        "model", *position, F.posexplode_outer("alignment.substitutions").alias("at", "s")
+    ).filter("at is not null")
     items = runs.select("model", "s.*", F.struct(*position, "at").alias("seen"))
     return _most_common(items, ["reference", "hypothesis"], k)
 
 
 def _words(aligned: DataFrame, field: str, text: str, position: list[str]) -> DataFrame:
     words = F.flatten(F.transform(f"alignment.{field}", lambda r: F.split(r[text], " ")))
-    exploded = aligned.select("model", *position, F.posexplode(words).alias("at", "word"))
-    return exploded.select("model", "word", F.struct(*position, "at").alias("seen"))
+    exploded = aligned.select("model", *position, F.posexplode_outer(words).alias("at", "word"))
+    return exploded.filter("word is not null").select("model", "word", F.struct(*position, "at").alias("seen"))
 
 
 def top_deletions(aligned: DataFrame, position: list[str], k: int = 10) -> DataFrame:

@@ -1,4 +1,9 @@
-"""Reshaping between record form (models map), long form and wide form."""
+"""Reshaping between record form (models map), long form and wide form.
+
+Arrays and maps that come from costly expressions are unfolded with the outer
+generators: a plain explode adds a size filter below itself, which would evaluate
+such an expression a second time.
+"""
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -12,9 +17,8 @@ def cross_models(manifest: DataFrame, models: list[str]) -> DataFrame:
 def melt_models(records: DataFrame, models: str = "models") -> DataFrame:
     """Record form -> one row per (record, model)."""
     keep = [c for c in records.columns if c != models]
-    return records.select(*keep, F.explode(models).alias("model", "_score")).select(
-        *keep, "model", "_score.*"
-    )
+    long = records.select(*keep, F.explode_outer(models).alias("model", "_score"))
+    return long.filter("model is not null").select(*keep, "model", "_score.*")
 
 
 def pivot_models(

@@ -28,13 +28,17 @@ def first_subwords(tokens: Column, word: str = "word_id") -> Column:
 def first_subword_rows(pieces: DataFrame, sentence: list[str], word="word_id", token="token_index"):
     """The same for a table with one row per token.
 
-    Only the smallest index per word is aggregated, which hash-aggregates and
-    combines map-side; the token rows then meet it on the full key, so no word or
-    sentence can become a hot task.
+    Min-by combines map-side, so a word or sentence with very many tokens shuffles
+    one row per task.
     """
-    words = pieces.filter(F.col(word).isNotNull())
-    first = words.groupBy(*sentence, word).agg(F.min(token).alias(token))
-    return words.join(first, [*sentence, word, token], "left_semi")
+    rest = [c for c in pieces.columns if c not in [*sentence, word]]
+    first = F.min_by(F.struct(*rest), F.col(token)).alias("_first")
+    return (
+        pieces.filter(F.col(word).isNotNull())
+        .groupBy(*sentence, word)
+        .agg(first)
+        .select(*sentence, word, "_first.*")
+    )
 
 
 def tag_words(first: DataFrame, labels: list[str], probabilities: str = "p") -> DataFrame:

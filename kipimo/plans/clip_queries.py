@@ -23,7 +23,8 @@ def frame_sums(clips, column="frames", keys=("clip_id",)):
     """One row per output frame with both checksums."""
     frame = F.col("f")
     weighted = F.transform(frame, lambda x, i: x.cast("double") * (i + 1))
-    return clips.select(*keys, F.posexplode(column).alias("k", "f")).select(
+    frames = clips.select(*keys, F.posexplode_outer(column).alias("k", "f"))
+    return frames.filter("f is not null").select(
         *keys,
         F.col("k").cast("long").alias("k"),
         F.round(array_sum(F.transform(frame, lambda x: x.cast("double"))), 5).alias("total"),

@@ -174,7 +174,7 @@ def score_clips(spark, sf_dir):
 )
 def rank_classes(spark, sf_dir):
     ranked = clean_scores(spark, sf_dir).select(
-        "clip_id", F.posexplode("predictions").alias("at", "s")
+        "clip_id", F.posexplode_outer("predictions").alias("at", "s")
     )
     return ranked.select(
         "clip_id",

@@ -66,7 +66,7 @@ _TOKENS = f"""WITH w AS (SELECT doc_id, unnest(string_split({NORM}, ' ')) AS wor
 def first_pieces(spark, sf_dir):
     """doc_id, word_id, piece of every word's first piece."""
     tokens = views.token_arrays(spark, sf_dir)
-    rows = tokens.select("doc_id", F.inline(K.first_subwords(F.col("tokens"))))
+    rows = tokens.select("doc_id", F.inline_outer(K.first_subwords(F.col("tokens"))))
     return rows.filter("piece != ''")
 
 

@@ -8,6 +8,7 @@ all documents, all vectors.
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.columns import let
 from ..functions.layout import TARGET_LENGTH, Layout
 from ..functions.text import normalise_text
 from ..functions.vectors import cosine
@@ -284,7 +285,7 @@ def token_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same in long form: doc_id, token_index, word_id, piece."""
     return (
         token_arrays(spark, sf_dir)
-        .select("doc_id", F.posexplode("tokens").alias("token_index", "t"))
+        .select("doc_id", F.posexplode_outer("tokens").alias("token_index", "t"))
         .select("doc_id", F.col("token_index").cast("long").alias("token_index"), "t.*")
         .filter("piece != ''")
     )
@@ -292,10 +293,12 @@ def token_table(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def tag_logits(piece):
     """Scores of the five tags, from a digest of the piece."""
-    digest = F.md5(piece)
-    return F.array(
-        *[
-            F.conv(F.substring(digest, 2 * k + 1, 2), 16, 10).cast("double") / 64.0
-            for k in range(len(TAGS))
-        ]
+    return let(
+        F.md5(piece),
+        lambda digest: F.array(
+            *[
+                F.conv(F.substring(digest, 2 * k + 1, 2), 16, 10).cast("double") / 64.0
+                for k in range(len(TAGS))
+            ]
+        ),
     )
