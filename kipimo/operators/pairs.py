@@ -55,45 +55,46 @@ def _mean(column, digits=6):
     return F.round(F.avg(column), digits)
 
 
-def similarity_by_category(gaps: DataFrame) -> DataFrame:
+def similarity_by_category(gaps: DataFrame, digits: int = 6, ms_digits: int = 3) -> DataFrame:
     return gaps.groupBy("category").agg(
         F.count("*").alias("count"),
-        _mean("similarity_a").alias("mean_similarity_a"),
-        _mean("similarity_b").alias("mean_similarity_b"),
-        _mean("gap").alias("mean_gap"),
-        _mean("abs_gap").alias("mean_abs_gap"),
-        _mean("latency_a", 3).alias("mean_latency_a"),
-        _mean("latency_b", 3).alias("mean_latency_b"),
+        _mean("similarity_a", digits).alias("mean_similarity_a"),
+        _mean("similarity_b", digits).alias("mean_similarity_b"),
+        _mean("gap", digits).alias("mean_gap"),
+        _mean("abs_gap", digits).alias("mean_abs_gap"),
+        _mean("latency_a", ms_digits).alias("mean_latency_a"),
+        _mean("latency_b", ms_digits).alias("mean_latency_b"),
     )
 
 
-def similarity_global(gaps: DataFrame) -> DataFrame:
+def similarity_global(gaps: DataFrame, digits: int = 6, ms_digits: int = 3) -> DataFrame:
     """One row: means and medians of both models and of the gap."""
-    digits = {"similarity_a": 6, "similarity_b": 6, "latency_a": 3, "latency_b": 3, "gap": 6}
+    places = dict.fromkeys(("similarity_a", "similarity_b", "gap"), digits)
+    places |= dict.fromkeys(("latency_a", "latency_b"), ms_digits)
     means = gaps.agg(
         F.count("*").alias("count"),
-        *[_mean(c, d).alias(f"mean_{c}") for c, d in digits.items()],
-        _mean("abs_gap").alias("mean_abs_gap"),
+        *[_mean(c, d).alias(f"mean_{c}") for c, d in places.items()],
+        _mean("abs_gap", digits).alias("mean_abs_gap"),
     )
-    medians = exact_quantiles(gaps, [], {f"median_{c}": (c, 0.5) for c in digits})
-    rounded = medians.select(*[F.round(f"median_{c}", d).alias(f"median_{c}") for c, d in digits.items()])
+    medians = exact_quantiles(gaps, [], {f"median_{c}": (c, 0.5) for c in places})
+    rounded = medians.select(*[F.round(f"median_{c}", d).alias(f"median_{c}") for c, d in places.items()])
     return with_quantiles(means, rounded, [])
 
 
-def category_stats(records: DataFrame) -> DataFrame:
+def category_stats(records: DataFrame, digits: int = 6) -> DataFrame:
     long = melt_models(records).select("model", "category", "similarity")
     by = ["model", "category"]
     stats = long.groupBy(*by).agg(
         F.count("*").alias("count"),
-        _mean("similarity").alias("mean"),
+        _mean("similarity", digits).alias("mean"),
         F.min("similarity").alias("min"),
         F.max("similarity").alias("max"),
     )
     medians = exact_quantiles(long, by, {"median": ("similarity", 0.5)})
-    return with_quantiles(stats, medians.withColumn("median", F.round("median", 6)), by)
+    return with_quantiles(stats, medians.withColumn("median", F.round("median", digits)), by)
 
 
-def semantic_separation(records: DataFrame) -> DataFrame:
+def semantic_separation(records: DataFrame, digits: int = 6) -> DataFrame:
     """Per model: group counts and means, similar minus unrelated and minus contrast.
 
     Differences are null where a side has no pairs.
@@ -108,30 +109,32 @@ def semantic_separation(records: DataFrame) -> DataFrame:
 
     return long.groupBy("model").agg(
         *[F.count(of(g)).alias(f"{g}_count") for g in groups],
-        *[_mean(of(g)).alias(f"{g}_mean") for g in groups],
-        F.round(F.avg(of("similar")) - F.avg(of("unrelated")), 6).alias("semantic_separation"),
-        F.round(F.avg(of("similar")) - F.avg(of("contrast")), 6).alias("contrast_separation"),
+        *[_mean(of(g), digits).alias(f"{g}_mean") for g in groups],
+        F.round(F.avg(of("similar")) - F.avg(of("unrelated")), digits).alias("semantic_separation"),
+        F.round(F.avg(of("similar")) - F.avg(of("contrast")), digits).alias("contrast_separation"),
     )
 
 
-def score_gap(per_model: DataFrame, scores: list[str], a: str, b: str) -> DataFrame:
+def score_gap(
+    per_model: DataFrame, scores: list[str], a: str, b: str, digits: int = 6
+) -> DataFrame:
     """One row: model a minus model b of already rounded scores."""
 
     def value(model, score):
         return F.max(F.when(F.col("model") == model, F.col(score)))
 
     return per_model.agg(
-        *[F.round(value(a, s) - value(b, s), 6).alias(f"{s}_gap") for s in scores]
+        *[F.round(value(a, s) - value(b, s), digits).alias(f"{s}_gap") for s in scores]
     )
 
 
-def phenomenon_shift(records: DataFrame) -> DataFrame:
+def phenomenon_shift(records: DataFrame, digits: int = 6) -> DataFrame:
     return (
         melt_models(records)
         .groupBy("phenomenon", "model")
         .agg(
             F.count("*").alias("count"),
-            _mean("representational_shift").alias("mean_shift"),
+            _mean("representational_shift", digits).alias("mean_shift"),
             F.round(F.min("representational_shift"), 6).alias("min_shift"),
             F.round(F.max("representational_shift"), 6).alias("max_shift"),
         )
@@ -147,7 +150,7 @@ def _effects(records: DataFrame) -> DataFrame:
     )
 
 
-def sensitivity_score(records: DataFrame) -> DataFrame:
+def sensitivity_score(records: DataFrame, digits: int = 6) -> DataFrame:
     """Per model: mean shift of changing and preserving edits, and the difference."""
     shift = F.col("representational_shift")
     changing = F.when(F.col("effect_group") == "meaning_changing", shift)
@@ -155,9 +158,9 @@ def sensitivity_score(records: DataFrame) -> DataFrame:
     return _effects(records).groupBy("model").agg(
         F.count(changing).alias("changing_count"),
         F.count(preserving).alias("preserving_count"),
-        _mean(changing).alias("changing_mean_shift"),
-        _mean(preserving).alias("preserving_mean_shift"),
-        F.round(F.avg(changing) - F.avg(preserving), 6).alias("sensitivity_score"),
+        _mean(changing, digits).alias("changing_mean_shift"),
+        _mean(preserving, digits).alias("preserving_mean_shift"),
+        F.round(F.avg(changing) - F.avg(preserving), digits).alias("sensitivity_score"),
     )
 
 

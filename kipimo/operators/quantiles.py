@@ -119,4 +119,6 @@ def with_quantiles(summary: DataFrame, quantiles: DataFrame, by: list[str]) -> D
     """Attach quantile columns to an aggregate over the same groups."""
     if not by:
         return summary.crossJoin(F.broadcast(quantiles))
-    return summary.join(quantiles, by, "left")
+    keys = {c: f"_q_{c}" for c in by}
+    same = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(k)) for c, k in keys.items()])
+    return summary.join(quantiles.withColumnsRenamed(keys), same, "left").drop(*keys.values())

@@ -13,6 +13,10 @@ from .stage import staged
 
 A, B = views.ENCODER_A, views.ENCODER_B
 
+# Means of scores that have six places: compared beyond them, where no value can
+# be a tie that the two engines round differently.
+DIGITS = {"digits": 9, "ms_digits": 6}
+
 
 def gaps(spark, sf_dir):
     return P.model_gap(views.scored_pairs(spark, sf_dir), A, B)
@@ -94,15 +98,15 @@ def effect_group(spark, sf_dir):
     return pairs.select("id", "semantic_effect", effect.alias("effect"))
 
 
-_BY_CATEGORY = """SELECT category, count(*) AS count, round(avg(sim_a), 6) AS mean_similarity_a,
-  round(avg(sim_b), 6) AS mean_similarity_b, round(avg(sim_a - sim_b), 6) AS mean_gap,
-  round(avg(abs(sim_a - sim_b)), 6) AS mean_abs_gap, round(avg(ms_a), 3) AS mean_latency_a,
-  round(avg(ms_b), 3) AS mean_latency_b FROM pairs GROUP BY category"""
+_BY_CATEGORY = """SELECT category, count(*) AS count, round(avg(sim_a), 9) AS mean_similarity_a,
+  round(avg(sim_b), 9) AS mean_similarity_b, round(avg(sim_a - sim_b), 9) AS mean_gap,
+  round(avg(abs(sim_a - sim_b)), 9) AS mean_abs_gap, round(avg(ms_a), 6) AS mean_latency_a,
+  round(avg(ms_b), 6) AS mean_latency_b FROM pairs GROUP BY category"""
 
 
 @query("similarity_by_category", with_ctes(_BY_CATEGORY, "pairs"))
 def similarity_by_category(spark, sf_dir):
-    return P.similarity_by_category(gaps(spark, sf_dir))
+    return P.similarity_by_category(gaps(spark, sf_dir), **DIGITS)
 
 
 @query(
@@ -112,33 +116,33 @@ def similarity_by_category(spark, sf_dir):
         + ", ".join(
             f"round(avg({x}), {d}) AS mean_{n}, round(quantile_cont({x}, 0.5), {d}) AS median_{n}"
             for n, x, d in (
-                ("similarity_a", "sim_a", 6),
-                ("similarity_b", "sim_b", 6),
-                ("latency_a", "ms_a", 3),
-                ("latency_b", "ms_b", 3),
-                ("gap", "sim_a - sim_b", 6),
+                ("similarity_a", "sim_a", 9),
+                ("similarity_b", "sim_b", 9),
+                ("latency_a", "ms_a", 6),
+                ("latency_b", "ms_b", 6),
+                ("gap", "sim_a - sim_b", 9),
             )
         )
-        + ", round(avg(abs(sim_a - sim_b)), 6) AS mean_abs_gap FROM pairs",
+        + ", round(avg(abs(sim_a - sim_b)), 9) AS mean_abs_gap FROM pairs",
         "pairs",
     ),
 )
 def similarity_global(spark, sf_dir):
     columns = ["similarity_a", "similarity_b", "latency_a", "latency_b", "gap", "abs_gap"]
-    return P.similarity_global(staged(gaps(spark, sf_dir).select(*columns)))
+    return P.similarity_global(staged(gaps(spark, sf_dir).select(*columns)), **DIGITS)
 
 
 @query(
     "category_stats",
     with_ctes(
-        """SELECT model, category, count(*) AS count, round(avg(similarity), 6) AS mean,
-          round(quantile_cont(similarity, 0.5), 6) AS median, min(similarity) AS min, max(similarity) AS max
+        """SELECT model, category, count(*) AS count, round(avg(similarity), 9) AS mean,
+          round(quantile_cont(similarity, 0.5), 9) AS median, min(similarity) AS min, max(similarity) AS max
         FROM long_pairs GROUP BY model, category""",
         "long_pairs",
     ),
 )
 def category_stats(spark, sf_dir):
-    return P.category_stats(staged(views.scored_pairs(spark, sf_dir).select("category", "models")))
+    return P.category_stats(staged(views.scored_pairs(spark, sf_dir).select("category", "models")), 9)
 
 
 _GROUPS = ("similar", "related", "contrast", "unrelated")
@@ -146,9 +150,9 @@ _SEPARATION = (
     "SELECT model, "
     + ", ".join(f"count(*) FILTER (WHERE g = '{g}') AS {g}_count" for g in _GROUPS)
     + ", "
-    + ", ".join(f"round(avg(similarity) FILTER (WHERE g = '{g}'), 6) AS {g}_mean" for g in _GROUPS)
-    + """, round(avg(similarity) FILTER (WHERE g = 'similar') - avg(similarity) FILTER (WHERE g = 'unrelated'), 6) AS semantic_separation,
-    round(avg(similarity) FILTER (WHERE g = 'similar') - avg(similarity) FILTER (WHERE g = 'contrast'), 6) AS contrast_separation
+    + ", ".join(f"round(avg(similarity) FILTER (WHERE g = '{g}'), 9) AS {g}_mean" for g in _GROUPS)
+    + """, round(avg(similarity) FILTER (WHERE g = 'similar') - avg(similarity) FILTER (WHERE g = 'unrelated'), 9) AS semantic_separation,
+    round(avg(similarity) FILTER (WHERE g = 'similar') - avg(similarity) FILTER (WHERE g = 'contrast'), 9) AS contrast_separation
     FROM (SELECT *, """
     + _RELATION
     + " AS g FROM long_pairs) GROUP BY model"
@@ -157,12 +161,12 @@ _SEPARATION = (
 
 @query("semantic_separation", with_ctes(_SEPARATION, "long_pairs"))
 def semantic_separation(spark, sf_dir):
-    return P.semantic_separation(views.scored_pairs(spark, sf_dir))
+    return P.semantic_separation(views.scored_pairs(spark, sf_dir), 9)
 
 
 def _gap_sql(*scores):
     return ", ".join(
-        f"round(max({s}) FILTER (WHERE model = 'encoder_a') - max({s}) FILTER (WHERE model = 'encoder_b'), 6) AS {s}_gap"
+        f"round(max({s}) FILTER (WHERE model = 'encoder_a') - max({s}) FILTER (WHERE model = 'encoder_b'), 9) AS {s}_gap"
         for s in scores
     )
 
@@ -177,7 +181,7 @@ def _gap_sql(*scores):
 )
 def separation_gap(spark, sf_dir):
     scores = ["semantic_separation", "contrast_separation"]
-    return P.score_gap(semantic_separation(spark, sf_dir), scores, A, B)
+    return P.score_gap(semantic_separation(spark, sf_dir), scores, A, B, 9)
 
 
 @query(
@@ -200,28 +204,28 @@ def combine_categories(spark, sf_dir):
 @query(
     "phenomenon_shift",
     with_ctes(
-        """SELECT phenomenon, model, count(*) AS count, round(avg(shift), 6) AS mean_shift,
+        """SELECT phenomenon, model, count(*) AS count, round(avg(shift), 9) AS mean_shift,
           min(shift) AS min_shift, max(shift) AS max_shift FROM long_pairs GROUP BY phenomenon, model""",
         "long_pairs",
     ),
 )
 def phenomenon_shift(spark, sf_dir):
-    return P.phenomenon_shift(views.scored_stress(spark, sf_dir))
+    return P.phenomenon_shift(views.scored_stress(spark, sf_dir), 9)
 
 
 _EFFECTS = f"SELECT *, {_EFFECT} AS effect_group FROM long_pairs"
 _SENSITIVITY = """SELECT model, count(*) FILTER (WHERE effect_group = 'meaning_changing') AS changing_count,
   count(*) FILTER (WHERE effect_group = 'meaning_preserving') AS preserving_count,
-  round(avg(shift) FILTER (WHERE effect_group = 'meaning_changing'), 6) AS changing_mean_shift,
-  round(avg(shift) FILTER (WHERE effect_group = 'meaning_preserving'), 6) AS preserving_mean_shift,
+  round(avg(shift) FILTER (WHERE effect_group = 'meaning_changing'), 9) AS changing_mean_shift,
+  round(avg(shift) FILTER (WHERE effect_group = 'meaning_preserving'), 9) AS preserving_mean_shift,
   round(avg(shift) FILTER (WHERE effect_group = 'meaning_changing')
-    - avg(shift) FILTER (WHERE effect_group = 'meaning_preserving'), 6) AS sensitivity_score
+    - avg(shift) FILTER (WHERE effect_group = 'meaning_preserving'), 9) AS sensitivity_score
 FROM effects GROUP BY model"""
 
 
 @query("sensitivity_score", with_ctes(_SENSITIVITY, "long_pairs", effects=_EFFECTS))
 def sensitivity_score(spark, sf_dir):
-    return P.sensitivity_score(views.scored_stress(spark, sf_dir))
+    return P.sensitivity_score(views.scored_stress(spark, sf_dir), 9)
 
 
 @query(
@@ -234,7 +238,7 @@ def sensitivity_score(spark, sf_dir):
     ),
 )
 def sensitivity_gap(spark, sf_dir):
-    return P.score_gap(sensitivity_score(spark, sf_dir), ["sensitivity_score"], A, B)
+    return P.score_gap(sensitivity_score(spark, sf_dir), ["sensitivity_score"], A, B, 9)
 
 
 def _failures_sql(group, direction):

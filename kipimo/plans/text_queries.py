@@ -173,8 +173,8 @@ def score_pairs(spark, sf_dir):
             )
         ).alias("m"),
     ).select("text", "m.*")
-    evens = vectors.filter("vec_id % 2 = 0").select((F.col("vec_id") / 2).cast("long").alias("pair_id"))
-    manifest = evens.select(*[c.alias(n) for n, c in views.pair_manifest_columns().items()])
+    ids = vectors.select(F.floor(F.col("vec_id") / 2).alias("pair_id")).distinct()
+    manifest = ids.select(*[c.alias(n) for n, c in views.pair_manifest_columns().items()])
     return score(manifest, encoded).select("id", "category", "model", "similarity")
 
 

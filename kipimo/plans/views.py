@@ -125,7 +125,10 @@ def utterances(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def pair_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Neighbouring vectors side by side: pair_id, a, b."""
+    """Neighbouring vectors side by side: pair_id, a, b.
+
+    Every vector is one side of one pair; parity only tells which side.
+    """
     vectors = table(spark, sf_dir, "embeddings").withColumn(
         "pair_id", F.floor(F.col("vec_id") / 2)
     )
