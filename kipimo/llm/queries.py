@@ -2,9 +2,11 @@
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from ..plans.stage import scratch_path
 from ..plans.views import table
-from . import byte_bpe, quality, token_count
+from . import byte_bpe, language, quality, token_count, token_files, toxicity
 
 QUERIES = {}
 ORACLES = {}
@@ -28,6 +30,12 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 PIECES = public_tokenizers.path("piece_bpe_32k.model")
+WORDS = public_tokenizers.path("word_bpe_49k.json")
+
+
+def fold(n: int):
+    """The fold of a document by the checksum of its id."""
+    return F.crc32(F.col("doc_id").cast("string")) % n
 
 
 @query()
@@ -37,11 +45,34 @@ def op1_byte_bpe(spark, sf_dir):
     return byte_bpe.digests(byte_bpe.decode_ids(encoded, RANKS, pattern))
 
 
+@query()
+def op2_language_id(spark, sf_dir):
+    docs = documents(spark, sf_dir)
+    found = language.identify_languages(docs, fold(3) != 1)
+    return found.select("doc_id", (fold(3) == 1).alias("held_out"), "lang_pred", "score")
+
+
 @query(quality.SQL.format(documents="documents"))
 def op4_quality_rules(spark, sf_dir):
     return quality.quality_rules(documents(spark, sf_dir))
 
 
+@query()
+def op7_token_files(spark, sf_dir):
+    path = scratch_path(spark, "tokens")
+    token_files.write_token_files(documents(spark, sf_dir), path, WORDS, end_id=2)
+    return token_files.checksums(token_files.read_token_files(spark, path))
+
+
 @query()
 def op9_token_counts(spark, sf_dir):
     return token_count.count_tokens(documents(spark, sf_dir), PIECES)
+
+
+@query()
+def op10_toxicity(spark, sf_dir):
+    docs, labels = documents(spark, sf_dir), table(spark, sf_dir, "labels")
+    found = toxicity.score_toxicity(docs, labels, fold(5) != 0)
+    return found.select(
+        "doc_id", (fold(5) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted")
+    )
