@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..plans.stage import scratch_path
 from ..plans.views import table
-from . import byte_bpe, language, quality, token_count, token_files, toxicity
+from . import byte_bpe, language, quality, substring, token_count, token_files, toxicity
 
 QUERIES = {}
 ORACLES = {}
@@ -64,6 +64,12 @@ def op7_token_files(spark, sf_dir):
     return token_files.checksums(token_files.read_token_files(spark, path))
 
 
+@query(substring.SQL.format(documents="documents"))
+def op8_substring_dedup(spark, sf_dir):
+    found = substring.remove_repeats(documents(spark, sf_dir))
+    return found.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 @query()
 def op9_token_counts(spark, sf_dir):
     return token_count.count_tokens(documents(spark, sf_dir), PIECES)
