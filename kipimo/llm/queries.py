@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..plans.stage import scratch_path
 from ..plans.views import table
-from . import byte_bpe, language, quality, substring, token_count, token_files, toxicity
+from . import byte_bpe, jaccard, language, quality, substring, token_count, token_files, toxicity
 
 QUERIES = {}
 ORACLES = {}
@@ -52,6 +52,11 @@ def op2_language_id(spark, sf_dir):
     return found.select("doc_id", (fold(3) == 1).alias("held_out"), "lang_pred", "score")
 
 
+@query(jaccard.SQL.format(documents="documents"))
+def op3_jaccard_join(spark, sf_dir):
+    return jaccard.similar_documents(documents(spark, sf_dir))
+
+
 @query(quality.SQL.format(documents="documents"))
 def op4_quality_rules(spark, sf_dir):
     return quality.quality_rules(documents(spark, sf_dir))
