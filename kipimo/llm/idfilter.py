@@ -14,6 +14,11 @@ def slot(*columns) -> Column:
     return F.pmod(F.xxhash64(*columns), F.lit(PART * PARTS))
 
 
+def slots(keys: np.ndarray) -> np.ndarray:
+    """The bits of keys that are hashes already (``HashFilter``)."""
+    return (keys.view(np.uint64) % np.uint64(PART * PARTS)).astype(np.int64)
+
+
 class IdFilter:
     """Which slots are taken: one megabyte, however many keys there are.
 
@@ -23,7 +28,7 @@ class IdFilter:
     """
 
     def __init__(self, keys: DataFrame, *columns):
-        at = slot(*columns)
+        at = self._slot(*columns)
         rows = (
             keys.select(F.floor(at / PART).cast("int").alias("part"), (at % PART).alias("bit"))
             .groupBy("part")
@@ -33,11 +38,15 @@ class IdFilter:
         table = np.zeros((PARTS, PART // 8), np.uint8)
         for row in rows:
             table[row["part"]] = np.frombuffer(bytes(row["bits"]), np.uint8)
-        self._shared = keys.sparkSession.sparkContext.broadcast(np.unpackbits(table, bitorder="little"))
+        self.shared = keys.sparkSession.sparkContext.broadcast(np.unpackbits(table, bitorder="little"))
+
+    @staticmethod
+    def _slot(*columns) -> Column:
+        return slot(*columns)
 
     def rows(self, df: DataFrame, *columns, found: bool = True) -> DataFrame:
         """The rows of ``df`` whose key's slot is taken, or is not."""
-        shared = self._shared
+        shared = self.shared
         wide = df.withColumn("_slot", slot(*columns))
         at = len(df.columns)
 
@@ -48,3 +57,11 @@ class IdFilter:
                 yield batch.filter(pa.array(keep if found else ~keep)).select(list(range(at)))
 
         return wide.mapInArrow(chosen, df.schema)
+
+
+class HashFilter(IdFilter):
+    """The same for a column of 64-bit hashes, which tasks look up by ``slots``."""
+
+    @staticmethod
+    def _slot(column) -> Column:
+        return F.col(column).bitwiseAND(F.lit(PART * PARTS - 1))

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..plans.stage import scratch_path
 from ..plans.views import table
-from . import byte_bpe, jaccard, language, quality, substring, token_count, token_files, toxicity
+from . import byte_bpe, jaccard, language, lines, quality, substring, token_count, token_files, toxicity
 
 QUERIES = {}
 ORACLES = {}
@@ -62,6 +62,13 @@ def op4_quality_rules(spark, sf_dir):
     return quality.quality_rules(documents(spark, sf_dir))
 
 
+@query(lines.SQL.format(documents="documents"))
+def op6_line_dedup(spark, sf_dir):
+    found = lines.dedup_lines(documents(spark, sf_dir))
+    kept = F.sha2(F.coalesce("kept", F.lit("")), 256)
+    return found.select("doc.doc_id", "n_lines", "n_removed", kept.alias("kept_sha256"))
+
+
 @query()
 def op7_token_files(spark, sf_dir):
     path = scratch_path(spark, "tokens")
