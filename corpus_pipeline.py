@@ -1,17 +1,72 @@
-"""A training-data pipeline over the documents table."""
+"""A training-data pipeline over the documents table.
 
+Each stage takes (spark, docs, sf_dir) and returns the documents it keeps, with the
+columns of ``documents``; the last one returns their token ids.  Rows with one doc_id
+are one document to the stages that drop documents by id.
+"""
+
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from kipimo.llm import byte_bpe, decontamination, jaccard, lines, quality
+from kipimo.llm.idfilter import without
 from kipimo.plans.stage import staged
 
-STAGES = []
+COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
+
+
+def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that pass the rules, of hosts that do."""
+    return quality.keep_good(docs)
+
+
+def without_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without lines that an earlier one has; one that loses all its words goes."""
+    found = lines.dedup_lines(docs)
+    emptied = (F.col("n_removed") > 0) & ~F.col("kept").rlike(r"[^\x20\x09-\x0D]")
+    text = F.when(F.col("n_removed") > 0, F.col("kept")).otherwise(F.col("doc.text"))
+    size = F.when(F.col("n_removed") > 0, F.char_length("kept").cast("long")).otherwise(F.col("doc.n_chars"))
+    return found.filter(~emptied).select(
+        "doc.doc_id", text.alias("text"), "doc.lang", "doc.source", size.alias("n_chars")
+    )
+
+
+def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near duplicates, the document with the smallest id."""
+    groups = staged(jaccard.similar_documents(docs))
+    return without(docs, groups.filter(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id"), "doc_id")
+
+
+def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no benchmark item."""
+    benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    return without(docs, staged(decontamination.contaminated(docs, benchmark).select("doc_id")), "doc_id")
+
+
+def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids of each document, and digests of them and of what they decode to."""
+    ids = byte_bpe.encode_texts(docs, RANKS, public_tokenizers.PATTERN)
+    decoded = byte_bpe.decode_ids(ids, RANKS, public_tokenizers.PATTERN)
+    return byte_bpe.digests(decoded, keep_ids=True)
+
+
+STAGES = [
+    ("quality rules", good_quality),
+    ("line dedup", without_repeated_lines),
+    ("n-gram Jaccard join", one_of_each_group),
+    ("benchmark decontamination", without_benchmark),
+    ("byte-level BPE", encoded),
+]
 
+#: Retrieval and encoding are beyond SQL; the tests compare each stage with a brute-force version.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Apply all stages to the documents, each written and read again."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select(*COLUMNS)
     for _, stage in STAGES:
         docs = staged(stage(spark, docs, sf_dir))
     return docs

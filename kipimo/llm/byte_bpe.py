@@ -194,10 +194,11 @@ def decode_ids(encoded: DataFrame, rank_file: str, pattern: str) -> DataFrame:
     return encoded.select("doc_id", "ids").mapInArrow(decode, f"doc_id {kind}, ids array<int>, bytes binary")
 
 
-def digests(decoded: DataFrame) -> DataFrame:
+def digests(decoded: DataFrame, keep_ids: bool = False) -> DataFrame:
     """n_tokens, and SHA-256 of the ids as text and of the decoded bytes."""
     return decoded.select(
         "doc_id",
+        *(["ids"] if keep_ids else []),
         F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"),
         F.sha2("bytes", 256).alias("decoded_sha256"),

@@ -65,3 +65,14 @@ class HashFilter(IdFilter):
     @staticmethod
     def _slot(column) -> Column:
         return F.col(column).bitwiseAND(F.lit(PART * PARTS - 1))
+
+
+def without(docs: DataFrame, gone: DataFrame, column: str) -> DataFrame:
+    """The rows of ``docs`` whose ``column`` (null included) is not in ``gone``.
+
+    Only rows whose slot is taken go through the join.
+    """
+    listed = IdFilter(gone, column)
+    named = gone.select(F.col(column).alias("_gone")).distinct()
+    stay = listed.rows(docs, column).join(named, F.col(column).eqNullSafe(F.col("_gone")), "left_anti")
+    return listed.rows(docs, column, found=False).unionByName(stay)

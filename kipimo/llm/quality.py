@@ -141,6 +141,28 @@ def quality_rules(
     )
 
 
+def keep_good(
+    docs: DataFrame, text_col: str = "text", host_col: str = "source", max_host_rate: float = MAX_HOST_RATE
+) -> DataFrame:
+    """The rows of ``docs`` that pass, with all their columns.
+
+    Base rules are judged again where the rows lie, so that only hosts are joined.
+    """
+    chosen = docs.select(F.lit(None).cast("long").alias("doc_id"), F.col(host_col).alias("host"), F.col(text_col).alias("text"))
+    counts = chosen.mapInArrow(_counted, "doc_id long, host string, " + ", ".join(f"{c} long" for c in _COUNTS))
+    base = counts.select("host", base_failed().alias("base_failed"))
+    bad = host_rates(staged(base)).filter(F.col("rate") > max_host_rate).select(F.col("host").alias("_bad_host"))
+    at = docs.columns.index(text_col)
+
+    def passing(batches):
+        for batch in batches:
+            counts = base_counts(batch.column(at))
+            n, repeated = counts["n_words"], counts["n_repeat_words"]
+            yield batch.filter(pa.array((n >= MIN_WORDS) & (100 * repeated <= MAX_REPEAT_PERCENT * n)))
+
+    return docs.mapInArrow(passing, docs.schema).join(bad, F.col(host_col) == F.col("_bad_host"), "left_anti")
+
+
 #: Base counts, host rates and verdicts; {documents} is the table's name.
 SQL = """
 WITH toks AS (

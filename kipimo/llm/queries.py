@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..plans.stage import scratch_path
 from ..plans.views import table
-from . import byte_bpe, jaccard, language, lines, quality, substring, token_count, token_files, toxicity
+from . import byte_bpe, decontamination, jaccard, language, lines, quality, substring, token_count, token_files, toxicity
 
 QUERIES = {}
 ORACLES = {}
@@ -62,6 +62,11 @@ def op4_quality_rules(spark, sf_dir):
     return quality.quality_rules(documents(spark, sf_dir))
 
 
+@query()
+def op5_decontamination(spark, sf_dir):
+    return decontamination.contaminated(documents(spark, sf_dir), table(spark, sf_dir, "benchmark"))
+
+
 @query(lines.SQL.format(documents="documents"))
 def op6_line_dedup(spark, sf_dir):
     found = lines.dedup_lines(documents(spark, sf_dir))
