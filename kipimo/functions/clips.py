@@ -138,7 +138,11 @@ def nonzero_tail_count(frames: Column, layout: Layout = FULL_BODY) -> Column:
 
 
 def zscore(frames: Column, mean: Column, std: Column) -> Column:
-    """(x - mean) / std per feature; a std below 1e-8 counts as 1."""
+    """(x - mean) / std per feature; a std below 1e-8 counts as 1.
+
+    Statistics of another width than a frame fail.
+    """
+    wrong = F.raise_error(F.lit("statistics of another width")).cast("array<float>")
     stats = F.zip_with(
         mean.cast("array<double>"),
         std.cast("array<double>"),
@@ -150,9 +154,10 @@ def zscore(frames: Column, mean: Column, std: Column) -> Column:
         stats,
         lambda st: F.transform(
             frames,
-            lambda f: F.zip_with(
-                f, st, lambda x, q: _float((x.cast("double") - q["m"]) / q["s"])
-            ),
+            lambda f: F.when(
+                F.size(f) == F.size(st),
+                F.zip_with(f, st, lambda x, q: _float((x.cast("double") - q["m"]) / q["s"])),
+            ).when(f.isNotNull() & st.isNotNull(), wrong),
         ),
     )
 

@@ -2,6 +2,14 @@
 
 from pyspark.sql import SparkSession
 
+from .text import WHITE_SPACE
+
+
+def _words(text: str) -> str:
+    """SQL for the white-space words of a text."""
+    return f"filter(split({text}, r'{WHITE_SPACE}+'), w -> w <> '')"
+
+
 # Each body is SQL that Spark inlines into the query plan.
 _FUNCTIONS = {
     "norm_text": (
@@ -18,8 +26,7 @@ _FUNCTIONS = {
         "r STRING, h STRING",
         "DOUBLE",
         "get(transform(array(named_struct("
-        "'r', filter(split(trim(r), ' '), w -> w <> ''),"
-        "'h', filter(split(trim(h), ' '), w -> w <> ''))),"
+        f"'r', {_words('r')}, 'h', {_words('h')})),"
         "p -> get(transform(array(array_union(p.r, p.h)), v -> CASE WHEN size(p.r) > 0 THEN"
         " levenshtein("
         "decode(unhex(array_join(transform(p.r, w ->"
@@ -42,9 +49,12 @@ _FUNCTIONS = {
     "zscore": (
         "f ARRAY<FLOAT>, m ARRAY<DOUBLE>, s ARRAY<DOUBLE>",
         "ARRAY<FLOAT>",
-        "zip_with(f, zip_with(m, s, (a, b) -> named_struct('m', a, 's',"
+        "CASE WHEN size(f) = size(m) AND size(f) = size(s) THEN"
+        " zip_with(f, zip_with(m, s, (a, b) -> named_struct('m', a, 's',"
         " CASE WHEN abs(b) < 1e-8D THEN 1D ELSE b END)),"
-        " (x, q) -> CAST((CAST(x AS DOUBLE) - q.m) / q.s AS FLOAT))",
+        " (x, q) -> CAST((CAST(x AS DOUBLE) - q.m) / q.s AS FLOAT))"
+        " WHEN f IS NOT NULL AND m IS NOT NULL AND s IS NOT NULL"
+        " THEN CAST(raise_error('statistics of another width') AS ARRAY<FLOAT>) END",
     ),
     "resample": (
         "f ARRAY<ARRAY<FLOAT>>, n INT",

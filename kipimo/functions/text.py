@@ -11,9 +11,15 @@ KEPT_CHARACTERS = r"\p{L}\p{N}_'\-"
 MIN_TEXT_CHARS = 1
 MAX_TEXT_CHARS = 2000
 
+# The characters that count as white space, ASCII and beyond.
+WHITE_SPACE = (
+    r"[\x09-\x0D\x1C-\x20\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
+)
+
 # One supplementary code point per distinct word, so that a word edit distance
-# is a string edit distance: 1 048 575 distinct words fit in one pair.
+# is a string edit distance; a pair with more distinct words than that fails.
 _FIRST_WORD_CODE = 0x10000
+_MAX_WORDS = 0x10FFFF - _FIRST_WORD_CODE
 
 
 def normalise_text(text: Column) -> Column:
@@ -24,7 +30,7 @@ def normalise_text(text: Column) -> Column:
 
 def split_words(text: Column) -> Column:
     """Whitespace words; an empty or blank text has none."""
-    stripped = F.trim(F.regexp_replace(text, r"\s+", " "))
+    stripped = F.trim(F.regexp_replace(text, f"{WHITE_SPACE}+", " "))
     return F.when(stripped == "", F.array().cast("array<string>")).otherwise(
         F.split(stripped, " ")
     )
@@ -37,7 +43,7 @@ def reject_reason(text: Column) -> Column:
         F.when(text.isNull(), "missing")
         .when(length < MIN_TEXT_CHARS, "empty")
         .when(length > MAX_TEXT_CHARS, "too_long")
-        .when(F.regexp_replace(text, r"\s+", "") == "", "blank")
+        .when(F.regexp_replace(text, f"{WHITE_SPACE}+", "") == "", "blank")
     )
 
 
@@ -60,7 +66,9 @@ def word_edits(reference: Column, hypothesis: Column) -> Column:
         pair,
         lambda p: let(
             F.array_union(p["r"], p["h"]),
-            lambda v: F.levenshtein(_coded(p["r"], v), _coded(p["h"], v)),
+            lambda v: F.when(
+                F.size(v) <= _MAX_WORDS, F.levenshtein(_coded(p["r"], v), _coded(p["h"], v))
+            ).otherwise(F.raise_error(F.lit("too many distinct words in one pair")).cast("int")),
         ),
     )
 

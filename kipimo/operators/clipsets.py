@@ -1,5 +1,8 @@
 """Datasets of clips: assembly from frames, statistics, audits."""
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -7,25 +10,20 @@ from ..functions import clips as C
 from ..functions.columns import safe_rate, usable_fps
 from ..functions.layout import FULL_BODY, MISSING_ATOL, TARGET_LENGTH, Layout
 from .quantiles import exact_quantiles, with_quantiles
-
-BLOCK_FRAMES = 4096
+from .tables import listed, one_row
 
 
 def frames_to_clips(
-    frames: DataFrame,
-    keys: list[str],
-    index: str = "frame_index",
-    vector: str = "x",
-    block_frames: int = BLOCK_FRAMES,
+    frames: DataFrame, keys: list[str], index: str = "frame_index", vector: str = "x"
 ) -> DataFrame:
-    """Frame table -> clip rows (``frames`` ordered by index, plus ``block``).
+    """Frame table -> clip rows (``frames`` ordered by index).
 
-    A recording longer than ``block_frames`` comes back as several rows, so no
-    task ever collects an unbounded group; ordinary clips have block 0 only.  To
-    resample recordings of any length use :func:`resample_frames`.
+    One key is one clip, which is one row and has to fit into a task.  Recordings of
+    any length are better kept as frames: :func:`resample_frames` brings them to clip
+    length first, and counts and statistics need no clips at all.
     """
     return (
-        frames.groupBy(*keys, F.floor(F.col(index) / block_frames).alias("block"))
+        frames.groupBy(*keys)
         .agg(F.array_sort(F.collect_list(F.struct(F.col(index).alias("i"), F.col(vector).alias("x")))).alias("f"))
         .withColumn("frames", F.transform("f", lambda s: s["x"]))
         .drop("f")
@@ -47,7 +45,10 @@ def resample_frames(
     recording may hold most of the table without any task seeing all of it.
     """
     window = 2 * n
-    lengths = frames.groupBy(*keys).agg((F.max(index) + 1).alias("_t"))
+    gap = F.raise_error(F.lit("frame indices must run from 0 without a gap")).cast("long")
+    last = F.max(index).cast("long")
+    whole = (F.count(index) == last + 1) & (F.min(index) == 0)
+    lengths = frames.groupBy(*keys).agg(F.when(whole, last + 1).otherwise(gap).alias("_t"))
     step = F.col("_k") * (F.col("_t") - 1)
     asked = (
         lengths.filter(F.col("_t") > window)
@@ -61,9 +62,12 @@ def resample_frames(
     )
     late = frames.filter(F.col(index) >= window).join(asked, [*keys, index], "left_semi")
     picked = frames.filter(F.col(index) < window).unionByName(late)
-    whole = picked.groupBy(*keys).agg(
+    collected = picked.groupBy(*keys).agg(
         F.array_sort(F.collect_list(F.struct(F.col(index).alias("i"), F.col(vector).alias("x")))).alias("f"),
     )
+    checked = lengths.select(*[F.col(k).alias(f"_k_{k}") for k in keys], "_t")
+    same = reduce(and_, [F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in keys])
+    whole = collected.join(checked, same).filter("_t > 0").select(*keys, "f")
 
     def frame(k):
         last = F.element_at("at", -1)
@@ -133,8 +137,11 @@ def fit_feature_stats(clips: DataFrame, frames: str = "frames") -> DataFrame:
 
 
 def join_feature_stats(clips: DataFrame, stats: DataFrame) -> DataFrame:
-    """Every clip with the one-row statistics table (feature width only)."""
-    return clips.crossJoin(F.broadcast(stats.select("mean", "std").limit(1)))
+    """Every clip with the one-row statistics table (feature width only).
+
+    Fails unless ``stats`` has exactly one row.
+    """
+    return clips.crossJoin(F.broadcast(one_row(stats.select("mean", "std"), "feature statistics")))
 
 
 def class_counts(clips: DataFrame, by=("split", "label")) -> DataFrame:
@@ -217,11 +224,10 @@ def valid_clips(clips: DataFrame, width: int, length: int | None = None) -> Data
 def first_per_class(clips: DataFrame, labels: list[str]) -> DataFrame:
     """First file by name of every listed label, in one aggregate row unfolded.
 
-    A label without files fails.
+    A label without files fails, and so does a label that is not listed.
     """
-    firsts = clips.agg(
-        *[F.min(F.when(F.col("label") == x, F.col("file"))).alias(x) for x in labels]
-    )
+    label = listed(F.col("label"), labels)
+    firsts = clips.agg(*[F.min(F.when(label == x, F.col("file"))).alias(x) for x in labels])
     cells = F.array(
         *[F.struct(F.lit(x).alias("label"), F.col(f"`{x}`").alias("file")) for x in labels]
     )

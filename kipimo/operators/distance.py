@@ -71,18 +71,41 @@ def edit_distances(a: Batch, b: Batch) -> np.ndarray:
     return out
 
 
+def _texts(reference: pa.Array, hypothesis: pa.Array):
+    refs, hyps = reference.to_pylist(), hypothesis.to_pylist()
+    known = np.array([r is not None and h is not None for r, h in zip(refs, hyps, strict=True)], bool)
+    return known, [r or "" for r in refs], [h or "" for h in hyps]
+
+
+def _rate(known: np.ndarray, left: Batch, right: Batch) -> pa.Array:
+    rate = edit_distances(left, right) / np.maximum(left.lengths, 1)
+    return pa.array(rate, pa.float64(), mask=~known | (left.lengths == 0))
+
+
+def _word_rate(known, refs, hyps) -> pa.Array:
+    return _rate(known, *encode_words([[t.split() for t in refs], [t.split() for t in hyps]]))
+
+
+def _char_rate(known, refs, hyps) -> pa.Array:
+    return _rate(known, Batch.of_texts(refs), Batch.of_texts(hyps))
+
+
 @F.arrow_udf(_RATES)
 def _error_rates(reference: pa.Array, hypothesis: pa.Array) -> pa.Array:
-    refs, hyps = reference.to_pylist(), hypothesis.to_pylist()
-    known = np.array([r is not None and h is not None for r, h in zip(refs, hyps, strict=True)])
-    refs, hyps = [r or "" for r in refs], [h or "" for h in hyps]
-    word_batches = encode_words([[t.split() for t in refs], [t.split() for t in hyps]])
-    char_batches = [Batch.of_texts(refs), Batch.of_texts(hyps)]
-    out = {}
-    for name, (left, right) in (("wer", word_batches), ("cer", char_batches)):
-        rate = edit_distances(left, right) / np.maximum(left.lengths, 1)
-        out[name] = pa.array(rate, pa.float64(), mask=~known | (left.lengths == 0))
-    return pa.StructArray.from_arrays(list(out.values()), names=list(out))
+    given = _texts(reference, hypothesis)
+    return pa.StructArray.from_arrays([_word_rate(*given), _char_rate(*given)], names=["wer", "cer"])
+
+
+@F.arrow_udf(T.DoubleType())
+def batch_word_error_rate(reference: pa.Array, hypothesis: pa.Array) -> pa.Array:
+    """The word error rate of two normalised texts alone."""
+    return _word_rate(*_texts(reference, hypothesis))
+
+
+@F.arrow_udf(T.DoubleType())
+def batch_char_error_rate(reference: pa.Array, hypothesis: pa.Array) -> pa.Array:
+    """The character error rate of two normalised texts alone."""
+    return _char_rate(*_texts(reference, hypothesis))
 
 
 def error_rates(reference: Column, hypothesis: Column) -> Column:

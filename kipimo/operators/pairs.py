@@ -212,13 +212,14 @@ def score_pairs(pairs: DataFrame, vectors: DataFrame, cosine_digits: int = 6) ->
 
     Each side is looked up by text; a text used by very many pairs is a skewed
     key that AQE splits, and vectors are joined after cutting them to the columns
-    needed.
+    needed.  A pair whose text has no vector stays, with a null similarity (and a
+    null model if that is the first text).
     """
     from ..functions.vectors import cosine
 
     side_a = vectors.select("model", F.col("text").alias("text_a"), F.col("vector").alias("va"))
     side_b = vectors.select("model", F.col("text").alias("text_b"), F.col("vector").alias("vb"))
-    joined = pairs.join(side_a, "text_a").join(side_b, ["model", "text_b"])
+    joined = pairs.join(side_a, "text_a", "left").join(side_b, ["model", "text_b"], "left")
     return joined.withColumn(
         "similarity", cosine(F.col("va"), F.col("vb"), cosine_digits)
     ).drop("va", "vb")

@@ -1,23 +1,19 @@
 """Exact quantiles without a per-group value map.
 
-``percentile`` keeps every distinct value of a group in one task.  Here the first
-pass only counts values per coarse bucket; the bucket holding a wanted rank is
-then known exactly, and the second pass sorts that bucket's distinct values
-alone.  Both passes pre-aggregate before their shuffle, so a group holding most
-rows costs no more than its buckets.
+``percentile`` keeps every distinct value of a group in one task.  Here equal values
+are counted first (pre-aggregated before the shuffle), and the counts, one row per
+group and distinct value, are dealt out by range of (group, value) and written once.
+Sums per range then tell which range holds a wanted rank, and only that one is sorted
+by value.  Ranges follow the data, so neither a group with most rows nor values that
+pile up at one end give any task more than its share of distinct values.
 """
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-_BUCKETS_PER_UNIT = 4096
-
-
-def _bucket(value: Column) -> Column:
-    """Order-preserving bucket: fine near zero, logarithmic for large values."""
-    return F.floor(F.signum(value) * F.log1p(F.abs(value)) * _BUCKETS_PER_UNIT)
+from ..plans.stage import staged
 
 
 def exact_quantiles(
@@ -26,7 +22,7 @@ def exact_quantiles(
     """One row per group with ``wanted`` = {output: (column, probability)}.
 
     Linear interpolation between the two neighbouring ranks; nulls are skipped.
-    The input is read twice: pass something cheap, or materialised.
+    The input is read once.
     """
     columns = list(dict.fromkeys(column for column, _ in wanted.values()))
     values = (
@@ -43,13 +39,18 @@ def exact_quantiles(
         )
         .select(*by, "_x.*")
         .filter("_v is not null")
-        .withColumn("_bucket", _bucket(F.col("_v")))
     )
     group = [*by, "_name"]
+    counted = staged(
+        values.groupBy(*group, "_v")
+        .agg(F.count("*").alias("_c"))
+        .repartitionByRange(*group, "_v")
+        .withColumn("_bucket", F.spark_partition_id())
+    )
     running = Window.partitionBy(*group).orderBy("_bucket")
     buckets = (
-        values.groupBy(*group, "_bucket")
-        .agg(F.count("*").alias("_in"))
+        counted.groupBy(*group, "_bucket")  # one row per range and group
+        .agg(F.sum("_c").alias("_in"))
         .withColumn("_upto", F.sum("_in").over(running))
         .withColumn("_n", F.sum("_in").over(Window.partitionBy(*group)))
     )
@@ -77,9 +78,7 @@ def exact_quantiles(
     ]
     inside = Window.partitionBy(*group, "_bucket").orderBy("_v")
     hit = (
-        values.join(targets, reduce(lambda a, b: a & b, same))
-        .groupBy(*group, "_bucket", "_v", "_before", "_n")
-        .agg(F.count("*").alias("_c"))
+        counted.join(targets, reduce(lambda a, b: a & b, same))
         .withColumn("_to", F.col("_before") + F.sum("_c").over(inside))
         .withColumn("_from", F.col("_to") - F.col("_c"))
         .withColumn(

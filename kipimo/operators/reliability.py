@@ -9,7 +9,7 @@ from ..functions.layout import FULL_BODY, TARGET_LENGTH, Layout
 from .clipsets import join_feature_stats
 from .prepare import prepare_source
 from .quantiles import exact_quantiles, with_quantiles
-from .tables import grid
+from .tables import grid, listed, one_row
 
 _UNCERTAINTY = {
     "median_max_probability": ("max_probability", 0.5),
@@ -89,10 +89,13 @@ def clip_accuracy(scored: DataFrame, by: str = "method") -> DataFrame:
 
 
 def per_class_accuracy(scored: DataFrame, labels: list[str], by: str = "condition") -> DataFrame:
-    """Condition x label counts; every listed label appears, accuracy 0.0 if empty."""
+    """Condition x label counts; every listed label appears, accuracy 0.0 if empty.
+
+    A label that is not listed fails.
+    """
 
     def cell(label):
-        mine = F.col("label") == label
+        mine = listed(F.col("label"), labels) == label
         return F.struct(
             F.count_if(mine & F.col("correct")).alias("correct"), F.count_if(mine).alias("total")
         ).alias(label)
@@ -104,8 +107,14 @@ def per_class_accuracy(scored: DataFrame, labels: list[str], by: str = "conditio
 
 
 def error_rows(scored: DataFrame, columns: list[str]) -> DataFrame:
-    """Misclassified clips."""
-    return scored.filter(~F.col("correct")).select(*columns)
+    """Misclassified clips.
+
+    Unfolded from an array that only a wrong row fills: a filter would be pushed below
+    the preparation and scoring of ``scored`` and run both a second time.
+    """
+    row = F.struct(F.lit(True).alias("_wrong"), *columns)
+    wrong = scored.select(F.inline_outer(F.when(~F.col("correct"), F.array(row))))
+    return wrong.filter("_wrong").drop("_wrong")
 
 
 def rank_methods(summary: DataFrame, order=("method",)) -> DataFrame:
@@ -146,13 +155,14 @@ def id_thresholds(scored: DataFrame, clean: str = "clean_id") -> DataFrame:
 
 
 def join_thresholds(scored: DataFrame, thresholds: DataFrame) -> DataFrame:
-    """Adds ``rejected``; the threshold table is a single row."""
+    """Adds ``rejected``; fails unless the threshold table has exactly one row."""
     rejected = (
         (F.col("max_probability") < F.col("max_probability_lower"))
         | (F.col("margin") < F.col("margin_lower"))
         | (F.col("normalized_entropy") > F.col("entropy_upper"))
     )
-    return scored.crossJoin(F.broadcast(thresholds)).withColumn("rejected", rejected)
+    limits = F.broadcast(one_row(thresholds, "thresholds"))
+    return scored.crossJoin(limits).withColumn("rejected", rejected)
 
 
 def rejection_rate(scored: DataFrame, thresholds: DataFrame) -> DataFrame:

@@ -19,6 +19,9 @@ def score_clips(
 ) -> DataFrame:
     """Adds ``p`` (class probabilities), in model class order.
 
+    A clip that is null or empty is scored as zeros, which every model takes, and gets
+    a null ``p``: one unusable file does not end the job.
+
     ``make_predict_fn`` is called once per Python worker and returns a function
     from a (batch, length, width) array to a (batch, classes) array.
 
@@ -32,8 +35,11 @@ def score_clips(
         input_tensor_shapes=[[length, width]],
     )
     flat = clips.withColumn("_flat", F.flatten(frames))
-    tensor = F.when(F.col("_flat").isNotNull(), F.col("_flat"))
-    scored = flat.withColumn("p", predict(tensor).cast("array<double>")).drop("_flat")
+    usable = F.size("_flat") > 0
+    blank = F.array_repeat(F.lit(0.0).cast("float"), length * width)
+    tensor = F.when(usable, F.col("_flat")).otherwise(blank)
+    scored = flat.withColumn("p", predict(tensor).cast("array<double>"))
+    scored = scored.withColumn("p", F.when(usable, F.col("p"))).drop("_flat")
     return scored.withColumn("labels", labels_column(labels))
 
 
@@ -42,7 +48,7 @@ def labels_column(labels: list[str]) -> Column:
 
 
 def with_metrics(scored: DataFrame, label: str | None = "label") -> DataFrame:
-    """Prediction metrics of rows with ``p`` and ``labels``."""
+    """Prediction metrics of rows with ``p`` and ``labels``; null where ``p`` is."""
     p = F.col("p")
     out = (
         scored.withColumn("predictions", V.rank_classes(p, F.col("labels")))
@@ -54,7 +60,8 @@ def with_metrics(scored: DataFrame, label: str | None = "label") -> DataFrame:
     if label is None:
         return out
     return out.withColumn("correct", F.col("predicted") == F.col(label)).withColumn(
-        "true_probability", V.probability_of(F.col("predictions"), F.col(label))
+        "true_probability",
+        F.when(p.isNotNull(), V.probability_of(F.col("predictions"), F.col(label))),
     )
 
 

@@ -5,8 +5,8 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import realtime_factor, safe_rate
 from ..functions.text import normalise_text
-from .distance import error_rates
-from .tables import grid, pivot_models, top_per_group
+from .distance import batch_char_error_rate, error_rates
+from .tables import grid, listed, pivot_models, top_per_group
 
 _ERRORS = {
     "substitutions": "substitutions_count",
@@ -35,6 +35,17 @@ def score_utterances(df: DataFrame, digits: int | None = None) -> DataFrame:
     return rates.drop("_rates")
 
 
+def score_aligned(aligned: DataFrame) -> DataFrame:
+    """Adds ``wer`` and ``cer`` to aligned utterances.
+
+    The word rate is read off the alignment, so only characters are compared anew.
+    """
+    edits = sum((F.col("alignment")[c] for c in _ERRORS.values()), F.lit(0))
+    words = F.col("alignment")["reference_word_count"]
+    chars = batch_char_error_rate(F.col("reference"), F.col("hypothesis"))
+    return aligned.withColumn("wer", F.when(words > 0, edits / words)).withColumn("cer", chars)
+
+
 def _rtf_of_means():
     return F.round(
         realtime_factor(F.avg("inference_time_ms") / 1000.0, F.avg("duration_seconds")), 6
@@ -130,14 +141,14 @@ def error_totals(aligned: DataFrame) -> DataFrame:
 
 
 def error_by_category(aligned: DataFrame, models: list[str]) -> DataFrame:
-    """Category x model counts and corpus rate; every listed model appears.
+    """Category x model counts and corpus rate; every listed model appears, others fail.
 
     One aggregation with a column set per model, then unfolded: no second pass
     over the alignments and no join for the empty cells.
     """
     wide = aligned.groupBy("category").agg(
         *[
-            F.struct(*[v.alias(k) for k, v in _error_sums(F.col("model") == m).items()]).alias(m)
+            F.struct(*[v.alias(k) for k, v in _error_sums(listed(F.col("model"), models) == m).items()]).alias(m)
             for m in models
         ]
     )

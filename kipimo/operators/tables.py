@@ -21,16 +21,61 @@ def melt_models(records: DataFrame, models: str = "models") -> DataFrame:
     return long.filter("model is not null").select(*keep, "model", "_score.*")
 
 
+def one_row(df: DataFrame, what: str) -> DataFrame:
+    """The row of a table that has to have exactly one; fails at run time otherwise."""
+    wrong = F.raise_error(F.lit(f"{what}: exactly one row is needed"))
+    row = F.first(F.struct(*df.columns))
+    return df.agg(F.count(F.lit(1)).alias("_n"), row.alias("_row")).select(
+        F.when(F.col("_n") == 1, F.col("_row")).otherwise(wrong).alias("_row")
+    ).select("_row.*")
+
+
+def listed(name: Column, names: list[str]) -> Column:
+    """``name`` itself; fails at run time where it is none of ``names``."""
+    wrong = F.raise_error(F.concat(F.lit("not a listed name: "), F.coalesce(name, F.lit("null"))))
+    return F.when(name.isin(*names), name).otherwise(wrong.cast("string"))
+
+
+def exclude_leaked(rows: DataFrame, held_out: DataFrame, content: str = "content") -> DataFrame:
+    """Rows whose content is not among the held-out ones, compared by SHA-256.
+
+    An anti-join on the digest of equal content; null content is never excluded.
+    """
+    digest = F.sha2(F.col(content).cast("binary"), 256)
+    leaked = held_out.select(digest.alias("_leaked")).filter("_leaked is not null").distinct()
+    return rows.join(leaked, digest == F.col("_leaked"), "left_anti")
+
+
+def leaked_counts(rows: DataFrame, held_out: DataFrame, content: str = "content") -> DataFrame:
+    """One row: rows, rows whose content is held out, and distinct contents among those."""
+    digest = F.sha2(F.col(content).cast("binary"), 256)
+    leaked = held_out.select(digest.alias("_leaked")).filter("_leaked is not null").distinct()
+    # counted per content first, so that a content with most rows is one row per task
+    counted = rows.groupBy(digest.alias("_digest")).agg(F.count(F.lit(1)).alias("_n"))
+    marked = counted.join(leaked, F.col("_digest") == F.col("_leaked"), "left")
+    hit = F.col("_leaked").isNotNull()
+    total = lambda c: F.coalesce(F.sum(c), F.lit(0)).cast("long")
+    return marked.agg(
+        total(F.col("_n")).alias("rows"),
+        total(F.when(hit, F.col("_n"))).alias("leaked_rows"),
+        F.count_if(hit).alias("leaked_contents"),
+    )
+
+
 def pivot_models(
     long: DataFrame, keys: list[str], values: list[str], models: list[str]
 ) -> DataFrame:
-    """Long form -> one row per key with ``<value>_<model>`` columns."""
+    """Long form -> one row per key with ``<value>_<model>`` columns.
+
+    A model that is not listed fails.
+    """
+    model = listed(F.col("model"), models)
     picks = [
-        F.max(F.when(F.col("model") == m, F.col(v))).alias(f"{v}_{m}")
+        F.max(F.when(model == m, F.col(v))).alias(f"{v}_{m}")
         for m in models
         for v in values
     ]
-    return long.filter(F.col("model").isin(models)).groupBy(*keys).agg(*picks)
+    return long.groupBy(*keys).agg(*picks)
 
 
 def score_of(model: str, field: str) -> Column:

@@ -14,7 +14,6 @@ from ..operators import prepare as A
 from . import views
 from .oracle import padded, resampled, standardised, with_ctes
 from .registry import query
-from .stage import staged
 
 LAYOUT = views.LAYOUT
 
@@ -353,7 +352,7 @@ def clip_checks(spark, sf_dir):
 )
 def dataset_audit(spark, sf_dir):
     lengths = native(spark, sf_dir).select("split", F.size("frames").alias("length"))
-    audit = L.length_summary(staged(lengths))
+    audit = L.length_summary(lengths)
     ends = [F.col(c).cast("long").alias(c) for c in ("min_length", "max_length")]
     return audit.select("split", "clips", *ends, "mean_length", "median_length")
 

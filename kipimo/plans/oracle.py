@@ -3,10 +3,11 @@
 NORM = r"trim(regexp_replace(lower(text), '[^\p{L}\p{N}_''\-]+', ' ', 'g'))"
 
 _SCORES = """
-    round(list_sum(list_transform(range(1, {w} + 1), lambda i: a[i]::DOUBLE * b[i]::DOUBLE))
-      / greatest(sqrt(list_sum(list_transform(a[1:{w}], lambda x: x::DOUBLE * x::DOUBLE)))
-               * sqrt(list_sum(list_transform(b[1:{w}], lambda x: x::DOUBLE * x::DOUBLE))), 1e-8), 6)
+    round(list_sum(list_transform(range(1, {w} + 1), lambda i: {a}[i]::DOUBLE * {b}[i]::DOUBLE))
+      / greatest(sqrt(list_sum(list_transform({a}, lambda x: x::DOUBLE * x::DOUBLE)))
+               * sqrt(list_sum(list_transform({b}, lambda x: x::DOUBLE * x::DOUBLE))), 1e-8), 6)
 """
+_FOLDED = "list_transform(range(1, 33), lambda i: {0}.embedding[i] + {0}.embedding[i + 32])"
 
 # name -> (names it needs, SQL)
 CTES = {
@@ -95,10 +96,12 @@ CTES = {
       ['meaning_change', 'temporal_change', 'participant_change', 'meaning_preserving',
        'approximately_meaning_preserving'][pair_id % 5 + 1] AS semantic_effect,
       'v' || (2 * pair_id) AS text_a, 'v' || (2 * pair_id + 1) AS text_b,
-      {_SCORES.format(w=64)} AS sim_a, {_SCORES.format(w=32)} AS sim_b,
+      {_SCORES.format(w=64, a="a", b="b")} AS sim_a, {_SCORES.format(w=32, a="fa", b="fb")} AS sim_b,
       (20 + pair_id % 7)::DOUBLE AS ms_a, (15 + pair_id % 11)::DOUBLE AS ms_b, a, b
-    FROM (SELECT x.vec_id // 2 AS pair_id, x.embedding AS a, y.embedding AS b
-      FROM embeddings x JOIN embeddings y ON y.vec_id = x.vec_id + 1 WHERE x.vec_id % 2 = 0)""",
+    FROM (SELECT coalesce(x.vec_id, y.vec_id) // 2 AS pair_id, x.embedding AS a, y.embedding AS b,
+        {_FOLDED.format("x")} AS fa, {_FOLDED.format("y")} AS fb
+      FROM (SELECT * FROM embeddings WHERE vec_id % 2 = 0) x
+      FULL JOIN (SELECT * FROM embeddings WHERE vec_id % 2 = 1) y ON y.vec_id = x.vec_id + 1)""",
     ),
     "long_pairs": (
         ("pairs",),
@@ -111,7 +114,8 @@ CTES = {
       vec_id % 60 - CASE WHEN vec_id % 60 < 16 THEN 0 WHEN vec_id % 60 < 36 THEN 16 ELSE 36 END AS i,
       CASE WHEN vec_id % 60 < 16 THEN 30.0 ELSE 25.0 END AS fps,
       list_transform(range(0, 63), lambda d: CASE WHEN d >= 21 AND d < 42 AND vec_id % 4 = 0 THEN 0.0
-        WHEN d < 3 AND vec_id % 7 = 0 THEN 0.0 ELSE embedding[d + 1]::DOUBLE END) AS x
+        WHEN d < 3 AND vec_id % 7 = 0 THEN 0.0
+        WHEN d = 62 THEN (embedding[63] + embedding[64])::DOUBLE ELSE embedding[d + 1]::DOUBLE END) AS x
     FROM embeddings""",
     ),
     "lengths": (("frames",), "SELECT clip_id, count(*) AS t FROM frames GROUP BY clip_id"),

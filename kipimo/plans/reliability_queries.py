@@ -15,7 +15,7 @@ from .registry import query
 from .stage import staged
 
 LAYOUT = views.LAYOUT
-KEYS = ["label", "file"]
+KEYS = ["split", "label", "file"]
 
 # ---- oracle text ---------------------------------------------------------------------
 
@@ -143,7 +143,8 @@ def method_scores(spark, sf_dir):
             for n, m in C.METHODS.items()
         ]
     )
-    many = clips.withColumn("_c", F.explode(cells)).drop("frames").select("*", "_c.*").drop("_c")
+    counted = clips.withColumn("raw_frames", F.size("frames"))
+    many = counted.withColumn("_c", F.explode(cells)).drop("frames").select("*", "_c.*").drop("_c")
     prepared = prepare_source(F.col("frames"), F.col("mean"), F.col("std"), LAYOUT)
     ready = L.join_feature_stats(many, stats).withColumn("prepared", prepared)
     return views.scored(ready.drop("frames", "mean", "std"))
@@ -297,7 +298,7 @@ def join_clean_baseline(spark, sf_dir):
       round(quantile_cont(normalized_entropy, 0.95), 6) AS p95_normalized_entropy FROM scored GROUP BY condition"""),
 )
 def uncertainty_summary(spark, sf_dir):
-    return Q.uncertainty_summary(staged(metrics(spark, sf_dir)))
+    return Q.uncertainty_summary(metrics(spark, sf_dir))
 
 
 def metrics(spark, sf_dir):
@@ -318,7 +319,7 @@ _LIMITS = ["max_probability_lower", "margin_lower", "entropy_upper"]
     ),
 )
 def id_thresholds(spark, sf_dir):
-    return Q.id_thresholds(staged(metrics(spark, sf_dir))).select(*_r(*_LIMITS))
+    return Q.id_thresholds(metrics(spark, sf_dir)).select(*_r(*_LIMITS))
 
 
 _REJECTED = """SELECT *, max_probability < max_probability_lower OR margin < margin_lower
@@ -391,17 +392,21 @@ def rank_methods(spark, sf_dir):
 @query(
     "error_rows",
     _methods("""SELECT condition AS method, clip_id, label AS expected, predicted, round(max_probability, 6) AS probability
-      FROM scored WHERE NOT correct"""),
+        , file, t AS raw_frames, round(p[1], 6) AS p0, round(p[2], 6) AS p1, round(p[3], 6) AS p2, round(p[4], 6) AS p3
+      FROM scored JOIN lengths USING (clip_id) WHERE NOT correct"""),
 )
 def error_rows(spark, sf_dir):
-    columns = ["method", "clip_id", "label", "predicted", "max_probability"]
+    columns = ["method", "clip_id", "label", "file", "raw_frames", "predicted", "max_probability", "p"]
     wrong = Q.error_rows(method_scores(spark, sf_dir), columns)
     return wrong.select(
         "method",
         "clip_id",
         F.col("label").alias("expected"),
+        "file",
+        F.col("raw_frames").cast("long").alias("raw_frames"),
         "predicted",
         F.round("max_probability", 6).alias("probability"),
+        *[F.round(F.get("p", F.lit(k)), 6).alias(f"p{k}") for k in range(4)],
     )
 
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..operators import speech as S
+from ..operators import tables
 from ..sources import readers, writers
 from ..streaming.scoring import score_stream as run_stream
 from . import views
@@ -117,6 +118,37 @@ def read_clips(spark, sf_dir):
     return frame_sums(clips.filter("reason is null"), keys=("split", "label", "file"))
 
 
+_HELD_OUT = "src0"
+
+
+@query(
+    "exclude_leaked",
+    f"""SELECT doc_id FROM documents d WHERE source <> '{_HELD_OUT}'
+      AND NOT EXISTS (SELECT 1 FROM documents h WHERE h.source = '{_HELD_OUT}' AND h.text = d.text)""",
+)
+def exclude_leaked(spark, sf_dir):
+    """Documents of the other sources whose text is not also in the held-out source."""
+    rest, held_out = _by_source(spark, sf_dir)
+    return tables.exclude_leaked(rest, held_out, "text").select("doc_id")
+
+
+@query(
+    "leaked_counts",
+    f"""SELECT count(*) AS rows, count(*) FILTER (WHERE leaked) AS leaked_rows,
+      count(DISTINCT text) FILTER (WHERE leaked) AS leaked_contents
+    FROM (SELECT text, text IN (SELECT text FROM documents WHERE source = '{_HELD_OUT}') AS leaked
+      FROM documents WHERE source <> '{_HELD_OUT}')""",
+)
+def leaked_counts(spark, sf_dir):
+    return tables.leaked_counts(*_by_source(spark, sf_dir), "text")
+
+
+def _by_source(spark, sf_dir):
+    documents = views.table(spark, sf_dir, "documents")
+    held_out = F.col("source") == _HELD_OUT
+    return documents.filter(~held_out), documents.filter(held_out)
+
+
 @query(
     "list_assets",
     """SELECT '/media/' || source || '/' || doc_id || ['.mp4', '.MOV', '.m4v', '.Avi', '.txt', ''][doc_id % 6 + 1] AS path,

@@ -7,6 +7,7 @@ from ..functions.text import char_error_rate, word_error_rate
 from ..operators import charts
 from ..operators import speech as S
 from ..operators.align import with_alignment
+from ..operators.distance import batch_char_error_rate, batch_word_error_rate
 from ..operators.tables import cross_models
 from . import views
 from .oracle import with_ctes
@@ -24,20 +25,20 @@ def aligned(spark, sf_dir):
     return with_alignment(views.utterances(spark, sf_dir))
 
 
-def _rate_query(name, column):
+def _rate_query(name, column, rate_of):
     @query(
         name,
         with_ctes(f"SELECT doc_id, seg, model, round({column}, 9) AS {column} FROM scored_utt", "scored_utt"),
     )
     def run(spark, sf_dir):
-        rate = F.round(column, 9).alias(column)
-        return scored(spark, sf_dir).select(*KEYS, "model", rate)
+        rate = F.round(rate_of(F.col("reference"), F.col("hypothesis")), 9).alias(column)
+        return views.utterances(spark, sf_dir).select(*KEYS, "model", rate)
 
     return run
 
 
-_rate_query("word_error_rate", "wer")
-_rate_query("char_error_rate", "cer")
+_rate_query("word_error_rate", "wer", batch_word_error_rate)
+_rate_query("char_error_rate", "cer", batch_char_error_rate)
 
 
 @query(
@@ -251,7 +252,7 @@ FROM aligned GROUP BY model"""
 
 
 def aligned_and_scored(spark, sf_dir):
-    return with_alignment(scored(spark, sf_dir))
+    return S.score_aligned(aligned(spark, sf_dir))
 
 
 @query("error_totals", with_ctes(_TOTALS, "aligned"))

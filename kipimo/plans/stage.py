@@ -1,30 +1,45 @@
 """Session settings and fault-tolerant staging of intermediate tables."""
 
+import re
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+PARTITIONS = "spark.kipimo.partitions"
+_local: dict[str, str] = {}
+
 
 def shared_folder(spark: SparkSession) -> str:
-    """The cluster's shared folder, as the session names it.
+    """The cluster's shared folder, as ``spark.checkpoint.dir`` names it.
 
-    Only a local session without one gets a temporary folder of its own.
+    Only where one JVM is driver and executors alike (``local`` masters, as in tests)
+    does a session without one get a temporary folder; any other is refused.
     """
-    named = spark.conf.get("spark.checkpoint.dir", None)
     context = spark.sparkContext
-    folder = named or context.getCheckpointDir()
+    folder = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if folder is None:
-        if not context.master.startswith("local"):
+        if not re.fullmatch(r"local(\[.*\])?", context.master):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        folder = tempfile.mkdtemp(prefix="spark-")
-        context.setCheckpointDir(folder)
+        folder = _local.setdefault(context.applicationId, "") or tempfile.mkdtemp(prefix="spark-")
+        _local[context.applicationId] = folder
     return folder
 
 
+def _own_folder(spark: SparkSession) -> str:
+    return f"{shared_folder(spark).rstrip('/')}/kipimo-{spark.sparkContext.applicationId}"
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A new path below the shared folder."""
-    return f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    """A new path below the application's folder in the shared one."""
+    return f"{_own_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def clear_staged(spark: SparkSession) -> bool:
+    """Remove everything that this application has staged; nothing may read it any more."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_own_folder(spark))
+    files = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return files.delete(path, True)
 
 
 def staged(df: DataFrame) -> DataFrame:
@@ -39,10 +54,11 @@ def staged(df: DataFrame) -> DataFrame:
 
 
 def widened(df: DataFrame) -> DataFrame:
-    """Spread a compact input over all cores before work that multiplies it.
+    """Spread a compact input before work that multiplies it, if the session asks for it.
 
-    One Parquet row group is one task, however much work each row brings.  A large
-    input has more splits than the cluster has cores and is left as it is.
+    One Parquet row group is one task, however much work each row brings.  Set
+    ``spark.kipimo.partitions`` to deal the rows out over that many tasks; unset (large
+    inputs have splits enough) the scan's own splits are kept.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    wanted = df.sparkSession.conf.get(PARTITIONS, None)
+    return df.repartition(int(wanted)) if wanted else df

@@ -24,9 +24,9 @@ def normalise_text(spark, sf_dir):
 
 @query(
     "split_words",
-    """SELECT doc_id, len(list_filter(string_split_regex(text, '[\\s]+'), lambda w: w <> '')) AS words,
-      list_filter(string_split_regex(text, '[\\s]+'), lambda w: w <> '')[1] AS first_word,
-      list_filter(string_split_regex(text, '[\\s]+'), lambda w: w <> '')[-1] AS last_word FROM documents""",
+    f"""SELECT doc_id, len(list_filter(string_split_regex(text, '{X.WHITE_SPACE}+'), lambda w: w <> '')) AS words,
+      list_filter(string_split_regex(text, '{X.WHITE_SPACE}+'), lambda w: w <> '')[1] AS first_word,
+      list_filter(string_split_regex(text, '{X.WHITE_SPACE}+'), lambda w: w <> '')[-1] AS last_word FROM documents""",
 )
 def split_words(spark, sf_dir):
     docs = widened(views.table(spark, sf_dir, "documents").select("doc_id", "text"))
@@ -41,9 +41,9 @@ def split_words(spark, sf_dir):
 
 @query(
     "validate_text",
-    """SELECT coalesce(reason, 'accepted') AS outcome, count(*) AS n, sum(length(text))::BIGINT AS chars
+    f"""SELECT coalesce(reason, 'accepted') AS outcome, count(*) AS n, sum(length(text))::BIGINT AS chars
     FROM (SELECT text, CASE WHEN text IS NULL THEN 'missing' WHEN length(text) < 1 THEN 'empty'
-      WHEN length(text) > 2000 THEN 'too_long' WHEN regexp_replace(text, '\\s+', '', 'g') = '' THEN 'blank' END AS reason
+      WHEN length(text) > 2000 THEN 'too_long' WHEN regexp_replace(text, '{X.WHITE_SPACE}+', '', 'g') = '' THEN 'blank' END AS reason
       FROM (SELECT text FROM documents UNION ALL SELECT text FROM conversations)) GROUP BY 1""",
 )
 def validate_text(spark, sf_dir):
@@ -144,7 +144,7 @@ def cosine_pair(spark, sf_dir):
     return views.pair_vectors(spark, sf_dir).select(
         "pair_id",
         V.cosine(a, b).alias("similarity_a"),
-        V.cosine(F.slice(a, 1, 32), F.slice(b, 1, 32)).alias("similarity_b"),
+        V.cosine(views.folded("a"), views.folded("b")).alias("similarity_b"),
     )
 
 
@@ -168,7 +168,7 @@ def score_pairs(spark, sf_dir):
                 F.struct(F.lit(views.ENCODER_A).alias("model"), F.col("embedding").alias("vector")),
                 F.struct(
                     F.lit(views.ENCODER_B).alias("model"),
-                    F.slice("embedding", 1, 32).alias("vector"),
+                    views.folded("embedding").alias("vector"),
                 ),
             )
         ).alias("m"),

@@ -127,7 +127,8 @@ def utterances(spark: SparkSession, sf_dir: str) -> DataFrame:
 def pair_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Neighbouring vectors side by side: pair_id, a, b.
 
-    Every vector is one side of one pair; parity only tells which side.
+    Every vector is one side of one pair; parity only tells which side.  A vector
+    without a neighbour stays, with a null other side.
     """
     vectors = table(spark, sf_dir, "embeddings").withColumn(
         "pair_id", F.floor(F.col("vec_id") / 2)
@@ -135,14 +136,19 @@ def pair_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     even = F.col("vec_id") % 2 == 0
     left = vectors.filter(even).select("pair_id", F.col("embedding").alias("a"))
     right = vectors.filter(~even).select("pair_id", F.col("embedding").alias("b"))
-    return left.join(right, "pair_id")
+    return left.join(right, "pair_id", "full")
+
+
+def folded(vector: str):
+    """The second encoder's vector: each value added to the one half the width on."""
+    return F.zip_with(F.slice(vector, 1, 32), F.slice(vector, 33, 32), lambda x, y: x + y)
 
 
 def _scores(with_shift: bool):
-    """models map of both encoders: all 64 dimensions, and the first 32."""
+    """models map of both encoders: 64 dimensions, and 32 that fold all of them."""
     sides = {
         ENCODER_A: (F.col("a"), F.col("b"), F.lit(20.0) + F.col("pair_id") % 7, 64),
-        ENCODER_B: (F.slice("a", 1, 32), F.slice("b", 1, 32), F.lit(15.0) + F.col("pair_id") % 11, 32),
+        ENCODER_B: (folded("a"), folded("b"), F.lit(15.0) + F.col("pair_id") % 11, 32),
     }
     cells = []
     for name, (a, b, ms, width) in sides.items():
@@ -189,7 +195,10 @@ def scored_stress(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def frame_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every vector as one landmark frame; runs of 16, 20 and 24 make up the clips."""
+    """Every vector as one landmark frame; runs of 16, 20 and 24 make up the clips.
+
+    A frame has 63 values: the last two of a vector add up to its last one.
+    """
     at = F.col("vec_id") % 60
     part = F.when(at < 16, 0).when(at < 36, 1).otherwise(2)
     first = F.when(at < 16, 0).when(at < 36, 16).otherwise(36)
@@ -198,7 +207,8 @@ def frame_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     def value(v, i):
         left = (i >= LAYOUT.pose_width) & (i < LAYOUT.pose_width + LAYOUT.hand_width)
         return (
-            F.when(left & (F.col("vec_id") % 4 == 0), F.lit(0.0).cast("float"))
+            F.when(i == LAYOUT.width - 1, v + F.get("embedding", F.lit(LAYOUT.width)))
+            .when(left & (F.col("vec_id") % 4 == 0), F.lit(0.0).cast("float"))
             .when((i < 3) & (F.col("vec_id") % 7 == 0), F.lit(0.0).cast("float"))
             .otherwise(v)
         )
@@ -225,7 +235,7 @@ def native_clips(spark: SparkSession, sf_dir: str) -> DataFrame:
     """clip_id, frames (T x 63), label, split, file."""
     from ..operators.clipsets import frames_to_clips
 
-    return _clip_names(frames_to_clips(frame_table(spark, sf_dir), ["clip_id"]).drop("block"))
+    return _clip_names(frames_to_clips(frame_table(spark, sf_dir), ["clip_id"]))
 
 
 def source_clips(spark: SparkSession, sf_dir: str) -> DataFrame:

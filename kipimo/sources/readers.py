@@ -1,7 +1,7 @@
 """Readers for manifests, stored results, clip directories and media listings.
 
-JSON arrays (one document per file) need ``multi_line=True`` and are read one
-file per task; JSON Lines is the splittable form for large tables.
+The default is JSON Lines, which Spark splits.  Files that hold one JSON document need
+``multi_line=True`` and are read by one task each.
 """
 
 import io
@@ -15,19 +15,21 @@ from ..schemas import CLIP, MANIFESTS, RECORDS
 # Media suffixes that count as video assets.
 VIDEO_SUFFIXES = ("mp4", "mov", "m4v", "avi")
 
+_SLICE_BYTES = 8 << 20
 
-def read_pairs(spark: SparkSession, path, kind: str = "pairs", multi_line: bool = True) -> DataFrame:
+
+def read_pairs(spark: SparkSession, path, kind: str = "pairs", multi_line: bool = False) -> DataFrame:
     """Pair (``kind="pairs"``) or stress (``kind="stress"``) manifest."""
     reader = spark.read.schema(MANIFESTS[kind]).option("multiLine", multi_line)
     return reader.option("mode", "FAILFAST").json(path)
 
 
-def read_speech_manifest(spark: SparkSession, path, multi_line: bool = True) -> DataFrame:
+def read_speech_manifest(spark: SparkSession, path, multi_line: bool = False) -> DataFrame:
     return read_pairs(spark, path, "speech", multi_line)
 
 
 def read_result_records(
-    spark: SparkSession, path, kind: str = "pairs", multi_line: bool = True
+    spark: SparkSession, path, kind: str = "pairs", multi_line: bool = False
 ) -> DataFrame:
     """``{"records": [...]}`` result files -> one row per record (``models`` map).
 
@@ -49,12 +51,19 @@ def read_clips(spark: SparkSession, path, width: int = 126, strict: bool = True)
     return decode_clips(files, width, strict)
 
 
+def _by_bytes(batch):
+    """Consecutive rows of a batch with about ``_SLICE_BYTES`` of content each."""
+    at = (batch["content"].str.len().cumsum() - 1) // _SLICE_BYTES
+    return (part for _, part in batch.groupby(at, sort=False))
+
+
 def decode_clips(files: DataFrame, width: int = 126, strict: bool = True) -> DataFrame:
     """(path, content) of ``.npy`` files -> split, label, file, frames, reason.
 
-    Decoding is per file inside the task.  A clip that is not a finite T x
-    ``width`` matrix fails the read, or with ``strict=False`` comes back with its
-    reason and no frames.
+    Decoding is per file inside the task, in slices of about ``_SLICE_BYTES`` of
+    content, so that a worker holds few decoded clips at a time.  A clip that is not
+    a finite T x ``width`` matrix fails the read, or with ``strict=False`` comes back
+    with its reason and no frames.
     """
     schema = T.StructType(
         [
@@ -67,7 +76,7 @@ def decode_clips(files: DataFrame, width: int = 126, strict: bool = True) -> Dat
     def decode(batches):
         import numpy as np
 
-        for batch in batches:
+        for batch in (part for whole in batches for part in _by_bytes(whole)):
             frames, reasons = [], []
             for content in batch["content"]:
                 array = np.load(io.BytesIO(content), allow_pickle=False)

@@ -91,8 +91,8 @@ def test_resampling_long_recordings_from_frames(spark, sources, n):
 def test_frames_to_clips_splits_long_recordings(spark):
     rows = [(0, i, [float(i)]) for i in range(10)]
     frames = spark.createDataFrame(rows, "clip_id long, frame_index long, x array<float>")
-    blocks = clipsets.frames_to_clips(frames, ["clip_id"], block_frames=4).orderBy("block").collect()
-    assert [[f[0] for f in b["frames"]] for b in blocks] == [[0, 1, 2, 3], [4, 5, 6, 7], [8, 9]]
+    clip = clipsets.frames_to_clips(frames, ["clip_id"]).collect()
+    assert [[f[0] for f in c["frames"]] for c in clip] == [list(range(10))]
 
 
 def _stats(spark, layout, seed=1):
@@ -242,7 +242,7 @@ def test_first_per_class_needs_every_label(spark):
     df = spark.createDataFrame([("x", "b"), ("x", "a"), ("y", "c")], "label string, file string")
     assert {tuple(r) for r in clipsets.first_per_class(df, ["x", "y"]).collect()} == {("x", "a"), ("y", "c")}
     with pytest.raises(Exception, match="no files for class z"):
-        clipsets.first_per_class(df, ["x", "z"]).collect()
+        clipsets.first_per_class(df, ["x", "y", "z"]).collect()
 
 
 def test_registry_refuses_a_second_registration():
@@ -250,3 +250,38 @@ def test_registry_refuses_a_second_registration():
     D.register_condition(registry, "same", lambda f, k: f)
     with pytest.raises(ValueError, match="already registered"):
         D.register_condition(registry, "same", lambda f, k: f)
+
+
+def test_a_long_recording_is_one_clip(spark):
+    frames = spark.range(5000).selectExpr("1 AS clip_id", "id AS frame_index", "array(CAST(id AS FLOAT)) AS x")
+    clips = clipsets.frames_to_clips(frames, ["clip_id"])
+    assert [len(r.frames) for r in clips.collect()] == [5000]
+    assert clips.select(C.interpolate_linear(F.col("frames"), 3)).first()[0] == [[0.0], [2499.5], [4999.0]]
+    resampled = clipsets.resample_frames(frames, ["clip_id"], n=3).first()
+    assert resampled.frames == [[0.0], [2499.5], [4999.0]]
+
+
+def test_gaps_widths_and_row_counts_fail(spark):
+    frames = spark.createDataFrame([(1, i, [float(i)]) for i in range(10) if i != 4], "k int, frame_index long, x array<float>")
+    with pytest.raises(Exception, match="without a gap"):
+        clipsets.resample_frames(frames, ["k"], n=4).collect()
+    clip = spark.createDataFrame([([[1.0, 2.0]],)], "frames array<array<float>>")
+    one = spark.createDataFrame([([0.0], [1.0])], "mean array<double>, std array<double>")
+    with pytest.raises(Exception, match="another width"):
+        ready = clipsets.join_feature_stats(clip, one)
+        ready.select(C.zscore(F.col("frames"), F.col("mean"), F.col("std"))).collect()
+    for wrong in (one.union(one), one.limit(0)):
+        with pytest.raises(Exception, match="exactly one row"):
+            clipsets.join_feature_stats(clip, wrong).collect()
+
+
+def test_unlisted_names_fail(spark):
+    from kipimo.operators.tables import pivot_models
+
+    long = spark.createDataFrame([(1, "a", 1.0), (1, "b", 2.0)], "k int, model string, v double")
+    assert pivot_models(long, ["k"], ["v"], ["a", "b"]).first().v_b == 2.0
+    with pytest.raises(Exception, match="not a listed name"):
+        pivot_models(long, ["k"], ["v"], ["a"]).collect()
+    files = spark.createDataFrame([("x", "f"), ("y", "g")], "label string, file string")
+    with pytest.raises(Exception, match="not a listed name"):
+        clipsets.first_per_class(files, ["x"]).collect()

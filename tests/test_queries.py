@@ -9,6 +9,7 @@ import pytest
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 import __spark_entry__ as entry_module  # noqa: E402
+from kipimo.plans import registry  # noqa: E402
 
 TABLES = "documents embeddings events conversations benchmark labels pages".split()
 
@@ -31,7 +32,7 @@ def _sorted(rows):
     return sorted(rows, key=lambda r: [(x is None, str(x)) for x in r])
 
 
-@pytest.mark.parametrize("name", sorted(entry_module.queries()))
+@pytest.mark.parametrize("name", sorted(registry.QUERIES))
 def test_query_matches_sql(spark, data, database, name):
     df = entry_module.queries()[name](spark, data)
     columns = sorted(df.columns)
@@ -49,14 +50,17 @@ def test_flagship(spark):
 
 
 def test_every_query_has_sql():
-    assert set(entry_module.queries()) == set(entry_module.oracle_sql())
+    assert set(registry.QUERIES) == set(registry.ORACLES)
+    assert set(registry.QUERIES) <= set(entry_module.queries())
 
 
 def test_udfs_run_once(spark, data):
     """Unfolding an alignment must not evaluate the UDF again for a size filter."""
-    for name in ("top_substitutions", "top_deletions", "align_runs"):
+    expected = {"top_substitutions": 1, "top_deletions": 1, "align_runs": 1, "word_error_rate": 1}
+    expected |= {"clip_accuracy": 2, "error_rows": 2, "error_totals": 1}
+    for name, nodes in expected.items():
         plan = entry_module.queries()[name](spark, data)._jdf.queryExecution().executedPlan().toString()
-        assert plan.count("ArrowEvalPython") == 1
+        assert plan.split("Initial Plan")[-1].count("ArrowEvalPython") == nodes, name
 
 
 def test_top_k_is_pruned_before_the_shuffle(spark, data):

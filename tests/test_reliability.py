@@ -169,3 +169,27 @@ def test_scoring_with_a_column_prepared_clip(spark):
     out = {r["clip_id"]: r for r in scored.select("clip_id", "p", "predicted", "correct").collect()}
     assert out[0]["predicted"] == "b" and out[4]["predicted"] == "a" and out[4]["correct"]
     assert out[1]["p"] == pytest.approx([0.5, 0.5])
+
+
+def test_unusable_clips_are_not_scored(spark):
+    from kipimo.operators.scoring import late_weighted_scorer, score_clips, with_metrics
+
+    rows = [(1, [[1.0, 0.0]] * 2, "a"), (2, None, "a"), (3, [], "b"), (4, [[0.0, 1.0]] * 2, "b")]
+    clips = spark.createDataFrame(rows, "id int, prepared array<array<float>>, label string")
+    make = late_weighted_scorer(2, 2, [[0], [1]])
+    found = {r.id: r for r in with_metrics(score_clips(clips, make, ["a", "b"], 2, 2)).collect()}
+    assert found[1].predicted == "a" and found[4].predicted == "b"
+    for k in (2, 3):
+        assert found[k].p is None and found[k].max_probability is None and found[k].margin is None
+
+
+def test_quantiles_of_piled_up_values(spark):
+    from kipimo.operators.quantiles import exact_quantiles
+
+    rng = np.random.default_rng(2)
+    values = 1 - rng.random(3000) * 1e-9
+    df = spark.createDataFrame([(i % 3, float(v)) for i, v in enumerate(values)], "g long, v double")
+    found = {r.g: r for r in exact_quantiles(df, ["g"], {"low": ("v", 0.05), "mid": ("v", 0.5)}).collect()}
+    for g in range(3):
+        assert found[g].low == np.quantile(values[g::3], 0.05) or abs(found[g].low - np.quantile(values[g::3], 0.05)) < 1e-15
+        assert abs(found[g].mid - np.quantile(values[g::3], 0.5)) < 1e-15

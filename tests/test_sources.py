@@ -20,7 +20,7 @@ def _dump(path, content):
 def test_manifests(spark, tmp_path):
     pair = {"id": "p", "category": "c", "text_a": "é", "text_b": "b", "expected_relation": "similar"}
     path = _dump(tmp_path / "pairs.json", [pair, pair | {"id": "q"}])
-    rows = readers.read_pairs(spark, path).collect()
+    rows = readers.read_pairs(spark, path, multi_line=True).collect()
     assert [r.asDict() for r in rows] == [pair, pair | {"id": "q"}]
     speech = {"id": "s", "category": "c", "audio": "a.wav", "reference": "r"}
     lines = tmp_path / "speech.jsonl"
@@ -32,7 +32,7 @@ def test_result_records(spark, tmp_path):
     score = {"similarity": 0.5, "inference_time_ms": 1.0, "embedding_dimension": 8, "device": "cpu"}
     record = {"id": "p", "category": "c", "models": {"org/model-a": score, "org/model-b": score}}
     path = _dump(tmp_path / "r.json", {"experiment": "x", "records": [record, record]})
-    rows = readers.read_result_records(spark, path).collect()
+    rows = readers.read_result_records(spark, path, multi_line=True).collect()
     assert len(rows) == 2 and rows[0]["models"]["org/model-b"]["embedding_dimension"] == 8
     with pytest.raises(Exception, match="PATH_NOT_FOUND"):
         readers.read_result_records(spark, str(tmp_path / "absent.json"))
@@ -117,5 +117,26 @@ def test_staging(spark):
 
 
 def test_compact_inputs_are_widened(spark):
-    assert stage.widened(spark.range(10).coalesce(1)).rdd.getNumPartitions() == 4
-    assert stage.widened(spark.range(10).repartition(9)).rdd.getNumPartitions() == 9
+    assert stage.widened(spark.range(10).coalesce(1)).rdd.getNumPartitions() == 1
+    spark.conf.set(stage.PARTITIONS, "5")
+    try:
+        assert stage.widened(spark.range(10).coalesce(1)).rdd.getNumPartitions() == 5
+    finally:
+        spark.conf.unset(stage.PARTITIONS)
+
+
+def test_staged_tables_can_be_cleared(spark):
+    kept = stage.staged(spark.range(3))
+    assert kept.count() == 3
+    assert stage.clear_staged(spark)
+    assert stage.staged(spark.range(2)).count() == 2
+
+
+def test_leaked_content(spark):
+    from kipimo.operators.tables import exclude_leaked, leaked_counts
+
+    rows = spark.createDataFrame([(1, "a"), (2, "b"), (3, None), (4, "a"), (5, "c")], "id long, content string")
+    other = spark.createDataFrame([("a",), ("a",), (None,), ("z",)], "content string")
+    assert sorted(r.id for r in exclude_leaked(rows, other).collect()) == [2, 3, 5]
+    assert tuple(leaked_counts(rows, other).first()) == (5, 2, 1)
+    assert tuple(leaked_counts(rows.limit(0), other).first()) == (0, 0, 0)

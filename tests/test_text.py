@@ -95,3 +95,40 @@ def test_sql_names(spark):
     assert (row["n"], row["w"], row["e"], row["c"]) == ("ça va", 0.5, None, pytest.approx(1 / 3))
     assert (row["h"], row["m"]) == (pytest.approx(1.0), pytest.approx(0.5))
     assert row["z"] == [1.0, 0.0] and row["r"] == [[0.0], [0.5], [1.0], [1.5], [2.0]]
+
+
+def test_white_space_beyond_ascii(spark):
+    rows = [("a\u00a0b\u2003c",), ("\u00a0\u0085",), ("a\tb c",), ("\x1fa\u3000",)]
+    df = spark.createDataFrame(rows, "t string")
+    found = df.select(X.split_words(F.col("t")), X.reject_reason(F.col("t"))).collect()
+    assert [r[0] for r in found] == [["a", "b", "c"], [], ["a", "b", "c"], ["a"]]
+    assert [r[1] for r in found] == [None, "blank", None, None]
+
+
+def test_sql_names_equal_columns(spark):
+    from kipimo.functions import clips, vectors
+    from kipimo.functions.sql import register_sql_functions
+
+    register_sql_functions(spark)
+    rows = [("a\tb c", "a b c"), ("x\u00a0y", "x z"), ("", "a"), ("a a b", ""), (None, "a")]
+    df = spark.createDataFrame(rows, "r string, h string")
+    pairs = {
+        "norm_text(r)": X.normalise_text(F.col("r")),
+        "wer(r, h)": X.word_error_rate(F.col("r"), F.col("h")),
+        "cer(r, h)": X.char_error_rate(F.col("r"), F.col("h")),
+    }
+    for sql, column in pairs.items():
+        for row in df.select(F.expr(sql).alias("a"), column.alias("b")).collect():
+            assert row.a == row.b, sql
+    p = spark.createDataFrame([([0.5, 0.25, 0.25],), ([1.0, 0.0],), ([0.1, 0.9],)], "p array<double>")
+    for sql, column in {"margin(p)": vectors.prediction_margin, "norm_entropy(p)": vectors.normalized_entropy}.items():
+        for row in p.select(F.expr(sql).alias("a"), column(F.col("p")).alias("b")).collect():
+            assert abs(row.a - row.b) < 1e-12, sql
+    f = spark.createDataFrame([([[1.0, 2.0], [3.0, 5.0]], [0.5, 1.0], [2.0, 0.0])], "f array<array<float>>, m array<double>, s array<double>")
+    row = f.select(
+        F.expr("zscore(f[1], m, s)").alias("a"),
+        F.get(clips.zscore(F.col("f"), F.col("m"), F.col("s")), F.lit(1)).alias("b"),
+        F.expr("resample(f, 5)").alias("c"),
+        clips.interpolate_linear(F.col("f"), 5).alias("d"),
+    ).first()
+    assert row.a == row.b and row.c == row.d
