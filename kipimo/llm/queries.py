@@ -78,7 +78,7 @@ def op6_line_dedup(spark, sf_dir):
 def op7_token_files(spark, sf_dir):
     path = scratch_path(spark, "tokens")
     token_files.write_token_files(documents(spark, sf_dir), path, WORDS, end_id=2)
-    return token_files.checksums(token_files.read_token_files(spark, path))
+    return token_files.file_checksums(spark, path)
 
 
 @query(substring.SQL.format(documents="documents"))

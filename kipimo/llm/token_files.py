@@ -23,7 +23,6 @@ other columns are not read.
 
 import zlib
 from functools import lru_cache
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -34,20 +33,17 @@ from pyspark.sql import functions as F
 from .textblock import filled
 
 BLOCK = 1024
-FRAME_IDS = 1 << 17
-KEPT = 400_000
+FRAME_IDS = 1 << 15
+KEPT = 600_000
 #: Fixed by the format: values per word by selector; their bits are 60 // values.
 VALUES = np.array([1, 60, 30, 20, 15, 12, 10, 8, 7, 6, 5, 4, 3, 2, 1], np.int64)
 BITS = 60 // VALUES
 _U = np.uint64
 
 
-def _blocks(values: np.ndarray) -> np.ndarray:
-    """Values as rows of one block each, the last one filled with zeros."""
-    n = -(-len(values) // BLOCK)
-    out = np.zeros((n, BLOCK), _U)
-    out.ravel()[: len(values)] = values
-    return out
+def _widths(values: np.ndarray) -> np.ndarray:
+    """Bits that each value needs; above 53 bits perhaps one more than it does."""
+    return np.frexp(values.astype(np.float64))[1].astype(np.uint8)
 
 
 def pack(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -55,48 +51,47 @@ def pack(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     values = np.asarray(values, _U)
     if not len(values):
         return np.zeros(0, _U), np.zeros(0, np.int64)
-    rows = _blocks(values)
-    n, reach = len(rows), int(VALUES[1:].max())
-    padded = np.zeros((n, BLOCK + reach), _U)
-    padded[:, :BLOCK] = rows
-    chosen = np.zeros((n, BLOCK), np.int8)  # the escape, until a selector fits
-    widest, span = rows.copy(), 1
+    n, reach = -(-len(values) // BLOCK), int(VALUES[1:].max())
+    padded = np.zeros((n, BLOCK + reach), _U)  # zeros behind each block
+    whole = len(values) // BLOCK
+    padded[:whole, :BLOCK] = values[: whole * BLOCK].reshape(whole, BLOCK)
+    if whole < n:
+        padded[whole, : len(values) - whole * BLOCK] = values[whole * BLOCK :]
+    width = _widths(padded)
+    chosen = np.zeros((n, BLOCK), np.uint8)  # the escape, until a selector fits
+    widest, span = width[:, :BLOCK].copy(), 1
     for selector in range(len(VALUES) - 1, 0, -1):  # from one value to sixty
         while span < VALUES[selector]:
-            widest = np.maximum(widest, padded[:, span : span + BLOCK])
+            np.maximum(widest, width[:, span : span + BLOCK], out=widest)
             span += 1
-        fits = widest < _U(1) << _U(int(BITS[selector]))
+        fits = widest <= BITS[selector]
         if not fits.any():
             break  # more values cannot fit into fewer bits
         chosen[fits] = selector
-    step = VALUES[chosen]
-    follow = (np.arange(BLOCK) + step).tolist()
-    starts, block_starts = [], []
+    follow = (np.arange(BLOCK) + VALUES[chosen]).tolist()
+    starts, firsts = [], np.zeros(n, np.int64)
     for b, row in enumerate(follow):
         at, base = 0, b * BLOCK
-        block_starts.append(len(starts))
-        while at < BLOCK:
+        stop = min(BLOCK, len(values) - base)
+        firsts[b] = len(starts)
+        while at < stop:
             starts.append(base + at)
             at = row[at]
-        if base + BLOCK > len(values):
-            break
     starts = np.array(starts)
-    starts = starts[starts < len(values)]
     select = chosen.ravel()[starts]
     words = select.astype(_U) << _U(60)
-    block, place = starts // BLOCK, starts % BLOCK
+    flat, place = padded.ravel(), starts // BLOCK * (BLOCK + reach) + starts % BLOCK
     for s in np.unique(select[select > 0]):
         mine = np.flatnonzero(select == s)
-        total = words[mine]
+        total, at = words[mine], place[mine]
         for j in range(VALUES[s]):
-            total |= padded[block[mine], place[mine] + j] << _U(int(BITS[s]) * j)
+            total |= flat[at + j] << _U(int(BITS[s]) * j)
         words[mine] = total
-    firsts = np.searchsorted(starts, np.arange(n) * BLOCK)
     escapes = np.flatnonzero(select == 0)
     if len(escapes):
         words = np.insert(words, escapes + 1, values[starts[escapes]])
         firsts = firsts + np.searchsorted(escapes, firsts)
-    return words, firsts.astype(np.int64)
+    return words, firsts
 
 
 def unpack(words: np.ndarray, firsts: np.ndarray, n: int) -> np.ndarray:
@@ -131,35 +126,46 @@ def unpack(words: np.ndarray, firsts: np.ndarray, n: int) -> np.ndarray:
 
 
 class WordEncoder:
-    """Ids of texts by a tokenizer that never joins across ASCII white space."""
+    """Ids of texts by a tokenizer that never joins across ASCII white space.
+
+    Nor does it join letters with what follows them, and it ignores the case of ASCII
+    letters; so a word of letters and stops is looked up as its two parts.  The table
+    takes words until it is full, which the frequent ones are in by then.
+    """
 
     def __init__(self, tokenizer_file: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(tokenizer_file)
-        self.kept: dict[bytes, tuple[int, ...]] = {}
+        self.kept: dict[bytes, bytes] = {}
 
-    def ids(self, text: bytes) -> list[int]:
+    def ids(self, text: bytes) -> np.ndarray:
         words = text.split()  # of bytes: at space and 0x09-0x0D only
+        fresh = set(words).difference(self.kept)
+        if not fresh:
+            return np.frombuffer(b"".join(map(self.kept.__getitem__, words)), "<u4")
+        own = self._encoded(fresh)
+        room = KEPT - len(self.kept)
+        if len(own) <= room:
+            self.kept.update(own)
+            return np.frombuffer(b"".join(map(self.kept.__getitem__, words)), "<u4")
         kept = self.kept
-        try:
-            return list(chain.from_iterable(map(kept.__getitem__, words)))
-        except KeyError:
-            pass
-        fresh = [w for w in set(words) if w not in kept]
-        made = self.tokenizer.encode_batch_fast([w.decode() for w in fresh], add_special_tokens=False)
-        own = {w: tuple(e.ids) for w, e in zip(fresh, made)}
-        if len(kept) + len(own) > KEPT:
-            kept.clear()
-        small = {w: t for w, t in own.items() if len(w) < 64}
-        if len(small) <= KEPT:
-            kept.update(small)
-        return list(chain.from_iterable(own[w] if w in own else kept.get(w) or self._again(w) for w in words))
-
-    def _again(self, word: bytes) -> tuple[int, ...]:
-        """A word that the table lost when it was cleared."""
-        ids = self.kept[word] = tuple(self.tokenizer.encode(word.decode(), add_special_tokens=False).ids)
-        return ids
+        return np.frombuffer(b"".join([kept[w] if w in kept else own[w] for w in words]), "<u4")
+
+    def _encoded(self, words: set[bytes]) -> dict[bytes, bytes]:
+        parts = {}
+        for w in words:
+            core = w.rstrip(b".,;:!?")
+            parts[w] = (core.lower(), w[len(core) :]) if core.decode().isalpha() else (w, b"")
+        own: dict[bytes, bytes] = {b"": b""}
+        asked = [p for p in {p for pair in parts.values() for p in pair} if p and p not in self.kept]
+        made = self.tokenizer.encode_batch_fast([p.decode() for p in asked], add_special_tokens=False)
+        for p, e in zip(asked, made):
+            own[p] = np.array(e.ids, "<u4").tobytes()
+        kept = self.kept
+        for w, (core, stops) in parts.items():
+            own[w] = (own[core] if core in own else kept[core]) + (own[stops] if stops in own else kept[stops])
+        return own
 
 
 @lru_cache(maxsize=1)
@@ -167,10 +173,9 @@ def _word_encoder(tokenizer_file: str) -> WordEncoder:
     return WordEncoder(tokenizer_file)
 
 
-def _frame(part: int, frame: int, before: int, ids: list, rows: list[np.ndarray], kind, kinds):
+def _frame(part: int, frame: int, before: int, ids: list, rows: list[np.ndarray], lengths: list[int], kind):
     values = np.concatenate(rows)
     words, firsts = pack(values)
-    lengths = [len(r) for r in rows]
     columns = [
         pa.array([part], pa.int32()),
         pa.array([frame], pa.int32()),
@@ -181,7 +186,7 @@ def _frame(part: int, frame: int, before: int, ids: list, rows: list[np.ndarray]
         pa.array([words.astype("<u8").tobytes()], pa.binary()),
         pa.array([firsts.astype("<i8").tobytes()], pa.binary()),
     ]
-    return pa.RecordBatch.from_arrays(columns, kinds)
+    return pa.RecordBatch.from_arrays(columns, _FIELDS)
 
 
 _FIELDS = ["part", "frame", "before", "n_ids", "doc_ids", "lengths", "words", "offsets"]
@@ -201,21 +206,21 @@ def write_token_files(
 
     def frames(batches):
         encoder = _word_encoder(tokenizer_file)
-        part, frame, before, held, ids, rows = TaskContext.get().partitionId(), 0, 0, 0, [], []
-        key = pa.int64()
+        part, frame, before, held, ids, rows, lengths = TaskContext.get().partitionId(), 0, 0, 0, [], [], []
+        key, end = pa.int64(), np.array([end_id], "<u4")
         for batch in batches:
             key = batch.schema.field(0).type
             for doc_id, text in zip(batch.column(0), filled(batch.column(1)).cast(pa.binary())):
                 row = encoder.ids(text.as_py())
-                row.append(end_id)
                 ids.append(doc_id.as_py())
-                rows.append(np.array(row, np.uint64))
-                held += len(row)
+                rows += [row, end]
+                lengths.append(len(row) + 1)
+                held += len(row) + 1
                 if held >= FRAME_IDS:
-                    yield _frame(part, frame, before, ids, rows, key, _FIELDS)
-                    frame, before, held, ids, rows = frame + 1, before + held, 0, [], []
+                    yield _frame(part, frame, before, ids, rows, lengths, key)
+                    frame, before, held, ids, rows, lengths = frame + 1, before + held, 0, [], [], []
         if rows:
-            yield _frame(part, frame, before, ids, rows, key, _FIELDS)
+            yield _frame(part, frame, before, ids, rows, lengths, key)
 
     schema = (
         f"part int, frame int, before long, n_ids long, doc_ids array<{kind}>, lengths array<bigint>,"
@@ -225,55 +230,58 @@ def write_token_files(
     ordered.mapInArrow(frames, schema).write.option("compression", "none").parquet(path)
 
 
+def _opened(spark: SparkSession, path: str):
+    """The frames below ``path``, and a function that decodes their batches.
+
+    It gives (doc_ids, starts, offsets, ids) of one frame after the other.
+    """
+    frames = spark.read.parquet(path)
+    sizes = sorted(frames.groupBy("part").agg(F.sum("n_ids")).collect())  # one row per partition
+    before = dict(zip([p for p, _ in sizes], np.cumsum([0] + [n for _, n in sizes]).tolist()))
+
+    def decoded(batches):
+        for batch in batches:
+            for k in range(batch.num_rows):
+                part, _, offset, n, ids, lengths, words, firsts = (column[k] for column in batch.columns)
+                words, firsts = np.frombuffer(words.as_py(), "<u8"), np.frombuffer(firsts.as_py(), "<i8")
+                values = unpack(words, firsts, n.as_py())
+                offsets = np.concatenate([[0], np.cumsum(lengths.values.to_numpy())]).astype(np.int64)
+                yield ids.values, before[part.as_py()] + offset.as_py() + offsets[:-1], offsets, values
+
+    return frames.select(*_FIELDS), decoded
+
+
 def read_token_files(spark: SparkSession, path: str) -> DataFrame:
     """doc_id, start and ids of every document, from files written before.
 
     start counts the ids of all documents before it.
     """
-    frames = spark.read.parquet(path)
+    frames, decoded = _opened(spark, path)
     kind = frames.schema["doc_ids"].dataType.elementType.simpleString()
-    sizes = sorted(frames.groupBy("part").agg(F.sum("n_ids")).collect())  # one row per partition
-    before = dict(zip([p for p, _ in sizes], np.cumsum([0] + [n for _, n in sizes]).tolist()))
 
     def documents(batches):
-        for batch in batches:
-            for row in batch.to_pylist():
-                words, firsts = np.frombuffer(row["words"], "<u8"), np.frombuffer(row["offsets"], "<i8")
-                values = unpack(words, firsts, row["n_ids"]).astype(np.int64)
-                ends = np.cumsum(row["lengths"])
-                offsets = np.concatenate([[0], ends]).astype(np.int32)
-                starts = before[row["part"]] + row["before"] + offsets[:-1]
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(row["doc_ids"], batch.schema.field("doc_ids").type.value_type),
-                        pa.array(starts, pa.int64()),
-                        pa.ListArray.from_arrays(pa.array(offsets), pa.array(values)),
-                    ],
-                    ["doc_id", "start", "ids"],
-                )
-
-    return frames.select(*_FIELDS).mapInArrow(documents, f"doc_id {kind}, start long, ids array<bigint>")
-
-
-def checksums(read: DataFrame) -> DataFrame:
-    """n_tokens and the CRC-32 of each document's ids as little-endian 32-bit integers."""
-    kind = read.schema["doc_id"].dataType.simpleString()
+        for ids, starts, offsets, values in decoded(batches):
+            lists = pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(values.astype(np.int64)))
+            yield pa.RecordBatch.from_arrays([ids, pa.array(starts), lists], ["doc_id", "start", "ids"])
+
+    return frames.mapInArrow(documents, f"doc_id {kind}, start long, ids array<bigint>")
+
+
+def file_checksums(spark: SparkSession, path: str) -> DataFrame:
+    """doc_id, start, n_tokens, ids_crc32 from files written before.
+
+    The CRC-32 is that of each document's ids as little-endian 32-bit integers.
+    """
+    frames, decoded = _opened(spark, path)
+    kind = frames.schema["doc_ids"].dataType.elementType.simpleString()
 
     def sums(batches):
-        for batch in batches:
-            lists = batch.column(2)
-            flat, at = lists.values.to_numpy().astype("<u4"), lists.offsets.to_numpy()
-            crc = [zlib.crc32(flat[a:b].tobytes()) for a, b in zip(at, at[1:])]
+        for ids, starts, offsets, values in decoded(batches):
+            raw = memoryview(values.astype("<u4").tobytes())
+            crc = [zlib.crc32(raw[4 * a : 4 * b]) for a, b in zip(offsets, offsets[1:])]
             yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column(0),
-                    batch.column(1),
-                    pa.array(np.diff(at), pa.int64()),
-                    pa.array(crc, pa.int64()),
-                ],
+                [ids, pa.array(starts), pa.array(np.diff(offsets)), pa.array(crc, pa.int64())],
                 ["doc_id", "start", "n_tokens", "ids_crc32"],
             )
 
-    return read.select("doc_id", "start", "ids").mapInArrow(
-        sums, f"doc_id {kind}, start long, n_tokens long, ids_crc32 long"
-    )
+    return frames.mapInArrow(sums, f"doc_id {kind}, start long, n_tokens long, ids_crc32 long")

@@ -30,7 +30,7 @@ def folder(spark, table_of, tmp_path_factory):
     near = " ".join(rng.choice(words) for _ in range(120)).split()
     for i in range(5):  # near copies without line breaks
         own = list(near)
-        own[i * 20], own[i * 20 + 10] = "qq", "rr"
+        own[i * 20] = "qq"
         rows.append((120 + i, " ".join(own), "en", "h3"))
     rows += [(130 + i, text() + "\n" + items[i][1] + "\n" + text(), None, "h4") for i in range(8)]  # leaks
     rows += [(140, None), (141, ""), (142, "too short"), (143, "spam " * 200), (None, text())]
