@@ -169,10 +169,19 @@ def list_assets(spark, sf_dir):
 
 @query("write_report", with_ctes(_BY_MODEL, "scored_utt"))
 def write_report(spark, sf_dir):
+    """The nested report: header fields and a list of models, read back and unfolded."""
     path = scratch_path(spark, "report")
     report = asr_by_model(spark, sf_dir)
-    writers.write_report(report, path)
-    return spark.read.schema(report.schema).json(path)
+    writers.write_nested_report({"experiment": "speech", "digits": 6}, {"models": report}, path)
+    schema = T.StructType(
+        [
+            T.StructField("experiment", T.StringType()),
+            T.StructField("digits", T.IntegerType()),
+            T.StructField("models", T.ArrayType(report.schema)),
+        ]
+    )
+    whole = spark.read.schema(schema).option("multiLine", True).option("mode", "FAILFAST").json(path)
+    return whole.select(F.inline("models"))
 
 
 @query(

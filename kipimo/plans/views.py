@@ -26,6 +26,7 @@ _SPEECH_RULES = {BASE: (7, 11, 13, 2), ADAPTED: (11, 17, 19, 5)}
 
 ENCODER_A, ENCODER_B = "encoder_a", "encoder_b"
 ENCODERS = [ENCODER_A, ENCODER_B]
+# Names of pair categories, phenomena and effects, in report order.
 CATEGORIES = [
     "paraphrase",
     "topical_similarity",

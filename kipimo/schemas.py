@@ -1,7 +1,7 @@
 """Explicit schemas of every table the library reads; nothing is inferred.
 
 Model names are map keys (they may contain ``/``), so inference would turn them
-into struct fields.
+into struct fields.  The field names are fixed values: those of the files.
 """
 
 from pyspark.sql import types as T

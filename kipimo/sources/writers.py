@@ -19,6 +19,29 @@ def write_report(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
     round_report(df).write.mode(mode).option("ignoreNullFields", False).json(path)
 
 
+def nested_report(header: dict, lists: dict[str, DataFrame], digits: int = 6) -> DataFrame:
+    """One row: the header's fields, then each table's rounded rows as a list.
+
+    For reports, which are as small as their aggregates: all rows of the tables come
+    together in one object.
+    """
+    whole = None
+    for name, df in lists.items():
+        rounded = round_report(df, digits)
+        row = F.struct(*[F.col(f"`{c}`") for c in rounded.columns])
+        listed = rounded.agg(F.collect_list(row).alias(name))
+        whole = listed if whole is None else whole.crossJoin(listed)  # one row each
+    return whole.select(*[F.lit(v).alias(k) for k, v in header.items()], *lists)
+
+
+def write_nested_report(
+    header: dict, lists: dict[str, DataFrame], path: str, mode: str = "errorifexists"
+) -> None:
+    """The nested report as one indented JSON object, UTF-8, in one file."""
+    text = report_json(nested_report(header, lists))
+    text.coalesce(1).write.mode(mode).text(path)
+
+
 def write_csv(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
     """CSV with a header in every part file."""
     df.write.mode(mode).option("header", True).option("escape", '"').csv(path)

@@ -80,6 +80,17 @@ def test_report_and_csv(spark, tmp_path):
     assert (row["name"], row["x"], row["y"]) == ("é", 0.333333, None)
     pretty = json.loads(writers.report_json(df).first()["value"])
     assert pretty == {"name": "é", "x": 0.333333, "y": None}
+    other = spark.createDataFrame([(1, 2.0000004), (2, None)], "k int, v double")
+    writers.write_nested_report({"name": "é", "n": 2}, {"a": df, "b": other}, str(tmp_path / "nested"))
+    (part,) = (tmp_path / "nested").glob("part-*")
+    text = part.read_text(encoding="utf-8")
+    assert '\n  "' in text
+    assert json.loads(text) == {
+        "name": "é",
+        "n": 2,
+        "a": [{"name": "é", "x": 0.333333, "y": None}],
+        "b": [{"k": 1, "v": 2.0}, {"k": 2, "v": None}],
+    }
     text = spark.createDataFrame([('a "quoted", text', 1)], "t string, n int")
     writers.write_csv(text, str(tmp_path / "csv"))
     back = spark.read.schema(text.schema).option("header", True).option("escape", '"').csv(str(tmp_path / "csv"))
