@@ -1,6 +1,6 @@
 """Speech evaluation: error rates, summaries, error decomposition."""
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import realtime_factor, safe_rate
@@ -156,6 +156,23 @@ def error_by_category(aligned: DataFrame, models: list[str]) -> DataFrame:
     return long.withColumn("corpus_wer", _corpus_wer())
 
 
+def _place(position: list[str], at: str = "at") -> Column:
+    """Position columns as one number in the same order.
+
+    A struct cannot be updated in place, so its minimum would sort all rows before and
+    after the shuffle; a decimal keeps the aggregate a hash aggregate.  The first column
+    may be any long, the others have to stay below 10**9, or the packing overflows and fails.
+    """
+    first, *rest = [*position, at]
+    packed = F.col(first).cast("decimal(20,0)")
+    for name in rest:
+        fits = F.when(F.col(name).between(0, 10**9 - 1), F.col(name)).otherwise(
+            F.raise_error(F.lit(f"position beyond 10**9: {name}")).cast("long")
+        )
+        packed = (packed * F.lit(10**9).cast("decimal(10,0)")).cast("decimal(38,0)") + fits.cast("decimal(10,0)")
+    return packed.cast("decimal(38,0)")
+
+
 def _most_common(items: DataFrame, keys: list[str], k: int) -> DataFrame:
     """k most frequent keys per model; ties by first occurrence."""
     counted = items.groupBy("model", *keys).agg(
@@ -172,14 +189,14 @@ def top_substitutions(aligned: DataFrame, position: list[str], k: int = 10) -> D
     runs = aligned.select(
         "model", *position, F.posexplode_outer("alignment.substitutions").alias("at", "s")
     ).filter("at is not null")
-    items = runs.select("model", "s.*", F.struct(*position, "at").alias("seen"))
+    items = runs.select("model", "s.*", _place(position).alias("seen"))
     return _most_common(items, ["reference", "hypothesis"], k)
 
 
 def _words(aligned: DataFrame, field: str, text: str, position: list[str]) -> DataFrame:
     words = F.flatten(F.transform(f"alignment.{field}", lambda r: F.split(r[text], " ")))
     exploded = aligned.select("model", *position, F.posexplode_outer(words).alias("at", "word"))
-    return exploded.filter("word is not null").select("model", "word", F.struct(*position, "at").alias("seen"))
+    return exploded.filter("word is not null").select("model", "word", _place(position).alias("seen"))
 
 
 def top_deletions(aligned: DataFrame, position: list[str], k: int = 10) -> DataFrame:

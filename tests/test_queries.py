@@ -66,6 +66,7 @@ def test_udfs_run_once(spark, data):
 def test_top_k_is_pruned_before_the_shuffle(spark, data):
     plan = entry_module.queries()["top_deletions"](spark, data)._jdf.queryExecution().executedPlan()
     assert plan.toString().count("WindowGroupLimit") == 2
+    assert "SortAggregate" not in plan.toString()
 
 
 def test_scans_read_only_needed_columns(spark, data):
