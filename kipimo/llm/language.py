@@ -18,6 +18,7 @@ rows without text or lang teach nothing; with no labelled text at all every text
 predicted; other columns are not read.
 """
 
+import uuid
 from functools import lru_cache
 
 import numpy as np
@@ -210,7 +211,7 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
     kind = chosen.schema["doc_id"].dataType.simpleString()
     shared = chosen.sparkSession.sparkContext.broadcast(model)
     names = list(model.languages)
-    number = id(shared)
+    number = uuid.uuid4().hex  # a worker that serves several models keeps them apart
 
     def predicted(batches):
         if number not in _opened:
