@@ -10,13 +10,14 @@ Jaccard distance is a metric; sets at distance 0.2 or less are to be linked.
    n - ceil(0.8 n) + 1, so a class is replicated to those regions and no others.
    Regions with one class are dropped.  For pairs, two more triangle inequalities
    towards fixed pivots cut before any set is compared: towards the empty set (sizes),
-   and towards 64 cells of the shingle space (the sum of the cells' differences is at
+   and towards 256 cells of the shingle space (the sum of the cells' differences is at
    most the symmetric difference).
-4. *Recursion.*  First every class is compared with the leader it shares most regions
-   with; the links found are contracted into components.  Regions whose classes are in
-   one component by then are finished, which is where large groups of near copies end.
-   The others recurse: only pairs of classes in different components are compared, and
-   the links are contracted again.
+4. *Recursion.*  In a round every class is compared with one of its regions' two
+   leaders, of another component and with most regions in common; the links found are
+   contracted into components.  Regions whose classes are in one component by then are
+   finished, which is where large groups of near copies end; the others go into the
+   next round with other leaders.  After ``ROUNDS`` rounds, all pairs of classes in
+   different components that the windows allow are compared, and contracted again.
 
 Plain document pivots are not used for the first level: unrelated texts are all at
 distance 1 from each other, where every window reaches every region.
@@ -47,7 +48,8 @@ WORDS = 5
 NUMERATOR, DENOMINATOR = 80, 100
 SKETCH_BITS = 21
 SKETCH_PART = 1 << 15
-CELLS = 64
+CELLS = 256
+ROUNDS = 3
 KEPT = 500_000
 _NULL = -(1 << 63)
 
@@ -136,7 +138,7 @@ def _members(batches):
     def make(ids, n, doc, key):
         size, cls = _class_keys(n, doc, key)
         cells = np.bincount(doc * CELLS + (key % np.uint64(CELLS)).astype(np.int64), minlength=n * CELLS)
-        cells = np.minimum(cells, 65535).astype("<u2").reshape(n, CELLS)
+        cells = np.minimum(cells, 255).astype(np.uint8).reshape(n, CELLS)
         arrays = [ids, pa.array(size), pa.array(cls), pa.array([c.tobytes() for c in cells], pa.binary())]
         return pa.RecordBatch.from_arrays(arrays, ["id", "n", "cls", "cells"])
 
@@ -183,11 +185,11 @@ def _near(batches):
     for batch in batches:
         n_a, n_b = (batch.column(i).to_numpy() for i in (2, 4))
         cells = [
-            np.frombuffer(b"".join(batch.column(i).to_pylist()), "<u2").reshape(-1, CELLS).astype(np.int64)
+            np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint8).reshape(-1, CELLS).astype(np.int16)
             for i in (3, 5)
         ]
         total = n_a + n_b
-        at_least = np.abs(cells[0] - cells[1]).sum(1)
+        at_least = np.abs(cells[0] - cells[1]).sum(1, dtype=np.int64)
         # similar: the symmetric difference is at most (1 - t) / (1 + t) of both sizes
         keep = (DENOMINATOR + NUMERATOR) * at_least <= (DENOMINATOR - NUMERATOR) * total
         keep &= DENOMINATOR * np.minimum(n_a, n_b) >= NUMERATOR * np.maximum(n_a, n_b)
@@ -227,6 +229,36 @@ def _links(pairs: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
     return staged(wide.mapInArrow(_compared, "a long, b long"))
 
 
+def _open_regions(regions: DataFrame, found: DataFrame | None) -> DataFrame:
+    """h, cls, comp of the regions whose classes are in several components."""
+    labelled = regions.withColumn("comp", F.col("cls"))
+    if found is not None:
+        labels = found.select(F.col("node").alias("cls"), F.col("comp").alias("c"))
+        labelled = regions.join(labels, "cls", "left").select("h", "cls", F.coalesce("c", "cls").alias("comp"))
+    spans = labelled.groupBy("h").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"))
+    return staged(labelled.join(spans.filter(F.col("lo") < F.col("hi")).select("h"), "h"))
+
+
+def _leader_pairs(labelled: DataFrame, number: int) -> DataFrame:
+    """At most one pair for each class: with a leader of another component."""
+    member = F.struct(F.xxhash64(F.col("cls"), F.lit(number)).alias("r"), "cls", "comp")
+    leaders = labelled.groupBy("h").agg(F.min(member).alias("one"), F.max(member).alias("two"))
+    other = F.when(F.col("comp") != F.col("one.comp"), F.col("one.cls")).when(
+        F.col("comp") != F.col("two.comp"), F.col("two.cls")
+    )
+    return (
+        labelled.join(leaders, "h")
+        .select("cls", other.alias("leader"))
+        .filter("leader is not null")
+        .groupBy("cls", "leader")
+        .agg(F.count(F.lit(1)).alias("c"))
+        .groupBy("cls")
+        .agg(F.max_by("leader", F.struct("c", "leader")).alias("leader"))
+        .select(F.least("cls", "leader").alias("a"), F.greatest("cls", "leader").alias("b"))
+        .distinct()
+    )
+
+
 def _class_links(docs: DataFrame, members: DataFrame, classes: DataFrame) -> DataFrame:
     """comp of every class that has a link: cls, comp."""
     shared = docs.sparkSession.sparkContext.broadcast(rarity(docs))
@@ -237,30 +269,16 @@ def _class_links(docs: DataFrame, members: DataFrame, classes: DataFrame) -> Dat
         .filter(F.col("leader") < F.col("last"))
         .select("h", "leader")
     )
-    # copies of one set bring equal rows; they count more often and change nothing
-    regions = staged(regions.join(leaders, "h"))
-    best = (
-        regions.filter(F.col("cls") != F.col("leader"))
-        .groupBy("cls", "leader")
-        .agg(F.count(F.lit(1)).alias("c"))
-        .groupBy("cls")
-        .agg(F.max_by("leader", F.struct("c", "leader")).alias("b"))
-        .select(F.col("cls").alias("a"), "b")
-    )
-    links = _links(best, classes, docs)
-    found = components(links)
-
-    labelled = regions.select("h", "cls").distinct().join(
-        found.select(F.col("node").alias("cls"), "comp"), "cls", "left"
-    ).withColumn("comp", F.coalesce("comp", "cls"))
-    labelled = staged(labelled)
-    open_regions = (
-        labelled.groupBy("h")
-        .agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"))
-        .filter(F.col("lo") < F.col("hi"))
-        .select("h")
-    )
-    left = staged(labelled.join(open_regions, "h").join(classes.select("cls", "n"), "cls"))
+    regions = staged(regions.join(leaders, "h").select("h", "cls").distinct())
+    links, found = None, None
+    for number in range(ROUNDS + 1):
+        left = _open_regions(regions, found)
+        if number == ROUNDS:
+            break
+        round_links = _links(_leader_pairs(left, number), classes, docs)
+        links = round_links if links is None else links.unionByName(round_links)
+        found = components(links)
+    left = staged(left.join(classes.select("cls", "n"), "cls"))
     a, b = left.alias("a"), left.alias("b")
     size_a, size_b = F.col("a.n"), F.col("b.n")
     pairs = (
