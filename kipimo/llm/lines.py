@@ -244,22 +244,29 @@ def earliest_neighbours(docs: DataFrame, occurrences: DataFrame, min_words: int)
     return firsts.join(verified, "key", "left").select("key", F.least("first", F.coalesce("near", "first")).alias("first"))
 
 
-def _kept(batches):
-    for batch in batches:
-        texts, totals, removed = [], [], []
-        for text, gone in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
-            lines = text.split("\n") if text else []
-            totals.append(len(lines))
-            if gone:
-                gone = set(gone)
-                stay = [x for i, x in enumerate(lines) if i not in gone]
-                removed.append(len(lines) - len(stay))
-                text = "\n".join(stay)
-            else:
-                removed.append(0)
-            texts.append(text)
-        arrays = [batch.column(0), pa.array(totals, pa.int64()), pa.array(removed, pa.int64()), pa.array(texts, pa.string())]
-        yield pa.RecordBatch.from_arrays(arrays, ["doc", "n_lines", "n_removed", "kept"])
+def _kept(text_col: str):
+    def kept(batches):
+        for batch in batches:
+            text = batch.column(0).field(text_col)
+            for lo, hi in slices(filled(text)):
+                part = batch.slice(lo, hi - lo)
+                texts, totals, removed = [], [], []
+                for text_of, gone in zip(text.slice(lo, hi - lo).to_pylist(), part.column(1).to_pylist()):
+                    lines = text_of.split("\n") if text_of else []
+                    out = set(gone or ())
+                    stay = [x for i, x in enumerate(lines) if i not in out]
+                    totals.append(len(lines))
+                    removed.append(len(lines) - len(stay))
+                    texts.append("\n".join(stay) if out else text_of)
+                arrays = [
+                    part.column(0),
+                    pa.array(totals, pa.int64()),
+                    pa.array(removed, pa.int64()),
+                    pa.array(texts, pa.string()),
+                ]
+                yield pa.RecordBatch.from_arrays(arrays, ["doc", "n_lines", "n_removed", "kept"])
+
+    return kept
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
@@ -267,13 +274,12 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     One row per row of ``docs``.
     """
-    keyed = docs.select(
+    key = [
         F.coalesce(F.col(id_col).cast("long"), F.lit(_NULL)).alias("id"),
         F.xxhash64(F.col(text_col)).alias("row"),
-        F.col(text_col).alias("text"),
-        F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"),
-    )
-    texts = keyed.select("id", "row", "text")
+    ]
+    texts = docs.select(*key, F.col(text_col).alias("text"))
+    keyed = docs.select(*key, F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"))
     occurrences = staged(
         texts.mapInArrow(_occurrences(min_words), "id long, row long, line long, key long, halves array<long>")
     )
@@ -285,13 +291,17 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         .agg(F.collect_set("line").alias("gone"))
     )
     touched = IdFilter(gone, "id", "row")
-    joined = touched.rows(keyed, "id", "row").join(gone, ["id", "row"], "left").select("doc", "text", "gone")
-    rest = touched.rows(keyed.select("id", "row", "text", "doc"), "id", "row", found=False).select(
-        "doc", "text", F.lit(None).cast("array<bigint>").alias("gone")
-    )
+    joined = touched.rows(keyed, "id", "row").join(gone, ["id", "row"], "left").select("doc", "gone")
     kind = keyed.schema["doc"].dataType.simpleString()
-    schema = f"doc {kind}, n_lines long, n_removed long, kept string"
-    return joined.mapInArrow(_kept, schema).unionByName(rest.mapInArrow(_kept, schema))
+    changed = joined.mapInArrow(_kept(text_col), f"doc {kind}, n_lines long, n_removed long, kept string")
+    text = F.col("doc")[text_col]
+    rest = touched.rows(keyed, "id", "row", found=False).select(
+        "doc",
+        F.when(text != "", F.size(F.split(text, "\n"))).otherwise(0).cast("long").alias("n_lines"),
+        F.lit(0).cast("long").alias("n_removed"),
+        text.alias("kept"),
+    )
+    return changed.unionByName(rest)
 
 
 #: The same lines by all deletions of all lines; {documents} is the table's name.
