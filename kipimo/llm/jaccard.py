@@ -64,14 +64,16 @@ def shingle_sets(column: pa.Array, k: int = WORDS) -> tuple[np.ndarray, np.ndarr
     short = np.flatnonzero((counts > 0) & (counts < k))
     if len(short):
         first = block.first_word()
-        whole = [mixed(np.array([sum(int(w) * (2 * j + 3) for j, w in enumerate(words[first[i] : first[i + 1]])) % (1 << 64)], np.uint64) + np.uint64(counts[i]))[0] for i in short]
-        key, doc = np.concatenate([key, np.array(whole, np.uint64)]), np.concatenate([doc, short])
+        places = np.arange(3, 2 * k + 3, 2, dtype=np.uint64)
+        sums = [(words[first[i] : first[i + 1]] * places[: counts[i]]).sum(dtype=np.uint64) for i in short]
+        whole = mixed(np.array(sums, np.uint64) + counts[short].astype(np.uint64))
+        key, doc = np.concatenate([key, whole]), np.concatenate([doc, short])
     order, again = in_order(doc, key)
     order = order[~again]
     return doc[order], key[order]
 
 
-def _set_rows(batches, names, make):
+def _set_rows(batches, make):
     for batch in batches:
         text = filled(batch.column(1))
         for lo, hi in slices(text):
@@ -118,7 +120,7 @@ def rarity(docs: DataFrame) -> np.ndarray:
         .mapInArrow(_summed, "part int, levels binary")
         .collect()  # 2 ** SKETCH_BITS bytes in all
     )
-    out = np.zeros((1 << SKETCH_BITS) // SKETCH_PART * SKETCH_PART, np.uint8).reshape(-1, SKETCH_PART)
+    out = np.zeros(((1 << SKETCH_BITS) // SKETCH_PART, SKETCH_PART), np.uint8)
     for row in rows:
         out[row["part"]] = np.frombuffer(bytes(row["levels"]), np.uint8)
     return out.ravel()
@@ -142,7 +144,7 @@ def _members(batches):
         arrays = [ids, pa.array(size), pa.array(cls), pa.array([c.tobytes() for c in cells], pa.binary())]
         return pa.RecordBatch.from_arrays(arrays, ["id", "n", "cls", "cells"])
 
-    return _set_rows(batches, None, make)
+    return _set_rows(batches, make)
 
 
 def _region_rows(shared):
@@ -175,7 +177,7 @@ def _region_rows(shared):
         return pa.RecordBatch.from_arrays(arrays, ["h", "cls"])
 
     def rows(batches):
-        return _set_rows(batches, None, make)
+        return _set_rows(batches, make)
 
     return rows
 
@@ -259,7 +261,7 @@ def _leader_pairs(labelled: DataFrame, number: int) -> DataFrame:
     )
 
 
-def _class_links(docs: DataFrame, members: DataFrame, classes: DataFrame) -> DataFrame:
+def _class_links(docs: DataFrame, classes: DataFrame) -> DataFrame:
     """comp of every class that has a link: cls, comp."""
     shared = docs.sparkSession.sparkContext.broadcast(rarity(docs))
     regions = docs.select("id", "text").mapInArrow(_region_rows(shared), "h long, cls long")
@@ -312,7 +314,7 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
         .agg(F.min(F.struct("id", "row")).alias("m"), F.min("cells").alias("cells"))
         .select("cls", "n", F.col("m.id").alias("doc"), F.col("m.row").alias("row"), "cells")
     )
-    found = staged(_class_links(rows, members, classes))
+    found = staged(_class_links(rows, classes))
     linked = members.select("id", "n", F.when(F.col("n") > 0, F.col("cls")).alias("cls")).join(
         found.select(F.col("node").alias("cls"), "comp"), "cls", "left"
     )
