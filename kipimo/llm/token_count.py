@@ -8,9 +8,8 @@ bytes (byte fallback).
 
 Pieces never hold the space sign after another character, so a text falls apart into
 segments (spaces and the word after them) that merge on their own; equal segments are
-merged once per worker and kept in a table that takes ``KEPT`` entries and then no more
-(the frequent ones are in by then).  One very long run without spaces is one segment
-and costs n log n.
+merged once per worker and kept in a table of at most ``KEPT`` entries.  One very long
+run without spaces is one segment and costs n log n.
 
 Row-local: no shuffle, and a hot source or group of copies changes nothing.  Defined
 cases: null and empty texts have no bytes and no tokens; repeated rows are each
@@ -128,7 +127,9 @@ class PieceCounter:
             if c is None:
                 spaced = s.replace(" ", _SPACE) if s[:1] == " " else _SPACE + s
                 c = self.merged(spaced)
-                if len(kept) < KEPT and len(s) < 64:
+                if len(s) < 64:
+                    if len(kept) >= KEPT:
+                        kept.clear()
                     kept[s] = c
             total += c
         return total
