@@ -23,8 +23,11 @@ def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def without_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without lines that an earlier one has; one that loses all its words goes."""
-    found = lines.dedup_lines(docs)
+    """Documents without lines that an earlier one has; one that loses all its words goes.
+
+    Lines of fewer than six words go if they are equal, others within one word edit.
+    """
+    found = lines.dedup_lines(docs, exact_words=1)
     emptied = (F.col("n_removed") > 0) & ~F.col("kept").rlike(r"[^\x20\x09-\x0D]")
     text = F.when(F.col("n_removed") > 0, F.col("kept")).otherwise(F.col("doc.text"))
     size = F.when(F.col("n_removed") > 0, F.char_length("kept").cast("long")).otherwise(F.col("doc.n_chars"))

@@ -2,13 +2,15 @@
 
 A line of at least ``min_words`` words is removed if an earlier line of any document
 (by doc_id, then line number) can be made from it by at most one edit: a word put in,
-taken out or replaced.  Shorter lines stay.  White space within a line does not count.
+taken out or replaced.  Of shorter lines, those of at least ``exact_words`` words are
+removed if an earlier line has the same words; the rest, by default all, stay.  White
+space within a line does not count.
 
 1. Lines become keys (their words' hash); each distinct line keeps its first place.
 2. One edit leaves one half of a line as it is.  Lines that share neither half with
    another line cannot be within the bound and need no variants.
-3. *Deletion neighbourhood.*  Every other line emits itself and itself without each one
-   of its words, as hashed keys.  Equal keys meet: a whole line with a deletion (one is
+3. *Deletion neighbourhood.*  Every other line but the shorter ones emits itself and
+   itself without each one of its words, as hashed keys.  Equal keys meet: a whole line with a deletion (one is
    the other and a word), two deletions at the same place (one word replaced).  Per key
    only the earliest line is taken, so no pairs are made, however many lines meet.
 4. Each line's earliest neighbour is compared with it word by word before it counts.
@@ -133,13 +135,14 @@ def _sliced(batches, min_words: int):
             yield batch.column(0).slice(lo, n), batch.column(1).slice(lo, n), Lines(text.slice(lo, n), min_words)
 
 
-def _occurrences(min_words: int):
+def _occurrences(min_words: int, exact_words: int):
     def rows(batches):
         seen = _Seen()
-        for ids, row, lines in _sliced(batches, min_words):
+        for ids, row, lines in _sliced(batches, exact_words):
             at = pa.array(lines.doc)
             halves = lines.halves()
-            fresh = seen.fresh(lines.key)
+            fresh = lines.size >= min_words
+            fresh[fresh] = seen.fresh(lines.key[fresh])
             begin = np.concatenate([[0], np.cumsum(np.where(fresh, 4, 0))]).astype(np.int32)
             lists = pa.ListArray.from_arrays(pa.array(begin), pa.array(halves[fresh].ravel()))
             columns = [ids.take(at), row.take(at), pa.array(lines.number, pa.int64()), pa.array(lines.key), lists]
@@ -269,11 +272,19 @@ def _kept(text_col: str):
     return kept
 
 
-def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
+def dedup_lines(
+    docs: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    min_words: int = MIN_WORDS,
+    exact_words: int | None = None,
+) -> DataFrame:
     """doc (the row as it was), n_lines, n_removed, kept (the text that stays).
 
-    One row per row of ``docs``.
+    One row per row of ``docs``.  Without ``exact_words``, lines of fewer than
+    ``min_words`` words stay.
     """
+    least = min_words if exact_words is None else max(min(exact_words, min_words), 1)
     key = [
         F.coalesce(F.col(id_col).cast("long"), F.lit(_NULL)).alias("id"),
         F.xxhash64(F.col(text_col)).alias("row"),
@@ -281,7 +292,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     texts = docs.select(*key, F.col(text_col).alias("text"))
     keyed = docs.select(*key, F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"))
     occurrences = staged(
-        texts.mapInArrow(_occurrences(min_words), "id long, row long, line long, key long, halves array<long>")
+        texts.mapInArrow(_occurrences(min_words, least), "id long, row long, line long, key long, halves array<long>")
     )
     first = earliest_neighbours(texts, occurrences, min_words)
     gone = staged(

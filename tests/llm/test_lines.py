@@ -1,6 +1,7 @@
 import random
 import re
 
+import corpus_pipeline
 import numpy as np
 import pyarrow as pa
 import pytest
@@ -61,6 +62,41 @@ def test_equals_brute_force(spark, table_of, seed, min_words):
     assert all(r.doc.line == "x" and r.doc.doc == "x" for r in found)
 
 
+@pytest.mark.parametrize("exact_words", [1, 3, None])
+def test_short_lines_go_if_equal(spark, table_of, exact_words):
+    rng = random.Random(5)
+    rows = []
+    for i in range(80):
+        text = [" ".join(rng.choice("ab") for _ in range(rng.randint(0, 7))) for _ in range(rng.randint(0, 6))]
+        rows.append((i, "\n".join(text + rng.choice([[], [" 我们没有空格 "], ["one  two"], ["one\ttwo"]]))))
+    docs = table_of(rows).repartition(3)
+    found = lines.dedup_lines(docs, exact_words=exact_words).collect()
+    seen, expected = set(), []
+    long = {i: t.split("\n") for i, _, _, t in _expected(rows, 6)}
+    for i, text in rows:
+        stay, rest = [], list(long[str(i)])
+        for raw in text.split("\n"):
+            words = tuple(WORD.findall(raw))
+            if len(words) >= 6:
+                if rest and rest[0] == raw:
+                    stay.append(rest.pop(0))
+            else:
+                assert not text or rest.pop(0) == raw
+                if not (words in seen and len(words) >= (exact_words or 6)):
+                    stay.append(raw)
+                if words:
+                    seen.add(words)
+        expected.append((i, "\n".join(stay)))
+    assert sorted((r.doc.doc_id, r.kept) for r in found) == expected
+
+
+def test_pipeline_stage_drops_equal_short_lines(spark, table_of):
+    rows = [(i, f"Read more\nown {i}\n这是一行") for i in range(30)] + [(40, "Read  more"), (41, "Read more now")]
+    found = corpus_pipeline.without_repeated_lines(spark, table_of(rows).repartition(3), "")
+    expected = [(0, rows[0][1])] + [(i, f"own {i}") for i in range(1, 30)] + [(41, "Read more now")]
+    assert sorted((r.doc_id, r.text) for r in found.collect()) == expected
+
+
 def test_many_lines_of_one_template(spark, table_of):
     rows = [(i, f"user number {i} logged in at noon today\nown line {i} {i} {i * 7} {i} {i} {i}") for i in range(400)]
     found = lines.dedup_lines(table_of(rows)).collect()
