@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..plans.stage import scratch_path
 from ..plans.views import table
-from . import byte_bpe, decontamination, jaccard, language, lines, quality, substring, token_count, token_files, toxicity
+from . import byte_bpe, decontamination, jaccard, language, lines, quality, substring, token_count, token_files, toxicity, whitening
 
 QUERIES = {}
 ORACLES = {}
@@ -99,3 +99,8 @@ def op10_toxicity(spark, sf_dir):
     return found.select(
         "doc_id", (fold(5) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted")
     )
+
+
+@query()
+def op11_whitening(spark, sf_dir):
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
