@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..plans.stage import scratch_path
 from ..plans.views import table
-from . import byte_bpe, decontamination, jaccard, language, lines, quality, substring, token_count, token_files, toxicity, whitening
+from . import byte_bpe, decontamination, jaccard, language, lines, mixing, quality, substring, token_count, token_files, toxicity, whitening
 
 QUERIES = {}
 ORACLES = {}
@@ -104,3 +104,8 @@ def op10_toxicity(spark, sf_dir):
 @query()
 def op11_whitening(spark, sf_dir):
     return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
+@query(mixing.SQL.format(documents="documents"))
+def op13_mixing(spark, sf_dir):
+    return mixing.mix_sources(documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken")
