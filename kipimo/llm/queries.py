@@ -6,7 +6,21 @@ from pyspark.sql import functions as F
 
 from ..plans.stage import scratch_path
 from ..plans.views import table
-from . import byte_bpe, decontamination, jaccard, language, lines, mixing, quality, substring, token_count, token_files, toxicity, whitening
+from . import (
+    alignment,
+    byte_bpe,
+    decontamination,
+    jaccard,
+    language,
+    lines,
+    mixing,
+    quality,
+    substring,
+    token_count,
+    token_files,
+    toxicity,
+    whitening,
+)
 
 QUERIES = {}
 ORACLES = {}
@@ -29,6 +43,7 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
+BYTES = public_tokenizers.path("byte_bpe_50k.json")
 PIECES = public_tokenizers.path("piece_bpe_32k.model")
 WORDS = public_tokenizers.path("word_bpe_49k.json")
 
@@ -109,3 +124,8 @@ def op11_whitening(spark, sf_dir):
 @query(mixing.SQL.format(documents="documents"))
 def op13_mixing(spark, sf_dir):
     return mixing.mix_sources(documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken")
+
+
+@query()
+def op12_alignment(spark, sf_dir):
+    return alignment.align_tokenizers(documents(spark, sf_dir), BYTES, PIECES)
