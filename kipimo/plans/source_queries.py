@@ -9,8 +9,8 @@ import io
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..operators import containment, tables
 from ..operators import speech as S
-from ..operators import tables
 from ..sources import readers, writers
 from ..streaming.scoring import score_stream as run_stream
 from . import views
@@ -123,7 +123,7 @@ _HELD_OUT = "src0"
 
 @query(
     "exclude_leaked",
-    f"""SELECT doc_id FROM documents d WHERE source <> '{_HELD_OUT}'
+    f"""SELECT doc_id FROM documents d WHERE source IS DISTINCT FROM '{_HELD_OUT}'
       AND NOT EXISTS (SELECT 1 FROM documents h WHERE h.source = '{_HELD_OUT}' AND h.text = d.text)""",
 )
 def exclude_leaked(spark, sf_dir):
@@ -137,7 +137,7 @@ def exclude_leaked(spark, sf_dir):
     f"""SELECT count(*) AS rows, count(*) FILTER (WHERE leaked) AS leaked_rows,
       count(DISTINCT text) FILTER (WHERE leaked) AS leaked_contents
     FROM (SELECT text, text IN (SELECT text FROM documents WHERE source = '{_HELD_OUT}') AS leaked
-      FROM documents WHERE source <> '{_HELD_OUT}')""",
+      FROM documents WHERE source IS DISTINCT FROM '{_HELD_OUT}')""",
 )
 def leaked_counts(spark, sf_dir):
     return tables.leaked_counts(*_by_source(spark, sf_dir), "text")
@@ -145,10 +145,47 @@ def leaked_counts(spark, sf_dir):
 
 def _by_source(spark, sf_dir):
     documents = views.table(spark, sf_dir, "documents")
-    held_out = F.col("source") == _HELD_OUT
+    held_out = F.col("source").eqNullSafe(_HELD_OUT)
     return documents.filter(~held_out), documents.filter(held_out)
 
 
+def _spaced(table: str, key: str) -> str:
+    """Word sequences, each word between single spaces."""
+    words = "regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')"
+    return f"SELECT {key}, ' ' || array_to_string({words}, ' ') || ' ' AS s FROM {table} WHERE len({words}) > 0"
+
+
+_CONTAINED = f"""WITH d AS ({_spaced("documents", "doc_id")}),
+  i AS (SELECT min(item_id) AS item_id, s, count(*) AS copies FROM ({_spaced("benchmark", "item_id")}) GROUP BY s),
+  found AS (SELECT doc_id, item_id, copies FROM d JOIN i ON contains(d.s, i.s))"""
+
+
+@query("contained_texts", f"{_CONTAINED} SELECT DISTINCT * FROM found")
+def contained_texts(spark, sf_dir):
+    """Documents and the benchmark texts that they hold word for word."""
+    documents, benchmark = (views.table(spark, sf_dir, t) for t in ("documents", "benchmark"))
+    return containment.contained_texts(documents, benchmark).drop("doc_key")
+
+
+@query("exclude_containing", f"{_CONTAINED} SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM found)")
+def exclude_containing(spark, sf_dir):
+    documents, benchmark = (views.table(spark, sf_dir, t) for t in ("documents", "benchmark"))
+    return containment.exclude_containing(documents, benchmark).select("doc_id")
+
+
+@query(
+    "held_out_inside",
+    f"""WITH d AS ({_spaced("(SELECT * FROM documents WHERE source IS DISTINCT FROM '" + _HELD_OUT + "')", "doc_id")}),
+      i AS (SELECT min(doc_id) AS item_id, s, count(*) AS copies
+        FROM ({_spaced("(SELECT * FROM documents WHERE source = '" + _HELD_OUT + "')", "doc_id")}) GROUP BY s)
+    SELECT DISTINCT doc_id, item_id, copies FROM d JOIN i ON contains(d.s, i.s)""",
+)
+def held_out_inside(spark, sf_dir):
+    """Documents of the other sources that hold a whole document of the held-out one."""
+    rest, held_out = _by_source(spark, sf_dir)
+    return containment.contained_texts(rest, held_out, item_id="doc_id").drop("doc_key")
+
+
 @query(
     "list_assets",
     """SELECT '/media/' || source || '/' || doc_id || ['.mp4', '.MOV', '.m4v', '.Avi', '.txt', ''][doc_id % 6 + 1] AS path,
