@@ -4,7 +4,7 @@ Each writes derived tables below the session's shared folder and reads them back
 through the library's readers.
 """
 
-import io
+import os
 
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -12,6 +12,7 @@ from pyspark.sql import types as T
 from ..operators import containment, tables
 from ..operators import speech as S
 from ..sources import readers, writers
+from ..sources.clip_files import local_path
 from ..streaming.scoring import score_stream as run_stream
 from . import views
 from .clip_queries import frame_sums
@@ -86,19 +87,6 @@ def read_result_records(spark, sf_dir):
     )
 
 
-@F.pandas_udf(T.BinaryType())
-def _npy(frames):
-    import numpy as np
-    import pandas as pd
-
-    def encode(clip):
-        buffer = io.BytesIO()
-        np.save(buffer, np.stack([np.asarray(f, dtype=np.float32) for f in clip]))
-        return buffer.getvalue()
-
-    return pd.Series([encode(clip) for clip in frames])
-
-
 @query(
     "read_clips",
     with_ctes(
@@ -109,12 +97,10 @@ def _npy(frames):
     ),
 )
 def read_clips(spark, sf_dir):
-    """Clips written as ``.npy`` bytes and decoded again."""
-    parts = F.concat_ws("/", F.lit("/clips"), "split", "label", "file")
-    files = views.source_clips(spark, sf_dir).select(
-        parts.alias("path"), _npy("frames").alias("content")
-    )
-    clips = readers.decode_clips(files, width=views.LAYOUT.source_width)
+    """Clips written as a tree of ``.npy`` files and read from it."""
+    path = scratch_path(spark, "clips")
+    writers.write_clip_files(views.source_clips(spark, sf_dir).select("split", "label", "file", "frames"), path)
+    clips = readers.read_clips(spark, path, width=views.LAYOUT.source_width)
     return frame_sums(clips.filter("reason is null"), keys=("split", "label", "file"))
 
 
@@ -192,16 +178,26 @@ def held_out_inside(spark, sf_dir):
       n_chars AS length, ['mp4', 'mov', 'm4v', 'avi'][doc_id % 6 + 1] AS suffix FROM documents WHERE doc_id % 6 < 4""",
 )
 def list_assets(spark, sf_dir):
-    """A derived listing of mixed files; only media suffixes stay."""
+    """A tree of mixed files, as long as the documents; only those with media suffixes are listed."""
     ending = F.get(
         F.array(*[F.lit(x) for x in (".mp4", ".MOV", ".m4v", ".Avi", ".txt", "")]),
         (F.col("doc_id") % 6).cast("int"),
     )
-    name = F.concat(F.lit("/media/"), "source", F.lit("/"), F.col("doc_id").cast("string"), ending)
-    listing = views.table(spark, sf_dir, "documents").select(
-        name.alias("path"), F.col("n_chars").alias("length")
-    )
-    return readers.media_files(listing).orderBy("path")
+    root = local_path(scratch_path(spark, "media"))
+    name = F.concat(F.lit("media/"), "source", F.lit("/"), F.col("doc_id").cast("string"), ending)
+    files = views.table(spark, sf_dir, "documents").select(name.alias("path"), F.col("n_chars").alias("length"))
+
+    def made(batches):
+        for batch in batches:
+            for path, length in zip(batch["path"], batch["length"]):
+                os.makedirs(os.path.dirname(f"{root}/{path}"), exist_ok=True)
+                with open(f"{root}/{path}", "wb") as file:
+                    file.truncate(int(length))  # a file of holes
+            yield batch[[]].assign(n=1)
+
+    files.mapInPandas(made, "n long").write.format("noop").mode("overwrite").save()
+    listed = readers.list_assets(spark, root)
+    return listed.withColumn("path", F.substring("path", len(root) + 1, 1 << 20))
 
 
 @query("write_report", with_ctes(_BY_MODEL, "scored_utt"))
@@ -245,7 +241,7 @@ def write_csv(spark, sf_dir):
 @query(
     "write_clips",
     with_ctes(
-        """SELECT 'c' || clip_id % 4 AS label, 'clip_' || lpad(clip_id::VARCHAR, 12, '0') || '_64x63' AS name, k,
+        """SELECT 'c' || clip_id % 4 AS label, 'clip_' || lpad(clip_id::VARCHAR, 12, '0') || '_64x63.npy' AS file, k,
           round(sum(v), 5) AS total, round(sum(v * (d + 1)), 4) AS weighted FROM result GROUP BY clip_id, k""",
         "steps",
         "native",
@@ -258,7 +254,7 @@ def write_clips(spark, sf_dir):
     path = scratch_path(spark, "clips")
     clips = views.native_clips(spark, sf_dir)
     writers.write_clips(clips.withColumn("sequence", interpolate_linear(F.col("frames"))), path)
-    return frame_sums(spark.read.parquet(path), keys=("label", "name"))
+    return frame_sums(readers.read_clips(spark, path, width=views.LAYOUT.width), keys=("label", "file"))
 
 
 @query(

@@ -4,18 +4,22 @@ The default is JSON Lines, which Spark splits.  Files that hold one JSON documen
 ``multi_line=True`` and are read by one task each.
 """
 
-import io
+import os
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..plans.stage import staged
 from ..schemas import CLIP, MANIFESTS, RECORDS
+from .clip_files import FORMAT, clip_problem, is_mounted, local_path, registered, shown
 
 # Media suffixes that count as video assets.
 VIDEO_SUFFIXES = ("mp4", "mov", "m4v", "avi")
 
 _SLICE_BYTES = 8 << 20
+_LISTED_ROWS = 10_000
 
 
 def read_pairs(spark: SparkSession, path, kind: str = "pairs", multi_line: bool = False) -> DataFrame:
@@ -41,7 +45,16 @@ def read_result_records(
 
 
 def read_clips(spark: SparkSession, path, width: int = 126, strict: bool = True) -> DataFrame:
-    """Directory ``<split>/<label>/<file>.npy`` -> clip table (see decode_clips)."""
+    """Directory ``[<split>/]<label>/<file>.npy`` -> split, label, file, frames, reason.
+
+    Mounted folders are read by the ``clips`` data source, other stores through Spark's
+    binary file reader.  A clip that is not a finite T x ``width`` matrix fails the read,
+    or with ``strict=False`` comes back with its reason and no frames: ``unreadable``,
+    ``dimensions``, ``width``, ``empty`` or ``not_finite``.
+    """
+    if is_mounted(path):
+        clips = registered(spark).read.format(FORMAT).option("width", width).load(path).drop("bytes")
+        return _usable(clips) if strict else clips
     files = (
         spark.read.format("binaryFile")
         .option("recursiveFileLookup", True)
@@ -51,6 +64,12 @@ def read_clips(spark: SparkSession, path, width: int = 126, strict: bool = True)
     return decode_clips(files, width, strict)
 
 
+def _usable(clips: DataFrame) -> DataFrame:
+    bad = F.concat_ws(" ", F.lit("unusable clip"), "label", "file", "reason")
+    failed = F.when(F.col("reason").isNotNull(), F.raise_error(bad).cast("string"))
+    return clips.withColumn("reason", failed)
+
+
 def _by_bytes(batch):
     """Consecutive rows of a batch with about ``_SLICE_BYTES`` of content each."""
     at = (batch["content"].str.len().cumsum() - 1) // _SLICE_BYTES
@@ -74,24 +93,10 @@ def decode_clips(files: DataFrame, width: int = 126, strict: bool = True) -> Dat
     )
 
     def decode(batches):
-        import numpy as np
-
         for batch in (part for whole in batches for part in _by_bytes(whole)):
-            frames, reasons = [], []
-            for content in batch["content"]:
-                array = np.load(io.BytesIO(content), allow_pickle=False)
-                reason = None
-                if array.ndim != 2:
-                    reason = "dimensions"
-                elif array.shape[1] != width:
-                    reason = "width"
-                elif array.shape[0] == 0:
-                    reason = "empty"
-                elif not np.isfinite(array).all():
-                    reason = "not_finite"
-                frames.append(None if reason else list(array.astype(np.float32)))
-                reasons.append(reason)
-            yield batch[["path"]].assign(frames=frames, reason=reasons)
+            made = [clip_problem(content, width) for content in batch["content"]]
+            frames = [None if clip is None else list(clip) for clip, _ in made]
+            yield batch[["path"]].assign(frames=frames, reason=[reason for _, reason in made])
 
     part = r"([^/]+)/([^/]+)/([^/]+)$"
     clips = files.select("path", "content").mapInPandas(decode, schema).select(
@@ -101,12 +106,7 @@ def decode_clips(files: DataFrame, width: int = 126, strict: bool = True) -> Dat
         "frames",
         "reason",
     )
-    if strict:
-        bad = F.concat_ws(" ", F.lit("unusable clip"), "label", "file", "reason")
-        clips = clips.withColumn(
-            "reason", F.when(F.col("reason").isNotNull(), F.raise_error(bad).cast("string"))
-        )
-    return clips
+    return _usable(clips) if strict else clips
 
 
 def list_assets(spark: SparkSession, path, suffixes=VIDEO_SUFFIXES) -> DataFrame:
@@ -114,13 +114,65 @@ def list_assets(spark: SparkSession, path, suffixes=VIDEO_SUFFIXES) -> DataFrame
 
     Fails when there is none: that check is a one-row limit on the listing.
     """
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
-    listed = media_files(files.select("path", "length"), suffixes)
+    if is_mounted(path):
+        listed = listed_files(spark, path, suffixes)
+    else:
+        files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
+        listed = media_files(files.select("path", "length"), suffixes)
     if listed.isEmpty():
         raise FileNotFoundError(f"no media files under {path}")
     return listed.orderBy("path")
 
 
+def listed_files(spark: SparkSession, path: str, suffixes=VIDEO_SUFFIXES) -> DataFrame:
+    """path, length, suffix of the files below a mounted folder that end in a suffix, whatever the case.
+
+    Each level of folders is a table dealt out over the tasks, which list them; the
+    driver holds no names.  A file's status is asked for only where its suffix counts.
+    """
+    root = local_path(path)
+    if not os.path.isdir(root):
+        raise FileNotFoundError(f"no folder: {path}")
+    wanted = tuple(s.lower() for s in suffixes)
+
+    def listed(batches):
+        for batch in batches:
+            for folder in batch["path"]:
+                rows = []
+                with os.scandir(folder) as entries:
+                    for entry in entries:
+                        if not shown(entry.name):
+                            continue
+                        if entry.is_dir():
+                            rows.append((entry.path, None, None))
+                        else:
+                            suffix = os.path.splitext(entry.name)[1][1:].lower()
+                            if suffix in wanted:
+                                rows.append((entry.path, entry.stat().st_size, suffix))
+                        if len(rows) == _LISTED_ROWS:
+                            yield _listing(rows)
+                            rows = []
+                yield _listing(rows)
+
+    level, found = spark.createDataFrame([(root,)], "path string"), []
+    while True:
+        below = staged(level.mapInPandas(listed, "path string, length long, suffix string"))
+        found.append(below.filter("suffix is not null"))
+        level = below.filter("suffix is null").select("path")
+        if level.isEmpty():
+            return reduce(DataFrame.unionByName, found)
+        level = level.repartition(spark.sparkContext.defaultParallelism)
+
+
+def _listing(rows):
+    import pandas as pd
+
+    paths, lengths, suffixes = zip(*rows) if rows else ((), (), ())
+    return pd.DataFrame(
+        {"path": pd.Series(paths, dtype=object), "length": pd.array(lengths, dtype="Int64"), "suffix": pd.Series(suffixes, dtype=object)}
+    )
+
+
 def media_files(listing: DataFrame, suffixes=VIDEO_SUFFIXES) -> DataFrame:
     """Rows of a (path, length) listing with one of the suffixes, whatever the case."""
     suffix = F.lower(F.regexp_extract("path", r"\.([^./]+)$", 1))

@@ -1,10 +1,12 @@
 """Report, CSV and clip sinks."""
 
-from pyspark.sql import DataFrame
+import os
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import round_report
-from ..functions.layout import TARGET_LENGTH
+from .clip_files import FORMAT, SUFFIX, local_path, registered
 
 
 def report_json(df: DataFrame, digits: int = 6) -> DataFrame:
@@ -47,12 +49,36 @@ def write_csv(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
     df.write.mode(mode).option("header", True).option("escape", '"').csv(path)
 
 
-def write_clips(
+def _stem() -> Column:
+    return F.regexp_replace("file", r"\.[^.]*$", "")
+
+
+def _shape(frames: str) -> Column:
+    return F.concat_ws("x", F.size(frames), F.size(F.get(F.col(frames), F.lit(0))))
+
+
+def write_clips(clips: DataFrame, path: str, frames: str = "sequence", mode: str = "errorifexists") -> None:
+    """Processed clips as files ``<label>/<stem>_<T>x<D>.npy`` below a mounted folder.
+
+    Two clips of one name fail the write, which then leaves nothing behind.
+    """
+    name = F.concat(F.concat_ws("_", _stem(), _shape(frames)), F.lit(SUFFIX))
+    named = clips.select("label", name.alias("file"), F.col(frames).alias("frames"))
+    write_clip_files(named, path, mode)
+
+
+def write_clip_files(clips: DataFrame, path: str, mode: str = "errorifexists") -> None:
+    """Clips as files ``[<split>/]<label>/<file>`` through the ``clips`` data source."""
+    if mode == "errorifexists" and os.path.exists(local_path(path)):
+        raise FileExistsError(path)
+    registered(clips.sparkSession)
+    clips.write.format(FORMAT).mode("overwrite" if mode == "overwrite" else "append").save(path)
+
+
+def write_clip_table(
     clips: DataFrame, path: str, frames: str = "sequence", mode: str = "errorifexists"
 ) -> None:
-    """Processed clips as Parquet, partitioned by label, named ``<stem>_<T>x<D>``."""
-    stem = F.regexp_replace("file", r"\.[^.]*$", "")
-    width = F.size(F.get(F.col(frames), F.lit(0)))
-    name = F.concat_ws("_", stem, F.concat_ws("x", F.size(frames), width))
+    """Processed clips as Parquet, partitioned by label, named ``<stem>_<T>x<D>``; for any store."""
+    name = F.concat_ws("_", _stem(), _shape(frames))
     named = clips.select("label", name.alias("name"), F.col(frames).alias("frames"))
     named.write.mode(mode).partitionBy("label").parquet(path)

@@ -97,14 +97,96 @@ def test_report_and_csv(spark, tmp_path):
     assert [tuple(r) for r in back.collect()] == [('a "quoted", text', 1)]
 
 
-def test_clip_sink(spark, tmp_path):
+def test_clip_table_sink(spark, tmp_path):
     rows = [("my", "one.npy", [[1.0, 2.0], [3.0, 4.0]])]
     clips = spark.createDataFrame(rows, "label string, file string, sequence array<array<float>>")
-    writers.write_clips(clips, str(tmp_path / "clips"))
+    writers.write_clip_table(clips, str(tmp_path / "clips"))
     row = spark.read.parquet(str(tmp_path / "clips")).first()
     assert (row["label"], row["name"], row["frames"][1]) == ("my", "one_2x2", [3.0, 4.0])
 
 
+_CLIPS = "label string, file string, sequence array<array<float>>"
+
+
+def _tree(path):
+    """Files where readers look: a task that outlives its failed job may leave some in a hidden folder."""
+    found = (p.relative_to(path) for p in path.rglob("*") if p.is_file() and p.name != "_SUCCESS")
+    return sorted(str(p) for p in found if not p.parts[0].startswith("."))
+
+
+def test_clip_files_round_trip(spark, tmp_path):
+    rows = [("c" + str(i % 3), f"clip_{i}.npy", [[float(i), 2.0], [3.0, -i / 7]][: 1 + i % 2]) for i in range(40)]
+    clips = spark.createDataFrame(rows, _CLIPS).repartition(5)
+    path = tmp_path / "out"
+    writers.write_clips(clips, str(path))
+    assert _tree(path) == sorted(f"{c}/{f[:-4]}_{len(s)}x2.npy" for c, f, s in rows)
+    assert np.load(path / "c1/clip_1_2x2.npy").dtype == np.float32
+    found = readers.read_clips(spark, f"file://{path}", width=2).collect()
+    expected = {(c, f"{f[:-4]}_{len(s)}x2.npy"): np.float32(s).tolist() for c, f, s in rows}
+    assert {(r.label, r.file): r.frames for r in found} == expected and {r.split for r in found} == {None}
+    with pytest.raises(FileExistsError):
+        writers.write_clips(clips, str(path))
+    writers.write_clips(clips.filter("label = 'c2'"), str(path), mode="overwrite")
+    assert {p.split("/")[0] for p in _tree(path)} == {"c2"}
+    writers.write_clips(clips.filter("label = 'c0'"), str(path), mode="append")
+    assert {p.split("/")[0] for p in _tree(path)} == {"c0", "c2"}
+
+
+@pytest.mark.parametrize("bad", [None, [[1.0], [1.0, 2.0]], "../up.npy", "two names"])
+def test_a_failed_write_leaves_no_file(spark, tmp_path, bad):
+    rows = [("a", f"{i}.npy", [[1.0, 2.0]]) for i in range(30)]
+    name = {"two names": "0.npy", "../up.npy": "../up.npy"}.get(bad if isinstance(bad, str) else "", "x.npy")
+    rows.append(("a", name, [[1.0, 2.0]] if isinstance(bad, str) else bad))
+    path = tmp_path / "out"
+    with pytest.raises(Exception):
+        writers.write_clips(spark.createDataFrame(rows, _CLIPS).repartition(4), str(path))
+    assert not path.exists() or _tree(path) == []
+    assert not path.exists() or readers.read_clips(spark, str(path), width=2).collect() == []
+    assert not list(tmp_path.glob("*.npy"))
+
+
+def test_clip_partitions_follow_bytes(spark, tmp_path):
+    from kipimo.sources.clip_files import FORMAT, registered
+
+    for i in range(20):
+        _save(tmp_path, "train", "hot", f"{i:02}.npy", np.ones((50, 4), np.float32))
+    _save(tmp_path, "test", "cold", "x.npy", np.ones((1, 4), np.float32))
+    np.save(tmp_path / "top.npy", np.ones((2, 4)))
+    (tmp_path / "train/hot/broken.npy").write_bytes(b"no array")
+    (tmp_path / "train/hot/notes.txt").write_text("x")
+    np.save(tmp_path / "train/hot/text.npy", np.array([["a", "b"]]))
+    np.save(tmp_path / "train/hot/none.npy", np.ones((0, 4), np.float32))
+    read = registered(spark).read.format(FORMAT).option("width", 4).option("partition_bytes", 2000)
+    clips = read.load(str(tmp_path))
+    assert clips.rdd.getNumPartitions() >= 12
+    rows = clips.collect()
+    assert len(rows) == 25 and {r.bytes for r in rows if r.file == "00.npy"} == {928}
+    assert {r.file: r.reason for r in rows if r.reason} == {"broken.npy": "unreadable", "text.npy": "unreadable", "none.npy": "empty"}
+    assert {(r.split, r.label) for r in rows} == {("train", "hot"), ("test", "cold"), (None, None)}
+    with pytest.raises(Exception, match="no folder"):
+        readers.read_clips(spark, str(tmp_path / "absent")).collect()
+    (tmp_path / "bare").mkdir()
+    assert readers.read_clips(spark, str(tmp_path / "bare")).collect() == []
+
+
+def test_listing_by_levels(spark, tmp_path):
+    for name in ("a/b/c/deep.MOV", "a/b/x.mp4", "a/.hidden/y.mp4", "a/_tmp/y.mp4", "noext", "z.avi.txt", "ä ö/ü.AVI"):
+        path = tmp_path / name
+        path.parent.mkdir(parents=True, exist_ok=True)
+        path.write_bytes(b"123")
+    found = readers.list_assets(spark, f"file://{tmp_path}".replace(" ", "%20")).collect()
+    assert [(r.path[len(str(tmp_path)) + 1 :], r.length, r.suffix) for r in found] == [
+        ("a/b/c/deep.MOV", 3, "mov"), ("a/b/x.mp4", 3, "mp4"), ("ä ö/ü.AVI", 3, "avi"),
+    ]
+
+
+def test_decoded_files_of_any_store(spark, tmp_path):
+    _save(tmp_path, "train", "my", "b.npy", np.ones((2, 6), np.float32))
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(str(tmp_path))
+    (row,) = readers.decode_clips(files, width=6).collect()
+    assert (row.split, row.label, row.file, len(row.frames)) == ("train", "my", "b.npy", 2)
+
+
 def test_stream_equals_batch_and_resumes(spark, tmp_path):
     source, sink, state = (str(tmp_path / n) for n in ("in", "out", "state"))
     first = [("u1", "c", "m", "Habari, yako?", "habari ya")]
