@@ -1,19 +1,14 @@
-"""Exact quantiles without a per-group value map.
+"""Exact quantiles without sorting or gathering the values.
 
-``percentile`` keeps every distinct value of a group in one task.  Here equal values
-are counted first (pre-aggregated before the shuffle), and the counts, one row per
-group and distinct value, are dealt out by range of (group, value) and written once.
-Sums per range then tell which range holds a wanted rank, and only that one is sorted
-by value.  Ranges follow the data, so neither a group with most rows nor values that
-pile up at one end give any task more than its share of distinct values.
+``percentile`` keeps every distinct value of a group in one task.  Here doubles become
+64-bit keys of the same order, and the ranks that a quantile lies between are found by
+radix histograms (:mod:`selection`): values are neither shuffled nor written.
 """
 
-from functools import reduce
-
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..plans.stage import staged
+from .selection import crossing_keys, double_of_bits, ordered_bits, same_keys
 
 
 def exact_quantiles(
@@ -22,96 +17,42 @@ def exact_quantiles(
     """One row per group with ``wanted`` = {output: (column, probability)}.
 
     Linear interpolation between the two neighbouring ranks; nulls are skipped.
-    The input is read once.
+    The input is read two to four times, so it should be a table or cheap to derive.
     """
-    columns = list(dict.fromkeys(column for column, _ in wanted.values()))
+    asked: dict[str, list[float]] = {}
+    for column, q in wanted.values():
+        asked.setdefault(column, []).append(float(q))
+    cells = [F.struct(F.lit(c).alias("_name"), F.col(c).cast("double").alias("_v")) for c in asked]
     values = (
-        df.select(
-            *by,
-            F.explode(
-                F.array(
-                    *[
-                        F.struct(F.lit(c).alias("_name"), F.col(c).cast("double").alias("_v"))
-                        for c in columns
-                    ]
-                )
-            ).alias("_x"),
-        )
+        df.select(*by, F.explode(F.array(*cells)).alias("_x"))
         .select(*by, "_x.*")
         .filter("_v is not null")
-    )
-    group = [*by, "_name"]
-    counted = staged(
-        values.groupBy(*group, "_v")
-        .agg(F.count("*").alias("_c"))
-        .repartitionByRange(*group, "_v")
-        .withColumn("_bucket", F.spark_partition_id())
-    )
-    running = Window.partitionBy(*group).orderBy("_bucket")
-    buckets = (
-        counted.groupBy(*group, "_bucket")  # one row per range and group
-        .agg(F.sum("_c").alias("_in"))
-        .withColumn("_upto", F.sum("_in").over(running))
-        .withColumn("_n", F.sum("_in").over(Window.partitionBy(*group)))
-    )
-    asks = F.array(
-        *[
-            F.struct(F.lit(out).alias("out"), F.lit(c).alias("of"), F.lit(float(q)).alias("q"))
-            for out, (c, q) in wanted.items()
-        ]
+        .select(*by, "_name", ordered_bits(F.col("_v")).alias("key"), F.lit(1).cast("long").alias("weight"))
     )
 
-    def holds(ask, first, end):
-        """Whether ranks first..end-1 include a neighbour of the asked position."""
-        position = ask["q"] * (F.col("_n") - 1)
-        lo, hi = F.floor(position), F.ceil(position)
-        here = ((lo >= first) & (lo < end)) | ((hi >= first) & (hi < end))
-        return (ask["of"] == F.col("_name")) & here
+    def position(q, total):
+        return F.lit(q) * (total - 1)
 
-    targets = (
-        buckets.withColumn("_before", F.col("_upto") - F.col("_in"))
-        .filter(F.exists(asks, lambda a: holds(a, F.col("_before"), F.col("_upto"))))
-        .select("_before", "_n", *[F.col(c).alias(f"_t{k}") for k, c in enumerate([*group, "_bucket"])])
-    )
-    same = [
-        F.col(c).eqNullSafe(F.col(f"_t{k}")) for k, c in enumerate([*group, "_bucket"])
-    ]
-    inside = Window.partitionBy(*group, "_bucket").orderBy("_v")
-    hit = (
-        counted.join(targets, reduce(lambda a, b: a & b, same))
-        .withColumn("_to", F.col("_before") + F.sum("_c").over(inside))
-        .withColumn("_from", F.col("_to") - F.col("_c"))
-        .withColumn(
-            "_ask",
-            F.explode(F.filter(asks, lambda a: holds(a, F.col("_from"), F.col("_to")))),
-        )
-        .select(
-            *by,
-            "_v",
-            "_from",
-            "_to",
-            F.col("_ask.out").alias("_out"),
-            (F.col("_ask.q") * (F.col("_n") - 1)).alias("_at"),
-        )
-        .select(
-            "*",
-            F.floor("_at").alias("_lo"),
-            F.ceil("_at").alias("_hi"),
-            (F.col("_at") - F.floor("_at")).alias("_w"),
-        )
-    )
+    def ranks(total):
+        goals = F.array().cast("array<bigint>")
+        for name, shares in asked.items():
+            at = [f(position(q, total)).cast("long") for q in shares for f in (F.floor, F.ceil)]
+            goals = F.when(F.col("_name") == name, F.array(*at)).otherwise(goals)
+        return goals
+
+    found = crossing_keys(values, [*by, "_name"], ranks).withColumn("_v", double_of_bits(F.col("key")))
 
-    def picked(out, rank):
-        here = (F.col("_out") == out) & (F.col(rank) >= F.col("_from"))
-        return F.max(F.when(here & (F.col(rank) < F.col("_to")), F.col("_v")))
+    def picked(column, q, rounded):
+        here = (F.col("_name") == column) & (F.col("goal") == rounded(position(q, F.col("total"))).cast("long"))
+        return F.max(F.when(here, F.col("_v")))
 
     # Two rows at most answer one request, so this last aggregate is tiny.
     aggregates = []
-    for out in wanted:
-        weight = F.max(F.when(F.col("_out") == out, F.col("_w")))
-        lo, hi = picked(out, "_lo"), picked(out, "_hi")
-        aggregates.append((lo + (hi - lo) * weight).alias(out))
-    return hit.groupBy(*by).agg(*aggregates) if by else hit.agg(*aggregates)
+    for out, (column, q) in wanted.items():
+        at = position(float(q), F.max(F.when(F.col("_name") == column, F.col("total"))))
+        lo, hi = picked(column, float(q), F.floor), picked(column, float(q), F.ceil)
+        aggregates.append((lo + (hi - lo) * (at - F.floor(at))).alias(out))
+    return found.groupBy(*by).agg(*aggregates) if by else found.agg(*aggregates)
 
 
 def with_quantiles(summary: DataFrame, quantiles: DataFrame, by: list[str]) -> DataFrame:
@@ -119,5 +60,4 @@ def with_quantiles(summary: DataFrame, quantiles: DataFrame, by: list[str]) -> D
     if not by:
         return summary.crossJoin(F.broadcast(quantiles))
     keys = {c: f"_q_{c}" for c in by}
-    same = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(k)) for c, k in keys.items()])
-    return summary.join(quantiles.withColumnsRenamed(keys), same, "left").drop(*keys.values())
+    return summary.join(quantiles.withColumnsRenamed(keys), same_keys(by, "_q_"), "left").drop(*keys.values())

@@ -2,19 +2,21 @@
 
 Keys are 64-bit integers.  A pass counts the weights of 16 bits of the key per group,
 finds the digit where each goal is crossed, and the next pass looks only at keys below
-that digit.  At most four passes read the input; what is shuffled are histograms of at
+that digit.  One to four passes read the input; what is shuffled are histograms of at
 most 65,536 entries per group and goal, pre-aggregated in each task.  A group with most
 rows, or values that pile up at one place, is no more work for any task.
 """
 
+from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from ..plans.stage import staged
 
 _DIGIT = 16
+_FEW_ROWS = 1 << _DIGIT
 #: A table of groups of up to so many rows is broadcast; a larger one is joined by shuffle.
 SMALL_ROWS = 100_000
 
@@ -44,49 +46,68 @@ def double_of_bits(key: Column) -> Column:
     return F.java_method(F.lit("java.lang.Double"), F.lit("longBitsToDouble"), bits).cast("double")
 
 
-def crossing_keys(values: DataFrame, by: list[str], goals: DataFrame) -> DataFrame:
-    """Per row of ``goals`` the smallest key whose running weight exceeds the goal.
+def crossing_keys(
+    values: DataFrame, by: list[str], goals: DataFrame | Callable[[Column], Column]
+) -> DataFrame:
+    """Per goal the smallest key whose running weight exceeds it.
 
     ``values``: the columns ``by``, ``key`` (long) and ``weight`` (long, not negative).
-    ``goals``: the columns ``by`` and ``goal`` (long), several per group if need be.
-    Returns by, goal, key and before (weight of all smaller keys of the group); goals
-    that are never exceeded, and groups without values, give no row.  With weights of 1
-    and a goal r the key is that of rank r, from 0.
-
-    ``values`` is read once per pass, so it should be a table or cheap to derive.
+    ``goals``: a table of ``by`` and ``goal`` (long), several per group if need be, or a
+    function from a group's total weight to an array of goals.
+    Returns by, goal, key, before (weight of all smaller keys of the group) and total
+    (of the group); goals that are never exceeded, and groups without values, give no row.  With
+    weights of 1 and a goal r the key is that of rank r, from 0.
+
+    ``values`` is counted and read once per pass, so it should be a table or cheap to
+    derive.  Few rows are not cut further: one pass then tells all keys of a cell apart.
     """
-    asks = goals.select(*by, "goal", F.lit(0).cast("long").alias("prefix"), F.lit(0).cast("long").alias("before"))
-    for at in range(0, 64, _DIGIT):
-        shift = 64 - at - _DIGIT
-        digit = F.shiftright("key", shift)
-        if at:
+    whole = Window.partitionBy(*by)
+    shift, few, asks, n_asks = 64, values.count() <= _FEW_ROWS, None, 0
+    while True:
+        if asks is None:
+            inside, matching = F.lit(0).cast("long"), values
+        else:
             # the first pass keeps the sign in its digit, later ones look below it
-            inside = F.shiftright("key", shift + _DIGIT)
-            digit = digit.bitwiseAND(F.lit((1 << _DIGIT) - 1))
+            inside = F.shiftright("key", shift)
             open_cells = asks.groupBy(*by).agg(F.collect_set("prefix").alias("_open"))
             matching = join_groups(values, open_cells, by, n_asks).filter(F.array_contains("_open", inside))
-        else:
-            inside, matching = F.lit(0).cast("long"), values
-        histogram = matching.groupBy(*by, inside.alias("prefix"), digit.alias("_digit")).agg(
-            F.sum("weight").alias("_in"), F.min("key").alias("_low"), F.max("key").alias("key")
+        shift = 0 if few else shift - _DIGIT
+        histogram = matching.groupBy(*by, inside.alias("prefix"), F.shiftright("key", shift).alias("_digit")).agg(
+            F.sum("weight").alias("_in"), F.count(F.lit(1)).alias("_rows"), F.min("key").alias("_low"), F.max("key").alias("key")
         )
         upto = Window.partitionBy(*by, "prefix").orderBy("_digit")
         cells = histogram.withColumn("_upto", F.sum("_in").over(upto))
-        named = asks.drop("key", "_found").withColumnsRenamed({c: f"_ask_{c}" for c in [*by, "prefix"]})
+        if asks is None:
+            cells = cells.withColumn("total", F.sum("_in").over(whole)).withColumn("before", F.lit(0).cast("long"))
+            if callable(goals):
+                asked = cells.withColumn("goal", F.explode(F.array_distinct(goals(F.col("total")))))
+            else:
+                named = goals.select(*[F.col(c).alias(f"_ask_{c}") for c in by], "goal")
+                asked = cells.join(named, same_keys(by, "_ask_"))
+        else:
+            ask = [*by, "prefix"]
+            named = asks.select(*[F.col(c).alias(f"_ask_{c}") for c in ask], "goal", "before", "total")
+            asked = cells.join(named, same_keys(ask, "_ask_"))
         crossed = F.col("before") + F.col("_upto")
+        seen, unresolved = Observation(), ~F.col("_found")
         asks = staged(
-            cells.join(named, same_keys([*by, "prefix"], "_ask_"))
-            .filter((crossed > F.col("goal")) & (crossed - F.col("_in") <= F.col("goal")))
-            .select(
+            asked.filter((crossed > F.col("goal")) & (crossed - F.col("_in") <= F.col("goal"))).select(
                 *by,
                 "goal",
-                F.shiftright("_low", shift).alias("prefix"),
+                F.col("_digit").alias("prefix"),
                 (crossed - F.col("_in")).alias("before"),
+                "total",
                 "key",
                 (F.col("_low") == F.col("key")).alias("_found"),
+                "_rows",
+            ).observe(
+                seen,
+                F.count(F.lit(1)).alias("asks"),
+                F.count_if(unresolved).alias("open"),
+                F.max(F.when(unresolved, F.col("_rows"))).alias("most"),
             )
         )
-        n_asks, n_open = asks.agg(F.count(F.lit(1)), F.count_if(~F.col("_found"))).first()
-        if not n_open:
-            break
-    return asks.select(*by, "goal", "key", "before")
+        n_asks = seen.get["asks"]
+        if not seen.get["open"]:
+            return asks.select(*by, "goal", "key", "before", "total")
+        few = seen.get["most"] <= _FEW_ROWS
