@@ -129,7 +129,8 @@ class WordEncoder:
     """Ids of texts by a tokenizer that never joins across ASCII white space.
 
     Nor does it join letters with what follows them, and it ignores the case of ASCII
-    letters; so a word of letters and stops is looked up as its two parts.  The table
+    letters; so a word of letters and stops is looked up as its two parts, if its last
+    letter stays one when normalised.  The table
     takes words until it is full, which the frequent ones are in by then.
     """
 
@@ -138,6 +139,7 @@ class WordEncoder:
 
         self.tokenizer = Tokenizer.from_file(tokenizer_file)
         self.kept: dict[bytes, bytes] = {}
+        self.letters: dict[str, bool] = {}
 
     def ids(self, text: bytes) -> np.ndarray:
         words = text.split()  # of bytes: at space and 0x09-0x0D only
@@ -152,11 +154,26 @@ class WordEncoder:
         kept = self.kept
         return np.frombuffer(b"".join([kept[w] if w in kept else own[w] for w in words]), "<u4")
 
+    def _stays_letter(self, last: str) -> bool:
+        """Whether a word's last letter still is one when normalised.
+
+        Some end in a combining mark then, which the tokenizer joins with stops.
+        """
+        if last < "\x80":
+            return True
+        known = self.letters.get(last)
+        if known is None:
+            normal = self.tokenizer.normalizer.normalize_str(last)
+            known = self.letters[last] = bool(normal) and normal[-1].isalpha()
+        return known
+
     def _encoded(self, words: set[bytes]) -> dict[bytes, bytes]:
         parts = {}
         for w in words:
             core = w.rstrip(b".,;:!?")
-            parts[w] = (core.lower(), w[len(core) :]) if core.decode().isalpha() else (w, b"")
+            text = core.decode()
+            splits = text.isalpha() and self._stays_letter(text[-1])
+            parts[w] = (core.lower(), w[len(core) :]) if splits else (w, b"")
         own: dict[bytes, bytes] = {b"": b""}
         asked = [p for p in {p for pair in parts.values() for p in pair} if p and p not in self.kept]
         made = self.tokenizer.encode_batch_fast([p.decode() for p in asked], add_special_tokens=False)

@@ -71,3 +71,15 @@ def test_bounded_table(monkeypatch):
     library = Tokenizer.from_file(FILE)
     for text in ("one two three one", "one", "four five", "one two", "One. two,", "é. »."):
         assert encoder.ids(text.encode()).tolist() == library.encode(text, add_special_tokens=False).ids
+
+
+def test_every_letter_before_every_stop():
+    """Letters whose normal form ends in a mark join the stops behind them."""
+    library, own = Tokenizer.from_file(FILE), token_files.WordEncoder(FILE)
+    letters = [c for c in map(chr, range(0x110000)) if c.isalpha()]
+    words = [f"a{c}{'.,;:!?'[i % 6]}" for i, c in enumerate(letters)]
+    special = [c for c in letters if c > "\x7f" and not own._stays_letter(c)]
+    assert "\u0130" in special and len(special) < 200
+    words += [c + stops for c in special for stops in (*".,;:!?", "...", "?!")] + ["Merhaba", "\u0130!", "tamam"]
+    expected = [i for e in library.encode_batch_fast(words, add_special_tokens=False) for i in e.ids]
+    assert own.ids(" ".join(words).encode()).tolist() == expected
