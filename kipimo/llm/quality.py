@@ -20,6 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..plans.stage import staged
 from .textblock import TextBlock, filled, in_order, slices, span_hashes, windows
@@ -146,21 +147,28 @@ def keep_good(
 ) -> DataFrame:
     """The rows of ``docs`` that pass, with all their columns.
 
-    Base rules are judged again where the rows lie, so that only hosts are joined.
+    Texts are parsed once: the rows are staged with the verdict on their words, the
+    hosts' sums read only that, and the passing rows are read back.
     """
-    chosen = docs.select(F.lit(None).cast("long").alias("doc_id"), F.col(host_col).alias("host"), F.col(text_col).alias("text"))
-    counts = chosen.mapInArrow(_counted, "doc_id long, host string, " + ", ".join(f"{c} long" for c in _COUNTS))
-    base = counts.select("host", base_failed().alias("base_failed"))
-    bad = host_rates(staged(base)).filter(F.col("rate") > max_host_rate).select(F.col("host").alias("_bad_host"))
-    at = docs.columns.index(text_col)
+    at, flag = docs.columns.index(text_col), "_failed"
+    while flag in docs.columns:
+        flag = f"_{flag}"
 
-    def passing(batches):
+    def judged(batches):
         for batch in batches:
-            counts = base_counts(batch.column(at))
-            n, repeated = counts["n_words"], counts["n_repeat_words"]
-            yield batch.filter(pa.array((n >= MIN_WORDS) & (100 * repeated <= MAX_REPEAT_PERCENT * n)))
-
-    return docs.mapInArrow(passing, docs.schema).join(bad, F.col(host_col) == F.col("_bad_host"), "left_anti")
+            for lo, hi in slices(filled(batch.column(at))):
+                part = batch.slice(lo, hi - lo)
+                counts = base_counts(part.column(at))
+                n, repeated = counts["n_words"], counts["n_repeat_words"]
+                failed = (n < MIN_WORDS) | (100 * repeated > MAX_REPEAT_PERCENT * n)
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(failed)], [*part.schema.names, flag])
+
+    schema = T.StructType([*docs.schema.fields, T.StructField(flag, T.BooleanType())])
+    flagged = staged(docs.mapInArrow(judged, schema))
+    base = flagged.select(F.col(host_col).alias("host"), F.col(flag).alias("base_failed"))
+    bad = host_rates(base).filter(F.col("rate") > max_host_rate).select(F.col("host").alias("_bad_host"))
+    passing = flagged.filter(~F.col(flag)).drop(flag)
+    return passing.join(bad, F.col(host_col) == F.col("_bad_host"), "left_anti")
 
 
 #: Base counts, host rates and verdicts; {documents} is the table's name.
