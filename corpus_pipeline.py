@@ -2,7 +2,8 @@
 
 Each stage takes (spark, docs, sf_dir) and returns the documents it keeps, with the
 columns of ``documents``; the last one returns their token ids.  Rows with one doc_id
-are one document to the stages that drop documents by id.
+are one document to the stages that drop documents by id; rows without a doc_id are one
+if their texts are equal.
 """
 
 import public_tokenizers
@@ -36,16 +37,36 @@ def without_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
     )
 
 
+_NAMELESS = 1 << 62
+
+
+def keyed(docs: DataFrame) -> DataFrame:
+    """Adds ``_key``: the id, or for a document without one a number of its text above all ids."""
+    of_text = F.xxhash64("text").bitwiseAND(F.lit(_NAMELESS // 2 - 1)) + F.lit(_NAMELESS)
+    return docs.withColumn("_key", F.coalesce(F.col("doc_id").cast("long"), of_text))
+
+
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates, the document with the smallest id."""
-    groups = staged(jaccard.similar_documents(docs))
-    return without(docs, groups.filter(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id"), "doc_id")
+    """Of each group of near duplicates, the document with the smallest id.
+
+    Documents without id come after all others; of those with one text, one stays.
+    """
+    groups = staged(jaccard.similar_documents(keyed(docs), id_col="_key"))
+    gone = groups.filter(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias("_key"))
+    kept = without(keyed(docs), gone, "_key").select(*COLUMNS)
+    nameless = F.col("doc_id").isNull() & F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
+    if docs.filter(nameless).isEmpty():
+        return kept
+    kept = staged(kept)
+    return kept.filter(~nameless).unionByName(kept.filter(nameless).dropDuplicates(["text"]))
 
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no benchmark item."""
     benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    return without(docs, staged(decontamination.contaminated(docs, benchmark).select("doc_id")), "doc_id")
+    found = decontamination.contaminated(keyed(docs), benchmark, id_col="_key")
+    gone = staged(found.select(F.col("doc_id").alias("_key")))
+    return without(keyed(docs), gone, "_key").select(*COLUMNS)
 
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
