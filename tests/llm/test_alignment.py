@@ -107,12 +107,27 @@ def test_equal_to_plain_loops(spark, table_of, tokenizers, frequent):
     assert _rows(found) == _brute(tokenizers, rows)
 
 
-def test_long_texts_in_pieces(tokenizers):
+@pytest.mark.parametrize("most", [0, 5, 400_000])
+def test_segments_give_the_tokens_of_whole_texts(most):
+    own = alignment.Tokenizers(BYTES, PIECES, most)
     texts = ["word, isn't  it? naïve \n\n 東京 x1 " * 60, " lead " * 50, "a b\u00a0c \u2003 d" * 30, "no_spaces" * 100]
-    whole = alignment.align_texts(tokenizers, texts, 1 << 20)[1]
-    for size in (1, 7, 100):
-        cut = alignment.align_texts(tokenizers, texts, size)[1]
-        assert (cut.a == whole.a).all() and (cut.b == whole.b).all() and cut.written() == whole.written()
+    texts += ["a ", " a", "a  ", "  ", "\n ", " \n a", "\x1c \x85 \x0b x", "x \u200b y", "don 't 's", "1 2  3   4 \t 5"]
+    for some in (texts, texts[::-1], texts[3:]):
+        a, b = own.encoded(some)
+        whole_a = [own.a.encode(" " + t, add_special_tokens=False).ids for t in some]
+        whole_b = [own.b.encode(t) for t in some]
+        assert a[0].tolist() == sum(whole_a, []) and a[1].tolist() == [len(x) for x in whole_a]
+        assert b[0].tolist() == sum(whole_b, []) and b[1].tolist() == [len(x) for x in whole_b]
+    assert len(own.kept_a) <= most
+
+
+def test_random_texts_equal_the_libraries(tokenizers):
+    rng = np.random.default_rng(5)
+    letters = list(" " * 12 + "\n\t\r\u00a0\u3000\x1f\x85abcé東's.,1😀_<>|")
+    texts = ["".join(rng.choice(letters, rng.integers(1, 40))) for _ in range(3000)]
+    a, b = tokenizers.encoded(texts)
+    assert a[0].tolist() == sum((tokenizers.a.encode(" " + t, add_special_tokens=False).ids for t in texts), [])
+    assert b[0].tolist() == sum(tokenizers.b.encode(texts), [])
 
 
 def test_token_groups(spark, table_of, tokenizers):

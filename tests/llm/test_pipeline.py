@@ -83,3 +83,30 @@ def test_empty_table(spark, folder, table_of):
         docs = stage(spark, docs, folder)
         assert docs.collect() == []
         docs = table_of([])
+
+
+def test_documents_without_id_are_told_apart(spark, table_of, folder):
+    """A nameless near copy goes; an unrelated nameless document stays."""
+    rng = random.Random(3)
+    words = lambda n: " ".join(f"w{rng.randint(0, 10**6)}" for _ in range(n))
+    first, other = words(200), words(200)
+    near = first.rsplit(" ", 1)[0] + " end"
+    (item, *_) = [r.text for r in spark.read.parquet(f"{folder}/benchmark.parquet").orderBy("item_id").collect()]
+    leak = f"{words(60)} {item} {words(60)}"
+    rows = [(5, first), (None, near), (None, other), (None, other), (None, ""), (None, ""), (None, None), (None, leak), (-3, words(80))]
+    kept = pipeline.one_of_each_group(spark, table_of(rows), folder)
+    expected = [(5, first), (None, other), (None, ""), (None, ""), (None, None), (None, leak), rows[-1]]
+    assert kept.columns == pipeline.COLUMNS
+    assert sorted(map(str, ((r.doc_id, r.text) for r in kept.collect()))) == sorted(map(str, expected))
+    kept = pipeline.without_benchmark(spark, table_of(rows), folder)
+    expected = [r for r in rows if r[1] != leak]
+    assert sorted(map(str, ((r.doc_id, r.text) for r in kept.collect()))) == sorted(map(str, expected))
+
+
+def test_good_documents_keep_columns_of_any_name(spark, table_of):
+    from kipimo.llm import quality
+
+    good = " ".join(f"w{i}" for i in range(60))
+    docs = table_of([(i, good + str(i), None, f"h{i % 3}") for i in range(30)] + [(99, "bad")], ["_failed", "base_failed"])
+    kept = quality.keep_good(docs)
+    assert kept.columns == docs.columns and kept.count() == 30
