@@ -246,15 +246,17 @@ def geometry_diagnostics(frames: Column, layout: Layout = FULL_BODY) -> Column:
     return let(anchors, summary)
 
 
+def missing_points(frame: Column, first: int, count: int) -> Column:
+    """How many of ``count`` points from ``first`` on are missing in one frame."""
+    indices = F.sequence(F.lit(first), F.lit(first + count - 1))
+    return F.size(F.filter(indices, lambda i: ~point_present(_point(frame, i))))
+
+
 def missingness(frames: Column, layout: Layout = FULL_BODY) -> Column:
     """Share of missing points per block; null for a clip without frames."""
 
     def rate(clip, first, count):
-        def missing_in(frame):
-            indices = F.sequence(F.lit(first), F.lit(first + count - 1))
-            return F.size(F.filter(indices, lambda i: ~point_present(_point(frame, i))))
-
-        missing = F.aggregate(clip, F.lit(0), lambda acc, f: acc + missing_in(f))
+        missing = F.aggregate(clip, F.lit(0), lambda acc, f: acc + missing_points(f, first, count))
         return F.when(F.size(clip) > 0, missing / (F.size(clip) * count))
 
     return let(

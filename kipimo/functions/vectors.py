@@ -75,6 +75,27 @@ def argmax_label(p: Column, labels: Column, digits: int = 4) -> Column:
     return let(p, best)
 
 
+def argmax_of_logits(logits: Column, labels: Column, digits: int = 4) -> Column:
+    """:func:`argmax_label` of the softmax of logits, without its array of probabilities.
+
+    The largest share is 1 / sum(exp(z - top)): one fold over the logits.
+    """
+
+    def best(z):
+        def of_top(top):
+            index = (F.array_position(z, top) - 1).cast("int")
+            scaled = F.aggregate(z, F.lit(0.0), lambda acc, x: acc + F.exp(x - top))
+            return F.struct(
+                label_of(index, labels).alias("label"),
+                index.alias("index"),
+                F.round(1.0 / scaled, digits).alias("confidence"),
+            )
+
+        return let(F.array_max(z), of_top)
+
+    return let(logits, best)
+
+
 def rank_classes(p: Column, labels: Column) -> Column:
     """Predictions sorted by probability, highest first; ties by higher index."""
     scored = F.transform(

@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 
 from ..functions import clips as C
 from ..functions.columns import safe_rate, usable_fps
-from ..functions.layout import FULL_BODY, MISSING_ATOL, TARGET_LENGTH, Layout
+from ..functions.layout import FULL_BODY, TARGET_LENGTH, Layout
+from .moments import position_moments
 from .quantiles import exact_quantiles, with_quantiles
 from .tables import listed, one_row
 
@@ -92,6 +93,42 @@ def resample_frames(
     )
 
 
+def normalize_frames(frames: DataFrame, vector: str = "x", layout: Layout = FULL_BODY) -> DataFrame:
+    """Every frame of a frame table centred and scaled by its own shoulders."""
+    moved = C.normalize_geometry(F.array(vector), layout)
+    return frames.withColumn(vector, F.get(moved, F.lit(0)))
+
+
+def audit_frames(
+    frames: DataFrame, keys: list[str], vector: str = "x", layout: Layout = FULL_BODY
+) -> DataFrame:
+    """Per recording: ``geometry`` and ``missingness_before``, as of clips, from a frame table.
+
+    Frames are judged one by one and added up in each task, so a recording of any length
+    is one row per task.
+    """
+    frame = F.col(vector)
+    missing = {name: C.missing_points(frame, *span) for name, span in layout.blocks().items()}
+    judged = frames.select(
+        *keys, C.frame_anchor(frame, layout).alias("_a"), *[m.alias(f"_{name}") for name, m in missing.items()]
+    )
+    total, used = F.count(F.lit(1)), F.count_if(F.col("_a.normalised"))
+    return judged.groupBy(*keys).agg(
+        F.struct(
+            total.cast("int").alias("frames"),
+            used.cast("int").alias("geometry_normalised_frames"),
+            (total - used).cast("int").alias("geometry_fallback_frames"),
+            F.avg("_a.scale").alias("mean_scale"),
+        ).alias("geometry"),
+        F.struct(
+            *[
+                (F.sum(f"_{name}") / (total * count)).alias(f"{name}_missing_rate")
+                for name, (_, count) in layout.blocks().items()
+            ]
+        ).alias("missingness_before"),
+    )
+
+
 def detection_rate(
     frames: DataFrame,
     keys: list[str],
@@ -119,19 +156,16 @@ def detection_rate(
 def fit_feature_stats(clips: DataFrame, frames: str = "frames") -> DataFrame:
     """One row (mean, std): population statistics per feature over all frames.
 
-    Values are summed map-side, so only one partial row per feature and task is
-    shuffled; the result has the feature width, whatever the data size.
+    Each task sends one row of moments; the result has the feature width, whatever
+    the data size.
     """
+    row = F.struct("at", "mean", "std")
     return (
-        clips.select(F.explode_outer(frames).alias("f"))
-        .select(F.posexplode_outer("f").alias("i", "x"))
-        .filter("i is not null")
-        .groupBy("i")
-        .agg(F.avg(F.col("x").cast("double")).alias("m"), F.stddev_pop(F.col("x").cast("double")).alias("s"))
-        .agg(F.array_sort(F.collect_list(F.struct("i", "m", "s"))).alias("a"))
+        position_moments(clips, frames)
+        .agg(F.array_sort(F.collect_list(row)).alias("a"))
         .select(
-            F.transform("a", lambda r: r["m"]).alias("mean"),
-            F.transform("a", lambda r: r["s"]).alias("std"),
+            F.transform("a", lambda r: r["mean"]).alias("mean"),
+            F.transform("a", lambda r: r["std"]).alias("std"),
         )
     )
 
@@ -186,31 +220,12 @@ def array_profile(
     Count, min, max, mean, population std, largest and mean absolute value,
     whether all are finite, and how many are zero within 1e-8.
     """
-    spans = F.array(
-        *[
-            F.struct(F.lit(name).alias("range"), F.lit(a).alias("a"), F.lit(b).alias("b"))
-            for name, (a, b) in ranges.items()
-        ]
-    )
-    x = F.col("x")
-    finite = x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))
-    return (
-        vectors.select(F.posexplode_outer(column).alias("i", "v"))
-        .filter("i is not null")
-        .select("i", F.col("v").cast("double").alias("x"))
-        .withColumn("r", F.explode(F.filter(spans, lambda s: (F.col("i") >= s["a"]) & (F.col("i") < s["b"]))))
-        .groupBy("r.range")
-        .agg(
-            F.count("*").alias("count"),
-            F.min("x").alias("min"),
-            F.max("x").alias("max"),
-            F.avg("x").alias("mean"),
-            F.stddev_pop("x").alias("std"),
-            F.max(F.abs(x)).alias("max_abs"),
-            F.avg(F.abs(x)).alias("mean_abs"),
-            F.every(finite).alias("all_finite"),
-            F.count_if(F.abs(x) <= MISSING_ATOL).alias("near_zero"),
-        )
+    names = F.array(*[F.lit(name) for name in ranges])
+    found = position_moments(vectors, column, list(ranges.values()))
+    return found.select(
+        F.get(names, F.col("at")).alias("range"),
+        F.col("n").alias("count"),
+        *["min", "max", "mean", "std", "max_abs", "mean_abs", "all_finite", "near_zero"],
     )
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from ..functions import text as X
 from ..functions import vectors as V
 from ..functions.columns import let
+from .moments import weighted_sums
 
 
 def first_subwords(tokens: Column, word: str = "word_id") -> Column:
@@ -60,17 +61,9 @@ def validate_text(df: DataFrame, column: str = "text") -> DataFrame:
 def pool_tokens(tokens: DataFrame, sentence: list[str], vector="vector", mask="mask") -> DataFrame:
     """Masked mean of token vectors given one row per token.
 
-    Summed per (sentence, dimension) with map-side combining, so a sentence of
-    any length is pooled without collecting its tokens; the final collect is as
-    wide as one vector.
+    A task adds up the tokens of each sentence as one vector, so a sentence of any
+    length is pooled without collecting its tokens.
     """
-    values = tokens.select(*sentence, mask, F.posexplode(vector).alias("dim", "x"))
-    m = F.col(mask).cast("double")
-    per_dim = values.groupBy(*sentence, "dim").agg(
-        (F.sum(F.col("x").cast("double") * m) / F.greatest(F.sum(m), F.lit(V.MASK_FLOOR))).alias("x")
-    )
-    return (
-        per_dim.groupBy(*sentence)
-        .agg(F.array_sort(F.collect_list(F.struct("dim", "x"))).alias("a"))
-        .select(*sentence, F.transform("a", lambda s: s["x"]).alias("pooled"))
-    )
+    found = weighted_sums(tokens, sentence, vector, F.col(mask))
+    total = F.greatest("weight", F.lit(V.MASK_FLOOR))
+    return found.select(*sentence, let(total, lambda t: F.transform("sums", lambda x: x / t)).alias("pooled"))

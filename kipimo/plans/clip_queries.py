@@ -282,42 +282,51 @@ def missingness(spark, sf_dir):
     return rates.select("clip_id", *_missing("m"))
 
 
-@query(
-    "preprocess_clip",
-    with_ctes(
-        """SELECT clip_id, frames, geometry_fallback_frames, mean_scale, 64::BIGINT AS output_frames, total,
-          b.pose_missing_rate AS pose_missing_rate_before, b.left_hand_missing_rate AS left_hand_missing_rate_before,
-          b.right_hand_missing_rate AS right_hand_missing_rate_before,
-          a.pose_missing_rate AS pose_missing_rate_after, a.left_hand_missing_rate AS left_hand_missing_rate_after,
-          a.right_hand_missing_rate AS right_hand_missing_rate_after
-        FROM geometry JOIN missing_before b USING (clip_id) JOIN missing_after a USING (clip_id)
-          JOIN (SELECT clip_id, round(sum(v), 4) AS total FROM result GROUP BY clip_id) USING (clip_id)""",
-        "native",
-        "steps",
-        points=_POINTS,
-        anchors=_ANCHORS,
-        moved=_MOVED,
-        result=resampled("moved"),
-        geometry=_GEOMETRY,
-        missing_before=_missing_sql("native"),
-        missing_after=_missing_sql("result", "k"),
-    ),
+_PREPROCESSED = with_ctes(
+    """SELECT clip_id, frames, geometry_fallback_frames, mean_scale, 64::BIGINT AS output_frames, total,
+      b.pose_missing_rate AS pose_missing_rate_before, b.left_hand_missing_rate AS left_hand_missing_rate_before,
+      b.right_hand_missing_rate AS right_hand_missing_rate_before,
+      a.pose_missing_rate AS pose_missing_rate_after, a.left_hand_missing_rate AS left_hand_missing_rate_after,
+      a.right_hand_missing_rate AS right_hand_missing_rate_after
+    FROM geometry JOIN missing_before b USING (clip_id) JOIN missing_after a USING (clip_id)
+      JOIN (SELECT clip_id, round(sum(v), 4) AS total FROM result GROUP BY clip_id) USING (clip_id)""",
+    "native",
+    "steps",
+    points=_POINTS,
+    anchors=_ANCHORS,
+    moved=_MOVED,
+    result=resampled("moved"),
+    geometry=_GEOMETRY,
+    missing_before=_missing_sql("native"),
+    missing_after=_missing_sql("result", "k"),
 )
-def preprocess_clip(spark, sf_dir):
-    done = A.preprocess_clips(native(spark, sf_dir), LAYOUT)
+
+
+def _diagnostics(done):
     values = F.transform(F.flatten("sequence"), lambda x: x.cast("double"))
     return done.select(
         "clip_id",
         F.col("geometry.frames").cast("long").alias("frames"),
         F.col("geometry.geometry_fallback_frames").cast("long").alias("geometry_fallback_frames"),
         F.round("geometry.mean_scale", 6).alias("mean_scale"),
-        F.get("output_shape", F.lit(0)).cast("long").alias("output_frames"),
+        F.size("sequence").cast("long").alias("output_frames"),
         F.round(array_sum(values), 4).alias("total"),
         *_missing("missingness_before", "_before"),
         *_missing("missingness_after", "_after"),
     )
 
 
+@query("preprocess_clip", _PREPROCESSED)
+def preprocess_clip(spark, sf_dir):
+    return _diagnostics(A.preprocess_clips(native(spark, sf_dir), LAYOUT))
+
+
+@query("preprocess_frames", _PREPROCESSED)
+def preprocess_frames(spark, sf_dir):
+    """The same from the frame table: no recording becomes a row before it is short."""
+    return _diagnostics(A.preprocess_frames(views.frame_table(spark, sf_dir), ["clip_id"], layout=LAYOUT))
+
+
 # ---- checks, audits, profiles ---------------------------------------------------------------
 
 

@@ -104,8 +104,8 @@ def softmax(spark, sf_dir):
 )
 def argmax_label(spark, sf_dir):
     names = F.array(*[F.lit(t) for t in views.TAGS])
-    p = V.softmax(views.tag_logits("piece"))
-    best = first_pieces(spark, sf_dir).select(V.argmax_label(p, names).alias("b"))
+    logits = views.tag_logits("piece")
+    best = first_pieces(spark, sf_dir).select(V.argmax_of_logits(logits, names).alias("b"))
     return best.groupBy(F.col("b.label").alias("label")).agg(
         F.count("*").alias("words"), F.round(F.avg("b.confidence"), 6).alias("mean_confidence")
     )

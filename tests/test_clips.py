@@ -285,3 +285,100 @@ def test_unlisted_names_fail(spark):
     files = spark.createDataFrame([("x", "f"), ("y", "g")], "label string, file string")
     with pytest.raises(Exception, match="not a listed name"):
         clipsets.first_per_class(files, ["x"]).collect()
+
+
+def _done(df):
+    return {r["clip_id"]: r.asDict(recursive=True) for r in df.collect()}
+
+
+def _close(a, b):
+    if isinstance(a, dict):
+        return a.keys() == b.keys() and all(_close(a[k], b[k]) for k in a)
+    if a is None or b is None or (isinstance(a, list) and None in a):
+        return a == b
+    return np.allclose(a, b, rtol=1e-5, atol=1e-6)
+
+
+def test_kernel_equals_columns(spark, natives, monkeypatch):
+    """Every step of the Arrow form, with empty and null clips, bad shoulders and absent points."""
+    monkeypatch.setattr(prepare, "_SLICE", 3)
+    rng = np.random.default_rng(7)
+    clips = dict(natives)
+    for k in range(100, 112):
+        clip = rng.normal(size=(1 + k % 4, SMALL.width)).astype(np.float32)
+        clip.reshape(len(clip), -1, 3)[rng.random((len(clip), SMALL.points)) < 0.4] = 0
+        clips[k] = clip
+    clips[200] = np.zeros((3, SMALL.width), np.float32)
+    clips[201] = np.ones((1, SMALL.width), np.float32)
+    rows = [(k, c.tolist()) for k, c in clips.items()] + [(300, []), (301, None)]
+    df = spark.createDataFrame(rows, "clip_id long, frames array<array<float>>").coalesce(2)
+    kernel = prepare.preprocess_clips(df, SMALL, 8)
+    columns = prepare.preprocess_clips_columns(df, SMALL, 8)
+    assert kernel.columns == columns.columns and kernel.schema.simpleString() == columns.schema.simpleString()
+    plan = kernel._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1
+    a, b = _done(kernel), _done(columns)
+    for k in a:
+        assert all(_close(a[k][c], b[k][c]) for c in kernel.columns), k
+
+
+def test_frame_table_form_equals_clips(spark, natives):
+    rows = [(k, i, f.tolist()) for k, clip in natives.items() for i, f in enumerate(clip)]
+    rows += [(None, i, r[2]) for i, r in enumerate(rows[:5])]
+    table = spark.createDataFrame(rows, "clip_id long, frame_index long, x array<float>").repartition(5)
+    found = _done(prepare.preprocess_frames(table, ["clip_id"], layout=SMALL, n=8))
+    clips = clipsets.frames_to_clips(table, ["clip_id"])
+    expected = _done(prepare.preprocess_clips(clips, SMALL, 8))
+    assert found.keys() == expected.keys()
+    for k, row in found.items():
+        assert all(_close(row[c], expected[k][c]) for c in ("geometry", "missingness_before", "sequence", "missingness_after"))
+
+
+def test_a_recording_of_many_frames(spark):
+    """One recording of 100,000 frames: audited, moved and resampled without a row that holds it."""
+    n = 100_000
+    values = [(F.col("id") % 7 + 1 + d).cast("float") for d in range(SMALL.width)]
+    table = spark.range(0, n, 1, 6).select(F.lit(1).alias("clip_id"), F.col("id").alias("frame_index"), F.array(*values).alias("x"))
+    (row,) = prepare.preprocess_frames(table, ["clip_id"], layout=SMALL).collect()
+    assert row["geometry"]["frames"] == n and len(row["sequence"]) == 64
+    plan = prepare.preprocess_frames(table, ["clip_id"], layout=SMALL)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ObjectHashAggregate") <= 2  # of the few picked frames only
+
+
+def test_moments_of_ragged_odd_vectors(spark):
+    from kipimo.operators import moments
+
+    rng = np.random.default_rng(2)
+    rows = [([float(x) for x in 1e6 + rng.normal(size=1 + i % 4)],) for i in range(200)]
+    rows += [(None,), ([],), ([None, 5.0],), ([0.0, -0.0, 1e-9],)]
+    df = spark.createDataFrame(rows, "v array<double>").repartition(7)
+    exploded = df.select(F.posexplode("v").alias("at", "x")).groupBy("at").agg(
+        F.count("x").alias("n"), F.avg("x").alias("mean"), F.stddev_pop("x").alias("std"), F.min("x").alias("min"),
+        F.max("x").alias("max"), F.max(F.abs("x")).alias("max_abs"), F.avg(F.abs("x")).alias("mean_abs"),
+        F.count_if(F.abs("x") <= 1e-8).alias("near_zero"),
+    )
+    found = {r.at: r for r in moments.position_moments(df, "v").collect()}
+    for r in exploded.collect():
+        for c in exploded.columns:
+            assert found[r.at][c] == pytest.approx(r[c], rel=1e-9), (r.at, c)
+    odd = spark.createDataFrame([([1.0, float("nan")],), ([2.0, float("inf")],), ([3.0, -4.0],)], "v array<double>")
+    first, second = moments.position_moments(odd, "v").orderBy("at").collect()
+    assert first.all_finite and (first.min, first.max, first.std) == (1.0, 3.0, pytest.approx((2 / 3) ** 0.5))
+    assert not second.all_finite and second.min == -4.0 and np.isnan(second.max) and np.isnan(second.max_abs)
+    assert moments.position_moments(odd.limit(0), "v").collect() == []
+    plan = clipsets.fit_feature_stats(spark.createDataFrame([([[1.0, 2.0]],)], "frames array<array<double>>"))
+    assert plan._jdf.queryExecution().executedPlan().toString().count("Generate") == 1  # of task rows
+
+
+def test_sums_by_group(spark, monkeypatch):
+    from kipimo.operators import moments
+
+    rows = [(None if i % 5 == 0 else i % 3, f"k{i % 2}", [float(i), 1.0], None if i == 7 else i % 4) for i in range(90)] + [(1, "k1", None, 3)]
+    df = spark.createDataFrame(rows, "g int, k string, v array<double>, w int").repartition(4)
+    for limit in (2, 50_000):
+        monkeypatch.setattr(moments, "_HELD_GROUPS", limit)
+        found = {(r.g, r.k): (r.sums, r.weight) for r in moments.weighted_sums(df, ["g", "k"], "v", F.col("w")).collect()}
+        for key in {(r[0], r[1]) for r in rows}:
+            mine = [r for r in rows if (r[0], r[1]) == key and r[2]]
+            w = [r[3] or 0 for r in mine]
+            assert found[key] == ([sum(x * r[2][d] for x, r in zip(w, mine)) for d in range(2)], sum(w))
