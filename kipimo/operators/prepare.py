@@ -35,7 +35,7 @@ def _matrix(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         raise ValueError("frames of different widths in one batch")
     width = int(widths[0]) if widths.size else 0
     values = np.asarray(frames.flatten(), dtype=np.float64)
-    return values.reshape(-1, width), lengths
+    return values.reshape(len(widths), width), lengths
 
 
 def _vectors(column: pa.Array) -> np.ndarray:
@@ -69,12 +69,8 @@ def _column(clips: np.ndarray, lengths: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(ends), inner, mask=mask)
 
 
-def _prepare(select, layout: Layout, n: int):
-    """Arrow UDF (frames, mean, std) -> resampled, padded, standardised clip.
-
-    Batches are worked off in slices, which bounds what a worker holds whatever
-    the session's Arrow batch size.
-    """
+def _ready(select, layout: Layout, n: int):
+    """Function of (frames, mean, std) arrays: resampled, padded, standardised clips."""
 
     def ready(frames: pa.Array, mean: pa.Array, std: pa.Array) -> pa.Array:
         stacked, lengths = _matrix(frames)
@@ -87,6 +83,17 @@ def _prepare(select, layout: Layout, n: int):
         standard = _standardise(padded, _vectors(mean)[usable], _vectors(std)[usable])
         return _column(standard, lengths)
 
+    return ready
+
+
+def _prepare(select, layout: Layout, n: int):
+    """Arrow UDF (frames, mean, std) -> resampled, padded, standardised clip.
+
+    Batches are worked off in slices, which bounds what a worker holds whatever
+    the session's Arrow batch size.
+    """
+    ready = _ready(select, layout, n)
+
     @F.arrow_udf(CLIP)
     def prepare(
         batches: Iterator[tuple[pa.Array, pa.Array, pa.Array]],
@@ -117,6 +124,30 @@ def prepare_native(
     return _prepare(hands, layout, n)(frames, mean, std)
 
 
+def prepare_variants(
+    variants: Column, mean: Column, std: Column, layout: Layout = FULL_BODY, n: int = TARGET_LENGTH
+) -> Column:
+    """:func:`prepare_source` of every clip in an array of clips of one row."""
+    ready = _ready(lambda stacked: stacked, layout, n)
+
+    @F.arrow_udf(T.ArrayType(CLIP))
+    def prepare(batches: Iterator[tuple[pa.Array, pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        for columns in batches:
+            for start in range(0, len(columns[0]), _SLICE // 8):
+                clips, mu, sigma = (c.slice(start, _SLICE // 8) for c in columns)
+                counts = np.asarray(clips.value_lengths().fill_null(0))
+                row = pa.array(np.repeat(np.arange(len(clips)), counts))
+                yield as_lists(ready(clips.flatten(), mu.take(row), sigma.take(row)), counts)
+
+    return prepare(variants, mean, std)
+
+
+def as_lists(values: pa.Array, counts: np.ndarray) -> pa.Array:
+    """Values dealt out into lists of the given lengths."""
+    ends = np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), values)
+
+
 def prepare_source_columns(frames, mean, std, layout=FULL_BODY, n=TARGET_LENGTH) -> Column:
     return C.zscore(C.pad_features(C.interpolate_linear(frames, n), layout), mean, std)
 

@@ -7,8 +7,9 @@ from ..functions import clips as C
 from ..functions.conditions import ABLATIONS, PROBES
 from ..functions.layout import FULL_BODY, TARGET_LENGTH, Layout
 from .clipsets import join_feature_stats
-from .prepare import prepare_source
+from .prepare import prepare_source, prepare_variants
 from .quantiles import exact_quantiles, with_quantiles
+from .scoring import with_metrics
 from .tables import grid, listed, one_row
 
 _UNCERTAINTY = {
@@ -66,6 +67,45 @@ def ablate_clips(
     return ablated.withColumn("prepared", prepared).drop("frames", "mean", "std")
 
 
+def ablation_variants(
+    clips: DataFrame, stats: DataFrame, layout: Layout = FULL_BODY, registry=ABLATIONS
+) -> DataFrame:
+    """Each clip as one row with ``conditions`` and, in their order, ``prepared`` variants.
+
+    The row form of :func:`ablate_clips`: what belongs to one clip is never taken apart.
+    """
+    resampled = clips.withColumn("frames", C.interpolate_linear(F.col("frames"), TARGET_LENGTH))
+    ready = join_feature_stats(resampled, stats)
+    mean = F.col("mean").cast("array<float>")
+    chosen = list(registry.values())
+    variants = F.array(*[c.apply(F.col("frames"), mean, layout) for c in chosen])
+    return (
+        ready.withColumn("_variants", variants)
+        .withColumn("conditions", F.array(*[F.lit(c.name) for c in chosen]))
+        .withColumn("prepared", prepare_variants(F.col("_variants"), F.col("mean"), F.col("std"), layout))
+        .drop("frames", "mean", "std", "_variants")
+    )
+
+
+def compared_variants(scored: DataFrame, label: str | None = "label", clean: str = "clean") -> DataFrame:
+    """One row per clip and condition with metrics, beside the clean condition of the same row.
+
+    ``scored`` has ``conditions`` and their probabilities ``ps``.  The row form of
+    :func:`beside_clean`: nothing is joined, sorted or exchanged.
+    """
+    at_clean = F.array_position("conditions", clean).cast("int")
+    own = with_metrics(scored.withColumn("p", F.get("ps", at_clean - 1)), label)
+    passed = [c for c in scored.columns if c not in ("conditions", "ps")]
+    cells = F.arrays_zip(F.col("conditions").alias("condition"), F.col("ps").alias("p"))
+    rows = own.select(
+        *passed,
+        F.col("predicted").alias("clean_predicted"),
+        F.col("true_probability").alias("clean_true_probability"),
+        F.explode(cells).alias("_c"),
+    ).select(*passed, "clean_predicted", "clean_true_probability", "_c.condition", "_c.p")
+    return _against_clean(with_metrics(rows, label))
+
+
 def union_conditions(parts: dict[str, DataFrame]) -> DataFrame:
     """Prediction tables stacked with their condition name."""
     named = [df.withColumn("condition", F.lit(name)) for name, df in parts.items()]

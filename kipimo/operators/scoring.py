@@ -1,11 +1,16 @@
 """Batch scoring of prepared clips and uncertainty metrics of predictions."""
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.ml.functions import predict_batch_udf
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import vectors as V
+from .prepare import as_lists
 
 
 def score_clips(
@@ -43,6 +48,49 @@ def score_clips(
     return scored.withColumn("labels", labels_column(labels))
 
 
+def score_variants(
+    clips: DataFrame,
+    make_predict_fn,
+    labels: list[str],
+    length: int,
+    width: int,
+    variants: str = "prepared",
+    batch_size: int = 256,
+) -> DataFrame:
+    """Adds ``ps``: class probabilities of every clip in an array of clips of one row.
+
+    All clips of a batch go to the model together, ``batch_size`` at a time, and their
+    results stay side by side in the row; a null or empty clip gets null.
+    ``make_predict_fn`` is as for :func:`score_clips` and called once per task.
+    """
+
+    @F.arrow_udf(T.ArrayType(T.ArrayType(T.FloatType())))
+    def predicted(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        predict = make_predict_fn()
+        for column in batches:
+            for start in range(0, len(column), batch_size):
+                rows = column.slice(start, batch_size)
+                counts = np.asarray(rows.value_lengths().fill_null(0))
+                flat = rows.flatten()
+                frames = np.asarray(flat.value_lengths().fill_null(0))
+                if not np.isin(frames, (0, length)).all():
+                    raise ValueError(f"clips of another length than {length}")
+                usable = np.flatnonzero(frames)
+                values = np.asarray(flat.flatten().flatten(), np.float32).reshape(-1, length, width)
+                found = [predict(values[at : at + batch_size]) for at in range(0, len(values), batch_size)]
+                p = np.concatenate([np.zeros((0, len(labels)), np.float32), *found]).astype(np.float32)
+                ends = np.zeros(len(flat) + 1, np.int32)
+                ends[usable + 1] = p.shape[1]
+                missing = np.append(frames == 0, False)
+                single = pa.ListArray.from_arrays(
+                    pa.array(np.cumsum(ends, dtype=np.int32), mask=missing), pa.array(p.ravel())
+                )
+                yield as_lists(single, counts)
+
+    scored = clips.withColumn("ps", predicted(F.col(variants)).cast("array<array<double>>"))
+    return scored.withColumn("labels", labels_column(labels))
+
+
 def labels_column(labels: list[str]) -> Column:
     return F.array(*[F.lit(x) for x in labels])
 

@@ -131,7 +131,9 @@ def ablation_scores(spark, sf_dir):
 
 
 def ablation_compared(spark, sf_dir):
-    return Q.beside_clean(ablation_scores(spark, sf_dir), KEYS)
+    """All conditions of a clip from one row, beside the clean one."""
+    clips, stats = clips_and_stats(spark, sf_dir)
+    return Q.compared_variants(views.scored_variants(Q.ablation_variants(clips, stats, LAYOUT)))
 
 
 def method_scores(spark, sf_dir):

@@ -259,17 +259,29 @@ def feature_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fit_feature_stats(rows)
 
 
+def scorer():
+    """The stand-in scorer: one feature of each hand block per class, so that no ablation ties classes."""
+    from ..operators.scoring import late_weighted_scorer
+
+    features = [[5 * k, LAYOUT.hand_width + 5 * k] for k in range(len(CLIP_LABELS))]
+    return late_weighted_scorer(TARGET_LENGTH, LAYOUT.width, features)
+
+
 def scored(prepared: DataFrame) -> DataFrame:
     """Prepared clips through the stand-in scorer, with all metrics."""
-    from ..operators.scoring import late_weighted_scorer, score_clips, with_metrics
+    from ..operators.scoring import score_clips, with_metrics
 
-    # One feature of each hand block per class, so that no ablation ties classes.
-    features = [[5 * k, LAYOUT.hand_width + 5 * k] for k in range(len(CLIP_LABELS))]
-    make = late_weighted_scorer(TARGET_LENGTH, LAYOUT.width, features)
-    raw = score_clips(prepared, make, CLIP_LABELS, TARGET_LENGTH, LAYOUT.width)
+    raw = score_clips(prepared, scorer(), CLIP_LABELS, TARGET_LENGTH, LAYOUT.width)
     return with_metrics(raw.drop("prepared"))
 
 
+def scored_variants(prepared: DataFrame) -> DataFrame:
+    """Arrays of prepared clips through the same scorer."""
+    from ..operators.scoring import score_variants
+
+    return score_variants(prepared, scorer(), CLIP_LABELS, TARGET_LENGTH, LAYOUT.width).drop("prepared")
+
+
 def token_arrays(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per document: all its words in pieces of four characters.
 

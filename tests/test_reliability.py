@@ -193,3 +193,25 @@ def test_quantiles_of_piled_up_values(spark):
     for g in range(3):
         assert found[g].low == np.quantile(values[g::3], 0.05) or abs(found[g].low - np.quantile(values[g::3], 0.05)) < 1e-15
         assert abs(found[g].mid - np.quantile(values[g::3], 0.5)) < 1e-15
+
+
+def test_variants_in_one_row_equal_the_long_form(spark, data):
+    """Scores, metrics and clean baseline of all conditions, without window or exchange."""
+    from kipimo.plans import reliability_queries as queries
+    from kipimo.plans import views
+
+    clips, stats = queries.clips_and_stats(spark, data)
+    empty = clips.limit(1).withColumn("clip_id", F.lit(-1).cast("long")).withColumn("file", F.lit("none.npy"))
+    empty = empty.withColumn("frames", F.slice("frames", 1, 0))
+    clips = clips.unionByName(empty.select(*clips.columns))
+    variants = reliability.ablation_variants(clips, stats, queries.LAYOUT)
+    row_form = reliability.compared_variants(views.scored_variants(variants))
+    long_form = reliability.beside_clean(views.scored(reliability.ablate_clips(clips, stats, queries.LAYOUT)), queries.KEYS)
+    columns = ["clip_id", "condition", "predicted", "clean_predicted", "correct", "prediction_retained"]
+    doubles = ["max_probability", "margin", "normalized_entropy", "true_probability", "true_probability_drop"]
+    chosen = [*columns, *[F.round(c, 7).alias(c) for c in doubles]]
+    a, b = (sorted(map(str, df.select(*chosen).collect())) for df in (row_form, long_form))
+    assert a == b and len(a) == 8 * clips.count()
+    plan = variants.sparkSession.createDataFrame(variants.limit(3).toArrow())
+    one = reliability.compared_variants(views.scored_variants(plan))._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in one and "Exchange" not in one
