@@ -2,9 +2,9 @@
 
 A line of at least ``min_words`` words is removed if an earlier line of any document
 (by doc_id, then line number) can be made from it by at most one edit: a word put in,
-taken out or replaced.  Of shorter lines, those of at least ``exact_words`` words are
-removed if an earlier line has the same words; the rest, by default all, stay.  White
-space within a line does not count.
+taken out or replaced.  Shorter lines of at least ``exact_words`` words, by default all
+with a word, are removed if an earlier line has the same words.  White space within a line
+does not count.
 
 1. Lines become keys (their words' hash); each distinct line keeps its first place.
 2. One edit leaves one half of a line as it is.  Lines that share neither half with
@@ -35,6 +35,7 @@ from .idfilter import HashFilter, IdFilter, slots
 from .textblock import TextBlock, filled, mixed, slices
 
 MIN_WORDS = 6
+EXACT_WORDS = 1
 SEEN = 300_000
 _NULL = -(1 << 63)
 _BASE = 0x9E3779B97F4A7C15 | 1
@@ -277,14 +278,13 @@ def dedup_lines(
     id_col: str = "doc_id",
     text_col: str = "text",
     min_words: int = MIN_WORDS,
-    exact_words: int | None = None,
+    exact_words: int = EXACT_WORDS,
 ) -> DataFrame:
     """doc (the row as it was), n_lines, n_removed, kept (the text that stays).
 
-    One row per row of ``docs``.  Without ``exact_words``, lines of fewer than
-    ``min_words`` words stay.
+    One row per row of ``docs``.
     """
-    least = min_words if exact_words is None else max(min(exact_words, min_words), 1)
+    least = max(min(exact_words, min_words), 1)
     key = [
         F.coalesce(F.col(id_col).cast("long"), F.lit(_NULL)).alias("id"),
         F.xxhash64(F.col(text_col)).alias("row"),
@@ -315,7 +315,7 @@ def dedup_lines(
     return changed.unionByName(rest)
 
 
-#: The same lines by all deletions of all lines; {documents} is the table's name.
+#: The same lines by all deletions of all lines of six words or more; {documents} is the table's name.
 SQL = """
 WITH lines AS (
   SELECT doc_id, unnest(string_split(text, chr(10))) AS raw,
@@ -323,21 +323,23 @@ WITH lines AS (
   FROM {documents} WHERE coalesce(text, '') <> ''
 ), occ AS (
   SELECT doc_id, line, array_to_string(w, ' ') AS l, w
-  FROM (SELECT doc_id, line, regexp_extract_all(raw, '[^\\x20\\x09-\\x0D]+') AS w FROM lines) WHERE len(w) >= 6
+  FROM (SELECT doc_id, line, regexp_extract_all(raw, '[^\\x20\\x09-\\x0D]+') AS w FROM lines) WHERE len(w) >= 1
 ), firsts AS (
   SELECT l, any_value(w) AS w, min({{'d': doc_id, 'n': line}}) AS pos FROM occ GROUP BY l
+), long AS (
+  SELECT * FROM firsts WHERE len(w) >= 6
 ), shorter AS (
   SELECT l, pos, i, array_to_string(w[1 : i - 1], ' ') || chr(10) || array_to_string(w[i + 1 :], ' ') AS place_key,
          array_to_string(list_concat(w[1 : i - 1], w[i + 1 :]), ' ') AS k
-  FROM (SELECT l, pos, w, unnest(range(1, len(w) + 1)) AS i FROM firsts)
+  FROM (SELECT l, pos, w, unnest(range(1, len(w) + 1)) AS i FROM long)
 ), near AS (
   SELECT l, pos FROM firsts
   UNION ALL
   SELECT a.l, min(b.pos) FROM shorter a JOIN shorter b ON a.place_key = b.place_key AND a.i = b.i GROUP BY a.l
   UNION ALL
-  SELECT a.l, min(b.pos) FROM shorter a JOIN firsts b ON a.k = b.l GROUP BY a.l
+  SELECT a.l, min(b.pos) FROM shorter a JOIN long b ON a.k = b.l GROUP BY a.l
   UNION ALL
-  SELECT a.l, min(b.pos) FROM firsts a JOIN shorter b ON a.l = b.k GROUP BY a.l
+  SELECT a.l, min(b.pos) FROM long a JOIN shorter b ON a.l = b.k GROUP BY a.l
 ), best AS (
   SELECT l, min(pos) AS pos FROM near GROUP BY l
 ), gone AS (

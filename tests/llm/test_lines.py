@@ -57,12 +57,12 @@ def test_equals_brute_force(spark, table_of, seed, min_words):
         rows.append((rng.randint(0, 45), "\n".join(text)))
     rows += [(None, rows[0][1]), (None, None), (99, ""), (100, "\n\n"), rows[3], rows[3]]
     docs = table_of(rows, ["line", "key", "doc"]).repartition(3)
-    found = lines.dedup_lines(docs, min_words=min_words).collect()
+    found = lines.dedup_lines(docs, min_words=min_words, exact_words=min_words).collect()
     assert sorted(((str(r.doc.doc_id), r.n_lines, r.n_removed, r.kept) for r in found), key=str) == _expected(rows, min_words)
     assert all(r.doc.line == "x" and r.doc.doc == "x" for r in found)
 
 
-@pytest.mark.parametrize("exact_words", [1, 3, None])
+@pytest.mark.parametrize("exact_words", [1, 3, 6])
 def test_short_lines_go_if_equal(spark, table_of, exact_words):
     rng = random.Random(5)
     rows = []
@@ -82,7 +82,7 @@ def test_short_lines_go_if_equal(spark, table_of, exact_words):
                     stay.append(rest.pop(0))
             else:
                 assert not text or rest.pop(0) == raw
-                if not (words in seen and len(words) >= (exact_words or 6)):
+                if not (words in seen and len(words) >= exact_words):
                     stay.append(raw)
                 if words:
                     seen.add(words)
@@ -119,3 +119,19 @@ def test_within_one_edit():
     for _ in range(3000):
         a, b = ([rng.choice("ab") for _ in range(rng.randint(0, 5))] for _ in range(2))
         assert lines.within_one_edit(a, b) == (_distance(a, b) <= 1)
+
+
+@pytest.mark.parametrize("sf", ["sf0.001"])
+def test_sql(spark, sf):
+    import duckdb
+
+    from kipimo.llm.queries import QUERIES
+
+    path = f"/root/testdata/{sf}"
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{path}/documents.parquet'")
+    result = con.execute(lines.SQL.format(documents="documents"))
+    names = [c[0] for c in result.description]
+    found = QUERIES["op6_line_dedup"](spark, path).collect()
+    assert sorted(tuple(r[n] for n in names) for r in found) == sorted(result.fetchall())
+    assert sum(r.n_removed for r in found) > 0
