@@ -14,9 +14,10 @@ is linked is looked up at every link: pairs from a count on, at most ``FREQUENT`
 are sent to all tasks; the rest, each of which is rare, goes by a join.  Both ways are
 exact, and no key of the join has more rows than that count.
 
-A long text is encoded in pieces of about ``PIECE`` characters, cut at single spaces,
-where neither tokenizer joins; a worker holds the tokens of a slice of texts or of the
-longest one, whichever is more.  Defined cases: null and empty texts, and those whose
+Neither tokenizer joins a space with what is before it, so texts are encoded by segments (a
+word with the spaces before it), each distinct one of a slice once; a worker keeps the
+tokens of ``KEPT`` segments, and those of a slice of texts or of the longest one,
+whichever is more.  Defined cases: null and empty texts, and those whose
 tokens spell other bytes than space + text (as with U+2581, which B takes for a space),
 have no tokens, groups or links, and an empty digest; null and repeated ids, and
 repeated rows, are aligned and counted each; ties for a token's most frequent partner all
@@ -39,11 +40,12 @@ from ..plans.stage import staged
 from .textblock import filled, slices
 
 LANE = 64
-PIECE = 1 << 15
+KEPT = 400_000
 FREQUENT = 1 << 19
 _SLICE = 1 << 20  # bytes of text worked on at once
 _HELD = 1 << 22  # links sorted at once when they are counted
-_CUT = re.compile(r"(?<=[^\s▁]) (?=[^\s▁])")
+_CUT = re.compile(r"(?<=\S) (?=[\s\S])")
+_BLANK_AND_SPACE = re.compile(r"\s ")
 
 
 def byte_of_letter() -> dict[str, int]:
@@ -72,9 +74,13 @@ def _ranges(start: np.ndarray, size: np.ndarray) -> np.ndarray:
 
 
 class Tokenizers:
-    """Both tokenizers, as the libraries of their files read them."""
+    """Both tokenizers, as the libraries of their files read them.
 
-    def __init__(self, byte_file: str, piece_file: str):
+    Neither joins a space with what is before it, so a text falls apart into segments,
+    and the tokens of up to ``most`` different ones are kept.
+    """
+
+    def __init__(self, byte_file: str, piece_file: str, most: int = KEPT):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # one task, one core
         import sentencepiece
         from tokenizers import Tokenizer
@@ -97,33 +103,35 @@ class Tokenizers:
                 raise ValueError("pieces cross spaces: texts cannot be cut at spaces")
             pieces.append(bytes([int(piece[1:-1], 16)]) if self.b.is_byte(i) else piece.replace("▁", " ").encode())
         self.b_spelling = Spelling(pieces)
+        self.most = most
+        self.kept_a: dict[str, bytes] = {}
+        self.kept_b: dict[str, bytes] = {}
 
-    def encoded(self, texts: list[str], piece: int = PIECE) -> list[tuple[np.ndarray, np.ndarray]]:
+    def encoded(self, texts: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
         """(ids, number of ids of each text) for A and for B."""
-        parts, owner = [], []
-        for i, text in enumerate(texts):
-            cut = list(_pieces(text, piece))
-            parts += cut
-            owner += [i] * len(cut)
-        a = [e.ids for e in self.a.encode_batch_fast([" " + p for p in parts], add_special_tokens=False)]
-        b = self.b.encode(parts, num_threads=1) if parts else []
+        parts = [_segments(t) for t in texts]
+        fresh = list(set(chain.from_iterable(parts)).difference(self.kept_a))
+        own_a = [np.array(e.ids, "<i4").tobytes() for e in self.a.encode_batch_fast([" " + p for p in fresh], add_special_tokens=False)]
+        own_b = [np.array(ids, "<i4").tobytes() for ids in self.b.encode(fresh, num_threads=1)] if fresh else []
         out = []
-        for ids in (a, b):
-            size = np.bincount(np.array(owner, np.int64), [len(x) for x in ids], len(texts)).astype(np.int64)
-            out.append((np.fromiter(chain.from_iterable(ids), np.int64, int(size.sum())), size))
+        for kept, own in ((self.kept_a, dict(zip(fresh, own_a))), (self.kept_b, dict(zip(fresh, own_b)))):
+            if len(kept) + len(own) <= self.most:
+                kept.update(own)
+                own = kept
+            if own is kept or not own:
+                rows = [b"".join(map(kept.__getitem__, p)) for p in parts]
+            else:
+                rows = [b"".join([kept[s] if s in kept else own[s] for s in p]) for p in parts]
+            size = np.array([len(r) >> 2 for r in rows], np.int64)
+            out.append((np.frombuffer(b"".join(rows), "<i4").astype(np.int64), size))
         return out
 
 
-def _pieces(text: str, size: int):
-    """The text cut at single spaces, which go, every ``size`` characters or a little more."""
-    at = 0
-    while len(text) - at > size:
-        cut = _CUT.search(text, at + size)
-        if cut is None:
-            break
-        yield text[at : cut.start()]
-        at = cut.end()
-    yield text[at:]
+def _segments(text: str) -> list[str]:
+    """The text cut at every space after another character; that space goes."""
+    if text[:1] == " " or text[-1:] == " " or _BLANK_AND_SPACE.search(text):
+        return _CUT.split(text)
+    return text.split(" ")
 
 
 @lru_cache(maxsize=1)
@@ -247,10 +255,10 @@ def _decimals(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _decimals_upto(1 << max(n - 1, 1).bit_length())
 
 
-def align_texts(tokenizers: Tokenizers, texts: list[str], piece: int = PIECE) -> tuple[np.ndarray, Aligned]:
+def align_texts(tokenizers: Tokenizers, texts: list[str]) -> tuple[np.ndarray, Aligned]:
     """Indices of the texts that have tokens, and their alignment."""
     keep = np.array([i for i, t in enumerate(texts) if t], np.int64)
-    a, b = tokenizers.encoded([texts[i] for i in keep], piece)
+    a, b = tokenizers.encoded([texts[i] for i in keep])
     raw = [b" " + texts[i].encode() for i in keep]
     size = np.array([len(r) for r in raw], np.int64)
     spelled = []
