@@ -7,20 +7,27 @@ Jaccard distance is a metric; sets at distance 0.2 or less are to be linked.
    shingles first (by a count sketch of all documents), then by hash.  A set's nearest
    pivots are its own shingles, and the first of them is its Voronoi region.
 3. *Windows.*  A set of n shingles within the distance must hold one of the first
-   n - ceil(0.8 n) + 1, so a class is replicated to those regions and no others.
-   Regions with one class are dropped.  For pairs, two more triangle inequalities
-   towards fixed pivots cut before any set is compared: towards the empty set (sizes),
-   and towards 256 cells of the shingle space (the sum of the cells' differences is at
-   most the symmetric difference).
-4. *Recursion.*  In a round every class is compared with one of its regions' two
-   leaders, of another component and with most regions in common; the links found are
-   contracted into components.  Regions whose classes are in one component by then are
-   finished, which is where large groups of near copies end; the others go into the
-   next round with other leaders.  After ``ROUNDS`` rounds, all pairs of classes in
-   different components that the windows allow are compared, and contracted again.
-
-Plain document pivots are not used for the first level: unrelated texts are all at
-distance 1 from each other, where every window reaches every region.
+   n - ceil(0.8 n) + 1, so a class is replicated to those regions and no others.  If the
+   first shingle of a pair is at place i of one set, the other has at most
+   ``reach`` = 1.25 n - 2.25 i shingles; so a pair is possible only in regions where each
+   size is within the other's reach.  Towards the empty set as a pivot, regions are cut
+   into rings of sizes that differ by a factor of 1.25; a class is replicated to the next
+   ring only if its reach gets there.  Regions with one class, or without one that
+   reaches its own size, are dropped.
+4. *Rounds.*  In a round every class is compared with one of its regions' two leaders
+   (the one with the longest reach, and one by hash) of another component.  The links
+   found are contracted into components, and regions whose classes are in one component
+   by then are finished, which is where large groups of near copies end.
+5. *Recursion.*  A region left with more than ``LEAF`` classes is cut by document pivots
+   of its own: a class goes to its nearest pivot and to every pivot that is farther by at
+   most twice its largest distance to a partner, distances being those of the counts in
+   256 cells of the shingle space (at most the symmetric difference).  Cut regions are cut
+   again as long as that halves the possible pairs.  In the regions that remain, the
+   pairs of classes of different components within each other's reach and within the
+   distance by cells are compared, and contracted again.
+
+Document pivots are not used for the first level: unrelated texts are all at distance 1
+from each other, where every window reaches every region.
 
 Nothing is dropped: every pair within the distance shares a region, and is compared
 unless its classes are connected already.  Sets are compared shingle by shingle from
@@ -34,6 +41,8 @@ documents of their own; a null doc_id never names a component that has another i
 empty table gives an empty result; other columns are not read.
 """
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -50,6 +59,8 @@ SKETCH_BITS = 21
 SKETCH_PART = 1 << 15
 CELLS = 256
 ROUNDS = 3
+LEAF = 64
+PIVOTS = 8
 KEPT = 500_000
 _NULL = -(1 << 63)
 
@@ -136,52 +147,74 @@ def _class_keys(n_texts: int, doc: np.ndarray, key: np.ndarray) -> tuple[np.ndar
     return size, mixed(total + size.astype(np.uint64)).view(np.int64)
 
 
-def _members(batches):
-    def make(ids, n, doc, key):
-        size, cls = _class_keys(n, doc, key)
-        cells = np.bincount(doc * CELLS + (key % np.uint64(CELLS)).astype(np.int64), minlength=n * CELLS)
-        cells = np.minimum(cells, 255).astype(np.uint8).reshape(n, CELLS)
-        arrays = [ids, pa.array(size), pa.array(cls), pa.array([c.tobytes() for c in cells], pa.binary())]
-        return pa.RecordBatch.from_arrays(arrays, ["id", "n", "cls", "cells"])
+def _fresh(seen: set[int], cls: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """One text of each class; a task that has seen many classes starts anew."""
+    if len(seen) > KEPT:
+        seen.clear()
+    out = np.zeros(len(cls), bool)
+    for i, c in enumerate(cls.tolist()):
+        if size[i] and c not in seen:
+            seen.add(c)
+            out[i] = True
+    return out
+
 
-    return _set_rows(batches, make)
+def _prefixes(doc, key, size, level):
+    """(offsets, shingles) of each set's window, in the order of the pivots."""
+    order = np.lexsort((key, level, doc))
+    begin = np.cumsum(size) - size
+    place = np.arange(len(doc)) - begin[doc]
+    window = np.where(size > 0, size - (NUMERATOR * size + DENOMINATOR - 1) // DENOMINATOR + 1, 0)
+    chosen = key[order[place < window[doc]]]
+    return np.concatenate([[0], np.cumsum(window)]), chosen.view(np.int64)
 
 
-def _region_rows(shared):
+def _members(shared):
     shift = np.uint64(64 - SKETCH_BITS)
-    seen: set[int] = set()
-
-    def fresh(size, cls):
-        """One text of each class; a task that has seen many classes starts anew."""
-        if len(seen) > KEPT:
-            seen.clear()
-        out = np.zeros(len(cls), bool)
-        for i, c in enumerate(cls.tolist()):
-            if size[i] and c not in seen:
-                seen.add(c)
-                out[i] = True
-        return out
-
-    def make(ids, n, doc, key):
-        size, cls = _class_keys(n, doc, key)
-        stay = fresh(size, cls)[doc]
-        doc, key = doc[stay], key[stay]
-        size = np.bincount(doc, minlength=n)
-        level = shared.value[(key >> shift).astype(np.int64)]
-        order = np.lexsort((key, level, doc))
-        begin = np.cumsum(size) - size
-        place = np.arange(len(doc)) - begin[doc]
-        window = size - (NUMERATOR * size + DENOMINATOR - 1) // DENOMINATOR + 1
-        chosen = order[place < window[doc]]
-        arrays = [pa.array(key[chosen].view(np.int64)), pa.array(cls[doc[chosen]])]
-        return pa.RecordBatch.from_arrays(arrays, ["h", "cls"])
 
     def rows(batches):
+        seen: set[int] = set()
+
+        def make(ids, n, doc, key):
+            size, cls = _class_keys(n, doc, key)
+            new = _fresh(seen, cls, size)
+            stay = new[doc]
+            doc, key = doc[stay], key[stay]
+            held = np.where(new, size, 0)
+            ends, chosen = _prefixes(doc, key, held, shared.value[(key >> shift).astype(np.int64)])
+            cells = np.bincount(doc * CELLS + (key % np.uint64(CELLS)).astype(np.int64), minlength=n * CELLS)
+            cells = np.minimum(cells, 255).astype(np.uint8).reshape(n, CELLS)
+            arrays = [
+                ids,
+                pa.array(size),
+                pa.array(cls),
+                pa.array([c.tobytes() if k else None for c, k in zip(cells, new.tolist())], pa.binary()),
+                pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(chosen)),
+            ]
+            return pa.RecordBatch.from_arrays(arrays, ["id", "n", "cls", "cells", "prefix"])
+
         return _set_rows(batches, make)
 
     return rows
 
 
+def _regions(classes: DataFrame) -> DataFrame:
+    """h, cls, n, reach: the classes of each ring of each pivot that may hold a pair."""
+    ring = lambda size: F.floor(F.log(size) / F.lit(math.log(DENOMINATOR / NUMERATOR)))
+    reach = F.floor((DENOMINATOR * F.col("n") - (DENOMINATOR + NUMERATOR) * F.col("i")) / NUMERATOR)
+    rows = (
+        classes.select("cls", "n", F.posexplode("prefix").alias("i", "pivot"))
+        .withColumn("reach", reach)
+        .withColumn("ring", F.explode(F.sequence(ring(F.col("n")), ring(F.greatest("n", "reach")))))
+        .select(F.xxhash64("pivot", "ring").alias("h"), "cls", "n", "reach")
+    )
+    spans = rows.groupBy("h").agg(
+        F.min("cls").alias("lo"), F.max("cls").alias("hi"), F.max(F.col("reach") >= F.col("n")).alias("pairs")
+    )
+    shared = staged(spans.filter((F.col("lo") < F.col("hi")) & F.col("pairs")).select("h"))
+    return staged(IdFilter(shared, "h").rows(rows, "h").join(shared, "h"))
+
+
 def _near(batches):
     """Pairs that the triangle inequalities allow."""
     for batch in batches:
@@ -231,23 +264,36 @@ def _links(pairs: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
     return staged(wide.mapInArrow(_compared, "a long, b long"))
 
 
+def _reachable(n_a, reach_a, n_b, reach_b):
+    """Whether two classes of a region are within each other's reach."""
+    return (n_a <= reach_b) & (n_b <= reach_a)
+
+
 def _open_regions(regions: DataFrame, found: DataFrame | None) -> DataFrame:
-    """h, cls, comp of the regions whose classes are in several components."""
+    """h, cls, n, reach, comp of the regions whose classes are in several components."""
     labelled = regions.withColumn("comp", F.col("cls"))
     if found is not None:
         labels = found.select(F.col("node").alias("cls"), F.col("comp").alias("c"))
-        labelled = regions.join(labels, "cls", "left").select("h", "cls", F.coalesce("c", "cls").alias("comp"))
-    spans = labelled.groupBy("h").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"))
-    return staged(labelled.join(spans.filter(F.col("lo") < F.col("hi")).select("h"), "h"))
+        labelled = regions.join(labels, "cls", "left").withColumn("comp", F.coalesce("c", "cls")).drop("c")
+    spans = labelled.groupBy("h").agg(
+        F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min("n").alias("least"), F.max("reach").alias("most")
+    )
+    spans = spans.filter(F.col("lo") < F.col("hi")).select("h", "least", "most")
+    within = (F.col("n") <= F.col("most")) & (F.col("least") <= F.col("reach"))
+    return staged(labelled.join(spans, "h").filter(within).select("h", "cls", "n", "reach", "comp"))
 
 
 def _leader_pairs(labelled: DataFrame, number: int) -> DataFrame:
     """At most one pair for each class: with a leader of another component."""
-    member = F.struct(F.xxhash64(F.col("cls"), F.lit(number)).alias("r"), "cls", "comp")
-    leaders = labelled.groupBy("h").agg(F.min(member).alias("one"), F.max(member).alias("two"))
-    other = F.when(F.col("comp") != F.col("one.comp"), F.col("one.cls")).when(
-        F.col("comp") != F.col("two.comp"), F.col("two.cls")
+    by_hash = F.xxhash64(F.col("cls"), F.lit(number)).alias("r")
+    farthest = F.struct((F.col("reach") / F.col("n")).alias("far"), by_hash, "cls", "n", "reach", "comp")
+    leaders = labelled.groupBy("h").agg(
+        F.max(farthest).alias("one"), F.min(F.struct(by_hash, "cls", "n", "reach", "comp")).alias("two")
+    )
+    fits = lambda c: (F.col("comp") != F.col(f"{c}.comp")) & _reachable(
+        F.col("n"), F.col("reach"), F.col(f"{c}.n"), F.col(f"{c}.reach")
     )
+    other = F.when(fits("one"), F.col("one.cls")).when(fits("two"), F.col("two.cls"))
     return (
         labelled.join(leaders, "h")
         .select("cls", other.alias("leader"))
@@ -261,37 +307,96 @@ def _leader_pairs(labelled: DataFrame, number: int) -> DataFrame:
     )
 
 
+def _counts(column, width: int) -> np.ndarray:
+    return np.frombuffer(b"".join(column), np.uint8).reshape(-1, width).astype(np.int16)
+
+
+def _cut(batches):
+    """Rows of regions, sent to their nearest pivot and to the pivots of their window."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, 1024):
+            part = batch.slice(at, 1024)
+            h = part.column(0).to_numpy().view(np.uint64)
+            n, reach = part.column(2).to_numpy(), part.column(3).to_numpy()
+            own = _counts(part.column(5).to_pylist(), CELLS)
+            lists = part.column(6).to_pylist()
+            row = np.repeat(np.arange(len(lists)), [len(x) for x in lists])
+            pivot = np.concatenate([np.arange(len(x)) for x in lists])
+            far = np.abs(own[row] - _counts([c for x in lists for c in x], CELLS)).sum(1, dtype=np.int64)
+            nearest = np.minimum.reduceat(far, np.searchsorted(row, np.arange(len(lists))))
+            # a partner has at most ``reach`` shingles, so this is the largest symmetric difference
+            window = 2 * (DENOMINATOR - NUMERATOR) * (n + reach) // (DENOMINATOR + NUMERATOR) + 1
+            keep = far <= (nearest + window)[row]
+            row, pivot = row[keep], pivot[keep]
+            sub = mixed(h[row] + (pivot.astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15))
+            sent = part.take(pa.array(row)).select([0, 1, 2, 3, 4])
+            yield pa.RecordBatch.from_arrays(
+                [*sent.columns, pa.array(sub.view(np.int64))], ["h", "cls", "n", "reach", "comp", "sub"]
+            )
+
+
+def _cut_regions(rows: DataFrame, classes: DataFrame) -> DataFrame:
+    """The same table with regions above ``LEAF`` classes cut by pivots of their own.
+
+    A cut counts only if it halves the squares of the sizes, so it ends after a number of
+    levels that is logarithmic in the largest region; a region that no pivots part stays
+    whole, and its pairs are found by reach alone.
+    """
+    cells = classes.select("cls", "cells")
+    columns = ["h", "cls", "n", "reach", "comp"]
+    whole = []
+    level = 0
+    while True:
+        large = staged(rows.groupBy("h").agg(F.count(F.lit(1)).alias("k")).filter(F.col("k") > LEAF))
+        if large.isEmpty():
+            break
+        whole.append(rows.join(large, "h", "left_anti"))
+        above = staged(rows.join(large, "h").join(cells, "cls").select(*columns, "cells"))
+        pivots = (
+            above.groupBy("h", F.pmod(F.xxhash64("cls", F.lit(level)), F.lit(PIVOTS)).alias("p"))
+            .agg(F.min(F.struct("cls", "cells")).alias("pivot"))
+            .groupBy("h")
+            .agg(F.collect_list("pivot.cells").alias("pivots"))  # PIVOTS at most
+        )
+        cut = staged(
+            above.join(pivots, "h")
+            .select(*columns, "cells", "pivots")
+            .mapInArrow(_cut, "h long, cls long, n long, reach long, comp long, sub long")
+        )
+        sizes = cut.groupBy("h", "sub").agg(F.count(F.lit(1)).alias("s"))
+        squares = sizes.groupBy("h").agg(F.sum(F.col("s") * F.col("s")).alias("squares")).join(large, "h")
+        parted = staged(squares.filter(2 * F.col("squares") <= F.col("k") * F.col("k")).select("h"))
+        whole.append(above.join(parted, "h", "left_anti").select(*columns))
+        rows = cut.join(parted, "h").select(F.col("sub").alias("h"), *columns[1:])
+        level += 1
+    for part in whole:
+        rows = rows.unionByName(part)
+    return rows
+
+
+def _remaining_pairs(rows: DataFrame) -> DataFrame:
+    """Pairs of classes of different components within each other's reach in a region."""
+    a, b = rows.alias("a"), rows.alias("b")
+    possible = _reachable(F.col("a.n"), F.col("a.reach"), F.col("b.n"), F.col("b.reach"))
+    return (
+        a.join(b, (F.col("a.h") == F.col("b.h")) & (F.col("a.cls") < F.col("b.cls")) & possible)
+        .filter(F.col("a.comp") != F.col("b.comp"))
+        .select(F.col("a.cls").alias("a"), F.col("b.cls").alias("b"))
+        .distinct()
+    )
+
+
 def _class_links(docs: DataFrame, classes: DataFrame) -> DataFrame:
     """comp of every class that has a link: cls, comp."""
-    shared = docs.sparkSession.sparkContext.broadcast(rarity(docs))
-    regions = docs.select("id", "text").mapInArrow(_region_rows(shared), "h long, cls long")
-    leaders = (
-        regions.groupBy("h")
-        .agg(F.min("cls").alias("leader"), F.max("cls").alias("last"))
-        .filter(F.col("leader") < F.col("last"))
-        .select("h", "leader")
-    )
-    regions = staged(regions.join(leaders, "h").select("h", "cls").distinct())
+    regions = _regions(classes)
     links, found = None, None
-    for number in range(ROUNDS + 1):
-        left = _open_regions(regions, found)
-        if number == ROUNDS:
-            break
-        round_links = _links(_leader_pairs(left, number), classes, docs)
+    for number in range(ROUNDS):
+        round_links = _links(_leader_pairs(_open_regions(regions, found), number), classes, docs)
         links = round_links if links is None else links.unionByName(round_links)
         found = components(links)
-    left = staged(left.join(classes.select("cls", "n"), "cls"))
-    a, b = left.alias("a"), left.alias("b")
-    size_a, size_b = F.col("a.n"), F.col("b.n")
-    pairs = (
-        a.join(b, F.col("a.h") == F.col("b.h"))
-        .filter((F.col("a.cls") < F.col("b.cls")) & (F.col("a.comp") != F.col("b.comp")))
-        .filter(DENOMINATOR * F.least(size_a, size_b) >= NUMERATOR * F.greatest(size_a, size_b))
-        .select(F.col("a.cls").alias("a"), F.col("b.cls").alias("b"))
-        .distinct()
-    )
-    more = _links(pairs, classes, docs)
-    return components(links.unionByName(more))
+    left = staged(_cut_regions(_open_regions(regions, found), classes))
+    last = _links(_remaining_pairs(left), classes, docs)
+    return components(last if links is None else links.unionByName(last))
 
 
 def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -303,16 +408,18 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
         F.xxhash64(F.col(text_col)).alias("row"),
     )
     keyed = rows.select(F.struct("id", "row").alias("id"), "text")
-    members = staged(
-        keyed.mapInArrow(_members, "id struct<id: bigint, row: bigint>, n long, cls long, cells binary").select(
-            "id.*", "n", "cls", "cells"
-        )
-    )
+    shared = docs.sparkSession.sparkContext.broadcast(rarity(rows))
+    kinds = "id struct<id: bigint, row: bigint>, n long, cls long, cells binary, prefix array<bigint>"
+    members = staged(keyed.mapInArrow(_members(shared), kinds).select("id.*", "n", "cls", "cells", "prefix"))
     sets = members.filter(F.col("n") > 0)
+    only = lambda c: F.first(c, ignorenulls=True).alias(c)
+    # a task leaves cells and window out for classes that it has seen
+    held = F.when(F.col("cells").isNotNull(), F.struct("cells", "prefix")).alias("held")
     classes = staged(
-        sets.groupBy("cls", "n")
-        .agg(F.min(F.struct("id", "row")).alias("m"), F.min("cells").alias("cells"))
-        .select("cls", "n", F.col("m.id").alias("doc"), F.col("m.row").alias("row"), "cells")
+        sets.select("cls", "n", "id", "row", held)
+        .groupBy("cls", "n")
+        .agg(F.min(F.struct("id", "row")).alias("m"), only("held"))
+        .select("cls", "n", F.col("m.id").alias("doc"), F.col("m.row").alias("row"), "held.cells", "held.prefix")
     )
     found = staged(_class_links(rows, classes))
     linked = members.select("id", "n", F.when(F.col("n") > 0, F.col("cls")).alias("cls")).join(

@@ -84,3 +84,32 @@ def test_components(spark):
         groups.setdefault(r.comp, set()).add(r.node)
     assert sorted(map(sorted, groups.values())) == sorted([sorted(names[:31]), sorted(names[40:])])
     assert components(spark.createDataFrame([], "a long, b long")).collect() == []
+
+
+@pytest.mark.parametrize("seed", [3, 4])
+def test_families_around_the_bound(spark, table_of, monkeypatch, seed):
+    """Much of each text is one passage; regions of a few classes are cut by pivots."""
+    monkeypatch.setattr(jaccard, "LEAF", 4)
+    monkeypatch.setattr(jaccard, "ROUNDS", seed - 3)
+    rng = random.Random(seed)
+    rows = []
+    for family in range(3):
+        passage = [f"p{family}_{i}" for i in range(rng.randint(40, 90))]
+        for _ in range(40):
+            own = [f"o{rng.randint(0, 10**6)}" for _ in range(rng.randint(0, len(passage) // 3))]
+            rows.append((rng.randint(0, 10**6), " ".join(own + passage if rng.random() < 0.5 else passage + own)))
+    for _ in range(60):  # common phrases in many orders
+        parts = rng.sample(range(8), 5)
+        rows.append((rng.randint(0, 10**6), " ".join(f"m{p}_{i}" for p in parts for i in range(12))))
+    _check(spark, table_of, rows)
+
+
+def test_reach_is_tight():
+    """A pair at the bound is within reach at its first common shingle, one below is not."""
+    n, d = jaccard.NUMERATOR, jaccard.DENOMINATOR
+    for size_a in range(1, 60):
+        for size_b in range(size_a, 80):
+            for own in range(size_a):
+                common = size_a - own  # all that follows the first common shingle
+                reach = (d * size_a - (d + n) * own) // n
+                assert (size_b <= reach) == (d * common >= n * (size_a + size_b - common))
