@@ -91,16 +91,42 @@ def asr_by_category_model(scored: DataFrame) -> DataFrame:
     )
 
 
-def adaptation_gain(scored: DataFrame, keys: list[str], base: str, adapted: str) -> DataFrame:
-    """Rounded base rate minus rounded adapted rate, rounded again, per utterance."""
-    rounded = scored.withColumn("wer", F.round("wer", 6)).withColumn("cer", F.round("cer", 6))
-    wide = pivot_models(rounded, keys, ["wer", "cer"], [base, adapted])
+def _with_gains(wide: DataFrame, base: str, adapted: str) -> DataFrame:
     for rate in ("wer", "cer"):
         gain = F.col(f"{rate}_{base}") - F.col(f"{rate}_{adapted}")
         wide = wide.withColumn(f"{rate}_improvement", F.round(gain, 6))
     return wide
 
 
+def adaptation_gain(scored: DataFrame, keys: list[str], base: str, adapted: str) -> DataFrame:
+    """Rounded base rate minus rounded adapted rate, rounded again, per utterance."""
+    rounded = scored.withColumn("wer", F.round("wer", 6)).withColumn("cer", F.round("cer", 6))
+    return _with_gains(pivot_models(rounded, keys, ["wer", "cer"], [base, adapted]), base, adapted)
+
+
+def _transcript(model: str, names: list[str]) -> Column:
+    """A model's hypothesis in the array ``models``; unlisted and repeated models fail."""
+    own = F.filter("models", lambda m: listed(m["model"], names) == model)
+    repeated = F.raise_error(F.lit(f"several transcripts of {model}")).cast("string")
+    return F.when(F.size(own) > 1, repeated).otherwise(F.get(own, F.lit(0))["hypothesis"])
+
+
+def record_gain(records: DataFrame, keys: list[str], base: str, adapted: str) -> DataFrame:
+    """``adaptation_gain`` from one row per utterance: both models lie in it, so nothing
+    is exchanged.
+
+    ``models`` is an array of structs with ``model`` and ``hypothesis``.  The rates of a
+    model without an entry are null, as are those of an empty reference.
+    """
+    names = [base, adapted]
+    rates = [error_rates(F.col("reference"), F.col(f"_{i}")).alias(f"_rates_{i}") for i in range(2)]
+    rated = records.select(*keys, "reference", *[_transcript(m, names).alias(f"_{i}") for i, m in enumerate(names)])
+    rounded = [
+        F.round(F.col(f"_rates_{i}")[rate], 6).alias(f"{rate}_{m}") for i, m in enumerate(names) for rate in ("wer", "cer")
+    ]
+    return _with_gains(rated.select(*keys, *rates).select(*keys, *rounded), base, adapted)
+
+
 def rank_improvements(gains: DataFrame, order=("input_pos",)) -> DataFrame:
     """All utterances by word error improvement, largest first (range sort)."""
     return gains.orderBy(F.desc("wer_improvement"), *order)

@@ -228,7 +228,7 @@ _GAINS = """SELECT doc_id, seg, wer_base, wer_adapted, cer_base, cer_adapted,
 
 
 def gains(spark, sf_dir):
-    return S.adaptation_gain(scored(spark, sf_dir), KEYS, views.BASE, views.ADAPTED)
+    return S.record_gain(views.utterance_records(spark, sf_dir), KEYS, views.BASE, views.ADAPTED)
 
 
 @query("adaptation_gain", with_ctes(_GAINS, "scored_utt"))
@@ -236,6 +236,12 @@ def adaptation_gain(spark, sf_dir):
     return gains(spark, sf_dir)
 
 
+@query("adaptation_gain_rows", with_ctes(_GAINS, "scored_utt"))
+def adaptation_gain_rows(spark, sf_dir):
+    """The same from one row per utterance and model, brought together by a shuffle."""
+    return S.adaptation_gain(scored(spark, sf_dir), KEYS, views.BASE, views.ADAPTED)
+
+
 @query("rank_improvements", with_ctes(_GAINS + " ORDER BY wer_improvement DESC, doc_id, seg", "scored_utt"))
 def rank_improvements(spark, sf_dir):
     return S.rank_improvements(gains(spark, sf_dir), order=KEYS)

@@ -80,8 +80,8 @@ def segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def utterances(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Reference and two models' transcripts per utterance, long form."""
+def utterance_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per utterance: reference and ``models``, an array of each model's transcript."""
     shift = F.col("doc_id") + F.col("seg")
 
     def heard(model):
@@ -108,16 +108,16 @@ def utterances(spark: SparkSession, sf_dir: str) -> DataFrame:
             for m, rule in _SPEECH_RULES.items()
         ]
     )
+    reference = F.array_join("words", " ").alias("reference")
+    return segments(spark, sf_dir).select("doc_id", "seg", "category", reference, cells.alias("models"))
+
+
+def utterances(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Reference and two models' transcripts per utterance, long form."""
     chars = F.char_length("reference")
     return (
-        segments(spark, sf_dir)
-        .select(
-            "doc_id",
-            "seg",
-            "category",
-            F.array_join("words", " ").alias("reference"),
-            F.explode(cells).alias("_m"),
-        )
+        utterance_records(spark, sf_dir)
+        .select("doc_id", "seg", "category", "reference", F.explode("models").alias("_m"))
         .select("doc_id", "seg", "category", "reference", "_m.*")
         .withColumn("duration_seconds", chars / 15.0)
         .withColumn("inference_time_ms", (chars * F.col("ms")).cast("double"))

@@ -140,6 +140,35 @@ def test_gains_are_ranked(scored):
     assert ranked[1]["wer_improvement"] == pytest.approx(0.833334, abs=1e-6)
 
 
+def test_gains_of_records_need_no_exchange(spark, scored):
+    long = scored.groupBy("id", "input_pos", "reference").agg(F.collect_list(F.struct("model", "hypothesis")).alias("models"))
+    records = spark.createDataFrame(long.collect(), long.schema)
+    gains = speech.record_gain(records, ["id", "input_pos"], "small", "tuned")
+    assert "Exchange" not in gains._jdf.queryExecution().executedPlan().toString()
+    expected = speech.adaptation_gain(scored, ["id", "input_pos"], "small", "tuned")
+    assert gains.columns == expected.columns
+    assert sorted(map(tuple, gains.collect()), key=str) == sorted(map(tuple, expected.collect()), key=str)
+
+
+def test_gains_of_odd_records(spark):
+    kind = "id long, reference string, models array<struct<model: string, hypothesis: string>>"
+    rows = [
+        (1, "a b", [("x", "a b"), ("y", "a c")]),
+        (2, "a b", [("x", None)]),
+        (3, "", [("x", "a"), ("y", "")]),
+        (4, "a", None),
+        (None, None, []),
+        (1, "a b", [("y", "a c"), ("x", "a b")]),
+    ]
+    found = speech.record_gain(spark.createDataFrame(rows, kind), ["id"], "x", "y").collect()
+    assert [r["wer_improvement"] for r in found] == [-0.5, None, None, None, None, -0.5]
+    assert [r["wer_y"] for r in found] == [0.5, None, None, None, None, 0.5]
+    assert speech.record_gain(spark.createDataFrame([], kind), ["id"], "x", "y").collect() == []
+    for models in ([("z", "a")], [("x", "a"), ("x", "a")]):
+        with pytest.raises(Exception):
+            speech.record_gain(spark.createDataFrame([(1, "a", models)], kind), ["id"], "x", "y").collect()
+
+
 def test_most_common_ties_by_first_occurrence(scored):
     small = F.col("model") == "small"
     top = speech.top_substitutions(scored, ["input_pos"]).filter(small).orderBy("rank").collect()
