@@ -125,6 +125,25 @@ def _softmax_one(logits: np.ndarray) -> np.ndarray:
     return e / e.sum(1, keepdims=True)
 
 
+def slopes(bags: Bags, values: list, target: np.ndarray, weight: np.ndarray, whole: bool) -> list[np.ndarray]:
+    """Slopes of the weighted cross entropy by table, softmax and bias.
+
+    A text's target is laid on all its windows in equal parts, or on its strongest one.
+    """
+    table, softmax, bias = values
+    scores = table @ softmax
+    means = np.stack([bags.means(scores[:, k]) for k in (0, 1)], 1)
+    if whole:
+        windows, doc = np.arange(len(bags.doc)), bags.doc
+        part = 1 / np.bincount(doc, minlength=bags.n)[doc]
+    else:
+        doc, windows = bags.strongest(means[:, 1] - means[:, 0])
+        part = np.ones(len(doc))
+    error = (_softmax_one(means[windows] + bias) - target[doc]) * (weight[doc] * part)[:, None]
+    pull = np.stack([bags.pull(windows, error[:, k]) for k in (0, 1)], 1)
+    return [pull @ softmax.T, table.T @ pull, error.sum(0)]
+
+
 def fitted(texts: list[str], labels: np.ndarray, epochs: int = EPOCHS, rate: float = 0.1) -> Model:
     """Train embeddings and softmax jointly by Adam on all sampled texts at once.
 
@@ -136,28 +155,16 @@ def fitted(texts: list[str], labels: np.ndarray, epochs: int = EPOCHS, rate: flo
         return Model(np.zeros(BUCKETS, np.float32), 40.0 if share else -40.0)
     bags = Bags(pa.array(texts, pa.string()))
     rng = np.random.default_rng(7)
-    names = ("table", "softmax", "bias")
     values = [rng.normal(0, 0.1, (BUCKETS, WIDTH)), rng.normal(0, 0.5, (WIDTH, 2)), np.zeros(2)]
     moments = [[np.zeros_like(v), np.zeros_like(v)] for v in values]
     weight = np.where(labels == 1, 0.5 / share, 0.5 / (1 - share)) / len(labels)
     target = np.stack([1 - labels, labels], 1)
     for epoch in range(epochs):
-        table, softmax, bias = values
-        scores = table @ softmax
-        means = np.stack([bags.means(scores[:, k]) for k in (0, 1)], 1)
-        if epoch < epochs // 4:
-            windows, doc = np.arange(len(bags.doc)), bags.doc
-            part = 1 / np.bincount(doc, minlength=bags.n)[doc]
-        else:
-            doc, windows = bags.strongest(means[:, 1] - means[:, 0])
-            part = np.ones(len(doc))
-        error = (_softmax_one(means[windows] + bias) - target[doc]) * (weight[doc] * part)[:, None]
-        pull = np.stack([bags.pull(windows, error[:, k]) for k in (0, 1)], 1)
-        slopes = [pull @ softmax.T, table.T @ pull, error.sum(0)]
-        for k, _ in enumerate(names):
+        by = slopes(bags, values, target, weight, whole=epoch < epochs // 4)
+        for k, slope in enumerate(by):
             m, v = moments[k]
-            m += 0.1 * (slopes[k] - m)
-            v += 0.01 * (slopes[k] ** 2 - v)
+            m += 0.1 * (slope - m)
+            v += 0.01 * (slope**2 - v)
             step = (m / (1 - 0.9 ** (epoch + 1))) / (np.sqrt(v / (1 - 0.99 ** (epoch + 1))) + 1e-7)
             values[k] = values[k] - rate * step
     table, softmax, bias = values
