@@ -105,9 +105,8 @@ class Lines:
 
     def text(self, i: int) -> str:
         """Line i with single spaces."""
-        words = range(self.begin[i], self.begin[i] + self.size[i])
-        b = self.block
-        return b" ".join(b.data[b.start[w] : b.end[w]].tobytes() for w in words).decode()
+        b, lo = self.block, self.begin[i]
+        return b" ".join(b.data[b.start[lo] : b.end[lo + self.size[i] - 1]].tobytes().split()).decode()
 
 
 class _Seen:
@@ -153,6 +152,8 @@ def _occurrences(min_words: int, exact_words: int):
 
 
 def _variant_rows(min_words: int, shared):
+    """Candidate lines and their deletions; the whole lines with their text."""
+
     def rows(batches):
         seen, taken = _Seen(), shared.value
         for _, _, lines in _sliced(batches, min_words):
@@ -160,20 +161,10 @@ def _variant_rows(min_words: int, shared):
             chosen = np.flatnonzero(wanted)
             chosen = chosen[seen.fresh(lines.key[chosen])]
             line, place, variant = lines.variants(chosen)
-            columns = [pa.array(variant), pa.array(place, pa.int32()), pa.array(lines.key[line])]
-            yield pa.RecordBatch.from_arrays(columns, ["variant", "place", "key"])
-
-    return rows
-
-
-def _text_rows(min_words: int, shared):
-    def rows(batches):
-        seen, taken = _Seen(), shared.value
-        for _, _, lines in _sliced(batches, min_words):
-            chosen = np.flatnonzero(taken[slots(lines.key)])
-            chosen = chosen[seen.fresh(lines.key[chosen])]
             texts = pa.array([lines.text(i) for i in chosen], pa.string())
-            yield pa.RecordBatch.from_arrays([pa.array(lines.key[chosen]), texts], ["key", "text"])
+            texts = pa.concat_arrays([texts, pa.nulls(len(line) - len(chosen), pa.string())])
+            columns = [pa.array(variant), pa.array(place, pa.int32()), pa.array(lines.key[line]), texts]
+            yield pa.RecordBatch.from_arrays(columns, ["variant", "place", "key", "text"])
 
     return rows
 
@@ -210,7 +201,8 @@ def earliest_neighbours(docs: DataFrame, occurrences: DataFrame, min_words: int)
         .select("half")
     )
     candidates = HashFilter(halves.join(open_halves, "half").select("key").distinct(), "key")
-    variants = docs.mapInArrow(_variant_rows(min_words, candidates.shared), "variant long, place int, key long")
+    made = staged(docs.mapInArrow(_variant_rows(min_words, candidates.shared), "variant long, place int, key long, text string"))
+    variants = made.drop("text")
     meeting = (
         variants.groupBy("variant")
         .agg(F.min("key").alias("lo"), F.max("key").alias("hi"))
@@ -235,8 +227,8 @@ def earliest_neighbours(docs: DataFrame, occurrences: DataFrame, min_words: int)
     )
     pairs = staged(neighbours)
     named = pairs.select("key").unionByName(pairs.select(F.col("other").alias("key"))).distinct()
-    texts = docs.mapInArrow(_text_rows(min_words, HashFilter(named, "key").shared), "key long, text string")
-    texts = staged(texts.join(named, "key").groupBy("key").agg(F.min("text").alias("text")))
+    whole_lines = made.filter(F.col("place") < 0).select("key", "text")
+    texts = staged(whole_lines.join(named, "key").groupBy("key").agg(F.min("text").alias("text")))
     others = texts.select(F.col("key").alias("other"), F.col("text").alias("text_other"))
     verified = (
         pairs.join(texts, "key")
