@@ -255,7 +255,7 @@ def _final(span: int):
 
 def repeated_spans(docs: DataFrame, span: int = SPAN, gram: int = GRAM, local_words: int = LOCAL_WORDS) -> DataFrame:
     """id, row, spans: the removed windows of each text that has any, as (first, last)."""
-    minimizers = docs.mapInArrow(_minimizer_rows(span, gram), "h long, id long, row long, first int, more byte")
+    minimizers = staged(docs.mapInArrow(_minimizer_rows(span, gram), "h long, id long, row long, first int, more byte"))
     shards = (
         minimizers.groupBy("h")
         .agg(F.min("id").alias("shard"), F.max("id").alias("latest"))
