@@ -43,6 +43,7 @@ from .textblock import TextBlock, filled, slices, windows
 
 SPAN, GRAM = 13, 4
 LOCAL_WORDS = 60_000
+_FEW_BYTES = 1 << 18
 _LEAST = -(1 << 63)
 _EMPTY = np.zeros(0, np.int64)
 
@@ -196,11 +197,18 @@ def _pieces(words: list[bytes], runs: list[dict], span: int) -> dict[int, list[t
     return out
 
 
+def _few(batches, column: int):
+    """Batches cut by the bytes of a text column: their lists become Python objects."""
+    for batch in batches:
+        for lo, hi in slices(batch.column(column), _FEW_BYTES):
+            yield batch.slice(lo, hi - lo)
+
+
 def _local(span: int, local_words: int):
     def combined(batches):
         automata: dict[int, Automaton] = {}
         held = 0
-        for batch in batches:
+        for batch in _few(batches, 2):
             rows = []
             for row in batch.to_pylist():
                 words = row["text"].encode().split()
@@ -234,7 +242,7 @@ def _final(span: int):
                     if kept is None:
                         rows.append((shard, doc, row, a, b, None))
 
-        for batch in batches:
+        for batch in _few(batches, 5):
             for row in batch.to_pylist():
                 if (row["shard"], row["id"]) != (shard, doc):
                     if pieces:
