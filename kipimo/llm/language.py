@@ -34,6 +34,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..plans.stage import staged
 from .textblock import filled, slices
 
 SAMPLE_DOCS, REF_SYMBOLS = 64, 32_768
@@ -266,7 +267,7 @@ def sampled(
     """
     lang, text = F.col(lang_col).alias("lang"), F.col(text_col).alias("text")
     labelled = docs.filter(teach & lang.isNotNull() & text.isNotNull()).select(lang, text, F.xxhash64(text).alias("key"))
-    chosen = (
+    chosen = staged(  # its size is known to the planner, which then moves no texts to join it
         labelled.select("lang", "key")
         .distinct()
         .withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy("key")))
