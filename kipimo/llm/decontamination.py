@@ -5,12 +5,17 @@ Documents and benchmark items are cut into overlapping passages of ``PASSAGE`` w
 1. *TF-IDF.*  Terms are the words of the benchmark; document frequencies are counted
    over all documents.  Words that no item has keep a passage's norm honest: a passage
    of other words cannot come near an item.
-2. *Distributed randomised SVD.*  Passages of the benchmark and a bounded sample of
-   document passages (``sample`` of them, by a hash of document, place and words, so
-   that copies are taken or left one by one) form the matrix.  Its right singular
-   vectors come from subspace iteration: tasks multiply their rows with the current
-   basis and back, the driver adds the partial products (terms x rank, ``SVD_TASKS`` of
-   them) and orthonormalises.
+2. *Distributed randomised SVD.*  All passages of the benchmark and of the documents
+   form the matrix X.  One pass adds up X'X over pairs of terms, in whole numbers, so the
+   sums depend neither on the order nor on the split of the rows; it holds at most one
+   number per pair of benchmark words, however many passages there are.  The right
+   singular vectors come from subspace iteration: tasks multiply their rows of X'X with
+   the current basis, the driver adds the partial products (terms x rank, ``SVD_TASKS``
+   of them) and orthonormalises.  However many they are, the document passages together
+   weigh no more than ``DOCUMENT_MASS`` passages, so the benchmark's own directions are
+   kept in the basis of a large table.  ``sample`` bounds the document passages, by a
+   hash of document, place and words, so that copies are taken or left one by one;
+   unset, none is left out.
 3. *Cosine search.*  Every passage of every document is projected and compared with all
    item passages at once.  The cosine is at most the root of the passage's share of
    benchmark terms, so most passages are left out before they are projected.
@@ -44,14 +49,17 @@ from .textblock import TextBlock, filled, mixed, slices, span_hashes
 
 PASSAGE, STRIDE = 20, 10
 RANK, SPARE, ROUNDS = 192, 8, 3
-SAMPLE, SVD_TASKS = 20_000, 4
-BENCHMARK_WEIGHT = 8.0
+SVD_TASKS = 4
+BENCHMARK_WEIGHT, DOCUMENT_MASS = 8.0, 20_000
 COSINE = 0.5
 MATCHED, MATCHED_WITH_ANSWER, ANSWER = 0.8, 0.6, 0.75
 ANSWER_WORDS, SHORT, EXACT = 8, 8, 13
 BLOCK = 2_000
 _CHUNK = 1_000
 _HITS = 10_000
+_CELLS = 1 << 24  # pairs of terms that a task sums in one table
+_UNIT = 1 << 32  # of whole numbers in X'X
+_PAIRS = "term int, other array<int>, total array<long>"
 _TRIM = np.zeros(256, bool)
 _TRIM[np.frombuffer(b".,;:!?\"'()[]{}<>*#$%&|-_", np.uint8)] = True
 
@@ -166,7 +174,7 @@ def _word_keys(batches):
 
 
 def _sampled(vocabulary: np.ndarray, share: float):
-    """Terms of the passages whose hash is below ``share`` of all hashes."""
+    """Terms of the passages whose hash is below ``share`` of all hashes; of all from 1.0 on."""
     limit = int(min(share, 1.0) * (1 << 62))
 
     def rows(batches):
@@ -176,36 +184,167 @@ def _sampled(vocabulary: np.ndarray, share: float):
             for lo, hi in slices(text):
                 words = Words(text.slice(lo, hi - lo))
                 begin, end = words.passages()
-                doc = words.doc[begin]
-                own = mixed(ids[lo + doc] + (begin - words.first[doc]).astype(np.uint64))
-                sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(words.key)])
-                mark = (mixed(own + sums[end] - sums[begin]) >> np.uint64(2)).astype(np.int64)
-                lists = []
-                for i in np.flatnonzero(mark < limit):
-                    term = _terms(vocabulary, words.key[begin[i] : end[i]])
-                    lists.append(term[term >= 0])
-                yield pa.RecordBatch.from_arrays([pa.array(lists, pa.list_(pa.int64()))], ["terms"])
+                if share < 1.0:
+                    doc = words.doc[begin]
+                    own = mixed(ids[lo + doc] + (begin - words.first[doc]).astype(np.uint64))
+                    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(words.key)])
+                    mark = (mixed(own + sums[end] - sums[begin]) >> np.uint64(2)).astype(np.int64)
+                    begin, end = begin[mark < limit], end[mark < limit]
+                term = _terms(vocabulary, words.key).astype(np.int32)
+                at, place = _expanded(begin, end - begin)
+                inside = term[at + place]
+                known = np.concatenate([[0], np.cumsum(inside >= 0)])
+                ends = np.concatenate([[0], known[np.cumsum(end - begin)]]).astype(np.int32)
+                lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(inside[inside >= 0]))
+                yield pa.RecordBatch.from_arrays([lists], ["terms"])
 
     return rows
 
 
-def _product(rows: list, weights: list, idf: np.ndarray, basis: np.ndarray) -> np.ndarray:
-    """X'(X basis) for rows of terms."""
-    out = np.zeros(basis.shape)
-    for row, weight in zip(rows, weights):
-        terms = np.asarray(row, np.int64)
-        if not len(terms):
-            continue
-        value = idf[terms]
-        value = value * (weight / np.sqrt((value**2).sum()))
-        image = value @ basis[terms]
-        np.add.at(out, terms, value[:, None] * image)
-    return out
+class PairSums:
+    """Whole-number sums per pair of terms (larger x smaller, as a triangle).
+
+    One table if it has at most ``_CELLS`` cells; else sorted pairs, which are handed on
+    whenever there are as many.
+    """
+
+    def __init__(self, n_terms: int):
+        cells = n_terms * (n_terms + 1) // 2
+        self.rows = np.arange(n_terms + 1, dtype=np.int64) * np.arange(1, n_terms + 2) // 2
+        self.table = np.zeros(cells, np.int64) if cells <= _CELLS else None
+        self.pending, self.n_pending = [], 0
+
+    def add(self, terms: np.ndarray, owner: np.ndarray, value: np.ndarray) -> None:
+        """All pairs of the terms of one owner (ascending); ``value`` is the owner's."""
+        terms, lag = terms.astype(np.int64), 0
+        at = np.arange(len(terms))
+        while len(at):
+            a, b = terms[at], terms[at + lag]
+            high = np.maximum(a, b)
+            twice = (a == b) & (lag > 0)  # both orders of the pair are in one cell
+            self._put(self.rows[high] + np.minimum(a, b), value[owner[at]] << twice)
+            lag += 1
+            at = at[at + lag < len(terms)]
+            at = at[owner[at] == owner[at + lag]]
+
+    def _put(self, cell: np.ndarray, value: np.ndarray) -> None:
+        if self.table is not None:
+            np.add.at(self.table, cell, value)
+            return
+        self.pending.append((cell, value))
+        self.n_pending += len(cell)
+        if self.n_pending > _CELLS:
+            self._merge()
+
+    def _merge(self) -> None:
+        cell, value = (np.concatenate(x) for x in zip(*self.pending))
+        order = np.argsort(cell, kind="stable")
+        cell, value = cell[order], value[order]
+        edge = np.flatnonzero(np.concatenate([[True], np.diff(cell) != 0]))
+        self.pending = [(cell[edge], np.add.reduceat(value, edge))]
+        self.n_pending = len(edge)
+
+    def full(self) -> bool:
+        """Whether merging no longer makes room."""
+        return self.table is None and 2 * self.n_pending > _CELLS
+
+    def taken(self):
+        """Batches of (term, other terms, sums), which are then forgotten."""
+        if self.table is not None:
+            cell = np.flatnonzero(self.table)
+            value = self.table[cell]
+            self.table[:] = 0
+        elif self.pending:
+            self._merge()
+            cell, value = self.pending[0]
+            self.pending, self.n_pending = [], 0
+        else:
+            return
+        yield from _pair_rows(np.searchsorted(self.rows, cell, "right") - 1, cell, value, self.rows)
+
+
+def _pair_rows(term: np.ndarray, cell: np.ndarray, value: np.ndarray, rows: np.ndarray):
+    """One row per term, in batches of about a million pairs."""
+    edge = np.flatnonzero(np.concatenate([[True], np.diff(term) != 0, [True]])) if len(term) else np.zeros(1, np.int64)
+    lo = 0
+    while lo < len(edge) - 1:
+        hi = max(lo + 1, int(np.searchsorted(edge, edge[lo] + 1_000_000, "right")) - 1)
+        own = slice(edge[lo], edge[hi])
+        offsets = pa.array((edge[lo : hi + 1] - edge[lo]).astype(np.int32))
+        other = (cell[own] - rows[term[own]]).astype(np.int32)
+        lists = [pa.ListArray.from_arrays(offsets, pa.array(x)) for x in (other, value[own])]
+        yield pa.RecordBatch.from_arrays([pa.array(term[edge[lo:hi]].astype(np.int32)), *lists], ["term", "other", "total"])
+        lo = hi
+
+
+def _flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Values of a column of lists and the row of each."""
+    size = column.value_lengths().to_numpy(zero_copy_only=False)
+    return column.flatten().to_numpy(zero_copy_only=False), np.repeat(np.arange(len(size)), size)
+
+
+def _pair_sums(idf: np.ndarray):
+    """Sums of (weight / length)^2 of the passages over their pairs of terms."""
+
+    def rows(batches):
+        sums = PairSums(len(idf))
+        for batch in batches:
+            terms, owner = _flat(batch.column(0))
+            weight = batch.column(1).to_numpy(zero_copy_only=False)
+            square = np.bincount(owner, idf[terms] ** 2, minlength=len(weight))
+            value = np.rint(weight**2 / np.where(square > 0, square, 1.0) * _UNIT).astype(np.int64)
+            sums.add(terms, owner, value)
+            if sums.full():
+                yield from sums.taken()
+        yield from sums.taken()
+
+    return rows
+
+
+def _summed(n_terms: int):
+    """Rows of equal terms, which follow each other, as one."""
+
+    def rows(batches):
+        last, whole = -1, np.zeros(n_terms, np.int64)
+
+        def row():
+            other = np.flatnonzero(whole).astype(np.int32)
+            columns = [pa.array([last], pa.int32()), pa.array([other], pa.list_(pa.int32()))]
+            return pa.RecordBatch.from_arrays([*columns, pa.array([whole[other]], pa.list_(pa.int64()))], ["term", "other", "total"])
+
+        for batch in batches:
+            for i, term in enumerate(batch.column(0).to_pylist()):
+                if term != last and last >= 0:
+                    yield row()
+                    whole[:] = 0
+                last = term
+                whole[batch.column(1)[i].values.to_numpy()] += batch.column(2)[i].values.to_numpy()
+        if last >= 0:
+            yield row()
+
+    return rows
+
+
+def _product(batch: pa.RecordBatch, idf: np.ndarray, basis: np.ndarray, out: np.ndarray) -> None:
+    """Adds to ``out`` what rows of the triangle of X'X give of X'X basis."""
+    every = batch.column(0).to_numpy()
+    step = max(1, 2_000_000 // len(idf))
+    for lo in range(0, len(every), step):
+        term = every[lo : lo + step].astype(np.int64)
+        other, row = _flat(batch.column(1).slice(lo, step))
+        total, _ = _flat(batch.column(2).slice(lo, step))
+        block = np.zeros((len(term), len(idf)))
+        block[row, other] = total / _UNIT * idf[other] * idf[term[row]]
+        out[term] += block @ basis
+        block[np.arange(len(term)), term] = 0.0
+        out += block.T @ basis[term]
 
 
 def singular_vectors(passages: DataFrame, idf: np.ndarray, rank: int = RANK) -> np.ndarray:
     """The leading right singular vectors (terms x rank) of weighted passages."""
     n = len(idf)
+    parts = passages.select("terms", "weight").mapInArrow(_pair_sums(idf), _PAIRS)
+    square = staged(parts.repartition("term").sortWithinPartitions("term").mapInArrow(_summed(n), _PAIRS))
     width = min(rank + SPARE, n)
     basis = np.linalg.qr(np.random.default_rng(3).normal(size=(n, width)))[0]
     context = passages.sparkSession.sparkContext
@@ -214,15 +353,13 @@ def singular_vectors(passages: DataFrame, idf: np.ndarray, rank: int = RANK) ->
         shared = context.broadcast(basis.astype(np.float32))
 
         def partial(batches, shared=shared):
-            total = None
+            total, basis = np.zeros((n, width)), shared.value.astype(np.float64)
             for batch in batches:
-                part = _product(batch.column(0).to_pylist(), batch.column(1).to_pylist(), idf, shared.value)
-                total = part if total is None else total + part
-            if total is not None:
-                yield pa.RecordBatch.from_arrays([pa.array([total.astype(np.float32).tobytes()], pa.binary())], ["z"])
+                _product(batch, idf, basis, total)
+            yield pa.RecordBatch.from_arrays([pa.array([total.astype(np.float32).tobytes()], pa.binary())], ["z"])
 
         image = np.zeros(basis.shape)
-        for row in passages.mapInArrow(partial, "z binary").collect():  # SVD_TASKS rows
+        for row in square.coalesce(SVD_TASKS).mapInArrow(partial, "z binary").collect():  # SVD_TASKS rows
             image += np.frombuffer(bytes(row["z"]), np.float32).reshape(image.shape)
         last, basis = basis, np.linalg.qr(image)[0]
     small = last.T @ image
@@ -361,8 +498,8 @@ class Index:
         return found
 
 
-def _fitted(docs: DataFrame, items: DataFrame, sample: int) -> Space:
-    """The space of all items and of a sample of passages of the documents."""
+def _fitted(docs: DataFrame, items: DataFrame, sample: int | None = None) -> Space:
+    """The space of all passages of items and documents, or of about ``sample`` of the latter."""
     keys = items.select("text").mapInArrow(_word_keys, "key long").distinct().collect()  # words of the benchmark
     vocabulary = np.sort(np.array([r["key"] for r in keys], np.int64).view(np.uint64))
     text = docs.select("text")
@@ -379,14 +516,14 @@ def _fitted(docs: DataFrame, items: DataFrame, sample: int) -> Space:
         return Space(vocabulary, frequency, idf, np.zeros((0, 1), np.float32))
 
     def passages(rows: DataFrame, share: float, weight: float) -> DataFrame:
-        terms = rows.mapInArrow(_sampled(vocabulary, share), "terms array<long>")
+        terms = rows.mapInArrow(_sampled(vocabulary, share), "terms array<int>")
         return terms.withColumn("weight", F.lit(weight))
 
-    share = sample / max(counts.get(-1, 0), 1)
-    some = passages(docs.select(F.xxhash64("doc_id"), "text"), share, 1.0)
+    n_passages = max(counts.get(-1, 0), 1)
+    share, weight = (1.0, min(DOCUMENT_MASS / n_passages, 1.0) ** 0.5) if sample is None else (sample / n_passages, 1.0)
+    some = passages(docs.select(F.xxhash64("doc_id"), "text"), share, weight)
     every = passages(items.select(F.xxhash64("item_id"), "text"), 1.0, BENCHMARK_WEIGHT)
-    chosen = staged(some.unionByName(every).repartition(SVD_TASKS))
-    return Space(vocabulary, frequency, idf, singular_vectors(chosen.coalesce(SVD_TASKS), idf))
+    return Space(vocabulary, frequency, idf, singular_vectors(some.unionByName(every), idf))
 
 
 def contaminated(
@@ -396,7 +533,7 @@ def contaminated(
     text_col: str = "text",
     item_col: str = "item_id",
     item_text_col: str = "text",
-    sample: int = SAMPLE,
+    sample: int | None = None,
     block: int = BLOCK,
 ) -> DataFrame:
     """doc_id, item_id, matched, answer: the items that each row of ``docs`` holds."""

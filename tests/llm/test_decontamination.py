@@ -108,6 +108,39 @@ def test_copies_are_sampled_one_by_one(spark, table_of, monkeypatch):
     assert all(400 < n < 600 for n in taken) and len(taken) == 2
 
 
+def test_every_passage_is_fitted(spark, table_of, monkeypatch):
+    """More passages than any sample: all of them reach the singular vectors."""
+    taken, whole = [], d.singular_vectors
+
+    def counted(passages, idf):
+        taken.append(passages.filter(f"weight != {d.BENCHMARK_WEIGHT}").count())
+        return whole(passages, idf)
+
+    monkeypatch.setattr(d, "singular_vectors", counted)
+    docs = table_of([(i, "w " * (d.STRIDE * 500 + d.STRIDE)) for i in range(60)])
+    d.contaminated(docs, _items(spark, [(1, "words that w hold")]))
+    assert taken == [60 * 500]
+
+
+@pytest.mark.parametrize("cells", [1 << 24, 40])
+def test_singular_vectors_of_all_pairs(spark, monkeypatch, cells):
+    """The subspace of the dense matrix, by one table of pairs and by sorted pairs."""
+    monkeypatch.setattr(d, "_CELLS", cells)
+    rng = random.Random(5)
+    rows = [([rng.randrange(min(30, 3 + i % 40)) for _ in range(rng.randint(0, 20))], 1.0 if i % 3 else 8.0) for i in range(400)]
+    idf = d.np.linspace(0.2, 3.0, 30)
+    dense = d.np.zeros((400, 30))
+    for x, (terms, weight) in zip(dense, rows):
+        d.np.add.at(x, terms, idf[terms])
+        x *= weight / max(float(d.np.sqrt((idf[terms] ** 2).sum())), 1e-9)
+    passages = spark.createDataFrame(rows, "terms array<int>, weight double").repartition(5)
+    got = d.singular_vectors(passages, idf, 30)
+    square = got.T @ dense.T @ dense @ got
+    exact = d.np.linalg.eigvalsh(dense.T @ dense)[::-1]
+    assert d.np.allclose(d.np.diag(square), exact, rtol=1e-3, atol=1e-2)
+    assert abs(square - d.np.diag(d.np.diag(square))).max() < 1e-2 * exact[0]
+
+
 def test_blocks_change_nothing(spark, table_of):
     rows, items, _ = _corpus(3)
     docs, benchmark = table_of(rows), _items(spark, items)
