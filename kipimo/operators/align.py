@@ -9,11 +9,12 @@ so memory grows with sqrt(reference) x hypothesis.
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..schemas import ALIGNMENT
-from .sequences import Batch, encode_words, groups, trim
+from .sequences import Batch, encode_texts, encode_words, groups, trim
 
 _CELL_BUDGET = 4_000_000
 _EQUAL, _SUBSTITUTE, _DELETE, _INSERT = range(4)
@@ -117,33 +118,40 @@ def _runs(codes: np.ndarray, total: np.ndarray):
 
     keep = codes[at] != _EQUAL
     columns = (pair[at], codes[at], used(_INSERT), used(_DELETE), length)
-    return zip(*[c[keep].tolist() for c in columns], strict=True)
+    return [c[keep] for c in columns]
 
 
 def alignments(references: list[list[str]], hypotheses: list[list[str]]) -> pa.StructArray:
     """Counts and merged runs of every pair, as the columns of ``ALIGNMENT``."""
-    codes, total = edit_codes(*encode_words([references, hypotheses]))
+    words = [pa.array([w for one in column for w in one], pa.string()) for column in (references, hypotheses)]
+    return _aligned(*zip(encode_words([references, hypotheses]), words, strict=True))
+
+
+def _joined(words: pa.Array, first: np.ndarray, length: np.ndarray) -> pa.Array:
+    """Runs of words as texts."""
+    ends = np.cumsum(length)
+    at = np.arange(ends[-1] if len(ends) else 0) + np.repeat(first - (ends - length), length)
+    offsets = pa.array(np.concatenate([[0], ends]).astype(np.int32))
+    return pc.binary_join(pa.ListArray.from_arrays(offsets, words.take(pa.array(at))), " ")
+
+
+def _aligned(reference: tuple[Batch, pa.Array], hypothesis: tuple[Batch, pa.Array]) -> pa.StructArray:
+    (ref, ref_words), (hyp, hyp_words) = reference, hypothesis
+    codes, total = edit_codes(ref, hyp)
     pair = np.repeat(np.arange(len(total)), total)
     counts = np.bincount(pair * 4 + codes, minlength=len(total) * 4).reshape(-1, 4)
-    texts = {code: ([], []) for code in (_SUBSTITUTE, _DELETE, _INSERT)}
-    sizes = {code: np.zeros(len(total), dtype=np.int32) for code in texts}
-    for k, code, i, j, length in _runs(codes, total):
-        refs, hyps = texts[code]
-        if code != _INSERT:
-            refs.append(" ".join(references[k][i : i + length]))
-        if code != _DELETE:
-            hyps.append(" ".join(hypotheses[k][j : j + length]))
-        sizes[code][k] += 1
-
-    def listed(code, fields):
-        values = [pa.array(v, pa.string()) for v in texts[code] if v or len(fields) == 2]
-        values = values or [pa.array([], pa.string())]
+    k, code, i, j, length = _runs(codes, total)
+    first = {"reference": (ref_words, ref.starts[k] + i), "hypothesis": (hyp_words, hyp.starts[k] + j)}
+
+    def listed(wanted, fields):
+        own = np.flatnonzero(code == wanted)
+        values = [_joined(first[f][0], first[f][1][own], length[own]) for f in fields]
         runs = pa.StructArray.from_arrays(values, names=fields)
-        offsets = np.concatenate([[0], np.cumsum(sizes[code])]).astype(np.int32)
+        sizes = np.bincount(k[own], minlength=len(total))
+        offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
         return pa.ListArray.from_arrays(pa.array(offsets), runs)
 
-    words = np.array([len(r) for r in references], dtype=np.int32)
-    numbers = [counts[:, c] for c in (_EQUAL, _SUBSTITUTE, _DELETE, _INSERT)] + [words]
+    numbers = [counts[:, c] for c in (_EQUAL, _SUBSTITUTE, _DELETE, _INSERT)] + [ref.lengths]
     return pa.StructArray.from_arrays(
         [pa.array(x.astype(np.int32)) for x in numbers]
         + [
@@ -157,11 +165,10 @@ def alignments(references: list[list[str]], hypotheses: list[list[str]]) -> pa.S
 
 @F.arrow_udf(ALIGNMENT)
 def _align(reference: pa.Array, hypothesis: pa.Array) -> pa.Array:
-    refs, hyps = reference.to_pylist(), hypothesis.to_pylist()
-    unknown = [r is None or h is None for r, h in zip(refs, hyps, strict=True)]
-    aligned = alignments([(t or "").split() for t in refs], [(t or "").split() for t in hyps])
+    known = np.asarray(reference.is_valid()) & np.asarray(hypothesis.is_valid())
+    aligned = _aligned(*encode_texts([reference.fill_null(""), hypothesis.fill_null("")]))
     columns = [aligned.field(k) for k in range(aligned.type.num_fields)]
-    return pa.StructArray.from_arrays(columns, names=ALIGNMENT.names, mask=pa.array(unknown))
+    return pa.StructArray.from_arrays(columns, names=ALIGNMENT.names, mask=pa.array(~known))
 
 
 def align_words(reference: Column, hypothesis: Column) -> Column:

@@ -12,7 +12,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .sequences import Batch, encode_words, groups, trim
+from .sequences import Batch, encode_texts, groups, trim
 
 # Elements of one diagonal over a group of pairs: small enough to stay in cache.
 _ROW_BUDGET = 200_000
@@ -30,10 +30,13 @@ def _group_distances(left: np.ndarray, right: np.ndarray, n: np.ndarray, m: np.n
     number of left elements used.
     """
     pairs, height, width = len(n), left.shape[1], right.shape[1]
-    codes = np.int16 if max(left.max(initial=0), right.max(initial=0)) < 32_000 else np.int32
+    largest = max(left.max(initial=0), right.max(initial=0))
+    # As bytes the paddings -1 and -2 become 255 and 254.
+    codes = np.uint8 if largest < 254 else np.int16 if largest < 32_000 else np.int32
     left = np.ascontiguousarray(left.T, dtype=codes)
     backwards = np.ascontiguousarray(right.T[::-1], dtype=codes)
-    costs = np.int16 if height + width < 32_000 else np.int32
+    # No cell exceeds the longer side, and one more is the largest sum.
+    costs = np.uint8 if max(height, width) < 255 else np.int16 if height + width < 32_000 else np.int32
     before, above, here = (np.zeros((height + 1, pairs), costs) for _ in range(3))
     step = np.empty((height, pairs), costs)
     out = np.zeros(pairs, dtype=np.int64)
@@ -72,9 +75,8 @@ def edit_distances(a: Batch, b: Batch) -> np.ndarray:
 
 
 def _texts(reference: pa.Array, hypothesis: pa.Array):
-    refs, hyps = reference.to_pylist(), hypothesis.to_pylist()
-    known = np.array([r is not None and h is not None for r, h in zip(refs, hyps, strict=True)], bool)
-    return known, [r or "" for r in refs], [h or "" for h in hyps]
+    known = np.asarray(reference.is_valid()) & np.asarray(hypothesis.is_valid())
+    return known, reference.fill_null(""), hypothesis.fill_null("")
 
 
 def _rate(known: np.ndarray, left: Batch, right: Batch) -> pa.Array:
@@ -83,11 +85,11 @@ def _rate(known: np.ndarray, left: Batch, right: Batch) -> pa.Array:
 
 
 def _word_rate(known, refs, hyps) -> pa.Array:
-    return _rate(known, *encode_words([[t.split() for t in refs], [t.split() for t in hyps]]))
+    return _rate(known, *[batch for batch, _ in encode_texts([refs, hyps])])
 
 
 def _char_rate(known, refs, hyps) -> pa.Array:
-    return _rate(known, Batch.of_texts(refs), Batch.of_texts(hyps))
+    return _rate(known, Batch.of_texts(refs.to_pylist()), Batch.of_texts(hyps.to_pylist()))
 
 
 @F.arrow_udf(_RATES)

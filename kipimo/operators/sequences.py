@@ -7,6 +7,8 @@ encoding, trimming and padding are array operations over all pairs at once.
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 # Elements of one padded matrix while trimming.
 _AREA = 2_000_000
@@ -57,6 +59,23 @@ def encode_words(word_lists: list[list[list[str]]]) -> list[Batch]:
     ]
 
 
+def encode_texts(columns: list[pa.Array]) -> list[tuple[Batch, pa.Array]]:
+    """Each column of texts as codes of its white-space words under one vocabulary, and the words."""
+    split = []
+    for texts in columns:
+        lists = pc.utf8_split_whitespace(texts)
+        words, row = lists.flatten(), pc.list_parent_indices(lists)
+        full = pc.greater(pc.binary_length(words), 0)  # white space at an end leaves an empty one
+        sizes = np.bincount(row.filter(full).to_numpy().astype(np.int64), minlength=len(texts))
+        split.append((words.filter(full), sizes))
+    codes = pa.concat_arrays([words for words, _ in split]).dictionary_encode().indices.to_numpy()
+    out, at = [], 0
+    for words, sizes in split:
+        out.append((Batch(codes[at : at + len(words)], np.cumsum(sizes) - sizes, sizes), words))
+        at += len(words)
+    return out
+
+
 def groups(order: np.ndarray, heights: np.ndarray, budget: int):
     """Consecutive index groups, largest first, with rows x largest <= budget."""
     at = len(order)

@@ -90,13 +90,13 @@ def utterance_records(spark: SparkSession, sf_dir: str) -> DataFrame:
         def word(w, i):
             at = i + shift
             return (
-                F.when(at % drop == 5, F.array().cast("array<string>"))
-                .when(at % reverse == 3, F.array(F.reverse(w)))
-                .when(at % double == 9, F.array(w, F.lit("eh")))
-                .otherwise(F.array(w))
+                F.when(at % drop == 5, F.lit(None))  # left out by array_join
+                .when(at % reverse == 3, F.reverse(w))
+                .when(at % double == 9, F.concat(w, F.lit(" eh")))
+                .otherwise(w)
             )
 
-        return F.array_join(F.flatten(F.transform("words", word)), " ")
+        return F.array_join(F.transform("words", word), " ")
 
     cells = F.array(
         *[
@@ -113,11 +113,15 @@ def utterance_records(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def utterances(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Reference and two models' transcripts per utterance, long form."""
+    """Reference and two models' transcripts per utterance, long form.
+
+    The generator is an outer one: a plain explode adds a filter on the array's size that
+    makes every transcript a second time.
+    """
     chars = F.char_length("reference")
     return (
         utterance_records(spark, sf_dir)
-        .select("doc_id", "seg", "category", "reference", F.explode("models").alias("_m"))
+        .select("doc_id", "seg", "category", "reference", F.explode_outer("models").alias("_m"))
         .select("doc_id", "seg", "category", "reference", "_m.*")
         .withColumn("duration_seconds", chars / 15.0)
         .withColumn("inference_time_ms", (chars * F.col("ms")).cast("double"))
@@ -320,10 +324,10 @@ def token_table(spark: SparkSession, sf_dir: str) -> DataFrame:
 def tag_logits(piece):
     """Scores of the five tags, from a digest of the piece."""
     return let(
-        F.md5(piece),
+        F.conv(F.substring(F.md5(piece), 1, 2 * len(TAGS)), 16, 10).cast("long"),
         lambda digest: F.array(
             *[
-                F.conv(F.substring(digest, 2 * k + 1, 2), 16, 10).cast("double") / 64.0
+                F.shiftright(digest, 8 * (len(TAGS) - 1 - k)).bitwiseAND(F.lit(255)).cast("double") / 64.0
                 for k in range(len(TAGS))
             ]
         ),

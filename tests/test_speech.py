@@ -3,12 +3,14 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from kipimo.functions import text as X
 from kipimo.operators import align, distance, sequences, speech
 from kipimo.operators.tables import cross_models
+from kipimo.plans import views
 
 # Ten transcripts with their known edit counts and rates.
 # (id, category, reference, model, hypothesis, substitutions, deletions, insertions,
@@ -258,3 +260,30 @@ def test_cross_models(utterances):
 def test_error_csv_rows(scored):
     row = speech.utterance_errors(scored, ["id", "category"]).filter("id = 'informal_01' and model = 'small'").first()
     assert (row["substitutions"], row["deletions"], row["insertions"], row["reference_words"]) == (6, 0, 1, 6)
+
+
+def test_transcripts_are_made_once(spark, data):
+    """Unfolding the models must not add a filter that makes every transcript again."""
+    plan = views.utterances(spark, data)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("reverse(") == len(views.SPEECH_MODELS)
+
+
+def test_long_and_odd_texts_equal_word_lists(spark):
+    """Around the limits of byte-wide tables, and with every kind of white space."""
+    rng = random.Random(8)
+    texts = [" ".join(rng.choice("abcd") * rng.randint(1, 2) for _ in range(n)) for n in (253, 254, 255, 256, 300, 0, 1)]
+    texts += ["  a\x1cb\x85c　d ", "\t", "​ a", "\U0001f600 漢", None]
+    pairs = [(a, b) for a in texts for b in texts]
+    known = [(a or "", b or "") for a, b in pairs]
+    expected = align.alignments([a.split() for a, _ in known], [b.split() for _, b in known]).to_pylist()
+    found = align._align.func(*[pa.array(side, pa.string()) for side in zip(*pairs)]).to_pylist()
+    assert found == [None if None in pair else row for pair, row in zip(pairs, expected)]
+    rates = distance._error_rates.func(*[pa.array(side, pa.string()) for side in zip(*pairs)]).to_pylist()
+    for (a, b), row, rate in zip(pairs, expected, rates):
+        edits = row["substitutions_count"] + row["deletions_count"] + row["insertions_count"]
+        if a and b and a.split():
+            assert rate["wer"] == edits / len(a.split())
+    cells = [(a, b) for a, b in pairs if a and b and len(a) < 260 and len(b) < 260][:12] + [(texts[2][:n], texts[3][:m]) for n, m in ((253, 254), (254, 255), (255, 256), (256, 253))]
+    native = spark.createDataFrame(cells, "a string, b string").selectExpr("levenshtein(a, b) / char_length(a) AS d").collect()
+    rates = distance._error_rates.func(*[pa.array(side, pa.string()) for side in zip(*cells)]).to_pylist()
+    assert [r["cer"] for r in rates] == [r.d for r in native]
