@@ -1,5 +1,6 @@
 """Normalisation, validation, tokens and SQL names."""
 
+import random
 import re
 
 import pytest
@@ -56,6 +57,36 @@ def test_first_subword_both_forms(spark):
     assert {(r["s"], x["word_id"], x["tag"]) for r in arrays.collect() for x in r["t"]} == expected
 
 
+@pytest.mark.parametrize("run_rows", [tokens.RUN_ROWS, 3])
+def test_first_subword_rows_shuffle_only_split_sentences(spark, monkeypatch, run_rows):
+    """Sentences in one piece go through no shuffle; scattered ones give the same rows."""
+    monkeypatch.setattr(tokens, "RUN_ROWS", run_rows)
+    rng = random.Random(5)
+    rows = [(s, t, t // 2 if t % 5 else None, f"p{t}") for s in ["a", "b", None, "c"] for t in range(25)]
+    kind = "s string, token_index long, word_id long, tag string"
+
+    def best(rows):
+        out = {}
+        for s, t, w, tag in rows:
+            if w is not None and t < out.get((s, w), (99,))[0]:
+                out[s, w] = (t, tag)
+        return {(*k, *v) for k, v in out.items()}
+
+    def found(df):
+        return [(r.s, r.word_id, r.token_index, r.tag) for r in df.collect()]
+
+    one = tokens.first_subword_rows(spark.createDataFrame(rows, kind).coalesce(1), ["s"])
+    assert sorted(map(str, found(one))) == sorted(map(str, best(rows)))
+    if run_rows > 25:
+        assert "Exchange" not in one._jdf.queryExecution().executedPlan().toString()
+    rng.shuffle(rows)
+    rows += [("b", 60 + t, 40, "late") for t in range(3)] + rows[:7]
+    many = tokens.first_subword_rows(spark.createDataFrame(rows, kind).repartition(3), ["s"])
+    assert sorted(map(str, found(many))) == sorted(map(str, best(rows)))
+    empty = tokens.first_subword_rows(spark.createDataFrame([("a", None, 1, "x")], kind), ["s"])
+    assert found(empty) == [("a", 1, None, None)]
+
+
 def test_tags_and_confidence(spark):
     df = spark.createDataFrame([(0, [0.1, 0.87654]), (1, [0.6, 0.4])], "w long, p array<double>")
     rows = tokens.tag_words(df, ["B-LOC", "I-PER"]).orderBy("w").collect()
