@@ -3,6 +3,7 @@
 import random
 import re
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -63,6 +64,27 @@ def test_without_broadcast(spark, monkeypatch):
     assert _found(spark, docs, items, 2) == _brute(docs, items)
 
 
+def _bit_table(keys):
+    table = np.zeros(1 << 15, bool)
+    for key in keys:
+        table[[key % (1 << 15), (key >> 32) % (1 << 15)]] = True
+    return np.packbits(table, bitorder="little")
+
+
+def test_shared_beginnings_make_no_pairs(spark):
+    """Texts and documents that begin alike meet only where one holds the other."""
+    common = " ".join(f"w{i}" for i in range(30))
+    docs = [(i, f"x {common} d{i} " + "e " * (i % 3)) for i in range(60)] + [(900, f"{common} i7 and on")]
+    items = [(i, f"{common} i{i}") for i in range(60)] + [(100, f"{common} d5"), (101, common)]
+    assert _found(spark, docs, items, 5) == _brute(docs, items)
+    texts = [t.encode() for _, t in docs]
+    block = containment._Texts(texts)
+    whole = {int(k) for t in items for k in containment._Texts([t[1].encode()]).keys(np.array([0]), np.array([len(t[1].split())]))}
+    assert len(whole) == 62
+    held = containment._hits(block, {20: np.array([30, 31])}, np.full(4096, 255, np.uint8), _bit_table(whole))
+    assert {(d, n) for d, _, n in held} == {(i, 30) for i in range(61)} | {(5, 31), (60, 31)}
+
+
 def test_exclusion_keeps_columns_and_null_rows(spark):
     docs = spark.createDataFrame([(1, "a b c"), (2, "x"), (None, "q a b"), (None, "fine"), (3, None)], "doc_id long, text string")
     items = spark.createDataFrame([(7, "a b")], "item_id int, text string")
