@@ -12,7 +12,8 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 17
+_SUMMED = 1 << 20
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
@@ -36,16 +37,22 @@ def mixed(h: np.ndarray) -> np.ndarray:
     return h
 
 
-_powers = np.ones(1, np.uint64)
+def _power_table(base: int, n: int) -> np.ndarray:
+    steps = np.full(n, base, np.uint64)
+    steps[0] = 1
+    return np.multiply.accumulate(steps)
 
 
-def _power_table(n: int) -> np.ndarray:
-    global _powers
-    if len(_powers) < n:
-        steps = np.full(max(n, 4096), _STEP, np.uint64)
-        steps[0] = 1
-        _powers = np.multiply.accumulate(steps)
-    return _powers
+_tables = [np.ones(1, np.uint64)] * 2
+
+
+def _powers(n: int) -> list[np.ndarray]:
+    """Powers of the step and of its inverse, n of each at least."""
+    global _tables
+    if len(_tables[0]) < n:
+        size = min(max(2 * n, 4096), _SUMMED + 1)
+        _tables = [_power_table(base, max(size, n)) for base in (_STEP, pow(_STEP, -1, 1 << 64))]
+    return _tables
 
 
 def slices(column: pa.Array, limit: int = SLICE_BYTES) -> Iterator[tuple[int, int]]:
@@ -130,15 +137,29 @@ class TextBlock:
 
 
 def span_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """Keys of disjoint, ascending byte spans."""
+    """Keys of disjoint, ascending byte spans.
+
+    By running sums over all bytes; over more than ``_SUMMED`` bytes, whose tables would
+    be kept, byte by byte.  The keys are the same.
+    """
     if not len(start):
         return np.zeros(0, np.uint64)
     size = end - start
-    ends = np.cumsum(size)
-    place = np.arange(ends[-1]) - np.repeat(ends - size, size)
-    at = place + np.repeat(start, size)
-    values = _BYTE[data[at]] * _power_table(int(size.max()))[place]
-    total = np.add.reduceat(values, ends - size)
+    raw = data[start[0] : end[-1]]
+    if len(raw) <= _SUMMED:
+        up, down = _powers(len(raw) + 1)
+        sums = np.zeros(len(raw) + 1, np.uint64)
+        values = _BYTE[raw]
+        values *= up[: len(raw)]
+        np.cumsum(values, out=sums[1:])
+        at = start - start[0]
+        total = (sums[at + size] - sums[at]) * down[at]
+    else:
+        ends = np.cumsum(size)
+        place = np.arange(ends[-1]) - np.repeat(ends - size, size)
+        at = place + np.repeat(start, size)
+        values = _BYTE[data[at]] * _power_table(_STEP, int(size.max()))[place]
+        total = np.add.reduceat(values, ends - size)
     return mixed(total + size.astype(np.uint64) * _M2)
 
 
