@@ -21,6 +21,7 @@ first; repeated rows are each written; an empty table writes and reads no frames
 other columns are not read.
 """
 
+import os
 import zlib
 from functools import lru_cache
 
@@ -135,6 +136,7 @@ class WordEncoder:
     """
 
     def __init__(self, tokenizer_file: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # one task, one core
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(tokenizer_file)
@@ -143,16 +145,13 @@ class WordEncoder:
 
     def ids(self, text: bytes) -> np.ndarray:
         words = text.split()  # of bytes: at space and 0x09-0x0D only
-        fresh = set(words).difference(self.kept)
-        if not fresh:
-            return np.frombuffer(b"".join(map(self.kept.__getitem__, words)), "<u4")
-        own = self._encoded(fresh)
-        room = KEPT - len(self.kept)
-        if len(own) <= room:
-            self.kept.update(own)
-            return np.frombuffer(b"".join(map(self.kept.__getitem__, words)), "<u4")
-        kept = self.kept
-        return np.frombuffer(b"".join([kept[w] if w in kept else own[w] for w in words]), "<u4")
+        found = list(map(self.kept.get, words))
+        if None in found:
+            own = self._encoded({w for w, known in zip(words, found) if known is None})
+            found = [own[w] if known is None else known for w, known in zip(words, found)]
+            if len(own) <= KEPT - len(self.kept):
+                self.kept.update(own)
+        return np.frombuffer(b"".join(found), "<u4")
 
     def _stays_letter(self, last: str) -> bool:
         """Whether a word's last letter still is one when normalised.

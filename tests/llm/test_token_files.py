@@ -1,5 +1,9 @@
+import os
 import random
+import subprocess
+import sys
 import zlib
+from pathlib import Path
 
 import numpy as np
 import public_tokenizers as P
@@ -83,3 +87,17 @@ def test_every_letter_before_every_stop():
     words += [c + stops for c in special for stops in (*".,;:!?", "...", "?!")] + ["Merhaba", "\u0130!", "tamam"]
     expected = [i for e in library.encode_batch_fast(words, add_special_tokens=False) for i in e.ids]
     assert own.ids(" ".join(words).encode()).tolist() == expected
+
+
+def test_one_thread_a_task():
+    """The tokenizer starts no threads beside the task's own."""
+    program = (
+        "import os; from kipimo.llm.token_files import WordEncoder\n"
+        f"encoder = WordEncoder({FILE!r}); before = len(os.listdir('/proc/self/task'))\n"
+        "encoder.ids(b' '.join(b'w%dx' % i for i in range(2000)))\n"
+        "print(len(os.listdir('/proc/self/task')) - before)"
+    )
+    env = {k: v for k, v in os.environ.items() if not k.startswith(("TOKENIZERS_", "RAYON_"))}
+    root = Path(token_files.__file__).parents[2]
+    out = subprocess.run([sys.executable, "-c", program], env=env, cwd=root, capture_output=True, text=True, check=True)
+    assert out.stdout.split() == ["0"]
