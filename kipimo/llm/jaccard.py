@@ -17,21 +17,24 @@ Jaccard distance is a metric; sets at distance 0.2 or less are to be linked.
 4. *Rounds.*  In a round every class is compared with one of its regions' two leaders
    (the one with the longest reach, and one by hash) of another component.  The links
    found are contracted into components, and regions whose classes are in one component
-   by then are finished, which is where large groups of near copies end.
+   by then are finished, which is where large groups of near copies end.  A round that
+   links less than one in ``FRUITFUL`` of its pairs is the last.
 5. *Recursion.*  A region left with more than ``LEAF`` classes is cut by document pivots
    of its own: a class goes to its nearest pivot and to every pivot that is farther by at
    most twice its largest distance to a partner, distances being those of the counts in
    256 cells of the shingle space (at most the symmetric difference).  Cut regions are cut
-   again as long as that halves the possible pairs.  In the regions that remain, the
-   pairs of classes of different components within each other's reach and within the
-   distance by cells are compared, and contracted again.
+   again as long as that halves the possible pairs.  In the regions that remain, which
+   are dealt into blocks if they are larger, the classes of different components within
+   each other's reach are compared by cells where they lie; only pairs within the distance
+   by cells leave a task.  Large sets have more cells, which are folded for smaller ones.
+   Those pairs are compared, and contracted again.
 
 Document pivots are not used for the first level: unrelated texts are all at distance 1
 from each other, where every window reaches every region.
 
 Nothing is dropped: every pair within the distance shares a region, and is compared
 unless its classes are connected already.  Sets are compared shingle by shingle from
-the texts, which are read by the pairs' documents only.  The sketch (2 MB) and the bit
+the texts, which are read by the pairs' documents only.  The sketch (16 MB) and the bit
 table (1 MB) that are broadcast have a fixed size.  A hot region is one row per task in
 the aggregations and split by adaptive skew handling in the joins.
 
@@ -42,31 +45,36 @@ empty table gives an empty result; other columns are not read.
 """
 
 import math
+import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.stage import staged
 from .components import components
-from .idfilter import IdFilter
+from .idfilter import HashFilter, IdFilter, slots
 from .textblock import TextBlock, filled, in_order, mixed, slices, windows
 
 WORDS = 5
 NUMERATOR, DENOMINATOR = 80, 100
-SKETCH_BITS = 21
+SKETCH_BITS = 24
 SKETCH_PART = 1 << 15
-CELLS = 256
+COUNTED = 1 << 20
+CELLS, MOST_CELLS = 256, 4096
 ROUNDS = 3
+FRUITFUL = 2
 LEAF = 64
 PIVOTS = 8
 KEPT = 500_000
 _NULL = -(1 << 63)
+_RING = np.uint64(0x9E3779B97F4A7C15)
 
 
-def shingle_sets(column: pa.Array, k: int = WORDS) -> tuple[np.ndarray, np.ndarray]:
-    """(text, shingle key) of all texts' sets, ordered by both."""
+def _occurrences(column: pa.Array, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """(text, shingle key) of all places of all texts, longer texts first."""
     block = TextBlock.of(column, lower=True)
     words = block.hashes()
     key, at = windows(words, block.doc, k)
@@ -79,6 +87,16 @@ def shingle_sets(column: pa.Array, k: int = WORDS) -> tuple[np.ndarray, np.ndarr
         sums = [(words[first[i] : first[i + 1]] * places[: counts[i]]).sum(dtype=np.uint64) for i in short]
         whole = mixed(np.array(sums, np.uint64) + counts[short].astype(np.uint64))
         key, doc = np.concatenate([key, whole]), np.concatenate([doc, short])
+    return doc, key
+
+
+def _shingles(column: pa.Array, k: int = WORDS) -> np.ndarray:
+    return _occurrences(column, k)[1]
+
+
+def shingle_sets(column: pa.Array, k: int = WORDS) -> tuple[np.ndarray, np.ndarray]:
+    """(text, shingle key) of all texts' sets, ordered by both."""
+    doc, key = _occurrences(column, k)
     order, again = in_order(doc, key)
     order = order[~again]
     return doc[order], key[order]
@@ -93,30 +111,40 @@ def _set_rows(batches, make):
 
 
 def _sketches(batches):
-    total = np.zeros(1 << SKETCH_BITS, np.int64)
+    total = np.zeros(1 << SKETCH_BITS, np.uint16)
     shift = np.uint64(64 - SKETCH_BITS)
+    held, n_held = [], 0
+
+    def count():
+        cell, n = np.unique(np.concatenate(held), return_counts=True)
+        total[cell] = np.minimum(total[cell] + n, 65535)
+
     for batch in batches:
         text = filled(batch.column(0))
         for lo, hi in slices(text):
-            _, key = shingle_sets(text.slice(lo, hi - lo))
-            total += np.bincount((key >> shift).astype(np.int64), minlength=1 << SKETCH_BITS)
+            held.append(_shingles(text.slice(lo, hi - lo)) >> shift)
+            n_held += len(held[-1])
+            if n_held > COUNTED:
+                count()
+                held, n_held = [], 0
+    if n_held:
+        count()
     if total.any():
-        parts = total.reshape(-1, SKETCH_PART)
-        for p, counts in enumerate(parts):
-            kind = np.uint8 if counts.max() < 256 else np.int64  # most tasks see few of each
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([p], pa.int32()), pa.array([counts.astype(kind).tobytes()], pa.binary())], ["part", "counts"]
-            )
+        for p, counts in enumerate(total.reshape(-1, SKETCH_PART)):
+            kind = np.uint8 if counts.max() < 256 else np.uint16  # most tasks see few of each
+            packed = zlib.compress(counts.astype(kind).tobytes(), 1)
+            yield pa.RecordBatch.from_arrays([pa.array([p], pa.int32()), pa.array([packed], pa.binary())], ["part", "counts"])
 
 
 def _summed(batches):
     sums: dict[int, np.ndarray] = {}
     for batch in batches:
         for part, counts in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            own = np.frombuffer(counts, np.uint8 if len(counts) == SKETCH_PART else np.int64)
-            sums[part] = sums.get(part, 0) + own
+            counts = zlib.decompress(counts)
+            own = np.frombuffer(counts, np.uint8 if len(counts) == SKETCH_PART else np.uint16)
+            sums[part] = sums.get(part, 0) + own.astype(np.int64)
     for part, total in sums.items():
-        level = np.ceil(np.log2(total + 1)).astype(np.uint8)
+        level = np.round(4 * np.log2(total + 1)).astype(np.uint8)
         yield pa.RecordBatch.from_arrays(
             [pa.array([part], pa.int32()), pa.array([level.tobytes()], pa.binary())], ["part", "levels"]
         )
@@ -169,6 +197,12 @@ def _prefixes(doc, key, size, level):
     return np.concatenate([[0], np.cumsum(window)]), chosen.view(np.int64)
 
 
+def _widths(size: np.ndarray) -> np.ndarray:
+    """Number of cells of sets: a power of two, an eighth of the set or more up to ``MOST_CELLS``."""
+    wanted = np.ceil(np.log2(np.maximum(size, 1) / (8 * CELLS))).astype(np.int64)
+    return CELLS << np.clip(wanted, 0, int(math.log2(MOST_CELLS // CELLS)))
+
+
 def _members(shared):
     shift = np.uint64(64 - SKETCH_BITS)
 
@@ -182,13 +216,15 @@ def _members(shared):
             doc, key = doc[stay], key[stay]
             held = np.where(new, size, 0)
             ends, chosen = _prefixes(doc, key, held, shared.value[(key >> shift).astype(np.int64)])
-            cells = np.bincount(doc * CELLS + (key % np.uint64(CELLS)).astype(np.int64), minlength=n * CELLS)
-            cells = np.minimum(cells, 255).astype(np.uint8).reshape(n, CELLS)
+            width = np.where(new, _widths(size), 0)
+            at = np.cumsum(width) - width
+            cells = np.bincount(at[doc] + (key % width[doc].astype(np.uint64)).astype(np.int64), minlength=width.sum())
+            raw = np.minimum(cells, 255).astype(np.uint8).tobytes()
             arrays = [
                 ids,
                 pa.array(size),
                 pa.array(cls),
-                pa.array([c.tobytes() if k else None for c, k in zip(cells, new.tolist())], pa.binary()),
+                pa.array([raw[i : i + w] if w else None for i, w in zip(at.tolist(), width.tolist())], pa.binary()),
                 pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(chosen)),
             ]
             return pa.RecordBatch.from_arrays(arrays, ["id", "n", "cls", "cells", "prefix"])
@@ -198,37 +234,89 @@ def _members(shared):
     return rows
 
 
+def _region_rows(shared=None):
+    """Rows of classes with their prefixes, spread over their regions; only those of taken slots, if given."""
+
+    def ring(size: np.ndarray) -> np.ndarray:
+        return np.floor(np.log(size) / math.log(DENOMINATOR / NUMERATOR)).astype(np.int64)
+
+    def rows(batches):
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                cls, n, prefix = batch.slice(at, 256).columns
+                length = pc.list_value_length(prefix).to_numpy()
+                row = np.repeat(np.arange(len(cls)), length)
+                place = np.arange(len(row)) - np.repeat(np.cumsum(length) - length, length)
+                pivot = prefix.flatten().to_numpy().view(np.uint64)
+                size = n.to_numpy()[row]
+                reach = (DENOMINATOR * size - (DENOMINATOR + NUMERATOR) * place) // NUMERATOR
+                own, last = ring(size), ring(np.maximum(size, reach))
+                for step in range(int((last - own).max(initial=-1)) + 1):
+                    held = np.flatnonzero(own + step <= last)
+                    key = mixed(pivot[held] + (own[held] + step + 1).astype(np.uint64) * _RING).view(np.int64)
+                    if shared is not None:
+                        taken = shared.value[slots(key)].astype(bool)
+                        held, key = held[taken], key[taken]
+                    columns = [pa.array(key), cls.take(pa.array(row[held])), pa.array(size[held]), pa.array(reach[held])]
+                    yield pa.RecordBatch.from_arrays(columns, ["h", "cls", "n", "reach"])
+
+    return rows
+
+
 def _regions(classes: DataFrame) -> DataFrame:
     """h, cls, n, reach: the classes of each ring of each pivot that may hold a pair."""
-    ring = lambda size: F.floor(F.log(size) / F.lit(math.log(DENOMINATOR / NUMERATOR)))
-    reach = F.floor((DENOMINATOR * F.col("n") - (DENOMINATOR + NUMERATOR) * F.col("i")) / NUMERATOR)
-    rows = (
-        classes.select("cls", "n", F.posexplode("prefix").alias("i", "pivot"))
-        .withColumn("reach", reach)
-        .withColumn("ring", F.explode(F.sequence(ring(F.col("n")), ring(F.greatest("n", "reach")))))
-        .select(F.xxhash64("pivot", "ring").alias("h"), "cls", "n", "reach")
-    )
-    spans = rows.groupBy("h").agg(
-        F.min("cls").alias("lo"), F.max("cls").alias("hi"), F.max(F.col("reach") >= F.col("n")).alias("pairs")
-    )
-    shared = staged(spans.filter((F.col("lo") < F.col("hi")) & F.col("pairs")).select("h"))
-    return staged(IdFilter(shared, "h").rows(rows, "h").join(shared, "h"))
+    kinds = "h long, cls long, n long, reach long"
+    prefixes = classes.select("cls", "n", "prefix")
+    rows = prefixes.mapInArrow(_region_rows(), kinds)
+    # a class has one row in a region; counts take half the room of its least and greatest key
+    spans = rows.groupBy("h").agg(F.count(F.lit(1)).alias("k"), F.max(F.col("reach") >= F.col("n")).alias("pairs"))
+    shared = staged(spans.filter((F.col("k") > 1) & F.col("pairs")).select("h"))
+    return staged(prefixes.mapInArrow(_region_rows(HashFilter(shared, "h").shared), kinds).join(shared, "h"))
+
+
+def _counts(column: list[bytes], width: int) -> np.ndarray:
+    """Each set's counts in ``width`` cells; those of more cells are folded."""
+    out = np.empty((len(column), width), np.int16)
+    length = np.array([len(c) for c in column], np.int64)
+    for size in np.unique(length).tolist():
+        at = np.flatnonzero(length == size)
+        raw = np.frombuffer(b"".join([column[i] for i in at.tolist()]), np.uint8).reshape(len(at), -1, width)
+        out[at] = raw[:, 0] if size == width else np.minimum(raw.sum(1, dtype=np.int64), 255)
+    return out
+
+
+class _Cells:
+    """Which pairs of some sets the triangle inequalities allow."""
+
+    def __init__(self, size: np.ndarray, cells: list[bytes]):
+        self.size, self.cells, self.few = size, cells, _counts(cells, CELLS)
+
+    def allowed(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        keep = DENOMINATOR * np.minimum(self.size[a], self.size[b]) >= NUMERATOR * np.maximum(self.size[a], self.size[b])
+        for at in np.array_split(np.flatnonzero(keep), max(int(keep.sum()) // 4096, 1)):
+            keep[at] = self._within(self.few[a[at]], self.few[b[at]], a[at], b[at])
+        for i in np.flatnonzero(keep).tolist():  # few are left; large sets differ in more cells
+            pair = [self.cells[a[i]], self.cells[b[i]]]
+            width = min(map(len, pair))
+            if width > CELLS:
+                one, two = _counts(pair, width)
+                keep[i] = self._within(one[None], two[None], a[i : i + 1], b[i : i + 1])[0]
+        return keep
+
+    def _within(self, one, two, a, b) -> np.ndarray:
+        at_least = np.abs(one - two).sum(1, dtype=np.int64)
+        # similar: the symmetric difference is at most (1 - t) / (1 + t) of both sizes
+        return (DENOMINATOR + NUMERATOR) * at_least <= (DENOMINATOR - NUMERATOR) * (self.size[a] + self.size[b])
 
 
 def _near(batches):
-    """Pairs that the triangle inequalities allow."""
     for batch in batches:
-        n_a, n_b = (batch.column(i).to_numpy() for i in (2, 4))
-        cells = [
-            np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint8).reshape(-1, CELLS).astype(np.int16)
-            for i in (3, 5)
-        ]
-        total = n_a + n_b
-        at_least = np.abs(cells[0] - cells[1]).sum(1, dtype=np.int64)
-        # similar: the symmetric difference is at most (1 - t) / (1 + t) of both sizes
-        keep = (DENOMINATOR + NUMERATOR) * at_least <= (DENOMINATOR - NUMERATOR) * total
-        keep &= DENOMINATOR * np.minimum(n_a, n_b) >= NUMERATOR * np.maximum(n_a, n_b)
-        kept = batch.filter(pa.array(keep))
+        n = batch.num_rows
+        cells = _Cells(
+            np.concatenate([batch.column(i).to_numpy() for i in (2, 4)]),
+            batch.column(3).to_pylist() + batch.column(5).to_pylist(),
+        )
+        kept = batch.filter(pa.array(cells.allowed(np.arange(n), np.arange(n, 2 * n))))
         yield pa.RecordBatch.from_arrays([kept.column(0), kept.column(1)], ["a", "b"])
 
 
@@ -255,7 +343,7 @@ def _compared(batches):
 
 def _links(pairs: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
     """The pairs of classes that are similar, compared by their documents' texts."""
-    pairs = staged(_allowed(pairs, classes))
+    pairs = staged(pairs)
     nodes = pairs.select(F.col("a").alias("cls")).unionByName(pairs.select(F.col("b").alias("cls"))).distinct()
     named = staged(classes.join(nodes, "cls").select("cls", F.col("doc").alias("id"), "row"))
     texts = IdFilter(named, "id", "row").rows(docs, "id", "row").join(named, ["id", "row"]).dropDuplicates(["cls"])
@@ -307,10 +395,6 @@ def _leader_pairs(labelled: DataFrame, number: int) -> DataFrame:
     )
 
 
-def _counts(column, width: int) -> np.ndarray:
-    return np.frombuffer(b"".join(column), np.uint8).reshape(-1, width).astype(np.int16)
-
-
 def _cut(batches):
     """Rows of regions, sent to their nearest pivot and to the pivots of their window."""
     for batch in batches:
@@ -374,16 +458,64 @@ def _cut_regions(rows: DataFrame, classes: DataFrame) -> DataFrame:
     return rows
 
 
-def _remaining_pairs(rows: DataFrame) -> DataFrame:
-    """Pairs of classes of different components within each other's reach in a region."""
-    a, b = rows.alias("a"), rows.alias("b")
-    possible = _reachable(F.col("a.n"), F.col("a.reach"), F.col("b.n"), F.col("b.reach"))
-    return (
-        a.join(b, (F.col("a.h") == F.col("b.h")) & (F.col("a.cls") < F.col("b.cls")) & possible)
-        .filter(F.col("a.comp") != F.col("b.comp"))
-        .select(F.col("a.cls").alias("a"), F.col("b.cls").alias("b"))
-        .distinct()
+def _region_pairs(batches):
+    """Allowed pairs of each group of rows with one ``g``, which follow each other."""
+    rest = None
+    for batch in batches:
+        batch = pa.Table.from_batches([b for b in (rest, batch) if b is not None]).combine_chunks().to_batches()
+        if not batch:
+            continue
+        batch = batch[0]
+        g = batch.column(0).to_numpy()
+        last = int(np.searchsorted(g, g[-1]))  # the last group may go on
+        rest = batch.slice(last)
+        yield from _grouped_pairs(batch.slice(0, last))
+    if rest is not None:
+        yield from _grouped_pairs(rest)
+
+
+def _grouped_pairs(batch):
+    if not batch.num_rows:
+        return
+    g, side, cls, n, reach, comp = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(6))
+    cells = _Cells(n, batch.column(6).to_pylist())
+    at, lag = np.arange(len(g)), 1
+    while True:
+        at = at[at < len(g) - lag]
+        at = at[g[at] == g[at + lag]]
+        if not len(at):
+            return
+        a, b = at, at + lag
+        possible = (comp[a] != comp[b]) & (n[a] <= reach[b]) & (n[b] <= reach[a])
+        possible &= (side[a] < 0) | (side[a] != side[b])
+        a, b = a[possible], b[possible]
+        stay = cells.allowed(a, b)
+        one, two = cls[a[stay]], cls[b[stay]]
+        if len(one):
+            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(one, two)), pa.array(np.maximum(one, two))], ["a", "b"])
+        lag += 1
+
+
+def _remaining_pairs(rows: DataFrame, classes: DataFrame) -> DataFrame:
+    """Allowed pairs of classes of different components within each other's reach in a region.
+
+    They are found where a region's rows lie together with their cells.  A region of more
+    than ``LEAF`` classes, which no pivots part, is dealt into blocks of about as many, and
+    every two of its blocks meet on their own, so no group is large.
+    """
+    large = staged(rows.groupBy("h").agg(F.ceil(F.count(F.lit(1)) / LEAF).alias("blocks")).filter(F.col("blocks") > 1))
+    columns = ["g", "side", "cls", "n", "reach", "comp"]
+    small = rows.join(large, "h", "left_anti").select(F.col("h").alias("g"), F.lit(-1).cast("long").alias("side"), *columns[2:])
+    side = F.pmod(F.xxhash64("cls", F.lit(-1)), F.col("blocks"))
+    dealt = (
+        rows.join(large, "h")
+        .withColumn("side", side)
+        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        .withColumn("g", F.xxhash64("h", F.least("side", "other"), F.greatest("side", "other")))
+        .withColumn("side", F.when(F.col("side") == F.col("other"), -1).otherwise(F.col("side")))
     )
+    wide = small.unionByName(dealt.select(*columns)).join(classes.select("cls", "cells"), "cls").select(*columns, "cells")
+    return wide.repartition("g").sortWithinPartitions("g").mapInArrow(_region_pairs, "a long, b long").distinct()
 
 
 def _class_links(docs: DataFrame, classes: DataFrame) -> DataFrame:
@@ -391,11 +523,14 @@ def _class_links(docs: DataFrame, classes: DataFrame) -> DataFrame:
     regions = _regions(classes)
     links, found = None, None
     for number in range(ROUNDS):
-        round_links = _links(_leader_pairs(_open_regions(regions, found), number), classes, docs)
+        pairs = staged(_leader_pairs(_open_regions(regions, found), number))
+        round_links = _links(_allowed(pairs, classes), classes, docs)
         links = round_links if links is None else links.unionByName(round_links)
         found = components(links)
+        if FRUITFUL * round_links.count() < pairs.count():
+            break  # no large groups of near copies are left
     left = staged(_cut_regions(_open_regions(regions, found), classes))
-    last = _links(_remaining_pairs(left), classes, docs)
+    last = _links(_remaining_pairs(left, classes), classes, docs)
     return components(last if links is None else links.unionByName(last))
 
 

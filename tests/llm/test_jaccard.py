@@ -1,6 +1,9 @@
 import random
 import re
+import zlib
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
 from kipimo.llm import jaccard
@@ -113,3 +116,39 @@ def test_reach_is_tight():
                 common = size_a - own  # all that follows the first common shingle
                 reach = (d * size_a - (d + n) * own) // n
                 assert (size_b <= reach) == (d * common >= n * (size_a + size_b - common))
+
+
+def test_counts_of_many_tasks_do_not_wrap():
+    """Cells with more than 255 in all, but few in each task, stay frequent."""
+    counts = zlib.compress(np.full(jaccard.SKETCH_PART, 64, np.uint8).tobytes())
+    batch = pa.RecordBatch.from_arrays([pa.array([0] * 4, pa.int32()), pa.array([counts] * 4, pa.binary())], ["part", "counts"])
+    level = [np.frombuffer(b.column(1)[0].as_py(), np.uint8) for b in jaccard._summed([batch])]
+    assert level[0].min() == round(4 * np.log2(257))
+
+
+def test_cells_allow_all_similar_sets():
+    """Few and many cells alike let every similar pair through, and large unrelated sets not."""
+    rng = np.random.default_rng(2)
+    sets = []
+    for size in (3, 300, 2500, 9000, 40000):
+        base = rng.integers(0, 1 << 63, size, dtype=np.uint64)
+        sets += [base, base[: -(-size * 4 // 5)], rng.integers(0, 1 << 63, size, dtype=np.uint64)]
+    size = np.array([len(s) for s in sets])
+    cells = [
+        np.minimum(np.bincount((s % np.uint64(w)).astype(int), minlength=w), 255).astype(np.uint8).tobytes()
+        for s, w in zip(sets, jaccard._widths(size).tolist())
+    ]
+    allowed = jaccard._Cells(size, cells).allowed
+    for i in range(0, len(sets), 3):
+        assert allowed(np.array([i]), np.array([i + 1])).all()
+        assert len(sets[i]) == 3 or not allowed(np.array([i]), np.array([i + 2])).any()
+
+
+def test_pairs_of_a_region_that_nothing_parts(spark, monkeypatch):
+    """A region above ``LEAF`` is dealt into blocks: each pair once, no join of its rows with themselves."""
+    monkeypatch.setattr(jaccard, "LEAF", 5)
+    cells = bytes([1] * jaccard.CELLS)
+    rows = spark.createDataFrame([(h, i, 256, 320, i) for h in (1, 2) for i in range(h * 16)], "h long, cls long, n long, reach long, comp long")
+    classes = spark.createDataFrame([(i, 256, bytearray(cells)) for i in range(32)], "cls long, n long, cells binary")
+    found = jaccard._remaining_pairs(rows, classes).collect()
+    assert sorted((r.a, r.b) for r in found) == [(a, b) for a in range(32) for b in range(a + 1, 32)]
