@@ -22,6 +22,8 @@ other columns are not read.
 """
 
 import os
+import re
+import struct
 import zlib
 from functools import lru_cache
 
@@ -35,7 +37,8 @@ from .textblock import filled
 
 BLOCK = 1024
 FRAME_IDS = 1 << 15
-KEPT = 600_000
+KEPT = 1_200_000
+FREQUENT = 50_000
 #: Fixed by the format: values per word by selector; their bits are 60 // values.
 VALUES = np.array([1, 60, 30, 20, 15, 12, 10, 8, 7, 6, 5, 4, 3, 2, 1], np.int64)
 BITS = 60 // VALUES
@@ -69,15 +72,14 @@ def pack(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         if not fits.any():
             break  # more values cannot fit into fewer bits
         chosen[fits] = selector
-    follow = (np.arange(BLOCK) + VALUES[chosen]).tolist()
+    held = VALUES.astype(np.uint8)[chosen].tobytes()
     starts, firsts = [], np.zeros(n, np.int64)
-    for b, row in enumerate(follow):
-        at, base = 0, b * BLOCK
-        stop = min(BLOCK, len(values) - base)
+    for b in range(n):
+        at, stop = b * BLOCK, min((b + 1) * BLOCK, len(values))
         firsts[b] = len(starts)
         while at < stop:
-            starts.append(base + at)
-            at = row[at]
+            starts.append(at)
+            at += held[at]
     starts = np.array(starts)
     select = chosen.ravel()[starts]
     words = select.astype(_U) << _U(60)
@@ -126,6 +128,47 @@ def unpack(words: np.ndarray, firsts: np.ndarray, n: int) -> np.ndarray:
     return out[:n]
 
 
+#: Small letters that no normal form changes, and words of nothing else.
+_LETTERS = "".join(c for c in map(chr, range(256)) if c.islower() and c not in "\xaa\xb5\xba")
+_plain = re.compile(f"[{_LETTERS}]+").fullmatch
+_STOPS = b".,;:!?"
+
+
+def _byte_chars() -> dict[int, int]:
+    """What byte-level tokenizers write for the bytes that do not print."""
+    hidden = [b for b in range(256) if not (33 <= b <= 126 or 161 <= b <= 172 or 174 <= b)]
+    return {b: 256 + i for i, b in enumerate(hidden)}
+
+
+_HIDDEN = _byte_chars()
+
+
+def _byte_level(text: str) -> str:
+    return text if text.isascii() else text.encode().decode("latin-1").translate(_HIDDEN)
+
+
+class _Table(dict):
+    """What words stand for, made when first asked for.
+
+    Words asked for again are looked up here, in a table that is small enough for a
+    processor's cache; all others, most of which never come again, in ``rare``.
+    """
+
+    def __init__(self, made):
+        self.made = made
+        self.rare: dict[bytes, bytes] = {}
+
+    def __missing__(self, word: bytes) -> bytes:
+        ids = self.rare.get(word)
+        if ids is None:
+            ids = self.made(word)
+            if len(self.rare) < KEPT:
+                self.rare[word] = ids
+        elif len(self) < FREQUENT:
+            self[word] = ids
+        return ids
+
+
 class WordEncoder:
     """Ids of texts by a tokenizer that never joins across ASCII white space.
 
@@ -133,6 +176,10 @@ class WordEncoder:
     letters; so a word of letters and stops is looked up as its two parts, if its last
     letter stays one when normalised.  The table
     takes words until it is full, which the frequent ones are in by then.
+
+    Most words that are not in it are rare ones of plain letters.  If the tokenizer takes
+    such a word as one piece of byte-level text, its model is asked directly: normalising
+    and splitting would give the word back.
     """
 
     def __init__(self, tokenizer_file: str):
@@ -140,18 +187,26 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(tokenizer_file)
-        self.kept: dict[bytes, bytes] = {}
+        self.model = self.tokenizer.model
+        self.kept = _Table(self._encoded)
         self.letters: dict[str, bool] = {}
+        self.direct = self._whole_letters()
+
+    def _whole_letters(self) -> bool:
+        """Whether plain letters of any case are one byte-level piece, in small letters."""
+        normalizer, splitter = self.tokenizer.normalizer, self.tokenizer.pre_tokenizer
+        if normalizer is None or splitter is None:
+            return False
+        upper = "".join(c.upper() for c in _LETTERS if c.upper().lower() == c)
+        return all(
+            normalizer.normalize_str(given) == small
+            and [piece for piece, _ in splitter.pre_tokenize_str(small)] == [_byte_level(small)]
+            for given, small in ((_LETTERS, _LETTERS), (upper, upper.lower()))
+        )
 
     def ids(self, text: bytes) -> np.ndarray:
-        words = text.split()  # of bytes: at space and 0x09-0x0D only
-        found = list(map(self.kept.get, words))
-        if None in found:
-            own = self._encoded({w for w, known in zip(words, found) if known is None})
-            found = [own[w] if known is None else known for w, known in zip(words, found)]
-            if len(own) <= KEPT - len(self.kept):
-                self.kept.update(own)
-        return np.frombuffer(b"".join(found), "<u4")
+        # split of bytes: at space and 0x09-0x0D only
+        return np.frombuffer(b"".join(map(self.kept.__getitem__, text.split())), "<u4")
 
     def _stays_letter(self, last: str) -> bool:
         """Whether a word's last letter still is one when normalised.
@@ -166,22 +221,25 @@ class WordEncoder:
             known = self.letters[last] = bool(normal) and normal[-1].isalpha()
         return known
 
-    def _encoded(self, words: set[bytes]) -> dict[bytes, bytes]:
-        parts = {}
-        for w in words:
-            core = w.rstrip(b".,;:!?")
-            text = core.decode()
-            splits = text.isalpha() and self._stays_letter(text[-1])
-            parts[w] = (core.lower(), w[len(core) :]) if splits else (w, b"")
-        own: dict[bytes, bytes] = {b"": b""}
-        asked = [p for p in {p for pair in parts.values() for p in pair} if p and p not in self.kept]
-        made = self.tokenizer.encode_batch_fast([p.decode() for p in asked], add_special_tokens=False)
-        for p, e in zip(asked, made):
-            own[p] = np.array(e.ids, "<u4").tobytes()
-        kept = self.kept
-        for w, (core, stops) in parts.items():
-            own[w] = (own[core] if core in own else kept[core]) + (own[stops] if stops in own else kept[stops])
-        return own
+    def _encoded(self, word: bytes) -> bytes:
+        core = word.rstrip(_STOPS)
+        text = core.decode()
+        small = text.lower()
+        plain = self.direct and _plain(small)
+        if plain:
+            first = small.encode()
+        elif text.isalpha() and self._stays_letter(text[-1]):
+            first = core.lower()
+        else:
+            first = word
+        if first != word:
+            stops = word[len(core) :]
+            return self.kept[first] + self.kept[stops] if stops else self.kept[first]
+        if plain:
+            ids = [t.id for t in self.model.tokenize(_byte_level(small))]
+        else:
+            ids = self.tokenizer.encode_batch_fast([word.decode()], add_special_tokens=False)[0].ids
+        return struct.pack(f"<{len(ids)}I", *ids)
 
 
 @lru_cache(maxsize=1)

@@ -101,3 +101,28 @@ def test_one_thread_a_task():
     root = Path(token_files.__file__).parents[2]
     out = subprocess.run([sys.executable, "-c", program], env=env, cwd=root, capture_output=True, text=True, check=True)
     assert out.stdout.split() == ["0"]
+
+
+def test_rare_words_by_the_model(monkeypatch):
+    """Words of plain letters never go through the library's normaliser and splitter."""
+    library, own = Tokenizer.from_file(FILE), token_files.WordEncoder(FILE)
+    assert own.direct
+    rng = random.Random(7)
+    letters = token_files._LETTERS + token_files._LETTERS.upper() + "aeinrst" * 4
+    plain = ["".join(rng.choice(letters) for _ in range(rng.randint(1, 30))) + rng.choice(["", ".", "?!"]) for _ in range(3000)]
+    plain += ["ẞ", "K", "Ån", "\xffx", "ŸX.", "don", "\xb5"]
+    odd = ["don't", "x́", "a1", "'s", "İ.", "İx", "ét\xe9", "\xaaa", "ΣΣ", "<|endoftext|>"]
+    text = " ".join(plain + odd)
+    assert own.ids(text.encode()).tolist() == library.encode(text, add_special_tokens=False).ids
+    asked = []
+
+    class Counting:
+        def encode_batch_fast(self, texts, **options):
+            asked.extend(texts)
+            return library.encode_batch_fast(texts, **options)
+
+    own.tokenizer = Counting()
+    own.kept.clear()
+    own.kept.rare.clear()
+    own.ids(b"rarelysaid Rarelysaid, \xc3\x89trangement. x9")
+    assert sorted(asked) == [",", ".", "x9"]
