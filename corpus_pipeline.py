@@ -4,25 +4,44 @@ Each stage takes (spark, docs, sf_dir) and returns the documents it keeps, with
 columns of ``documents``; the last one returns their token ids.  Rows with one doc_id
 are one document to the stages that drop documents by id; rows without a doc_id are one
 if their texts are equal.
+
+Batches for Python are bounded by bytes: the workers of an executor serve all stages, and
+keep what the largest batch took.
 """
 
+from collections.abc import Callable
+from functools import wraps
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kipimo.llm import byte_bpe, decontamination, jaccard, lines, quality
 from kipimo.llm.idfilter import without
-from kipimo.plans.stage import staged
+from kipimo.plans.stage import bound_batches, staged
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 
 
+def stage(function: Callable[[SparkSession, DataFrame, str], DataFrame]):
+    """A stage whose session has bounded batches."""
+
+    @wraps(function)
+    def bounded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        bound_batches(spark)
+        return function(spark, docs, sf_dir)
+
+    return bounded
+
+
+@stage
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the rules, of hosts that do."""
     return quality.keep_good(docs)
 
 
+@stage
 def without_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without lines that an earlier one has; one that loses all its words goes.
 
@@ -46,6 +65,7 @@ def keyed(docs: DataFrame) -> DataFrame:
     return docs.withColumn("_key", F.coalesce(F.col("doc_id").cast("long"), of_text))
 
 
+@stage
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near duplicates, the document with the smallest id.
 
@@ -61,6 +81,7 @@ def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     return kept.filter(~nameless).unionByName(kept.filter(nameless).dropDuplicates(["text"]))
 
 
+@stage
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no benchmark item."""
     benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
@@ -69,6 +90,7 @@ def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     return without(keyed(docs), gone, "_key").select(*COLUMNS)
 
 
+@stage
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of each document, and digests of them and of what they decode to."""
     ids = byte_bpe.encode_texts(docs, RANKS, public_tokenizers.PATTERN)
@@ -91,6 +113,6 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Apply all stages to the documents, each written and read again."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select(*COLUMNS)
-    for _, stage in STAGES:
-        docs = staged(stage(spark, docs, sf_dir))
+    for _, step in STAGES:
+        docs = staged(step(spark, docs, sf_dir))
     return docs

@@ -7,6 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 PARTITIONS = "spark.kipimo.partitions"
+BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
 _local: dict[str, str] = {}
 
 
@@ -62,3 +63,13 @@ def widened(df: DataFrame) -> DataFrame:
     """
     wanted = df.sparkSession.conf.get(PARTITIONS, None)
     return df.repartition(int(wanted)) if wanted else df
+
+
+def bound_batches(spark: SparkSession, size: str = "1m") -> None:
+    """Let batches for Python end at ``size`` bytes, unless the session has set a bound.
+
+    Spark's own bounds (10,000 rows, 64 MB) are tens of megabytes of text a batch, which
+    executors and Python workers hold several times over and do not give back.
+    """
+    if spark.conf.get(BATCH_BYTES, None) is None:
+        spark.conf.set(BATCH_BYTES, size)

@@ -5,12 +5,14 @@ import random
 import sys
 
 import public_tokenizers as P
+import pyarrow as pa
 import pytest
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__)))))
 import corpus_pipeline as pipeline  # noqa: E402
 
 from kipimo.llm import byte_bpe  # noqa: E402
+from kipimo.plans.stage import BATCH_BYTES  # noqa: E402
 
 from test_jaccard import _expected as groups_of  # noqa: E402
 from test_lines import _expected as lines_of  # noqa: E402
@@ -110,3 +112,22 @@ def test_good_documents_keep_columns_of_any_name(spark, table_of):
     docs = table_of([(i, good + str(i), None, f"h{i % 3}") for i in range(30)] + [(99, "bad")], ["_failed", "base_failed"])
     kept = quality.keep_good(docs)
     assert kept.columns == docs.columns and kept.count() == 30
+
+
+def test_batches_are_bounded_by_bytes(spark, folder):
+    """The tables of a stage reach Python in batches of a megabyte, not of 10,000 rows."""
+    own = spark.newSession()
+    docs = own.read.parquet(f"{folder}/documents.parquet")
+    kept = pipeline.good_quality(own, docs, folder)
+    wide = own.range(0, 4000, 1, 1).selectExpr("repeat('x', 2000) AS text")
+
+    def sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.nbytes])], ["n"])
+
+    assert kept.count() > 0
+    found = [r.n for r in wide.mapInArrow(sizes, "n long").collect()]
+    assert sum(found) > 8_000_000 and max(found) < 3_000_000
+    own.conf.set(BATCH_BYTES, "2m")
+    pipeline.good_quality(own, docs, folder)
+    assert own.conf.get(BATCH_BYTES) == "2m"
