@@ -5,8 +5,8 @@ columns of ``documents``; the last one returns their token ids.  Rows with one d
 are one document to the stages that drop documents by id; rows without a doc_id are one
 if their texts are equal.
 
-Batches for Python are bounded by bytes: the workers of an executor serve all stages, and
-keep what the largest batch took.
+Batches for Python are bounded by bytes, and no task has two Python workers at once: the
+workers of an executor stay for all stages, and keep what the largest batch took.
 """
 
 from collections.abc import Callable
@@ -85,7 +85,7 @@ def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no benchmark item."""
     benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    found = decontamination.contaminated(keyed(docs), benchmark, id_col="_key")
+    found = decontamination.contaminated(keyed(docs), benchmark, id_col="_key", stage_passages=True)
     gone = staged(found.select(F.col("doc_id").alias("_key")))
     return without(keyed(docs), gone, "_key").select(*COLUMNS)
 
@@ -93,8 +93,7 @@ def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 @stage
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of each document, and digests of them and of what they decode to."""
-    ids = byte_bpe.encode_texts(docs, RANKS, public_tokenizers.PATTERN)
-    decoded = byte_bpe.decode_ids(ids, RANKS, public_tokenizers.PATTERN)
+    decoded = byte_bpe.encode_texts(docs, RANKS, public_tokenizers.PATTERN, with_bytes=True)
     return byte_bpe.digests(decoded, keep_ids=True)
 
 

@@ -154,8 +154,12 @@ def encode_texts(
     text_col: str = "text",
     chunk: int = CHUNK,
     overlap: int = OVERLAP,
+    with_bytes: bool = False,
 ) -> DataFrame:
-    """doc_id and ids (array of int): one row per row of ``docs``."""
+    """doc_id and ids (array of int): one row per row of ``docs``.
+
+    ``with_bytes`` also decodes them, as ``decode_ids`` does, in the worker that encoded them.
+    """
     if not 0 < overlap <= chunk:
         raise ValueError("overlap must be between 1 and chunk")
     chosen = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
@@ -178,19 +182,31 @@ def encode_texts(
         .select("doc_id", "ids", F.explode(F.sequence(F.lit(1), F.col("copies"))))
         .select("doc_id", "ids")
     )
-    return short.mapInArrow(encode, f"doc_id {kind}, ids array<int>").unionByName(whole)
+    if not with_bytes:
+        return short.mapInArrow(encode, f"doc_id {kind}, ids array<int>").unionByName(whole)
+    decode = _decoder_of_rows(rank_file, pattern)
 
+    def both(batches):
+        return decode(encode(batches))
+
+    rows = short.mapInArrow(both, f"doc_id {kind}, ids array<int>, bytes binary")
+    return rows.unionByName(decode_ids(whole, rank_file, pattern))
 
-def decode_ids(encoded: DataFrame, rank_file: str, pattern: str) -> DataFrame:
-    """``encoded`` (doc_id, ids) with the bytes that its ids stand for."""
-    kind = encoded.schema["doc_id"].dataType.simpleString()
 
+def _decoder_of_rows(rank_file: str, pattern: str):
     def decode(batches):
         decoder = encoding(rank_file, pattern)
         for batch in batches:
             raw = [decoder.decode_bytes(ids.values.to_pylist()) for ids in batch.column(1)]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(raw, pa.binary())], ["doc_id", "ids", "bytes"])
 
+    return decode
+
+
+def decode_ids(encoded: DataFrame, rank_file: str, pattern: str) -> DataFrame:
+    """``encoded`` (doc_id, ids) with the bytes that its ids stand for."""
+    kind = encoded.schema["doc_id"].dataType.simpleString()
+    decode = _decoder_of_rows(rank_file, pattern)
     return encoded.select("doc_id", "ids").mapInArrow(decode, f"doc_id {kind}, ids array<int>, bytes binary")
 
 

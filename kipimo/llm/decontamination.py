@@ -498,7 +498,7 @@ class Index:
         return found
 
 
-def _fitted(docs: DataFrame, items: DataFrame, sample: int | None = None) -> Space:
+def _fitted(docs: DataFrame, items: DataFrame, sample: int | None = None, stage_passages: bool = False) -> Space:
     """The space of all passages of items and documents, or of about ``sample`` of the latter."""
     keys = items.select("text").mapInArrow(_word_keys, "key long").distinct().collect()  # words of the benchmark
     vocabulary = np.sort(np.array([r["key"] for r in keys], np.int64).view(np.uint64))
@@ -523,7 +523,10 @@ def _fitted(docs: DataFrame, items: DataFrame, sample: int | None = None) -> Spa
     share, weight = (1.0, min(DOCUMENT_MASS / n_passages, 1.0) ** 0.5) if sample is None else (sample / n_passages, 1.0)
     some = passages(docs.select(F.xxhash64("doc_id"), "text"), share, weight)
     every = passages(items.select(F.xxhash64("item_id"), "text"), 1.0, BENCHMARK_WEIGHT)
-    return Space(vocabulary, frequency, idf, singular_vectors(some.unionByName(every), idf))
+    weighted = some.unionByName(every)
+    if stage_passages:
+        weighted = staged(weighted)
+    return Space(vocabulary, frequency, idf, singular_vectors(weighted, idf))
 
 
 def contaminated(
@@ -535,8 +538,13 @@ def contaminated(
     item_text_col: str = "text",
     sample: int | None = None,
     block: int = BLOCK,
+    stage_passages: bool = False,
 ) -> DataFrame:
-    """doc_id, item_id, matched, answer: the items that each row of ``docs`` holds."""
+    """doc_id, item_id, matched, answer: the items that each row of ``docs`` holds.
+
+    ``stage_passages`` writes the passages' terms before their pairs are summed, so that no
+    task has two Python workers at once.
+    """
     chosen = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     items = benchmark.select(F.col(item_col).alias("item_id"), F.col(item_text_col).alias("text"))
     kind, item_kind = (d.schema[0].dataType.simpleString() for d in (chosen, items))
@@ -544,7 +552,7 @@ def contaminated(
     key = F.pmod(F.xxhash64("item_id", "text"), F.lit(n_blocks))
     item_type = to_arrow_type(items.schema["item_id"].dataType)
     context = chosen.sparkSession.sparkContext
-    space = _fitted(chosen, items, sample)
+    space = _fitted(chosen, items, sample, stage_passages)
     shared_space, found = context.broadcast(space), None
     for b in range(n_blocks):
         index = Index(space, items.filter(key == b).collect())  # about ``block`` rows

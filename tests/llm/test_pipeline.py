@@ -11,7 +11,7 @@ import pytest
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__)))))
 import corpus_pipeline as pipeline  # noqa: E402
 
-from kipimo.llm import byte_bpe  # noqa: E402
+from kipimo.llm import byte_bpe, decontamination  # noqa: E402
 from kipimo.plans.stage import BATCH_BYTES  # noqa: E402
 
 from test_jaccard import _expected as groups_of  # noqa: E402
@@ -131,3 +131,36 @@ def test_batches_are_bounded_by_bytes(spark, folder):
     own.conf.set(BATCH_BYTES, "2m")
     pipeline.good_quality(own, docs, folder)
     assert own.conf.get(BATCH_BYTES) == "2m"
+
+
+def test_one_worker_a_task(spark, folder, monkeypatch):
+    """The two stages with two steps in Python: no task runs both in workers of their own."""
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+
+    def chained(node):
+        """Whether a step in Python reads from another without a shuffle between."""
+        while node.children().size() == 1:
+            node = node.children().head()
+            if node.nodeName() == "MapInArrow":
+                return True
+            if node.nodeName() == "Repartition" or "Aggregate" in node.nodeName():
+                return False
+        return False
+
+    def steps(node):
+        own = [node] if node.nodeName() == "MapInArrow" else []
+        return own + [s for k in range(node.children().size()) for s in steps(node.children().apply(k))]
+
+    whole, fitted = decontamination.singular_vectors, []
+
+    def counted(passages, idf):
+        fitted.append(passages)
+        return whole(passages, idf)
+
+    monkeypatch.setattr(decontamination, "singular_vectors", counted)
+    frames = [pipeline.without_benchmark(spark, docs, folder), pipeline.encoded(spark, docs, folder), *fitted]
+    assert len(fitted) == 1
+    assert not steps(fitted[0]._jdf.queryExecution().optimizedPlan())
+    for frame in frames:
+        found = steps(frame._jdf.queryExecution().optimizedPlan())
+        assert not any(chained(step) for step in found)
