@@ -51,3 +51,13 @@ def test_empty_table(spark, table_of):
 def test_bad_overlap(spark, table_of):
     with pytest.raises(ValueError):
         byte_bpe.encode_texts(table_of([]), RANKS, PATTERN, chunk=8, overlap=9)
+
+
+def test_decoded_by_the_worker_that_encoded(spark, table_of):
+    texts = _texts()
+    docs = table_of([(i, t) for i, t in enumerate(texts)] + [(64, texts[63]), (None, None)])
+    rows = byte_bpe.encode_texts(docs, RANKS, PATTERN, chunk=32, overlap=8, with_bytes=True).collect()
+    whole = byte_bpe.encoding(RANKS, PATTERN)
+    given = [(r.doc_id, r.text or "") for r in docs.collect()]
+    assert sorted((str(r.doc_id), r.ids) for r in rows) == sorted((str(i), whole.encode_ordinary(t)) for i, t in given)
+    assert sorted((str(r.doc_id), bytes(r.bytes)) for r in rows) == sorted((str(i), t.encode()) for i, t in given)
