@@ -289,9 +289,10 @@ def scored_variants(prepared: DataFrame) -> DataFrame:
 def token_arrays(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per document: all its words in pieces of four characters.
 
-    Each document also starts with one piece that belongs to no word.
+    Each document also starts with one piece that belongs to no word.  A text without
+    words splits into one empty string, which has no pieces to cut and is taken out.
     """
-    words = F.split(normalise_text(F.col("text")), " ")
+    words = F.array_remove(F.split(normalise_text(F.col("text")), " "), "")
 
     def cut(word, i):
         return F.transform(

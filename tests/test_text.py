@@ -3,11 +3,13 @@
 import random
 import re
 
+import duckdb
 import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+import __spark_entry__ as entry_module
 from kipimo.functions import columns as N
 from kipimo.functions import text as X
 from kipimo.functions.sql import register_sql_functions
@@ -87,6 +89,23 @@ def test_first_subword_rows_shuffle_only_split_sentences(spark, monkeypatch, run
     assert found(empty) == [("a", 1, None, None)]
 
 
+ODD_TEXTS = ["", "   ", "?!... ,,, ;;", None, "\n\t", "one", "!two words!", "- '", "a"]
+
+
+@pytest.mark.parametrize("name", ["argmax_label"])
+def test_texts_without_words(spark, tmp_path, name):
+    """Texts that normalise to nothing have no words, as in the SQL, and fail nothing."""
+    docs = spark.createDataFrame(list(enumerate(ODD_TEXTS)), "doc_id long, text string")
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    found = entry_module.queries()[name](spark, str(tmp_path))
+    database = duckdb.connect()
+    database.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    result = database.execute(entry_module.oracle_sql()[name])
+    columns = [c[0] for c in result.description]
+    expected = result.fetchall()
+    assert expected and sorted(map(tuple, found.select(*columns).collect())) == sorted(expected)
+
+
 def test_tags_and_confidence(spark):
     df = spark.createDataFrame([(0, [0.1, 0.87654]), (1, [0.6, 0.4])], "w long, p array<double>")
     rows = tokens.tag_words(df, ["B-LOC", "I-PER"]).orderBy("w").collect()
