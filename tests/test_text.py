@@ -92,7 +92,7 @@ def test_first_subword_rows_shuffle_only_split_sentences(spark, monkeypatch, run
 ODD_TEXTS = ["", "   ", "?!... ,,, ;;", None, "\n\t", "one", "!two words!", "- '", "a"]
 
 
-@pytest.mark.parametrize("name", ["argmax_label", "first_subword", "first_subword_rows", "softmax"])
+@pytest.mark.parametrize("name", ["argmax_label", "first_subword", "first_subword_rows", "softmax", "strip_tag_prefix"])
 def test_texts_without_words(spark, tmp_path, name):
     """Texts that normalise to nothing have no words, as in the SQL, and fail nothing."""
     docs = spark.createDataFrame(list(enumerate(ODD_TEXTS)), "doc_id long, text string")
