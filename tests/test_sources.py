@@ -1,12 +1,13 @@
 """Readers, sinks and the file stream."""
 
 import json
+import os
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from kipimo.plans import stage
+from kipimo.plans import source_queries, stage, views
 from kipimo.sources import readers, writers
 from kipimo.streaming import scoring as stream
 
@@ -202,6 +203,26 @@ def test_stream_equals_batch_and_resumes(spark, tmp_path):
     assert ("u2", 0.5, 0.6) in streamed and ("u3", None, None) in streamed
 
 
+def test_streamed_utterances_take_little_disk(spark, data, tmp_path, monkeypatch):
+    """Landed files, sink and state together stay within four times the input."""
+    monkeypatch.setattr(source_queries, "scratch_path", lambda _, name: str(tmp_path / name))
+    scored = source_queries.score_stream(spark, data)
+    landed = spark.read.schema(stream.UTTERANCE).json(str(tmp_path / "stream/in"))
+    assert scored.count() == landed.count() == views.utterances(spark, data).count()
+    taken = sum(p.stat().st_size for p in (tmp_path / "stream").rglob("*") if p.is_file())
+    assert taken <= 4 * os.path.getsize(f"{data}/documents.parquet")
+
+
+def test_landed_files_are_cut(spark, data, tmp_path, monkeypatch):
+    """A compressed file is not split, so none holds more than so many rows."""
+    monkeypatch.setattr(source_queries, "scratch_path", lambda _, name: str(tmp_path / name))
+    monkeypatch.setitem(source_queries._LANDED, "maxRecordsPerFile", 1000)
+    n = source_queries.score_stream(spark, data).count()
+    files = spark.read.schema(stream.UTTERANCE).json(str(tmp_path / "stream/in")).groupBy(F.input_file_name())
+    rows = [r["count"] for r in files.count().collect()]
+    assert sum(rows) == n > 1000 >= max(rows)
+
+
 def test_staging(spark):
     df = spark.range(10).withColumn("x", F.col("id") * 2.0)
     kept = stage.staged(df)
