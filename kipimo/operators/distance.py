@@ -89,7 +89,7 @@ def _word_rate(known, refs, hyps) -> pa.Array:
 
 
 def _char_rate(known, refs, hyps) -> pa.Array:
-    return _rate(known, Batch.of_texts(refs.to_pylist()), Batch.of_texts(hyps.to_pylist()))
+    return _rate(known, Batch.of_column(refs), Batch.of_column(hyps))
 
 
 @F.arrow_udf(_RATES)

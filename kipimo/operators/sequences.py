@@ -10,8 +10,9 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-# Elements of one padded matrix while trimming.
+# Elements of one matrix while trimming, and elements of a pair that are compared first.
 _AREA = 2_000_000
+_STEP = 32
 
 
 @dataclass
@@ -32,13 +33,21 @@ class Batch:
         codes = np.frombuffer("".join(texts).encode("utf-32-le"), dtype=np.int32)
         return cls(codes, np.cumsum(sizes) - sizes, sizes)
 
-    def matrix(self, rows: np.ndarray, fill: int, backwards: bool = False) -> np.ndarray:
-        """Padded (rows, longest) matrix; ``backwards`` starts from the ends."""
+    @classmethod
+    def of_column(cls, texts: pa.Array) -> "Batch":
+        """The same of an Arrow column without nulls, joined there."""
+        sizes = pc.utf8_length(texts).to_numpy().astype(np.int64)
+        whole = pa.ListArray.from_arrays([0, len(texts)], texts)
+        joined = pc.binary_join(whole, pa.scalar("", texts.type))[0].as_py()
+        codes = np.frombuffer(joined.encode("utf-32-le"), dtype=np.int32)
+        return cls(codes, np.cumsum(sizes) - sizes, sizes)
+
+    def matrix(self, rows: np.ndarray, fill: int) -> np.ndarray:
+        """Padded (rows, longest) matrix."""
         starts, lengths = self.starts[rows], self.lengths[rows]
         column = np.arange(int(lengths.max(initial=0)))
         inside = column < lengths[:, None]
-        first = (starts + lengths - 1) if backwards else starts
-        at = first[:, None] + (-column if backwards else column)
+        at = starts[:, None] + column
         if self.codes.size == 0:
             return np.full(inside.shape, fill, dtype=np.int32)
         return np.where(inside, self.codes.take(at, mode="clip"), np.int32(fill))
@@ -85,23 +94,38 @@ def groups(order: np.ndarray, heights: np.ndarray, budget: int):
         at -= rows
 
 
-def _common(a: Batch, b: Batch, rows: np.ndarray, backwards: bool) -> np.ndarray:
-    left, right = a.matrix(rows, -1, backwards), b.matrix(rows, -2, backwards)
-    width = min(left.shape[1], right.shape[1])
-    differ = np.ones((len(rows), width + 1), dtype=bool)
-    np.not_equal(left[:, :width], right[:, :width], out=differ[:, :width])
-    return differ.argmax(axis=1)
+def _common(a: Batch, b: Batch, backwards: bool) -> np.ndarray:
+    """How many elements at the beginning, or at the end, both sequences of a pair share.
+
+    Most pairs differ early, so a few elements are compared at a time, and more of the
+    pairs that go on.
+    """
+    shorter = np.minimum(a.lengths, b.lengths)
+    common = np.zeros(len(shorter), dtype=np.int64)
+    rows, step = np.flatnonzero(shorter), _STEP
+    while len(rows):
+        on, size = [], max(1, _AREA // step)
+        for part in (rows[k : k + size] for k in range(0, len(rows), size)):
+            column = np.arange(min(step, int((shorter - common)[part].max())))
+            alike = column < (shorter - common)[part, None]
+            sides = []
+            for x in (a, b):
+                first = x.starts[part] + (x.lengths[part] - 1 - common[part] if backwards else common[part])
+                sides.append(x.codes.take(first[:, None] + (-column if backwards else column), mode="clip"))
+            alike &= sides[0] == sides[1]
+            count = np.where(alike.all(axis=1), len(column), alike.argmin(axis=1))
+            common[part] += count
+            on.append(part[count == len(column)])
+        rows = np.concatenate(on)
+        rows, step = rows[common[rows] < shorter[rows]], min(2 * step, _AREA)
+    return common
 
 
 def trim(a: Batch, b: Batch) -> tuple[Batch, Batch, np.ndarray, np.ndarray]:
     """Both batches without common ends, with prefix and suffix lengths."""
-    longest = np.maximum(a.lengths, b.lengths)
-    order = np.argsort(longest, kind="stable")
     found = []
     for backwards in (False, True):
-        common = np.zeros(len(longest), dtype=np.int64)
-        for rows in groups(order, longest, _AREA):
-            common[rows] = _common(a, b, rows, backwards)
+        common = _common(a, b, backwards)
         nothing = np.zeros_like(common)
         ends = (nothing, common) if backwards else (common, nothing)
         a, b = a.cut(*ends), b.cut(*ends)

@@ -229,6 +229,26 @@ def test_distances_against_brute_force(monkeypatch, budget):
     assert distance.edit_distances(*texts).tolist() == expected
 
 
+@pytest.mark.parametrize("kind", [pa.string(), pa.large_string()])
+def test_columns_are_the_same_characters(kind):
+    column = pa.array(["x", "", "aß𝒳b", "", "end"] * 3, kind)
+    for texts in (column, column.slice(2, 5), column.slice(0, 0)):
+        one, other = sequences.Batch.of_column(texts), sequences.Batch.of_texts(texts.to_pylist())
+        for name in ("codes", "starts", "lengths"):
+            assert getattr(one, name).tolist() == getattr(other, name).tolist()
+
+
+@pytest.mark.parametrize("step", [1, 3, 32])
+def test_common_ends(monkeypatch, step):
+    """However many elements are compared at a time, the beginning is taken off first."""
+    monkeypatch.setattr(sequences, "_STEP", step)
+    pairs = [("", ""), ("", "a"), ("aa", "aaa"), ("abc", "abc"), ("abxc", "abyyc"), ("x" * 90 + "a", "x" * 80 + "ba")]
+    texts = [sequences.Batch.of_texts(list(side)) for side in zip(*pairs, strict=True)]
+    left, right, head, tail = sequences.trim(*texts)
+    assert head.tolist() == [0, 0, 2, 3, 2, 80] and tail.tolist() == [0, 0, 0, 0, 1, 1]
+    assert left.lengths.tolist() == [0, 0, 0, 0, 1, 10] and right.lengths.tolist() == [0, 1, 1, 0, 2, 1]
+
+
 @pytest.mark.parametrize("budget", [4_000_000, 400, 30])
 def test_alignment_is_minimal_and_independent_of_batching(monkeypatch, budget):
     refs, hyps = _pairs(300, 15)
